@@ -165,7 +165,7 @@ def with_hilbert(df: DataFrame, dims: Sequence[str], bits: int | None = None, ke
     drop = max(0, SCALE_BITS - bits)
     exprs = []
     for name, dim in zip(names, dims):
-        scaled = f"cast(cast({SCALE} AS float) * {dim} AS bigint)"
+        scaled = f"cast(cast({SCALE} AS float) * cast({dim} AS float) AS bigint)"
         exprs.append(
             f"CASE WHEN {dim} >= 0 AND {dim} <= 1 THEN shiftright({scaled}, {drop}) "
             f"ELSE raise_error('coordinate {dim} must be a number in [0, 1]') END AS {name}"

@@ -11,8 +11,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def points3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").selectExpr(
+def points3(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    return table(spark, sf_dir, "lineitem").filter(where).selectExpr(
         "(((l_orderkey * 100000 + l_partkey) * 1000 + l_suppkey) * 10 + l_linenumber) * 100"
         " + CAST(l_quantity AS BIGINT) AS pid",
         "CAST((l_quantity - 1D) / 49D AS FLOAT) AS x",
@@ -43,18 +43,27 @@ def part_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).selectExpr("qid", "lx", "ly", "lz", "lx + side AS hx", "ly + side AS hy", "lz + side AS hz")
 
 
-def events3(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events3(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Events as points: time, user and value. The ids are negative, so they differ from points3."""
     users = table(spark, sf_dir, "customer").agg((F.count(F.lit(1)) / F.lit(10.0)).alias("users"))
-    return (
-        table(spark, sf_dir, "events")
-        .join(F.broadcast(users))
-        .selectExpr(
-            "event_id AS pid",
-            "CAST((unix_micros(CAST(ts AS TIMESTAMP)) - unix_micros(TIMESTAMP '2024-01-01 00:00:00'))"
-            " / (30D * 86400D * 1000000D) AS FLOAT) AS t",
-            "CAST(user_id / users AS FLOAT) AS u",
-            "CAST(value / 1000D AS FLOAT) AS v",
-        )
+    rows = table(spark, sf_dir, "events") if events is None else events
+    return rows.join(F.broadcast(users)).selectExpr(
+        "-1 - event_id AS pid",
+        "CAST((unix_micros(CAST(ts AS TIMESTAMP)) - unix_micros(TIMESTAMP '2024-01-01 00:00:00'))"
+        " / (30D * 86400D * 1000000D) AS FLOAT) AS x",
+        "CAST(user_id / users AS FLOAT) AS y",
+        "CAST(value / 1000D AS FLOAT) AS z",
+    )
+
+
+def flat_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-dimensional query boxes, one per part."""
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS qid",
+        "CAST((p_partkey * 37 % 101) / 128D AS FLOAT) AS la",
+        "CAST((p_partkey * 23 % 113) / 128D AS FLOAT) AS lb",
+        "CAST((p_partkey * 37 % 101 + 2) / 128D AS FLOAT) AS ha",
+        "CAST((p_partkey * 23 % 113 + 2) / 128D AS FLOAT) AS hb",
     )
 
 

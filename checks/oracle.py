@@ -80,8 +80,8 @@ def hilbert(source: str, dims, name: str = "k", carry: str = "*", bits: int | No
             low, " ".join(f"WHEN (t & {1 << i}) <> 0 THEN {i + 1}" for i in range(d - 1))
         )
         ctes.append(
-            f"{name}_{step + 1} AS (SELECT * REPLACE (CAST(1 AS BIGINT) << rot AS flip, (rot + 1 + {skip}) % {d} AS rot,"
-            f" (idx << {d}) | t AS idx, bb AS pb) EXCLUDE (u, t, bb) FROM ("
+            f"{name}_{step + 1} AS (SELECT * EXCLUDE (u, t, bb) REPLACE (CAST(1 AS BIGINT) << rot AS flip,"
+            f" (rot + 1 + {skip}) % {d} AS rot, (idx << {d}) | t AS idx, bb AS pb) FROM ("
             f"SELECT *, ((u >> rot) | (u << ({d} - rot))) & {full} AS t FROM ("
             f"SELECT *, xor(xor(flip, bb), pb) AS u FROM (SELECT *, {b} AS bb FROM {name}_{step}))))"
         )

@@ -295,8 +295,8 @@ def _(spark, sf_dir):
     return rows.select("pid", "cluster", long("crank"), "ordinal")
 
 
-_REST = f"(SELECT count(*) FROM o) % {PARTITIONS}"
-_SIZE = f"(SELECT count(*) FROM o) // {PARTITIONS}"
+_REST = f"((SELECT count(*) FROM o) % {PARTITIONS})"
+_SIZE = f"((SELECT count(*) FROM o) // {PARTITIONS})"
 _PART = f"CAST(greatest(0, CASE WHEN ordinal <= {_REST} THEN 0 ELSE (ordinal - 1 - {_REST}) // {_SIZE} END) AS BIGINT)"
 
 

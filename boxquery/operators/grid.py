@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from boxquery.functions.boxes import Box, all_of, bound_names, box_of, overlaps
+from boxquery.functions.boxes import Box, bound_names, box_of, hi_names, lo_names, overlaps
 from boxquery.session import BROADCAST_ROWS, skew_join
 
 # Cell sizes on offer: side 1/2**level. Two apart, so a row is repeated for at most eleven sizes.
@@ -24,67 +24,51 @@ def levels_for(d: int) -> tuple[int, ...]:
     return tuple(level for level in LEVELS if d * level <= 62)
 
 
-def axis_cell(value: Column, level: Column | int) -> Column:
-    """Cell number on one axis. Values outside [0, 1) fall in the outermost cells, which keeps order."""
-    side = F.pow(F.lit(2.0), level if isinstance(level, Column) else F.lit(level))
-    return F.greatest(F.lit(0), F.least(F.floor(value.cast("double") * side), side - 1)).cast("long")
+def axis_cell(value: str, level: int | str) -> str:
+    """SQL for the cell number on one axis. Values outside [0, 1) fall in the outermost cells."""
+    side = f"{float(1 << level)}D" if isinstance(level, int) else f"power(2D, {level})"
+    return f"cast(greatest(0D, least(floor(cast({value} AS double) * {side}), {side} - 1D)) AS bigint)"
 
 
-def cell_id(axes: Sequence[Column], level: Column | int) -> Column:
-    """One number for a cell: the axis numbers side by side, `level` bits each."""
-    if isinstance(level, int):
-        return reduce(lambda acc, c: F.shiftleft(acc, level).bitwiseOR(c), axes)
-    side = F.pow(F.lit(2.0), level).cast("long")
-    return reduce(lambda acc, c: acc * side + c, axes)
+def cell_id(axes: Sequence[str], level: int | str) -> str:
+    """SQL for one number per cell: the axis numbers side by side, `level` bits each."""
+    shift = level if isinstance(level, int) else f"cast({level} AS int)"
+    return reduce(lambda acc, c: f"(shiftleft({acc}, {shift}) | {c})", axes)
 
 
-def box_level(b: Box, levels: Sequence[int], cells: int = CELLS_PER_BOX) -> Column:
-    choice = None
-    for level in sorted(levels, reverse=True):
-        spans = [axis_cell(h, level) - axis_cell(l, level) + 1 for l, h in zip(b.lo, b.hi)]
-        covered = reduce(lambda x, y: x * y, [s.cast("double") for s in spans])
-        fits = covered <= cells
-        choice = F.when(fits, level) if choice is None else choice.when(fits, level)
-    return choice.otherwise(min(levels))
-
-
-def cover(df: DataFrame, dims: Sequence[str], level: Column, keep: Sequence[str]) -> DataFrame:
-    """Repeat each box for every cell it covers at the given level: adds `level` and `cell`."""
-    b = box_of(df, dims)
-    out = df.select(
-        *keep,
-        level.cast("int").alias("level"),
-        *[c.alias(f"_l{i}") for i, c in enumerate(b.lo)],
-        *[c.alias(f"_h{i}") for i, c in enumerate(b.hi)],
-    )
-    at = F.col("level")
-    for i in range(len(dims)):
-        span = F.sequence(axis_cell(F.col(f"_l{i}"), at), axis_cell(F.col(f"_h{i}"), at))
-        out = out.withColumn(f"_a{i}", F.explode(span))
-    cell = cell_id([F.col(f"_a{i}") for i in range(len(dims))], at)
-    return out.select(*keep, "level", cell.alias("cell"))
+def with_levels(boxes: DataFrame, dims: Sequence[str], cells: int = CELLS_PER_BOX) -> DataFrame:
+    """Add `level`: the finest one at which the box covers at most `cells` cells."""
+    spans = [
+        f"cast({axis_cell(h, 'v')} - {axis_cell(l, 'v')} + 1 AS double)"
+        for l, h in zip(lo_names(dims), hi_names(dims))
+    ]
+    offered = ", ".join(str(v) for v in sorted(levels_for(len(dims)), reverse=True))
+    choice = f"get(filter(array({offered}), v -> {' * '.join(spans)} <= {cells}), 0)"
+    return boxes.withColumn("level", F.expr(choice))
 
 
-def with_levels(boxes: DataFrame, dims: Sequence[str], cells: int = CELLS_PER_BOX) -> DataFrame:
-    return boxes.withColumn("level", box_level(box_of(boxes, dims), levels_for(len(dims)), cells).cast("int"))
+def cover(leveled: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """Repeat each box for every cell it covers at its `level`: adds `cell`."""
+    out = leveled
+    for i, (l, h) in enumerate(zip(lo_names(dims), hi_names(dims))):
+        span = f"explode(sequence({axis_cell(l, 'level')}, {axis_cell(h, 'level')})) AS _a{i}"
+        out = out.selectExpr("*", span)
+    cell = cell_id([f"_a{i}" for i in range(len(dims))], "level")
+    return out.selectExpr(*leveled.columns, f"{cell} AS cell")
 
 
-def levels_used(leveled: DataFrame) -> list[int]:
-    """The distinct levels, at most one per entry of LEVELS."""
-    return sorted(r.level for r in leveled.select("level").distinct().collect())
+def cells_per_level(covered: DataFrame) -> dict[int, int]:
+    """How many (box, cell) rows there are at each level in use; at most one entry per level on offer."""
+    return {r.level: r["count"] for r in covered.groupBy("level").count().collect()}
 
 
 def point_cells(points: DataFrame, dims: Sequence[str], levels: Sequence[int]) -> DataFrame:
     """Repeat each point for every level: adds `level` and the one `cell` it lies in there."""
-    at = [
-        F.struct(
-            F.lit(level).alias("level"),
-            cell_id([axis_cell(F.col(d), level) for d in dims], level).cast("long").alias("cell"),
-        )
-        for level in levels
-    ]
-    rows = points.select("*", F.explode(F.array(*at)).alias("_at"))
-    return rows.select(*points.columns, "_at.level", "_at.cell")
+    at = ", ".join(
+        f"named_struct('level', {level}, 'cell', {cell_id([axis_cell(d, level) for d in dims], level)})"
+        for level in sorted(levels)
+    )
+    return points.selectExpr("*", f"inline(array({at}))")
 
 
 def overlap_pairs(
@@ -102,11 +86,13 @@ def overlap_pairs(
     """
     a = _leveled(left, dims, left_cols)
     b = _leveled(right, dims, right_cols)
-    used = levels_used(a.select("level").union(b.select("level")))
+    both = a.select("level").union(b.select("level")).groupBy("level").count().collect()
+    used = sorted(r.level for r in both)
     placed_a = _spread(a, dims, used, "a")
     placed_b = _spread(b, dims, used, "b")
     keys = ["level", "cell"]
-    n_a, n_b = placed_a.count(), placed_b.count()
+    n_a = placed_a.count()
+    n_b = 0 if n_a <= BROADCAST_ROWS else placed_b.count()
     if n_a <= BROADCAST_ROWS:
         pairs = placed_b.join(F.broadcast(placed_a), keys)
     elif n_b <= BROADCAST_ROWS:
@@ -116,16 +102,9 @@ def overlap_pairs(
         pairs = skew_join(marked, placed_a, keys, "_row", n_b).drop("_row")
     box_a = Box([F.col(f"a_l{x}") for x in dims], [F.col(f"a_h{x}") for x in dims])
     box_b = Box([F.col(f"b_l{x}") for x in dims], [F.col(f"b_h{x}") for x in dims])
-    corner = [F.greatest(x, y) for x, y in zip(box_a.lo, box_b.lo)]
-    at = F.col("level")
-    here = all_of(
-        [
-            overlaps(box_a, box_b),
-            at == F.least("a_own", "b_own"),
-            cell_id([axis_cell(c, at) for c in corner], at) == F.col("cell"),
-        ]
-    )
-    return pairs.filter(here).drop("level", "cell", "a_own", "b_own")
+    corner = [axis_cell(f"greatest(a_l{x}, b_l{x})", "level") for x in dims]
+    reported = F.expr(f"level = least(a_own, b_own) AND cell = {cell_id(corner, 'level')}")
+    return pairs.filter(overlaps(box_a, box_b)).filter(reported).drop("level", "cell", "a_own", "b_own")
 
 
 def _leveled(df: DataFrame, dims: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -137,9 +116,9 @@ def _leveled(df: DataFrame, dims: Sequence[str], cols: Sequence[str]) -> DataFra
 def _spread(leveled: DataFrame, dims: Sequence[str], levels: Sequence[int], tag: str) -> DataFrame:
     """Repeat each box for the cells it covers at its own level and at the coarser levels in use."""
     rows = leveled.withColumnRenamed("level", "own")
-    keep = rows.columns
-    own_or_coarser = F.filter(F.array(*[F.lit(v) for v in levels]), lambda v: v <= F.col("own"))
-    rows = rows.withColumn("level", F.explode(own_or_coarser))
-    return cover(rows, dims, F.col("level"), keep).select(
-        "level", "cell", *[F.col(c).alias(f"{tag}_{c}") for c in keep]
+    offered = ", ".join(map(str, levels)) or "0"
+    rows = rows.selectExpr("*", f"explode(filter(array({offered}), v -> v <= own)) AS level")
+    placed = cover(rows, dims)
+    return placed.select(
+        "level", "cell", *[F.col(c).alias(f"{tag}_{c}") for c in placed.columns if c not in ("level", "cell")]
     )

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from boxquery.functions.boxes import all_of, any_of, bound_names, box_of, coordinate_names
 from boxquery.operators.index import BoxIndex, with_segment
 from boxquery.plans.candidates import block_candidates, join_rows
-from boxquery.session import written
+from boxquery.session import BROADCAST_ROWS, written
 
 # Blocks looked at in one window group, and blocks produced by one explode.
 RUN_CHUNK = 65_536
@@ -19,7 +19,20 @@ COARSE_STEPS = 4_096
 
 def scan_ranges(index: BoxIndex, boxes: DataFrame, gap: int = 0) -> DataFrame:
     """(qid, first_block, last_block, blocks): each box's candidate blocks merged into runs."""
-    return merge_runs(block_candidates(index, boxes).select("qid", "block"), gap)
+    found, _ = block_candidates(index, boxes)
+    if index.n_blocks <= RUN_CHUNK:
+        return _merged(found.select("qid", "block"), gap)
+    return merge_runs(found.select("qid", "block"), gap)
+
+
+def _merged(pairs: DataFrame, gap: int) -> DataFrame:
+    """Runs where all blocks of a box fit one window group."""
+    islands = _islands(pairs.withColumn("_end", F.col("block")), ["qid"], "block", "_end", gap)
+    return (
+        islands.groupBy("qid", "_run")
+        .agg(F.min("block").alias("first_block"), F.max("block").alias("last_block"), F.count(F.lit(1)).alias("blocks"))
+        .drop("_run")
+    )
 
 
 def merge_runs(pairs: DataFrame, gap: int = 0, chunk: int = RUN_CHUNK) -> DataFrame:
@@ -76,11 +89,14 @@ def rows_in_runs(index: BoxIndex, queries: DataFrame, ranges: DataFrame) -> Data
     ranges = written(ranges.select("qid", "first_block", "last_block"), "ranges")
     bounds = bound_names(index.dims)
     boxes = queries.select("qid", *[F.col(c).alias(f"q_{c}") for c in bounds])
-    wanted = written(with_segment(blocks_of_runs(ranges).join(boxes, "qid"), index.segment_blocks), "run-blocks")
+    most = ranges.agg(F.coalesce(F.sum(F.col("last_block") - F.col("first_block") + 1), F.lit(0))).first()[0]
+    wanted = with_segment(blocks_of_runs(ranges).join(boxes, "qid"), index.segment_blocks)
+    if most > BROADCAST_ROWS:
+        wanted = written(wanted, "run-blocks")
     coords = coordinate_names(index.points, index.dims)
     rows = index.points.select("segment", "block", "ordinal", index.id_col, *coords)
     rows = _only_scanned(index, rows, ranges)
-    pairs = join_rows(index, wanted, wanted.count(), rows)
+    pairs = join_rows(index, wanted, most, rows)
     b = box_of(rows, index.dims)
     near = [c for i, d in enumerate(index.dims) for c in (b.lo[i] <= F.col(f"q_h{d}"), F.col(f"q_l{d}") <= b.hi[i])]
     return pairs.filter(all_of(near)).select("qid", index.id_col)

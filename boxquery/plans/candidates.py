@@ -50,65 +50,75 @@ def _grid(nodes: DataFrame, queries: DataFrame, index: BoxIndex, key: str) -> Da
     return _judged(named, index, key)
 
 
-def block_candidates(index: BoxIndex, boxes: DataFrame) -> DataFrame:
-    """Test the boxes against the block summaries in one step."""
+def block_candidates(index: BoxIndex, boxes: DataFrame) -> tuple[DataFrame, int]:
+    """Candidates from testing the boxes against the block summaries, and a bound on their number.
+
+    If even all pairs would be few, that product is the bound and nothing runs yet. Otherwise the
+    candidates are written and counted.
+    """
     queries = query_boxes(boxes, index)
-    if queries.count() <= NESTED_LOOP_BOXES:
+    n_queries = queries.count()
+    if n_queries <= NESTED_LOOP_BOXES:
         found = _small_theta(index.blocks, queries, index, "block", queries_small=True)
     elif index.n_blocks <= NESTED_LOOP_BOXES:
         found = _small_theta(index.blocks, queries, index, "block", queries_small=False)
     else:
         found = _grid(index.blocks, queries, index, "block")
-    return with_segment(found, index.segment_blocks)
+    found = with_segment(found, index.segment_blocks)
+    if n_queries * index.n_blocks <= BROADCAST_ROWS:
+        return found, n_queries * index.n_blocks
+    found = written(found, "pairs")
+    return found, found.count()
 
 
-def level_candidates(index: BoxIndex, boxes: DataFrame) -> DataFrame:
+def level_candidates(index: BoxIndex, boxes: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """Go down the pyramid: test one small level with a nested loop, then only children of hits.
 
-    A node inside its box is not opened further; it stays in the result with its level and row count.
-    Columns: qid, bounds, level, node, n, inside.
+    Returns the hits (qid, hits) of upper nodes that lie wholly in their box and are not opened, the
+    block candidates, and a bound on the number of candidates.
     """
     queries = query_boxes(boxes, index)
-    sizes = level_sizes(index.rows, index.degree)[::-1]
-    start = next((lv for lv, n in enumerate(sizes) if n <= NESTED_LOOP_BOXES), len(sizes) - 1)
+    n_queries = queries.count()
+    sizes = level_sizes(index.rows, index.degree)[::-1] or [0]
+    start = next((level for level, n in enumerate(sizes) if n <= NESTED_LOOP_BOXES), len(sizes) - 1)
     nodes = index.nodes.filter(F.col("level") == start)
-    open_ = written(_small_theta(nodes, queries, index, "node", queries_small=False), "descent")
-    results = []
-    for level in range(start, -1, -1):
-        at_level = open_.withColumn("level", F.lit(level))
-        if level == 0:
-            results.append(at_level)
-            break
-        results.append(at_level.filter("inside"))
-        partial = open_.filter(~F.col("inside")).drop("n", "inside").withColumnRenamed("node", "parent")
-        children = index.nodes.filter(F.col("level") == level - 1).drop("level", "last_ordinal")
-        children = children.select("parent", *[F.col(c).alias(f"t_{c}") for c in children.columns if c != "parent"])
-        n_partial = partial.count()
-        if n_partial <= BROADCAST_ROWS:
-            pairs = children.join(F.broadcast(partial), "parent")
-        else:
-            pairs = skew_join(partial, children, ["parent"], "qid", n_partial)
+    if n_queries <= NESTED_LOOP_BOXES:
+        found = _small_theta(nodes, queries, index, "node", queries_small=True)
+    else:
+        found = _small_theta(nodes, queries, index, "node", queries_small=False)
+    found, bound = _settled(found, n_queries * sizes[start])
+    whole = queries.select("qid", F.lit(0).cast("long").alias("hits")).limit(0)
+    for level in range(start - 1, -1, -1):
+        whole = whole.unionByName(found.filter("inside").select("qid", F.col("n").alias("hits")))
+        partial = found.filter(~F.col("inside")).drop("n", "inside").withColumnRenamed("node", "parent")
         bounds = bound_names(index.dims)
-        named = pairs.select(
-            F.struct("qid", *bounds).alias("q"),
-            F.struct(
-                F.col("t_node").alias("node"), F.col("t_n").alias("n"), *[F.col(f"t_{c}").alias(c) for c in bounds]
-            ).alias("t"),
+        children = index.nodes.filter(F.col("level") == level).select(
+            "parent", F.struct("node", "n", *bounds).alias("t")
         )
-        open_ = written(_judged(named, index, "node"), "descent")
-    out = results[0]
-    for more in results[1:]:
-        out = out.unionByName(more)
-    return out
+        partial = partial.select("parent", "qid", F.struct("qid", *bounds).alias("q"))
+        if bound <= BROADCAST_ROWS:
+            pairs = children.join(F.broadcast(partial), "parent")
+        else:
+            pairs = skew_join(partial, children, ["parent"], "qid", bound)
+        found, bound = _settled(_judged(pairs.select("q", "t"), index, "node"), n_queries * sizes[level])
+    return whole, with_segment(found.withColumnRenamed("node", "block"), index.segment_blocks), bound
+
+
+def _settled(found: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """Leave candidates lazy while all pairs together are few, else write and count them."""
+    if most <= BROADCAST_ROWS:
+        return found, most
+    found = written(found, "descent")
+    return found, found.count()
 
 
-def join_rows(index: BoxIndex, candidates: DataFrame, total: int, points: DataFrame | None = None) -> DataFrame:
+def join_rows(index: BoxIndex, candidates: DataFrame, bound: int, points: DataFrame | None = None) -> DataFrame:
     """Rows of the candidate blocks next to the boxes that want them.
 
     Few candidates are broadcast: the rows are then scanned in place, and the segment key lets Spark
     skip stored segments no box needs. Many candidates are shuffled by block, hot blocks split.
     """
     points = index.points if points is None else points
-    if total <= BROADCAST_ROWS:
+    if bound <= BROADCAST_ROWS:
         return points.join(F.broadcast(candidates), ["segment", "block"])
-    return skew_join(candidates, points, ["segment", "block"], "qid", total)
+    return skew_join(candidates, points, ["segment", "block"], "qid", bound)

@@ -8,12 +8,19 @@ from pyspark.sql import DataFrame, functions as F
 
 from boxquery.functions.boxes import all_of, bound_names, box, box_of, coordinate_names, has_boxes, overlaps
 from boxquery.operators.blocks import block_summary, pack_blocks
-from boxquery.operators.grid import cover, levels_used, overlap_pairs, point_cells, with_levels
+from boxquery.operators.grid import (
+    CELLS_PER_BOX,
+    cells_per_level,
+    cover,
+    overlap_pairs,
+    point_cells,
+    with_levels,
+)
 from boxquery.operators.index import BoxIndex, with_segment
 from boxquery.operators.order import with_partition
 from boxquery.operators.runs import rows_in_runs, scan_ranges
 from boxquery.plans.candidates import block_candidates, join_rows, level_candidates, query_boxes
-from boxquery.session import BROADCAST_ROWS, NESTED_LOOP_BOXES, skew_join, written
+from boxquery.session import BROADCAST_ROWS, NESTED_LOOP_BOXES, skew_join
 
 ROW_METHODS = ("broadcast", "grid")
 INDEX_METHODS = ("blocks", "levels", "packed", "partitions", "ranges")
@@ -82,30 +89,29 @@ def _count_grid(data: DataFrame, boxes: DataFrame, dims: Sequence[str], cells: i
     """Equi join on grid cells. A point lies in one cell per size, so nothing is counted twice."""
     if has_boxes(data, dims):
         return _hits(overlap_pairs(boxes, data, dims, ["qid"], []).withColumnRenamed("a_qid", "qid"))
-    bounds = bound_names(dims)
-    leveled = with_levels(boxes, dims, cells) if cells else with_levels(boxes, dims)
-    covered = written(cover(leveled, dims, F.col("level"), ["qid", *bounds]), "box-cells")
-    levels = levels_used(leveled)
-    if not levels:
+    rows = boxes.select("qid", *bound_names(dims))
+    covered = cover(with_levels(rows, dims, cells or CELLS_PER_BOX), dims)
+    per_level = cells_per_level(covered)
+    if not per_level:
         return boxes.select("qid", F.lit(0).cast("long").alias("hits"))
-    if covered.count() <= BROADCAST_ROWS:
-        pairs = point_cells(data.select(*dims), dims, levels).join(F.broadcast(covered), ["level", "cell"])
+    if sum(per_level.values()) <= BROADCAST_ROWS:
+        pairs = point_cells(data.select(*dims), dims, per_level).join(F.broadcast(covered), ["level", "cell"])
     else:
-        rows = data.select(*dims, F.xxhash64(*data.columns).alias("_row"))
-        placed = point_cells(rows, dims, levels)
-        pairs = skew_join(placed, covered, ["level", "cell"], "_row", data.count() * len(levels))
+        marked = data.select(*dims, F.xxhash64(*data.columns).alias("_row"))
+        placed = point_cells(marked, dims, per_level)
+        pairs = skew_join(placed, covered, ["level", "cell"], "_row", data.count() * len(per_level))
     inside = all_of([F.col(d).between(F.col(f"l{d}"), F.col(f"h{d}")) for d in dims])
     return _hits(pairs.filter(inside))
 
 
-def refined_hits(index: BoxIndex, candidates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Hits of written block candidates: whole blocks from their row counts, the others row by row."""
+def refined_hits(index: BoxIndex, candidates: DataFrame, bound: int, by: Sequence[str] = ()) -> DataFrame:
+    """Hits of block candidates: whole blocks from their row counts, the others row by row."""
     whole = candidates.filter("inside").select(*by, "qid", F.col("n").alias("hits"))
     edge = candidates.filter(~F.col("inside")).drop("n", "inside")
     coords = coordinate_names(index.points, index.dims)
     renamed = edge.select("qid", *by, "segment", "block", *[F.col(c).alias(f"q_{c}") for c in bound_names(index.dims)])
     rows = index.points.select("segment", "block", *coords)
-    pairs = join_rows(index, renamed, edge.count(), rows)
+    pairs = join_rows(index, renamed, bound, rows)
     b = box_of(rows, index.dims)
     near = all_of(
         [c for i, d in enumerate(index.dims) for c in (b.lo[i] <= F.col(f"q_h{d}"), F.col(f"q_l{d}") <= b.hi[i])]
@@ -114,24 +120,22 @@ def refined_hits(index: BoxIndex, candidates: DataFrame, by: Sequence[str] = ())
 
 
 def _count_blocks(index: BoxIndex, boxes: DataFrame) -> DataFrame:
-    return refined_hits(index, written(block_candidates(index, boxes), "pairs"))
+    return refined_hits(index, *block_candidates(index, boxes))
 
 
 def _count_levels(index: BoxIndex, boxes: DataFrame) -> DataFrame:
-    found = level_candidates(index, boxes)
-    upper = found.filter("level > 0").select("qid", F.col("n").alias("hits"))
-    leaves = found.filter("level = 0").drop("level").withColumnRenamed("node", "block")
-    return upper.unionByName(refined_hits(index, with_segment(leaves, index.segment_blocks)))
+    whole, leaves, bound = level_candidates(index, boxes)
+    return whole.unionByName(refined_hits(index, leaves, bound))
 
 
 def _count_packed(index: BoxIndex, boxes: DataFrame) -> DataFrame:
     """Blocks stay packed as arrays; each candidate pair counts inside its arrays."""
-    candidates = written(block_candidates(index, boxes), "pairs")
+    candidates, bound = block_candidates(index, boxes)
     whole = candidates.filter("inside").select("qid", F.col("n").alias("hits"))
     edge = candidates.filter(~F.col("inside")).drop("n", "inside")
     edge = edge.select("qid", "segment", "block", *[F.col(c).alias(f"q_{c}") for c in bound_names(index.dims)])
     packed = pack_blocks(index.points, index.dims, index.id_col, ("segment", "block"))
-    pairs = join_rows(index, edge, edge.count(), packed.drop(index.id_col))
+    pairs = join_rows(index, edge, bound, packed.drop(index.id_col))
     b = box_of(packed, index.dims)
 
     def near(i):
@@ -155,10 +159,10 @@ def partitioned_count(index: BoxIndex, boxes: DataFrame, p: int) -> DataFrame:
     rows = rows.withColumn("block", F.expr(f"part * {per_part}L + _local div {index.degree}"))
     rows = with_segment(rows.drop("_local"), index.segment_blocks)
     blocks = with_segment(block_summary(rows, index.dims, ("part", "block")), index.segment_blocks)
-    own = index.with_tables(points=rows, blocks=blocks.drop("part"))
-    found = written(block_candidates(own, boxes), "pairs")
+    own = index.with_tables(points=rows, blocks=blocks.drop("part"), n_blocks=p * per_part)
+    found, bound = block_candidates(own, boxes)
     found = found.withColumn("part", F.expr(f"cast(block div {per_part} AS int)"))
-    return refined_hits(own, found, ("part",)).groupBy("part", "qid").agg(F.sum("hits").alias("hits"))
+    return refined_hits(own, found, bound, ("part",)).groupBy("part", "qid").agg(F.sum("hits").alias("hits"))
 
 
 def _count_partitions(index: BoxIndex, boxes: DataFrame, p: int = 8) -> DataFrame:
@@ -171,5 +175,4 @@ def _count_ranges(index: BoxIndex, boxes: DataFrame, gap: int = 0) -> DataFrame:
 
 def scan_by_ranges(index: BoxIndex, boxes: DataFrame, ranges: DataFrame) -> DataFrame:
     """Read the rows of each box's runs of blocks, test them and count."""
-    rows = rows_in_runs(index, query_boxes(boxes, index), ranges)
-    return _hits(rows)
+    return _hits(rows_in_runs(index, query_boxes(boxes, index), ranges))

@@ -6,7 +6,7 @@ import json
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from boxquery.functions.boxes import bound_names
 from boxquery.operators.blocks import DEGREE, block_summary, build_levels
@@ -40,7 +40,8 @@ def _describe(index: BoxIndex, params: dict) -> dict:
 
 def _save_part(df: DataFrame, path: str, part: str, stored: dict) -> None:
     """Replace one part. Its description goes away first and comes back last."""
-    _write_meta(df.sparkSession, path, part, {"params": None})
+    if _read_meta(df.sparkSession, path, part) is not None:
+        _write_meta(df.sparkSession, path, part, {"params": None})
     if part == "points":
         rows = df.sortWithinPartitions("segment", "ordinal").write.partitionBy("segment")
     elif part == "blocks":
@@ -52,8 +53,8 @@ def _save_part(df: DataFrame, path: str, part: str, stored: dict) -> None:
 
 
 def _write_meta(spark: SparkSession, path: str, part: str, content: dict) -> None:
-    row = spark.createDataFrame([(json.dumps(content, sort_keys=True),)], "content string")
-    row.coalesce(1).write.mode("overwrite").parquet(f"{path}/{META}/{part}")
+    row = spark.range(1, numPartitions=1).select(F.lit(json.dumps(content, sort_keys=True)).alias("content"))
+    row.write.mode("overwrite").parquet(f"{path}/{META}/{part}")
 
 
 def _read_meta(spark: SparkSession, path: str, part: str) -> dict | None:

@@ -8,9 +8,8 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from boxquery.functions.boxes import bound_names
 from boxquery.operators.blocks import DEGREE, block_summary, build_levels
-from boxquery.operators.index import BoxIndex, build_index, segment_size, with_segment
+from boxquery.operators.index import BoxIndex, build_index, with_segment
 
 PARTS = ("points", "blocks", "nodes")
 META = "meta"
@@ -40,8 +39,8 @@ def _describe(index: BoxIndex, params: dict) -> dict:
 
 def _save_part(df: DataFrame, path: str, part: str, stored: dict) -> None:
     """Replace one part. Its description goes away first and comes back last."""
-    if _read_meta(df.sparkSession, path, part) is not None:
-        _write_meta(df.sparkSession, path, part, {"params": None})
+    if part in _read_metas(df.sparkSession, path):
+        _write_meta(df.sparkSession, path, part, None)
     if part == "points":
         rows = df.sortWithinPartitions("segment", "ordinal").write.partitionBy("segment")
     elif part == "blocks":
@@ -52,20 +51,22 @@ def _save_part(df: DataFrame, path: str, part: str, stored: dict) -> None:
     _write_meta(df.sparkSession, path, part, {**stored, "schema": df.schema.jsonValue()})
 
 
-def _write_meta(spark: SparkSession, path: str, part: str, content: dict) -> None:
+def _write_meta(spark: SparkSession, path: str, part: str, content: dict | None) -> None:
+    """Describe a part, or mark it as unfinished with None."""
     row = spark.range(1, numPartitions=1).select(F.lit(json.dumps(content, sort_keys=True)).alias("content"))
-    row.write.mode("overwrite").parquet(f"{path}/{META}/{part}")
+    row.write.mode("overwrite").parquet(f"{path}/{META}/part={part}")
 
 
-def _read_meta(spark: SparkSession, path: str, part: str) -> dict | None:
+def _read_metas(spark: SparkSession, path: str) -> dict[str, dict]:
+    """Descriptions of the finished parts, one row each."""
     try:
-        row = spark.read.schema("content string").parquet(f"{path}/{META}/{part}").first()
+        rows = spark.read.schema("content string, part string").parquet(f"{path}/{META}").collect()
     except AnalysisException as missing:
         if missing.getCondition() == "PATH_NOT_FOUND":
-            return None
+            return {}
         raise
-    content = json.loads(row.content) if row else None
-    return content if content and content.get("params") is not None else None
+    found = {r.part: json.loads(r.content) for r in rows}
+    return {part: content for part, content in found.items() if content is not None}
 
 
 def _read_part(spark: SparkSession, path: str, part: str, meta: dict) -> DataFrame:
@@ -75,8 +76,8 @@ def _read_part(spark: SparkSession, path: str, part: str, meta: dict) -> DataFra
 
 def load_index(spark: SparkSession, path: str) -> BoxIndex:
     """Open a saved index as it is."""
-    metas = {part: _read_meta(spark, path, part) for part in PARTS}
-    missing = [part for part, meta in metas.items() if meta is None]
+    metas = _read_metas(spark, path)
+    missing = [part for part in PARTS if part not in metas]
     if missing:
         raise FileNotFoundError(f"{path} has no finished {', '.join(missing)}")
     return _assemble(metas["points"], {p: _read_part(spark, path, p, metas[p]) for p in PARTS})
@@ -121,26 +122,19 @@ def open_index(
         "id_col": id_col,
         "order": {k: order_options[k] for k in sorted(order_options)},
     }
-    metas = {part: _read_meta(spark, path, part) for part in PARTS}
-    points_fit = not force_rebuild and metas["points"] is not None and metas["points"]["params"] == params
-    if not points_fit:
+    metas = {} if force_rebuild else _read_metas(spark, path)
+    fitting = {part: meta for part, meta in metas.items() if meta["params"] == params}
+    if "points" not in fitting:
         save_index(build_index(rows, dims, degree, cluster, id_col, **order_options), path, params)
         return load_index(spark, path)
-    stored = metas["points"]
-    points = _read_part(spark, path, "points", stored)
+    stored = fitting["points"]
     described = {k: v for k, v in stored.items() if k != "schema"}
-    if not _same(metas["blocks"], stored):
-        summary = with_segment(block_summary(points, dims), segment_size(stored["n_blocks"]))
+    if "blocks" not in fitting:
+        points = _read_part(spark, path, "points", stored)
+        summary = with_segment(block_summary(points, dims), stored["segment_blocks"])
         _save_part(summary, path, "blocks", described)
-        metas["blocks"] = _read_meta(spark, path, "blocks")
-        metas["nodes"] = None
-    blocks = _read_part(spark, path, "blocks", metas["blocks"])
-    if not _same(metas["nodes"], stored):
-        nodes = build_levels(blocks.select("block", *bound_names(dims), "n", "last_ordinal"), dims, degree)
-        _save_part(nodes, path, "nodes", described)
-        metas["nodes"] = _read_meta(spark, path, "nodes")
-    return _assemble(stored, {"points": points, "blocks": blocks, "nodes": _read_part(spark, path, "nodes", metas["nodes"])})
-
-
-def _same(meta: dict | None, stored: dict) -> bool:
-    return meta is not None and meta["params"] == stored["params"]
+    if "blocks" not in fitting or "nodes" not in fitting:
+        blocks = spark.read.parquet(f"{path}/blocks")
+        _save_part(build_levels(blocks, dims, degree, stored["n_blocks"]), path, "nodes", described)
+        fitting = _read_metas(spark, path)
+    return _assemble(stored, {part: _read_part(spark, path, part, fitting[part]) for part in PARTS})

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from boxquery.functions.hilbert import with_hilbert
 from boxquery.functions.nearest import in_slabs, nearest
 from boxquery.operators.order import with_box_hilbert, with_ordinal
+from boxquery.session import written
 
 # Default number of clusters, rounds and share of changed rows at which to stop.
 CLUSTERS = 20_000
@@ -188,11 +189,13 @@ def kmeans_cluster(
 ) -> DataFrame:
     """Order rows by the Hilbert rank of their cluster's centroid, then by their own Hilbert key.
 
-    Adds `cluster`, `crank`, `h` and `ordinal`.
+    Adds `cluster`, `crank`, `h` and `ordinal`. The assignment is written first, because the range shuffle
+    reads its input twice.
     """
     model = kmeans(df, dims, k, tol, max_iter, seed, id_col)
     keyed = with_hilbert(model.centroids(df), dims)
     rank = F.row_number().over(Window.orderBy("h", "cluster"))
     ranks = keyed.select("cluster", rank.alias("crank"))
-    rows = with_box_hilbert(model.assignments(df), dims).join(F.broadcast(ranks), "cluster")
+    assigned = written(model.assignments(df), "assigned")
+    rows = with_box_hilbert(assigned, dims).join(F.broadcast(ranks), "cluster")
     return with_ordinal(rows, ["crank", "h", id_col], partitions=partitions)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from boxquery.functions.boxes import bound_names, box, box_of, coordinate_names, overlaps
 from boxquery.operators.index import BoxIndex, index_of
 from boxquery.operators.order import with_box_hilbert, with_ordinal
+from boxquery.session import BROADCAST_ROWS, skew_join, written
 
 PLACE_COLUMNS = ("segment", "block", "slot", "ordinal")
 
@@ -36,17 +37,22 @@ def insert(index: BoxIndex, rows: DataFrame) -> BoxIndex:
 def match_deletes(index: BoxIndex, deletes: DataFrame) -> DataFrame:
     """Requests (request, id, box) that meet a row: same id, and the row's box overlaps the given box."""
     coords = coordinate_names(index.points, index.dims)
-    rows = index.points.select(index.id_col, *coords).alias("p")
-    wanted = deletes.select("request", index.id_col, *bound_names(index.dims)).alias("q")
-    same = F.col(f"p.{index.id_col}") == F.col(f"q.{index.id_col}")
-    near = overlaps(box_of(rows, index.dims, "p"), box(index.dims, "q"))
-    return rows.join(wanted, same & near).select("q.request", f"p.{index.id_col}")
+    rows = index.points.select(index.id_col, F.struct(*coords).alias("p"))
+    wanted = deletes.select("request", index.id_col, F.struct(*bound_names(index.dims)).alias("q"))
+    requests = wanted.count()
+    if requests <= BROADCAST_ROWS:
+        pairs = rows.join(F.broadcast(wanted), index.id_col)
+    else:
+        pairs = skew_join(wanted, rows, [index.id_col], "request", requests)
+    near = overlaps(box_of(index.points, index.dims, "p"), box(index.dims, "q"))
+    return pairs.filter(near).select("request", index.id_col)
 
 
 def remove(index: BoxIndex, deletes: DataFrame) -> tuple[BoxIndex, DataFrame]:
     """Index without the matched rows, and (request, id, found) for every request."""
-    matched = match_deletes(index, deletes)
-    kept = index.points.drop(*PLACE_COLUMNS).join(matched.select(index.id_col), index.id_col, "left_anti")
+    matched = written(match_deletes(index, deletes), "matched")
+    gone = matched.select(index.id_col).distinct()
+    kept = index.points.drop(*PLACE_COLUMNS).join(gone, index.id_col, "left_anti")
     found = deletes.select("request", index.id_col).join(
         matched.select("request", F.lit(True).alias("_hit")), "request", "left"
     )

@@ -14,7 +14,7 @@ from boxquery.session import written
 ROW_BITS = 33
 
 # Rows of one window group in adaptive_tiles, not counting the rows shared with its neighbours.
-TILE_CHUNK = 1_000_000
+TILE_CHUNK = 65_536
 
 
 def with_box_hilbert(df: DataFrame, dims: Sequence[str], key: str = "h") -> DataFrame:

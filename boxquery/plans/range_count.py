@@ -22,8 +22,10 @@ from boxquery.operators.runs import rows_in_runs, scan_ranges
 from boxquery.plans.candidates import block_candidates, join_rows, level_candidates, query_boxes
 from boxquery.session import BROADCAST_ROWS, NESTED_LOOP_BOXES, skew_join
 
+# Blocks up to which testing each one beats going down the pyramid.
+FLAT_BLOCKS = 100_000
+
 ROW_METHODS = ("broadcast", "grid")
-INDEX_METHODS = ("blocks", "levels", "packed", "partitions", "ranges")
 
 
 def range_count(
@@ -37,10 +39,12 @@ def range_count(
 
     `data` is a table of points or boxes for the methods "broadcast" and "grid", or a BoxIndex for
     "blocks", "levels", "packed", "partitions" and "ranges". "auto" tests few boxes against all rows of a
-    plain table, many boxes through the grid, and uses the blocks of an index.
+    plain table and many boxes through the grid. Of an index it tests the blocks, or goes down the pyramid
+    where there are too many blocks to test each.
     """
     if isinstance(data, BoxIndex):
-        method = "blocks" if method == "auto" else method
+        if method == "auto":
+            method = "blocks" if data.n_blocks <= FLAT_BLOCKS else "levels"
         if method in ROW_METHODS:
             return range_count(data.points, boxes, data.dims, method, **options)
         counters = {

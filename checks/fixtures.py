@@ -34,12 +34,20 @@ def boxes64(spark: SparkSession) -> DataFrame:
 
 def part_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One box per part, of three different sizes, so that the number of boxes grows with the data."""
-    return table(spark, sf_dir, "part").selectExpr(
-        "p_partkey AS qid",
-        "CAST((p_partkey * 37 % 101) / 128D AS FLOAT) AS lx",
-        "CAST((p_partkey * 23 % 113) / 128D AS FLOAT) AS ly",
-        "CAST((p_partkey * 11 % 97) / 128D AS FLOAT) AS lz",
-        "CAST(power(2D, -4 - p_partkey % 3) AS FLOAT) AS side",
+    return _boxes_by_key(table(spark, sf_dir, "part"), "p_partkey")
+
+
+def supplier_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _boxes_by_key(table(spark, sf_dir, "supplier"), "s_suppkey")
+
+
+def _boxes_by_key(rows: DataFrame, key: str) -> DataFrame:
+    return rows.selectExpr(
+        f"{key} AS qid",
+        f"CAST(({key} * 37 % 101) / 128D AS FLOAT) AS lx",
+        f"CAST(({key} * 23 % 113) / 128D AS FLOAT) AS ly",
+        f"CAST(({key} * 11 % 97) / 128D AS FLOAT) AS lz",
+        f"CAST(power(2D, -4 - {key} % 3) AS FLOAT) AS side",
     ).selectExpr("qid", "lx", "ly", "lz", "lx + side AS hx", "ly + side AS hy", "lz + side AS hz")
 
 

@@ -14,7 +14,7 @@ from boxquery.session import BROADCAST_ROWS, skew_join
 LEVELS = tuple(range(0, 21, 2))
 
 # A box uses the finest level at which it covers at most this many cells.
-CELLS_PER_BOX = 64
+CELLS_PER_BOX = 16
 
 # The same where both sides are boxes and are repeated for every level in use.
 CELLS_PER_PAIR_BOX = 8

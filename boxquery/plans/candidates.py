@@ -10,6 +10,10 @@ from boxquery.operators.grid import overlap_pairs
 from boxquery.operators.index import BoxIndex, with_segment
 from boxquery.session import BROADCAST_ROWS, NESTED_LOOP_BOXES, skew_join, written
 
+# A small index is read whole; of a larger one only the segments in a list of this length at most.
+FEW_SEGMENTS = 64
+SEGMENT_FILTER = 10_000
+
 # Candidate columns: qid, the bounds of the box, block, n (rows of the block) and `inside`, true when
 # the whole block lies in the box so that its rows need no test.
 
@@ -112,13 +116,25 @@ def _settled(found: DataFrame, most: int) -> tuple[DataFrame, int]:
     return found, found.count()
 
 
-def join_rows(index: BoxIndex, candidates: DataFrame, bound: int, points: DataFrame | None = None) -> DataFrame:
+def join_rows(index: BoxIndex, candidates: DataFrame, bound: int, points: DataFrame) -> DataFrame:
     """Rows of the candidate blocks next to the boxes that want them.
 
     Few candidates are broadcast: the rows are then scanned in place, and the segment key lets Spark
     skip stored segments no box needs. Many candidates are shuffled by block, hot blocks split.
     """
-    points = index.points if points is None else points
+    points = _wanted_segments(index, candidates, points, bound)
     if bound <= BROADCAST_ROWS:
         return points.join(F.broadcast(candidates), ["segment", "block"])
     return skew_join(candidates, points, ["segment", "block"], "qid", bound)
+
+
+def _wanted_segments(index: BoxIndex, candidates: DataFrame, points: DataFrame, bound: int) -> DataFrame:
+    """Leave out stored segments no candidate lies in, where a saved index has many of them.
+
+    The list has at most SEGMENT_FILTER entries; with more segments wanted there is little to leave out.
+    """
+    segments = -(-index.n_blocks // index.segment_blocks)
+    if segments <= FEW_SEGMENTS or bound == 0:
+        return points
+    wanted = [r.segment for r in candidates.select("segment").distinct().limit(SEGMENT_FILTER + 1).collect()]
+    return points if len(wanted) > SEGMENT_FILTER else points.filter(F.col("segment").isin(wanted))

@@ -77,7 +77,8 @@ def with_all_boxes(counts: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def _hits(pairs: DataFrame, *by: str) -> DataFrame:
-    return pairs.groupBy(*by, "qid").agg(F.count(F.lit(1)).alias("hits"))
+    """One hit per pair; with_all_boxes adds them up, each task its own first."""
+    return pairs.select(*by, "qid", F.lit(1).cast("long").alias("hits"))
 
 
 def _count_plain(data: DataFrame, boxes: DataFrame, dims: Sequence[str]) -> DataFrame:

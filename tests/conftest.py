@@ -56,6 +56,7 @@ def few_rows(monkeypatch):
         for name in ("BROADCAST_ROWS", "NESTED_LOOP_BOXES"):
             if hasattr(module, name):
                 monkeypatch.setattr(module, name, 4)
+    monkeypatch.setattr(candidates, "FEW_SEGMENTS", 1)
     monkeypatch.setattr(runs, "RUN_CHUNK", 8)
     monkeypatch.setattr(session, "HOT_MIN_ROWS", 5)
     monkeypatch.setattr(session.skew_join, "__defaults__", (5,))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -108,14 +108,16 @@ def chunked_best(
     return best, best_first
 
 
-def sphere_volumes(low: np.ndarray, high: np.ndarray, unit: float) -> np.ndarray:
-    """Volume of the sphere through the corners of boxes; the last axis holds the dimensions."""
+def sphere_volumes(low: Sequence[np.ndarray], high: Sequence[np.ndarray], unit: float) -> np.ndarray:
+    """Volume of the sphere through the corners of boxes, given one array per dimension."""
     total = 0.0
-    for axis in range(low.shape[-1]):
-        half = (high[..., axis] - low[..., axis]) * 0.5
-        total = total + half * half
+    for l, h in zip(low, high):
+        half = (h - l) * 0.5
+        half *= half
+        total = total + half
     radius = np.sqrt(total)
-    power = radius
-    for _ in range(low.shape[-1] - 1):
-        power = power * radius
-    return power * unit
+    power = radius.copy()
+    for _ in range(len(low) - 1):
+        power *= radius
+    power *= unit
+    return power

@@ -176,3 +176,15 @@ def test_selectivity_buckets(spark):
     counts = spark.createDataFrame([(1, 0), (2, 1), (3, 10), (4, 10_000)], "qid long, hits long")
     got = {r.qid: (r.selectivity, r.bucket_percent) for r in selectivity(counts, 10_000).collect()}
     assert got == {1: (0.0, 0.0), 2: (0.0001, 0.01), 3: (0.001, 0.1), 4: (1.0, 100.0)}
+
+
+@pytest.mark.parametrize("method", METHODS)
+def test_a_third_of_all_rows_in_one_place(spark, points, boxes, few_rows, method):
+    """Hot cells and blocks are split in the plans for large sides; no row is lost or counted twice."""
+    hot = spark.range(3_000).select(
+        (-1 - F.col("id")).alias("pid"), *[F.lit(0.3).cast("float").alias(d) for d in DIMS]
+    )
+    rows = points.unionByName(hot)
+    few = boxes.filter("qid % 4 = 0 OR qid > 10000")
+    want = box_hits(rows.collect(), few.collect(), DIMS)
+    assert as_dict(range_count(build_index(rows, DIMS), few, method=method)) == want

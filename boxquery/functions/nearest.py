@@ -7,9 +7,10 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 
-# Rows looked at together; neighbours share a pruned list of centroids.
+# Rows looked at together, and below which rows or centers are not pruned any further.
 ROWS_TOGETHER = 65_536
-CELL_ROWS = 64
+CELL_ROWS = 256
+FEW_CENTERS = 32
 
 # Entries of one distance matrix.
 MATRIX = 1 << 20
@@ -32,54 +33,63 @@ def in_slabs(frames: Iterator[pd.DataFrame], rows: int = ROWS_TOGETHER) -> Itera
         yield pd.concat(held, ignore_index=True)
 
 
-def _groups(points: np.ndarray, wanted: int) -> Iterator[np.ndarray]:
-    """Row numbers of groups of close-by points: cells of a grid laid over the slab."""
-    n, d = points.shape
-    side = max(1, round(wanted ** (1 / d)))
-    low = points.min(axis=0)
-    span = points.max(axis=0) - low
-    span[span == 0] = 1
-    cell = np.minimum(((points - low) / span * side).astype(np.int64), side - 1)
-    number = cell[:, 0]
-    for axis in range(1, d):
-        number = number * side + cell[:, axis]
+def _halved(points: np.ndarray) -> list[np.ndarray]:
+    """Row numbers of the points in each part of their box, cut in the middle of every axis."""
+    low, high = points.min(axis=0), points.max(axis=0)
+    upper = points > (low + high) / 2
+    number = upper @ (1 << np.arange(points.shape[1]))
     order = np.argsort(number, kind="stable")
     cuts = np.flatnonzero(np.diff(number[order])) + 1
-    yield from np.split(order, cuts)
+    return np.split(order, cuts)
+
+
+def _possible(points: np.ndarray, centers: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """The centers that can be nearest to one of the points.
+
+    A center is out when its smallest distance to the box of the points exceeds another center's
+    largest distance to it.
+    """
+    low, high = points.min(axis=0), points.max(axis=0)
+    chosen = centers[numbers]
+    near = np.maximum(np.maximum(low - chosen, chosen - high), 0)
+    far = np.maximum(chosen - low, high - chosen)
+    limit = np.einsum("ij,ij->i", far, far).min()
+    return numbers[np.einsum("ij,ij->i", near, near) <= limit * (1 + SLACK) + SLACK**2]
 
 
 def _dist2(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
     total = np.zeros((len(points), len(centers)))
     for axis in range(points.shape[1]):
-        gap = points[:, axis, None] - centers[None, :, axis]
-        total += gap * gap
+        gap = np.subtract.outer(points[:, axis], centers[:, axis])
+        gap *= gap
+        total += gap
     return total
 
 
 def nearest(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
     """Number of the nearest center of every point; the lowest number wins a tie.
 
-    For each group of close points only the centers that can be nearest to one of them are compared:
-    a center is out when its smallest distance to the group's box exceeds another's largest distance.
+    The points are halved along every axis until few are together or few centers can be nearest to
+    them; each part keeps only the centers that are still possible, and compares those exactly.
     """
     points = np.asarray(points, dtype=np.float64)
     out = np.empty(len(points), dtype=np.int64)
-    few = len(centers) <= CELL_ROWS
-    groups = [np.arange(len(points))] if few else _groups(points, max(1, len(points) // CELL_ROWS))
-    for rows in groups:
+    waiting = [(np.arange(len(points)), np.arange(len(centers)))] if len(points) else []
+    while waiting:
+        rows, numbers = waiting.pop()
         mine = points[rows]
-        numbers = np.arange(len(centers))
-        if not few:
-            low, high = mine.min(axis=0), mine.max(axis=0)
-            near = np.maximum(np.maximum(low - centers, centers - high), 0)
-            far = np.maximum(np.abs(centers - low), np.abs(centers - high))
-            limit = (far * far).sum(axis=1).min()
-            numbers = np.flatnonzero((near * near).sum(axis=1) <= limit * (1 + SLACK) + SLACK**2)
+        if len(numbers) > FEW_CENTERS:
+            numbers = _possible(mine, centers, numbers)
+        if len(rows) > CELL_ROWS and len(numbers) > FEW_CENTERS:
+            parts = _halved(mine)
+            if len(parts) > 1:
+                waiting += [(rows[part], numbers) for part in parts]
+                continue
         chosen = centers[numbers]
         step = max(1, MATRIX // len(numbers))
         for start in range(0, len(rows), step):
-            part = rows[start : start + step]
-            out[part] = numbers[_dist2(points[part], chosen).argmin(axis=1)]
+            part = slice(start, start + step)
+            out[rows[part]] = numbers[_dist2(mine[part], chosen).argmin(axis=1)]
     return out
 
 

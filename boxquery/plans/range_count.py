@@ -23,7 +23,7 @@ from boxquery.plans.candidates import block_candidates, join_rows, level_candida
 from boxquery.session import BROADCAST_ROWS, NESTED_LOOP_BOXES, skew_join
 
 # Blocks up to which testing each one beats going down the pyramid.
-FLAT_BLOCKS = 100_000
+FLAT_BLOCKS = 10_000
 
 ROW_METHODS = ("broadcast", "grid")
 

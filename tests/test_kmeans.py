@@ -15,7 +15,7 @@ from boxquery.operators.kmeans import (
 DIMS = ("x", "y", "z")
 
 
-@pytest.mark.parametrize("k", [1, 7, 64, 65, 900])
+@pytest.mark.parametrize("k", [1, 7, 32, 33, 900, 4_000])
 def test_pruned_nearest_equals_all_distances(k):
     rng = np.random.default_rng(k)
     points = rng.random((5_000, 3), dtype=np.float32)
@@ -26,6 +26,12 @@ def test_pruned_nearest_equals_all_distances(k):
     assert np.array_equal(nearest(points, centers), full)
 
 
+def test_equal_points_and_many_equal_centers():
+    points, centers = np.full((1_000, 2), 0.25), np.full((100, 2), 0.5)
+    assert nearest(points, centers).tolist() == [0] * 1_000
+    assert len(nearest(points[:0], centers)) == 0
+
+
 def test_lowest_number_wins_a_tie():
     centers = np.array([[1.0, 0.0], [0.0, 1.0], [1.0, 0.0]])
     assert nearest(np.array([[0.0, 0.0], [1.0, 0.0]]), centers).tolist() == [0, 0]

@@ -12,8 +12,8 @@ ROWS_TOGETHER = 65_536
 CELL_ROWS = 256
 FEW_CENTERS = 32
 
-# Entries of one distance matrix.
-MATRIX = 1 << 20
+# Entries of one matrix, small enough for the processor cache.
+MATRIX = 1 << 15
 
 # Slack for rounding when centroids are ruled out by their distance to a whole group of rows.
 SLACK = 1e-9

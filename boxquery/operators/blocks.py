@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from boxquery.functions.boxes import bound_names, box_of, coordinate_names, hi_names, lo_names
 
+# Fixed value: rows per block and children per node.
 DEGREE = 192
 
 

@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from boxquery.functions.boxes import box_of
 from boxquery.functions.hilbert import default_bits, with_hilbert
-from boxquery.session import written
+from boxquery.session import partitions_for, written
 
 # monotonically_increasing_id() keeps the row number within a partition in its low 33 bits.
 ROW_BITS = 33
 
+# Fixed value: most rows of an adaptive tile.
+TILE_CAPACITY = 128
+
 # Rows of one window group in adaptive_tiles, not counting the rows shared with its neighbours.
 TILE_CHUNK = 65_536
 
@@ -30,8 +33,12 @@ def hilbert_cluster(
     """Add the Hilbert key and lay the rows out in key order; ties follow the id."""
     keyed = df if "h" in df.columns else with_box_hilbert(df, dims)
     keys = ["h", id_col]
-    ranged = keyed.repartitionByRange(partitions, *keys) if partitions else keyed.repartitionByRange(*keys)
-    return ranged.sortWithinPartitions(*keys)
+    return _ranged(keyed, keys, partitions).sortWithinPartitions(*keys)
+
+
+def _ranged(df: DataFrame, keys: Sequence[str], partitions: int | None) -> DataFrame:
+    n = partitions or partitions_for(df)
+    return df.repartitionByRange(n, *keys) if n else df.repartitionByRange(*keys)
 
 
 def with_ordinal(
@@ -43,7 +50,7 @@ def with_ordinal(
     partition; the partition sizes, one row per partition, then give every partition its offset.
     Because the last key makes rows distinct, a repeated first key is cut like any other range.
     """
-    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    ranged = _ranged(df, keys, partitions)
     placed = ranged.sortWithinPartitions(*keys).withColumn("_place", F.monotonically_increasing_id())
     placed = written(placed, "sorted").withColumn("_part", F.shiftright("_place", ROW_BITS))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -99,7 +106,7 @@ def with_partition(df: DataFrame, p: int, total: int | None = None, ordinal: str
 def adaptive_tiles(
     df: DataFrame,
     dims: Sequence[str],
-    capacity: int = 128,
+    capacity: int = TILE_CAPACITY,
     bits: int | None = None,
     chunk: int = TILE_CHUNK,
 ) -> DataFrame:
@@ -119,6 +126,8 @@ def adaptive_tiles(
     last = F.expr(f"(ordinal - 1 + {capacity}) div {chunk}")
     rows = df.withColumn("_own", F.expr(f"(ordinal - 1) div {chunk}"))
     rows = rows.withColumn("_chunk", F.explode(F.sequence(first, last)))
+    n = partitions_for(df)
+    rows = rows.repartition(n, "_chunk") if n else rows
     order = Window.partitionBy("_chunk").orderBy("ordinal")
     rows = rows.withColumn("_diff", F.col("h").bitwiseXOR(F.lead("h", capacity).over(order)))
     differing = sum((F.shiftright("_diff", d * i) != 0).cast("int") for i in range(bits))

@@ -20,6 +20,9 @@ NESTED_LOOP_BOXES = 4_096
 HOT_KEYS = 1_024
 HOT_MIN_ROWS = 200_000
 
+# Rows of one shuffle partition that is sorted: some hundred megabytes of narrow rows.
+ROWS_PER_PARTITION = 20_000_000
+
 _local_scratch: dict[str, str] = {}
 
 
@@ -48,9 +51,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True if df has at most this many rows."""
-    return df.count() <= rows
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application. Tables and indexes that read them end with it."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def partitions_for(df: DataFrame) -> int | None:
+    """Partitions that a sort of all rows needs; None if the session's own number is enough.
+
+    Counting reads no more than the file footers where the rows come from Parquet.
+    """
+    needed = -(-df.count() // ROWS_PER_PARTITION)
+    return needed if needed > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
 
 
 def skew_join(

@@ -82,3 +82,25 @@ def test_rows_with_one_key_stay_together(spark):
     # Row 50 lies at 0.5 as well and shares the key of the other fifty.
     assert sorted(n for n in sizes.values() if n > 8) == [51]
     assert max(k[0] for k in sizes) == 20
+
+
+def test_partition_count_follows_the_rows(spark, points, monkeypatch):
+    from boxquery import session
+
+    assert session.partitions_for(points) is None
+    monkeypatch.setattr(session, "ROWS_PER_PARTITION", 100)
+    assert session.partitions_for(points) == 60
+    got = with_ordinal(with_hilbert(points, DIMS), ["h", "pid"]).collect()
+    assert sorted(r.ordinal for r in got) == list(range(1, 6001))
+    rows = adaptive_tiles(ordered(points, DIMS), DIMS, 128)
+    assert rows.count() == 6000 and rows.groupBy("depth", "tile").count().agg({"count": "max"}).first()[0] <= 128
+
+
+def test_scratch_can_be_dropped(spark, points, monkeypatch, tmp_path):
+    from boxquery import session
+
+    monkeypatch.setattr(session, "scratch_root", lambda _: str(tmp_path))
+    assert session.written(points, "copy").count() == 6000
+    assert len(list(tmp_path.iterdir())) == 1
+    session.drop_scratch(spark)
+    assert list(tmp_path.iterdir()) == []

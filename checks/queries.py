@@ -13,8 +13,8 @@ from boxquery.operators import blocks as blocks_
 from boxquery.operators import kmeans as kmeans_
 from boxquery.operators import mutate, order, report, runs, tiles
 from boxquery.operators.index import build_index
-from boxquery.plans.range_count import partitioned_count, scan_by_ranges
-from boxquery.session import scratch_path, scratch_root, written
+from boxquery.plans.range_count import partitioned_count
+from boxquery.session import scratch_path, scratch_root
 from boxquery.sources import binary
 from boxquery.sources.index import load_index, open_index, save_index
 from boxquery.sources.normalise import normalise, to_boxes

@@ -4,7 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from boxquery.functions.boxes import Box, box, enlargement, sphere_volume, union, unit_sphere_volume, volume
+from boxquery.functions.boxes import Box, enlargement, sphere_volume, union, unit_sphere_volume, volume
 from boxquery.operators import tiles
 from boxquery.operators.order import adaptive_tiles
 from checks.fixtures import boxes64, order_boxes

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from boxquery.llm import chat, token_counts, url_rules, warc
+from boxquery.llm import chat, decontaminate, token_counts, url_rules, warc
 from boxquery.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,33 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+WORDS = "regexp_extract_all(" + LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@register(
+    "op2_decontamination",
+    f"""
+    WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+    b AS (SELECT item_id, w, least(13, len(w)) AS k FROM (SELECT item_id, {WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+    bw AS (SELECT DISTINCT item_id, k, array_to_string(w[s:s + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS s FROM b)),
+    dw AS (SELECT doc_id, k, s, array_to_string(w[s:s + k - 1], ' ') AS g
+           FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM bw))),
+    hits AS (SELECT doc_id, item_id, s, k FROM dw JOIN bw USING (k, g)),
+    n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM hits) GROUP BY doc_id),
+    i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)""",
+)
+def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.judged(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    listed = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), "contaminated"
+    )
+
+
 ESCAPED = r"length({0}) + length(regexp_replace({0}, '\\|<s>|</s>|\[INST\]|\[/INST\]', chr(1) || '\0', 'g')) - length({0})"
 TURN_TABLE = """
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

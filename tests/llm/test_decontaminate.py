@@ -1,0 +1,104 @@
+import random
+
+import numpy as np
+import pytest
+
+from boxquery.llm.decontaminate import contamination, decontaminated, judged, longest_matches
+from boxquery.llm.suffixes import Shard, TestItems, words_of
+
+DOCS = "doc_id bigint, text string, n_words int, items string"
+ITEMS = "item_id bigint, text string, spans int"
+
+
+def corpus(seed=2, n=80, vocabulary=9):
+    rng = random.Random(seed)
+    say = lambda k: " ".join(f"w{rng.randint(0, vocabulary)}" for _ in range(k))
+    items = [(i, say(rng.randint(1, 30)), 0) for i in range(20)]
+    items += [(50, None, 0), (51, "", 0), (52, " .,", 0), (53, items[3][1], 0), (3, items[3][1], 0), (None, items[4][1], 0), (54, "Été-W1 ÉTÉ", 0)]
+    docs = []
+    for i in range(n):
+        text = say(rng.randint(0, 60))
+        for _ in range(rng.randint(0, 3)):
+            text += rng.choice([" ", ", ", "\n"]) + (rng.choice(items)[1] or "").upper().replace("É", "é") + " " + say(rng.randint(0, 20))
+        docs.append((i, text, 1, "x"))
+    docs += [(None, items[0][1], 1, "x"), (900, None, 1, "x"), (901, "", 1, "x"), (902, "...", 1, "x"), docs[5], docs[5], (903, f"{items[1][1]} " * 3000, 1, "x")]
+    return docs, items
+
+
+def by_hand(docs, items, window):
+    out = []
+    for doc_id, text, *_ in docs:
+        words = words_of((text or "").encode())
+        hit, found = [False] * len(words), set()
+        for item_id, item, *_ in items:
+            seq = words_of((item or "").encode())
+            w = min(window, len(seq))
+            windows = {tuple(seq[s : s + w]) for s in range(len(seq) - w + 1)} if w else set()
+            for at in range(len(words) - w + 1 if w else 0):
+                if tuple(words[at : at + w]) in windows:
+                    hit[at : at + w] = [True] * w
+                    found.add(item_id)
+        found.discard(None)
+        out.append((doc_id, len(words), sum(hit), sorted(found), bool(sum(hit)) and 20 * sum(hit) >= len(words)))
+    return sorted(map(repr, out))
+
+
+@pytest.mark.parametrize("window, block_bytes", [(13, 1 << 25), (3, 1 << 25), (5, 400), (1, 1 << 25)])
+def test_windows_by_hand(spark, window, block_bytes):
+    docs, items = corpus()
+    found = contamination(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), window=window, block_bytes=block_bytes)
+    got = [(r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in judged(found).collect()]
+    assert sorted(map(repr, got)) == by_hand(docs, items, window)
+
+
+def test_clean_rows_stay(spark):
+    docs, items = corpus()
+    kept = decontaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS))
+    clean = [eval(r)[:1] for r in by_hand(docs, items, 13) if not eval(r)[4]]
+    assert kept.columns == ["doc_id", "text", "n_words", "items"]
+    assert sorted(map(repr, ((r["doc_id"],) for r in kept.collect()))) == sorted(map(repr, clean))
+
+
+def test_longest_matches_by_hand(spark):
+    docs, items = corpus(n=12)
+    got = longest_matches(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    want = set()
+    for item_id, item, _ in items:
+        seq = words_of((item or "").encode())
+        for start in range(len(seq)):
+            best = []
+            for doc_id, text, *_ in docs:
+                words = words_of((text or "").encode())
+                for at in range(len(words)):
+                    n = 0
+                    while start + n < len(seq) and at + n < len(words) and words[at + n] == seq[start + n]:
+                        n += 1
+                    if n:
+                        best.append((-n, doc_id is not None, doc_id or 0, at))
+            if best and item_id is not None:
+                n, known, doc_id, at = min(best)
+                want.add((item_id, start, -n, doc_id if known else None, at))
+    assert {tuple(r) for r in got} == want
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_the_array_is_sorted(seed):
+    rng = random.Random(seed)
+    say = lambda k: " ".join(f"w{rng.randint(0, 2 + seed)}" for _ in range(k)).encode()
+    texts = [say(rng.randint(0, 50)) for _ in range(20)] * 2
+    items = TestItems([(1, say(rng.randint(1, 40)).decode()), (2, say(5).decode())], 13)
+    if seed % 2:
+        items.bits = 30  # two words to a key: the rest is sorted by doubling
+    shard = Shard(texts, items)
+    known = lambda at: list(shard.words[at : at + list(shard.words[at:]).index(0)])[: items.longest]
+    sorted_by = [known(at) for at in shard.order]
+    assert sorted_by == sorted(sorted_by) and len(shard.order) == np.count_nonzero(shard.words)
+
+
+def test_empty_tables(spark):
+    docs, items = corpus()
+    none = spark.createDataFrame([], DOCS)
+    assert contamination(none, spark.createDataFrame(items, ITEMS)).collect() == []
+    found = judged(contamination(spark.createDataFrame(docs, DOCS), spark.createDataFrame([], ITEMS))).collect()
+    assert len(found) == len(docs) and not any(r["contaminated"] or r["n_hit"] for r in found)
+    assert longest_matches(none, spark.createDataFrame(items, ITEMS)).collect() == []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -21,8 +22,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 # Pre-tokens whose counts are broadcast: at about 150 bytes each, some 20 MB in a worker.
 BROADCAST_PIECES = 131_072
 # Distinct pre-tokens a task holds before it sends their counts on, and bytes of text taken at once.
-HELD_PIECES = 400_000
-SLICE_BYTES = 8 << 20
+HELD_PIECES = 200_000
+SLICE_BYTES = 4 << 20
+# Bytes of pre-tokens encoded at once: the library keeps about a kilobyte for each.
+ENCODE_BYTES = 128 << 10
 
 
 class PreTokenizer:
@@ -67,11 +70,12 @@ def piece_counts(docs: DataFrame, tokenizer_json: str, text_col: str = "text") -
         return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["piece", "n"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(spec.value)
         tokenizer.encode_special_tokens = True
-        for batch in slices(batches, 1 << 20):
+        for batch in slices(batches, ENCODE_BYTES):
             encoded = tokenizer.encode_batch_fast(batch.column("piece").to_pylist(), add_special_tokens=False)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(e) for e in encoded], pa.int64())], names=["piece", "n", "tokens"])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from boxquery.llm import chat, decontaminate, language_model, token_counts, url_rules, warc
+from boxquery.llm import chat, decontaminate, language_model, simhash, token_counts, url_rules, warc
 from boxquery.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +101,11 @@ def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives, root)
 
 
+@register("op6_simhash")
+def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @register("op8_language_model")
 def language_model_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.language_scores(table(spark, sf_dir, "documents"))

@@ -187,7 +187,7 @@ def revisits(manifest: DataFrame, min_bytes: int = 0) -> DataFrame:
     )
     later = F.when(F.col("best").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best")), F.struct("seq", F.col("best").alias("refers_to")))
     joined = manifest.join(copies, ["digest", "payload_bytes"], "left")
-    return joined.groupBy("archive").agg(F.collect_list(later).alias("decided"))
+    return written(joined.groupBy("archive").agg(F.collect_list(later).alias("decided")), "warc-revisits")
 
 
 def normalise(archives: DataFrame, source: str, target: str, level: int = LEVEL) -> DataFrame:
@@ -223,7 +223,13 @@ def normalise(archives: DataFrame, source: str, target: str, level: int = LEVEL)
                     out.write("".join(f"{line}\n" for line in index).encode())
                 yield pa.RecordBatch.from_arrays([pa.array([fresh]), pa.array([len(index)], pa.int64())], names=["archive", "records"])
 
-    return written(archives.select("archive", "decided").mapInArrow(rewrite, "archive string, records bigint"), "warc-archives")
+    fresh = spread(archives.select("archive", "decided")).mapInArrow(rewrite, "archive string, records bigint")
+    return written(fresh, "warc-archives")
+
+
+def spread(archives: DataFrame) -> DataFrame:
+    """The rows with about one archive to a task: by their bytes alone, Spark would put all names into one."""
+    return archives.repartition(max(1, archives.count()), "archive")
 
 
 def read_archives(archives: DataFrame, root: str) -> DataFrame:
@@ -248,7 +254,7 @@ def read_archives(archives: DataFrame, root: str) -> DataFrame:
                 columns = list(zip(*rows)) if rows else [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    return archives.select("archive").mapInArrow(
+    return spread(archives.select("archive")).mapInArrow(
         read, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
     )
 

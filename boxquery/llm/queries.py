@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from boxquery.llm import chat, decontaminate, language_model, simhash, token_counts, url_rules, warc
+from boxquery.llm import chat, decontaminate, language_model, metric_join, simhash, token_counts, url_rules, warc
 from boxquery.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,6 +111,11 @@ def language_model_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.language_scores(table(spark, sf_dir, "documents"))
 
 
+@register("op9_metric_join")
+def metric_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.range_join(table(spark, sf_dir, "embeddings"))
+
+
 RULES = [
     ("allow", "com", "/"),
     ("block", "example.com", "/en/"),

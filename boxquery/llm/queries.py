@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from boxquery.llm import chat, decontaminate, language_model, metric_join, simhash, token_counts, url_rules, warc
+from boxquery.llm import chat, decontaminate, language_model, metric_join, sentencepiece, simhash, token_counts, toxicity, url_rules, warc
 from boxquery.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,11 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@register("op1_toxicity")
+def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 WORDS = "regexp_extract_all(" + LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
@@ -79,6 +84,17 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(told.unionByName(own)))
 
 
+@register("op4_sentencepiece")
+def sentencepiece_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and whether they decode to it; a null text has null ids."""
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        model = file.read()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = sentencepiece.decoded(sentencepiece.encoded(docs, model), model)
+    same = F.col("decoded").eqNullSafe(F.translate("text", sentencepiece.MARKER, " "))
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "score", "ids", same.alias("round_trip"))
+
+
 @register("op5_token_counts")
 def token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

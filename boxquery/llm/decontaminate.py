@@ -115,22 +115,30 @@ def judged(found: DataFrame) -> DataFrame:
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns; null and empty texts stay."""
-    items = list(benchmark_blocks(benchmark, window, BENCHMARK_BYTES, "item_id", "text"))
-    shared = [docs.sparkSession.sparkContext.broadcast(block) for block in items]
+def decontaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BENCHMARK_BYTES
+) -> DataFrame:
+    """The rows of docs that are not contaminated, with all their columns; null and empty texts stay.
+
+    A benchmark that takes several rounds is judged by id, so that rows of one id go together.
+    """
+    blocks = benchmark_blocks(benchmark, window, block_bytes, "item_id", "text")
+    block = next(blocks)
+    if next(blocks, None) is not None:
+        found = judged(contamination(docs, benchmark, id_col, text_col, window=window, block_bytes=block_bytes))
+        gone = written(found.filter("contaminated").select(id_col).distinct(), "contaminated")
+        same = docs[id_col].eqNullSafe(gone[id_col])
+        return docs.join(gone, same, "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(block)
     place = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = {"spans": pa.array, "items": pa.array}
         for batch in slices(batches, SHARD_BYTES):
             n = batch.num_rows
-            spans, counts = [[] for _ in range(n)], [0] * n
-            for block in shared:
-                part = pa.RecordBatch.from_arrays(
-                    [batch.column(place), empty["spans"](spans, _SPANS), empty["items"]([[]] * n, pa.list_(pa.int64()))], names=["text", "spans", "items"]
-                )
-                counts, spans, _ = _mark(part, block.value)
+            part = pa.RecordBatch.from_arrays(
+                [batch.column(place), pa.array([[]] * n, _SPANS), pa.array([[]] * n, pa.list_(pa.int64()))], names=["text", "spans", "items"]
+            )
+            counts, spans, _ = _mark(part, shared.value)
             hit = [sum(s["end"] - s["start"] for s in row) for row in spans]
             yield batch.filter(pa.array([not (h > 0 and 20 * h >= c) for h, c in zip(hit, counts)], pa.bool_()))
 

@@ -51,9 +51,10 @@ def test_windows_by_hand(spark, window, block_bytes):
     assert sorted(map(repr, got)) == by_hand(docs, items, window)
 
 
-def test_clean_rows_stay(spark):
+@pytest.mark.parametrize("block_bytes", [1 << 25, 400])
+def test_clean_rows_stay(spark, block_bytes):
     docs, items = corpus()
-    kept = decontaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS))
+    kept = decontaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), block_bytes=block_bytes)
     clean = [eval(r)[:1] for r in by_hand(docs, items, 13) if not eval(r)[4]]
     assert kept.columns == ["doc_id", "text", "n_words", "items"]
     assert sorted(map(repr, ((r["doc_id"],) for r in kept.collect()))) == sorted(map(repr, clean))

@@ -108,7 +108,9 @@ def test_long_chunks_and_round_trips(pieces, unigram):
 def test_frames(spark, pieces):
     texts = [None, "", " ", "a", "a", *strange_texts(60, 3), "long words " * 20_000]
     rows = [(i or None, t, "clash", 1) for i, t in enumerate(texts)] + [(4, "a", "clash", 1)]
-    out = decoded(encoded(spark.createDataFrame(rows, SCHEMA), MODEL), MODEL)
+    out = decoded(encoded(spark.createDataFrame(rows, SCHEMA), MODEL, same_col="same"), MODEL)
+    assert all(r["same"] for r in out.collect())
+    out = out.drop("same")
     assert out.columns == ["doc_id", "text", "ids", "score", "decoded"]
     got = sorted(((r["doc_id"] or 0, r["text"] or "", r["ids"], r["decoded"]) for r in out.collect()), key=repr)
     want = [(i or 0, t or "", None if t is None else ids, t) for (i, t, *_), (ids, _) in zip(rows, encode(pieces, [r[1] or "" for r in rows]))]

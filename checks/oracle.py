@@ -60,40 +60,59 @@ def query(ctes: list[str], select: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + select
 
 
+def _gray(i: int) -> int:
+    return i ^ (i >> 1)
+
+
+def _turned(corner: int, by: int, d: int) -> int:
+    """A corner of the unit cube (one bit per axis) with its axes moved up by some places."""
+    by %= d
+    return ((corner << by) | (corner >> (d - by))) & ((1 << d) - 1)
+
+
+def _sub_cubes(d: int) -> tuple[list[int], list[int]]:
+    """The curve by its definition, as two lists over (orientation, sub-cube): the sub-cube's rank, and its orientation.
+
+    Inside a cube the curve starts at an entry corner and ends one edge away, along its direction. It visits the
+    2**d sub-cubes in Gray code order, laid out from the entry corner with the last axis along the direction.
+    Sub-cube number w is entered at the corner where the path from sub-cube w - 1 arrives, and left along the
+    axis of the next step. An orientation is numbered entry corner * d + direction.
+    """
+    cubes = 1 << d
+    axis_after = [(_gray(w) ^ _gray(w + 1)).bit_length() - 1 for w in range(cubes - 1)]  # axis of the step from w to w + 1
+    enters = [0] + [_gray((w - 1) // 2 * 2) for w in range(1, cubes)]
+    # the last sub-cube is left along the first axis, as the first one is
+    along = [0] + [axis_after[w - 1] if w % 2 == 0 else axis_after[w] for w in range(1, cubes - 1)] + [0]
+    ranks, orientations = [], []
+    for entry in range(cubes):
+        for direction in range(d):
+            visited = {entry ^ _turned(_gray(w), direction + 1, d): w for w in range(cubes)}
+            for corner in range(cubes):
+                w = visited[corner]
+                inner = entry ^ _turned(enters[w], direction + 1, d)
+                ranks.append(w)
+                orientations.append(inner * d + (direction + along[w] + 1) % d)
+    return ranks, orientations
+
+
 def hilbert(source: str, dims, name: str = "k", carry: str = "*", bits: int | None = None) -> list[str]:
-    """CTEs ending in `name`: the source rows with their Hilbert key `h`, one CTE per bit level."""
+    """CTEs ending in `name`: the source rows with their Hilbert key `h`, one CTE per halving of the cube."""
     d = len(dims)
     bits = bits or (20 if d > 2 else 31)
+    ranks, orientations = _sub_cubes(d)
     cells = ", ".join(
         f"CAST(trunc(CAST(1000000 AS FLOAT) * CAST({c} AS FLOAT)) AS BIGINT) AS c{i}" for i, c in enumerate(dims)
     )
-    full = (1 << d) - 1
-    ctes = [
-        f"{name}_0 AS (SELECT {carry}, {cells}, CAST(0 AS BIGINT) AS flip, CAST(0 AS BIGINT) AS rot,"
-        f" CAST(0 AS BIGINT) AS idx, CAST(0 AS BIGINT) AS pb FROM {source})"
-    ]
-    for step in range(bits):
-        k = bits - 1 - step
-        b = " | ".join(f"(((c{i} >> {k}) & 1) << {i})" for i in range(d))
-        low = (1 << (d - 1)) - 1
-        skip = "CASE WHEN (t & {0}) = 0 THEN 0 {1} END".format(
-            low, " ".join(f"WHEN (t & {1 << i}) <> 0 THEN {i + 1}" for i in range(d - 1))
-        )
+    # the whole cube is entered at the origin, and the curve runs along the last axis
+    ctes = [f"{name}_0 AS (SELECT {carry}, {cells}, CAST(0 AS BIGINT) AS h, CAST({d - 1} AS BIGINT) AS facing FROM {source})"]
+    for level in range(bits):
+        corner = " + ".join(f"((c{i} >> {bits - 1 - level}) & 1) * {1 << i}" for i in range(d))
         ctes.append(
-            f"{name}_{step + 1} AS (SELECT * EXCLUDE (u, t, bb) REPLACE (CAST(1 AS BIGINT) << rot AS flip,"
-            f" (rot + 1 + {skip}) % {d} AS rot, (idx << {d}) | t AS idx, bb AS pb) FROM ("
-            f"SELECT *, ((u >> rot) | (u << ({d} - rot))) & {full} AS t FROM ("
-            f"SELECT *, xor(xor(flip, bb), pb) AS u FROM (SELECT *, {b} AS bb FROM {name}_{step}))))"
+            f"{name}_{level + 1} AS (SELECT * EXCLUDE (place) REPLACE (h * {1 << d} + {ranks}[place] AS h, {orientations}[place] AS facing)"
+            f" FROM (SELECT *, 1 + facing * {1 << d} + {corner} AS place FROM {name}_{level}))"
         )
-    mask = ((1 << (d * bits)) - 1) // full >> 1
-    last = f"{name}_{bits}"
-    ctes.append(f"{name}_g0 AS (SELECT * REPLACE (xor(idx, {mask}) AS idx) FROM {last})")
-    shift, n = 1, 0
-    while shift < d * bits:
-        ctes.append(f"{name}_g{n + 1} AS (SELECT * REPLACE (xor(idx, idx >> {shift}) AS idx) FROM {name}_g{n})")
-        shift, n = shift * 2, n + 1
-    drop = ", ".join([f"c{i}" for i in range(d)] + ["flip", "rot", "idx", "pb"])
-    ctes.append(f"{name} AS MATERIALIZED (SELECT * EXCLUDE ({drop}), idx AS h FROM {name}_g{n})")
+    drop = ", ".join([f"c{i}" for i in range(d)] + ["facing"])
+    ctes.append(f"{name} AS MATERIALIZED (SELECT * EXCLUDE ({drop}) FROM {name}_{bits})")
     return ctes
 
 

@@ -89,7 +89,7 @@ def pack_blocks(
 ) -> DataFrame:
     """One row per block with an array per coordinate, in slot order. A block never exceeds the degree."""
     fields = [id_col, *coordinate_names(df, dims)]
-    rows = F.array_sort(F.collect_list(F.struct("slot", *fields)))
+    rows = F.array_sort(F.collect_list(F.struct(*dict.fromkeys(["slot", *fields]))))
     packed = df.groupBy(*by).agg(rows.alias("_rows"))
     return packed.select(
         *by,

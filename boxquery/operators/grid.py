@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from boxquery.functions.boxes import Box, bound_names, box_of, hi_names, lo_names, overlaps
-from boxquery.session import BROADCAST_ROWS, skew_join
+from boxquery.session import BROADCAST_ROWS, skew_join, written
 
 # Cell sizes on offer: side 1/2**level. Two apart, so a row is repeated for at most eleven sizes.
 LEVELS = tuple(range(0, 21, 2))
@@ -77,48 +77,49 @@ def overlap_pairs(
     dims: Sequence[str],
     left_cols: Sequence[str],
     right_cols: Sequence[str],
+    broadcast_rows: int | None = None,
 ) -> DataFrame:
     """All pairs of overlapping rows of two tables of boxes or points, each pair once.
 
     Columns: the named columns and the bounds of both rows, prefixed `a_` and `b_`. Each box is placed
     at its own level. Two boxes meet at the coarser of their two levels, in the cell that holds the
-    lower corner of their intersection, so exactly one cell reports a pair.
+    lower corner of their intersection, so exactly one cell reports a pair. That is two joins: rows of the
+    left side at their own level with finer or equal rows of the right side, and rows of the right side at
+    their own level with strictly finer rows of the left side. A side is only repeated at levels where the
+    other side has boxes of its own, so large boxes meet many rows and small ones meet their neighbours.
     """
-    a = _leveled(left, dims, left_cols)
-    b = _leveled(right, dims, right_cols)
-    both = a.select("level").union(b.select("level")).groupBy("level").count().collect()
-    used = sorted(r.level for r in both)
-    placed_a = _spread(a, dims, used, "a")
-    placed_b = _spread(b, dims, used, "b")
-    keys = ["level", "cell"]
-    n_a = placed_a.count()
-    n_b = 0 if n_a <= BROADCAST_ROWS else placed_b.count()
-    if n_a <= BROADCAST_ROWS:
-        pairs = placed_b.join(F.broadcast(placed_a), keys)
-    elif n_b <= BROADCAST_ROWS:
-        pairs = placed_a.join(F.broadcast(placed_b), keys)
-    else:
-        marked = placed_b.withColumn("_row", F.xxhash64(*placed_b.columns))
-        pairs = skew_join(marked, placed_a, keys, "_row", n_b).drop("_row")
+    few = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
+    a = written(_leveled(left, dims, left_cols), "leveled")
+    b = written(_leveled(right, dims, right_cols), "leveled")
+    pairs = _meeting(a, b, dims, "v <= own", few, ("a", "b")).unionByName(_meeting(b, a, dims, "v < own", few, ("b", "a")))
     box_a = Box([F.col(f"a_l{x}") for x in dims], [F.col(f"a_h{x}") for x in dims])
     box_b = Box([F.col(f"b_l{x}") for x in dims], [F.col(f"b_h{x}") for x in dims])
     corner = [axis_cell(f"greatest(a_l{x}, b_l{x})", "level") for x in dims]
-    reported = F.expr(f"level = least(a_own, b_own) AND cell = {cell_id(corner, 'level')}")
-    return pairs.filter(overlaps(box_a, box_b)).filter(reported).drop("level", "cell", "a_own", "b_own")
+    reported = F.expr(f"cell = {cell_id(corner, 'level')}")
+    return pairs.filter(overlaps(box_a, box_b)).filter(reported).drop("level", "cell")
+
+
+def _meeting(coarse: DataFrame, fine: DataFrame, dims: Sequence[str], finer: str, few: int, tags: tuple[str, str]) -> DataFrame:
+    """Rows of `coarse` in the cells of their own level, next to rows of `fine` repeated for those levels."""
+    levels = sorted(r.level for r in coarse.select("level").distinct().collect())
+    placed = _tagged(cover(coarse, dims), tags[0])
+    offered = ", ".join(map(str, levels)) or "0"
+    spread = fine.withColumnRenamed("level", "own").selectExpr("*", f"explode(filter(array({offered}), v -> {finer})) AS level")
+    spread = _tagged(cover(spread, dims).drop("own"), tags[1])
+    keys = ["level", "cell"]
+    if placed.count() <= few:
+        return spread.join(F.broadcast(placed), keys)
+    total = spread.count()
+    if total <= few:
+        return placed.join(F.broadcast(spread), keys)
+    return skew_join(spread, placed, keys, None, total)
+
+
+def _tagged(placed: DataFrame, tag: str) -> DataFrame:
+    return placed.select("level", "cell", *[F.col(c).alias(f"{tag}_{c}") for c in placed.columns if c not in ("level", "cell")])
 
 
 def _leveled(df: DataFrame, dims: Sequence[str], cols: Sequence[str]) -> DataFrame:
     b = box_of(df, dims)
     rows = df.select(*cols, *[c.alias(n) for c, n in zip(b.lo + b.hi, bound_names(dims))])
     return with_levels(rows, dims, CELLS_PER_PAIR_BOX)
-
-
-def _spread(leveled: DataFrame, dims: Sequence[str], levels: Sequence[int], tag: str) -> DataFrame:
-    """Repeat each box for the cells it covers at its own level and at the coarser levels in use."""
-    rows = leveled.withColumnRenamed("level", "own")
-    offered = ", ".join(map(str, levels)) or "0"
-    rows = rows.selectExpr("*", f"explode(filter(array({offered}), v -> v <= own)) AS level")
-    placed = cover(rows, dims)
-    return placed.select(
-        "level", "cell", *[F.col(c).alias(f"{tag}_{c}") for c in placed.columns if c not in ("level", "cell")]
-    )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from boxquery.functions.boxes import all_of, any_of, bound_names, box_of, coordinate_names
 from boxquery.operators.index import BoxIndex, with_segment
-from boxquery.plans.candidates import block_candidates, join_rows
+from boxquery.plans.candidates import candidates, join_rows
 from boxquery.session import BROADCAST_ROWS, written
 
 # Blocks looked at in one window group, and blocks produced by one explode.
@@ -19,7 +19,7 @@ COARSE_STEPS = 4_096
 
 def scan_ranges(index: BoxIndex, boxes: DataFrame, gap: int = 0) -> DataFrame:
     """(qid, first_block, last_block, blocks): each box's candidate blocks merged into runs."""
-    found, _ = block_candidates(index, boxes)
+    found, _ = candidates(index, boxes)
     if index.n_blocks <= RUN_CHUNK:
         return _merged(found.select("qid", "block"), gap)
     return merge_runs(found.select("qid", "block"), gap)

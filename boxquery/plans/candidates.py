@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from boxquery.functions.boxes import bound_names, box, contains, overlaps
+from boxquery.functions.boxes import any_of, bound_names, box, contains, overlaps
 from boxquery.operators.blocks import level_sizes
 from boxquery.operators.grid import overlap_pairs
 from boxquery.operators.index import BoxIndex, with_segment
@@ -14,10 +14,22 @@ from boxquery.session import BROADCAST_ROWS, NESTED_LOOP_BOXES, skew_join, writt
 FEW_SEGMENTS = 64
 SEGMENT_FILTER = 10_000
 
+# Blocks up to which testing each one beats going down the pyramid, and blocks produced by one explode.
+FLAT_BLOCKS = 10_000
+UNFOLD = 65_536
+
 # Candidate columns: qid, the bounds of the box, block, n (rows of the block) and `inside`, true when
 # the whole block lies in the box so that its rows need no test.
 
 
+def upright(boxes: DataFrame, dims) -> None:
+    """Raise if a box has a lower bound above the upper one."""
+    turned = any_of([F.col(f"l{d}") > F.col(f"h{d}") for d in dims]) if dims else F.lit(False)
+    wrong = boxes.filter(turned).select("qid").head()
+    if wrong is not None:
+        raise ValueError(f"box {wrong.qid} has a lower bound above its upper bound")
+
+
 def query_boxes(boxes: DataFrame, index: BoxIndex) -> DataFrame:
     return boxes.select("qid", *bound_names(index.dims))
 
@@ -54,17 +66,41 @@ def _grid(nodes: DataFrame, queries: DataFrame, index: BoxIndex, key: str) -> Da
     return _judged(named, index, key)
 
 
-def block_candidates(index: BoxIndex, boxes: DataFrame) -> tuple[DataFrame, int]:
+def candidates(index: BoxIndex, boxes: DataFrame, flat_blocks: int | None = None) -> tuple[DataFrame, int]:
+    """Block candidates of an index of any size, and a bound on their number.
+
+    Up to flat_blocks blocks are tested one by one. Of more, the pyramid is gone down, and nodes that lie wholly
+    in a box are unfolded into their blocks.
+    """
+    if index.n_blocks <= (FLAT_BLOCKS if flat_blocks is None else flat_blocks):
+        return block_candidates(index, boxes)
+    whole, leaves, _ = level_candidates(index, boxes)
+    bounds = bound_names(index.dims)
+    span = F.lit(index.degree).cast("double") ** F.col("level")
+    first = (F.col("node") * span).cast("long")
+    last = F.least(first + span.cast("long"), F.lit(index.n_blocks)) - 1
+    steps = F.sequence(first, last, F.lit(UNFOLD).cast("long"))
+    cut = whole.select("qid", *bounds, last.alias("_last"), F.explode(steps).alias("_from"))
+    until = F.least(F.col("_from") + UNFOLD - 1, F.col("_last"))
+    blocks = cut.select("qid", *bounds, F.explode(F.sequence("_from", until)).alias("block"))
+    size = F.least(F.lit(index.degree).cast("long"), F.lit(index.rows) - F.col("block") * index.degree)
+    unfolded = with_segment(blocks.withColumns({"n": size, "inside": F.lit(True)}), index.segment_blocks)
+    found = written(leaves.unionByName(unfolded.select(*leaves.columns)), "candidates")
+    return found, found.count()
+
+
+def block_candidates(index: BoxIndex, boxes: DataFrame, nested_loop_boxes: int | None = None) -> tuple[DataFrame, int]:
     """Candidates from testing the boxes against the block summaries, and a bound on their number.
 
     If even all pairs would be few, that product is the bound and nothing runs yet. Otherwise the
-    candidates are written and counted.
+    candidates are written and counted. With more than nested_loop_boxes boxes and blocks they meet in a grid.
     """
+    most = NESTED_LOOP_BOXES if nested_loop_boxes is None else nested_loop_boxes
     queries = query_boxes(boxes, index)
     n_queries = queries.count()
-    if n_queries <= NESTED_LOOP_BOXES:
+    if n_queries <= most:
         found = _small_theta(index.blocks, queries, index, "block", queries_small=True)
-    elif index.n_blocks <= NESTED_LOOP_BOXES:
+    elif index.n_blocks <= most:
         found = _small_theta(index.blocks, queries, index, "block", queries_small=False)
     else:
         found = _grid(index.blocks, queries, index, "block")
@@ -75,27 +111,27 @@ def block_candidates(index: BoxIndex, boxes: DataFrame) -> tuple[DataFrame, int]
     return found, found.count()
 
 
-def level_candidates(index: BoxIndex, boxes: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Go down the pyramid: test one small level with a nested loop, then only children of hits.
+def level_candidates(
+    index: BoxIndex, boxes: DataFrame, start_level: int | None = None
+) -> tuple[DataFrame, DataFrame, int]:
+    """Go down the pyramid from the root, or from a lower level: test its nodes, then only children of hits.
 
-    Returns the hits (qid, hits) of upper nodes that lie wholly in their box and are not opened, the
+    Returns the upper nodes (qid, bounds, level, node, n) that lie wholly in their box and are not opened, the
     block candidates, and a bound on the number of candidates.
     """
     queries = query_boxes(boxes, index)
     n_queries = queries.count()
     sizes = level_sizes(index.rows, index.degree)[::-1] or [0]
-    start = next((level for level, n in enumerate(sizes) if n <= NESTED_LOOP_BOXES), len(sizes) - 1)
+    start = len(sizes) - 1 if start_level is None else min(start_level, len(sizes) - 1)
     nodes = index.nodes.filter(F.col("level") == start)
-    if n_queries <= NESTED_LOOP_BOXES:
-        found = _small_theta(nodes, queries, index, "node", queries_small=True)
-    else:
-        found = _small_theta(nodes, queries, index, "node", queries_small=False)
+    found = _small_theta(nodes, queries, index, "node", queries_small=n_queries <= sizes[start])
     found, bound = _settled(found, n_queries * sizes[start])
-    whole = queries.select("qid", F.lit(0).cast("long").alias("hits")).limit(0)
+    bounds = bound_names(index.dims)
+    whole = found.withColumn("level", F.lit(0)).select("qid", *bounds, "level", "node", "n").limit(0)
     for level in range(start - 1, -1, -1):
-        whole = whole.unionByName(found.filter("inside").select("qid", F.col("n").alias("hits")))
+        closed = found.filter("inside").withColumn("level", F.lit(level + 1))
+        whole = whole.unionByName(closed.select("qid", *bounds, "level", "node", "n"))
         partial = found.filter(~F.col("inside")).drop("n", "inside").withColumnRenamed("node", "parent")
-        bounds = bound_names(index.dims)
         children = index.nodes.filter(F.col("level") == level).select(
             "parent", F.struct("node", "n", *bounds).alias("t")
         )
@@ -122,13 +158,13 @@ def join_rows(index: BoxIndex, candidates: DataFrame, bound: int, points: DataFr
     Few candidates are broadcast: the rows are then scanned in place, and the segment key lets Spark
     skip stored segments no box needs. Many candidates are shuffled by block, hot blocks split.
     """
-    points = _wanted_segments(index, candidates, points, bound)
+    points = wanted_segments(index, candidates, points, bound)
     if bound <= BROADCAST_ROWS:
         return points.join(F.broadcast(candidates), ["segment", "block"])
     return skew_join(candidates, points, ["segment", "block"], "qid", bound)
 
 
-def _wanted_segments(index: BoxIndex, candidates: DataFrame, points: DataFrame, bound: int) -> DataFrame:
+def wanted_segments(index: BoxIndex, candidates: DataFrame, points: DataFrame, bound: int) -> DataFrame:
     """Leave out stored segments no candidate lies in, where a saved index has many of them.
 
     The list has at most SEGMENT_FILTER entries; with more segments wanted there is little to leave out.

@@ -19,12 +19,18 @@ from boxquery.operators.grid import (
 from boxquery.operators.index import BoxIndex, with_segment
 from boxquery.operators.order import with_partition
 from boxquery.operators.runs import rows_in_runs, scan_ranges
-from boxquery.plans.candidates import block_candidates, join_rows, level_candidates, query_boxes
+from boxquery.plans.candidates import (
+    FLAT_BLOCKS,
+    block_candidates,
+    candidates,
+    join_rows,
+    level_candidates,
+    query_boxes,
+    upright,
+    wanted_segments,
+)
 from boxquery.session import BROADCAST_ROWS, NESTED_LOOP_BOXES, skew_join
 
-# Blocks up to which testing each one beats going down the pyramid.
-FLAT_BLOCKS = 10_000
-
 ROW_METHODS = ("broadcast", "grid")
 
 
@@ -40,13 +46,15 @@ def range_count(
     `data` is a table of points or boxes for the methods "broadcast" and "grid", or a BoxIndex for
     "blocks", "levels", "packed", "partitions" and "ranges". "auto" tests few boxes against all rows of a
     plain table and many boxes through the grid. Of an index it tests the blocks, or goes down the pyramid
-    where there are too many blocks to test each.
+    where there are too many blocks to test each. A named method is the one that runs. Boxes with a lower
+    bound above the upper one are an error.
     """
+    upright(boxes, data.dims if isinstance(data, BoxIndex) else dims or ())
     if isinstance(data, BoxIndex):
         if method == "auto":
             method = "blocks" if data.n_blocks <= FLAT_BLOCKS else "levels"
         if method in ROW_METHODS:
-            return range_count(data.points, boxes, data.dims, method, **options)
+            return _of_rows(data.points, boxes, data.dims, method, **options)
         counters = {
             "blocks": _count_blocks,
             "levels": _count_levels,
@@ -61,13 +69,14 @@ def range_count(
         raise ValueError("dims is required for a plain table")
     if method == "auto":
         method = "broadcast" if boxes.count() <= NESTED_LOOP_BOXES else "grid"
-    if method == "broadcast":
-        counts = _count_plain(data, boxes, dims, **options)
-    elif method == "grid":
-        counts = _count_grid(data, boxes, dims, **options)
-    else:
+    return _of_rows(data, boxes, dims, method, **options)
+
+
+def _of_rows(data: DataFrame, boxes: DataFrame, dims: Sequence[str], method: str, **options) -> DataFrame:
+    if method not in ROW_METHODS:
         raise ValueError(f"method {method!r} is unknown or needs a BoxIndex")
-    return with_all_boxes(counts, boxes)
+    count = _count_plain if method == "broadcast" else _count_grid
+    return with_all_boxes(count(data, boxes, dims, **options), boxes)
 
 
 def with_all_boxes(counts: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -82,37 +91,37 @@ def _hits(pairs: DataFrame, *by: str) -> DataFrame:
 
 
 def _count_plain(data: DataFrame, boxes: DataFrame, dims: Sequence[str]) -> DataFrame:
-    """Every row against every box; only for few boxes, which the grid plan takes over from."""
-    if boxes.count() > NESTED_LOOP_BOXES:
-        return _count_grid(data, boxes, dims)
+    """Every row against every box, whose bounds go to all tasks: meant for few boxes."""
     rows = data.select(*coordinate_names(data, dims)).alias("p")
     queries = F.broadcast(boxes.select("qid", *bound_names(dims)).alias("q"))
     return _hits(rows.join(queries, overlaps(box_of(data, dims, "p"), box(dims, "q"))))
 
 
-def _count_grid(data: DataFrame, boxes: DataFrame, dims: Sequence[str], cells: int | None = None) -> DataFrame:
+def _count_grid(
+    data: DataFrame, boxes: DataFrame, dims: Sequence[str], cells: int | None = None, broadcast_rows: int | None = None
+) -> DataFrame:
     """Equi join on grid cells. A point lies in one cell per size, so nothing is counted twice."""
+    few = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     if has_boxes(data, dims):
-        return _hits(overlap_pairs(boxes, data, dims, ["qid"], []).withColumnRenamed("a_qid", "qid"))
+        return _hits(overlap_pairs(boxes, data, dims, ["qid"], [], few).withColumnRenamed("a_qid", "qid"))
     rows = boxes.select("qid", *bound_names(dims))
     covered = cover(with_levels(rows, dims, cells or CELLS_PER_BOX), dims)
     per_level = cells_per_level(covered)
     if not per_level:
         return boxes.select("qid", F.lit(0).cast("long").alias("hits"))
-    if sum(per_level.values()) <= BROADCAST_ROWS:
+    if sum(per_level.values()) <= few:
         pairs = point_cells(data.select(*dims), dims, per_level).join(F.broadcast(covered), ["level", "cell"])
     else:
-        marked = data.select(*dims, F.xxhash64(*data.columns).alias("_row"))
-        placed = point_cells(marked, dims, per_level)
-        pairs = skew_join(placed, covered, ["level", "cell"], "_row", data.count() * len(per_level))
+        placed = point_cells(data.select(*dims), dims, per_level)
+        pairs = skew_join(placed, covered, ["level", "cell"], None, data.count() * len(per_level))
     inside = all_of([F.col(d).between(F.col(f"l{d}"), F.col(f"h{d}")) for d in dims])
     return _hits(pairs.filter(inside))
 
 
-def refined_hits(index: BoxIndex, candidates: DataFrame, bound: int, by: Sequence[str] = ()) -> DataFrame:
+def refined_hits(index: BoxIndex, found: DataFrame, bound: int, by: Sequence[str] = ()) -> DataFrame:
     """Hits of block candidates: whole blocks from their row counts, the others row by row."""
-    whole = candidates.filter("inside").select(*by, "qid", F.col("n").alias("hits"))
-    edge = candidates.filter(~F.col("inside")).drop("n", "inside")
+    whole = found.filter("inside").select(*by, "qid", F.col("n").alias("hits"))
+    edge = found.filter(~F.col("inside")).drop("n", "inside")
     coords = coordinate_names(index.points, index.dims)
     renamed = edge.select("qid", *by, "segment", "block", *[F.col(c).alias(f"q_{c}") for c in bound_names(index.dims)])
     rows = index.points.select("segment", "block", *coords)
@@ -124,23 +133,27 @@ def refined_hits(index: BoxIndex, candidates: DataFrame, bound: int, by: Sequenc
     return whole.unionByName(_hits(pairs.filter(near), *by))
 
 
-def _count_blocks(index: BoxIndex, boxes: DataFrame) -> DataFrame:
-    return refined_hits(index, *block_candidates(index, boxes))
+def _count_blocks(index: BoxIndex, boxes: DataFrame, nested_loop_boxes: int | None = None) -> DataFrame:
+    return refined_hits(index, *block_candidates(index, boxes, nested_loop_boxes))
 
 
-def _count_levels(index: BoxIndex, boxes: DataFrame) -> DataFrame:
-    whole, leaves, bound = level_candidates(index, boxes)
-    return whole.unionByName(refined_hits(index, leaves, bound))
+def _count_levels(index: BoxIndex, boxes: DataFrame, start_level: int | None = None) -> DataFrame:
+    whole, leaves, bound = level_candidates(index, boxes, start_level)
+    return whole.select("qid", F.col("n").alias("hits")).unionByName(refined_hits(index, leaves, bound))
 
 
 def _count_packed(index: BoxIndex, boxes: DataFrame) -> DataFrame:
     """Blocks stay packed as arrays; each candidate pair counts inside its arrays."""
-    candidates, bound = block_candidates(index, boxes)
-    whole = candidates.filter("inside").select("qid", F.col("n").alias("hits"))
-    edge = candidates.filter(~F.col("inside")).drop("n", "inside")
+    found, bound = candidates(index, boxes)
+    whole = found.filter("inside").select("qid", F.col("n").alias("hits"))
+    edge = found.filter(~F.col("inside")).drop("n", "inside")
     edge = edge.select("qid", "segment", "block", *[F.col(c).alias(f"q_{c}") for c in bound_names(index.dims)])
-    packed = pack_blocks(index.points, index.dims, index.id_col, ("segment", "block"))
-    pairs = join_rows(index, edge, bound, packed.drop(index.id_col))
+    # only blocks that a box looks into are packed, and of their rows only what is compared
+    wanted = edge.select("segment", "block").distinct()
+    wanted = F.broadcast(wanted) if bound <= BROADCAST_ROWS else wanted
+    rows = wanted_segments(index, edge, index.points, bound).join(wanted, ["segment", "block"], "left_semi")
+    packed = pack_blocks(rows, index.dims, "slot", ("segment", "block"))
+    pairs = join_rows(index, edge, bound, packed.drop("slot"))
     b = box_of(packed, index.dims)
 
     def near(i):
@@ -165,7 +178,7 @@ def partitioned_count(index: BoxIndex, boxes: DataFrame, p: int) -> DataFrame:
     rows = with_segment(rows.drop("_local"), index.segment_blocks)
     blocks = with_segment(block_summary(rows, index.dims, ("part", "block")), index.segment_blocks)
     own = index.with_tables(points=rows, blocks=blocks.drop("part"), n_blocks=p * per_part)
-    found, bound = block_candidates(own, boxes)
+    found, bound = candidates(own, boxes, own.n_blocks)  # parts have no pyramid
     found = found.withColumn("part", F.expr(f"cast(block div {per_part} AS int)"))
     return refined_hits(own, found, bound, ("part",)).groupBy("part", "qid").agg(F.sum("hits").alias("hits"))
 

@@ -71,36 +71,35 @@ def skew_join(
     big: DataFrame,
     small: DataFrame,
     keys: list[str],
-    row_id: str,
+    row_id: str | None,
     total: int,
     min_rows: int = HOT_MIN_ROWS,
 ) -> DataFrame:
-    """Inner equi join that splits the hot keys of `big` over several tasks.
+    """Inner equi join that splits the hot keys of either side over several tasks.
 
-    Hot keys are counted exactly. Their rows are spread by a hash of `row_id`, and the matching rows of
-    `small` are repeated once per spread value. At most HOT_KEYS keys can be hot, so that list is
-    broadcast.
+    Keys are counted exactly on both sides. A key that is hot on a side has that side's rows spread over as
+    many tasks as its share asks for, and the other side's rows repeated once for each of them; hot on both
+    sides, the tasks form a grid. At most HOT_KEYS keys can be hot on a side, so that list is broadcast.
+    row_id names a column of `big` that tells its rows apart; without one, and always for `small`, rows are
+    numbered in a written copy, so that equal rows are spread too and stay where they are after a failure.
     """
-    threshold = max(min_rows, -(-total // HOT_KEYS))
-    hot = (
-        big.groupBy(*keys)
-        .count()
-        .filter(F.col("count") > threshold)
-        .select(*keys, F.ceil(F.col("count") / threshold).cast("int").alias("_salts"))
-    )
-    hot = F.broadcast(written(hot, "hot-keys"))
-    spread = F.coalesce("_salts", F.lit(1))
-    left = (
-        big.join(hot, keys, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(row_id), spread).cast("int"))
-        .drop("_salts")
-    )
-    right = (
-        small.join(hot, keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), spread - 1)))
-        .drop("_salts")
-    )
-    return left.join(right, [*keys, "_salt"]).drop("_salt")
+    numbered = written(small.withColumn("_small", F.monotonically_increasing_id()), "skew-small")
+    if row_id is None:
+        big = written(big.withColumn("_big", F.monotonically_increasing_id()), "skew-big")
+    sides = []
+    for side, rows, name in ((big, total, "_a"), (numbered, numbered.count(), "_b")):
+        threshold = max(min_rows, -(-rows // HOT_KEYS))
+        counted = side.groupBy(*keys).count().filter(F.col("count") > threshold)
+        sides.append(counted.select(*keys, F.ceil(F.col("count") / threshold).cast("int").alias(name)))
+    hot = F.broadcast(written(sides[0].join(sides[1], keys, "full"), "hot-keys"))
+    one = F.lit(1)
+    a, b = F.coalesce("_a", one), F.coalesce("_b", one)
+    own = F.pmod(F.xxhash64(row_id or "_big"), a).cast("int")
+    left = big.join(hot, keys, "left").withColumns({"_left": own, "_right": F.sequence(F.lit(0), b - 1)})
+    left = left.withColumn("_right", F.explode("_right")).drop("_a", "_b", "_big")
+    right = numbered.join(hot, keys, "left").withColumn("_right", F.pmod(F.xxhash64("_small"), b).cast("int"))
+    right = right.withColumn("_left", F.explode(F.sequence(F.lit(0), a - 1))).drop("_a", "_b", "_small")
+    return left.join(right, [*keys, "_left", "_right"]).drop("_left", "_right")
 
 
 _shipped: set[str] = set()

@@ -57,6 +57,8 @@ def few_rows(monkeypatch):
             if hasattr(module, name):
                 monkeypatch.setattr(module, name, 4)
     monkeypatch.setattr(candidates, "FEW_SEGMENTS", 1)
+    monkeypatch.setattr(candidates, "FLAT_BLOCKS", 4)
+    monkeypatch.setattr(candidates, "UNFOLD", 3)
     monkeypatch.setattr(runs, "RUN_CHUNK", 8)
     monkeypatch.setattr(session, "HOT_MIN_ROWS", 5)
     monkeypatch.setattr(session.skew_join, "__defaults__", (5,))

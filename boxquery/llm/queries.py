@@ -90,9 +90,8 @@ def sentencepiece_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
         model = file.read()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = sentencepiece.decoded(sentencepiece.encoded(docs, model), model)
-    same = F.col("decoded").eqNullSafe(F.translate("text", sentencepiece.MARKER, " "))
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "score", "ids", same.alias("round_trip"))
+    found = sentencepiece.encoded(docs, model, same_col="round_trip")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "score", "ids", "round_trip")
 
 
 @register("op5_token_counts")

@@ -25,7 +25,8 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # piece types of the file format
 UNIGRAM = 1  # model type of the file format
 
 SLICE_BYTES = 2 << 20
-HELD_CHUNKS = 200_000
+HELD_CHUNKS = 100_000
+TOGETHER = 200_000  # bytes of chunks that are encoded side by side
 LONG_CHUNK = 512  # bytes; a longer chunk is encoded alone
 
 
@@ -182,9 +183,15 @@ class Pieces:
         """Ids and score of the best segmentation of each chunk."""
         encoded = [chunk.replace(" ", MARKER).encode() for chunk in chunks]
         out: list = [None] * len(chunks)
-        short = [i for i, e in enumerate(encoded) if len(e) <= LONG_CHUNK]
-        for i, best in zip(short, self._viterbi([encoded[i] for i in short])):
-            out[i] = best
+        held, size = [], 0
+        for i, e in enumerate(encoded):
+            if len(e) <= LONG_CHUNK:
+                held.append(i)
+                size += len(e)
+            if held and (size >= TOGETHER or i == len(encoded) - 1):
+                for j, best in zip(held, self._viterbi([encoded[j] for j in held])):
+                    out[j] = best
+                held, size = [], 0
         for i, e in enumerate(encoded):
             if out[i] is None:
                 out[i] = self._viterbi_alone(e)
@@ -281,29 +288,36 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
-def encoded(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str = "ids", score_col: str = "score") -> DataFrame:
+def encoded(
+    docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str = "ids", score_col: str = "score", same_col: str | None = None
+) -> DataFrame:
     """docs with the ids and the log score of the best segmentation of each text.
 
-    All columns stay, one of the names ids_col or score_col is replaced. A null text has null ids and score.
+    With same_col, also whether the ids decode to the text (markers taken for spaces). All columns stay; columns
+    of the new names are replaced. A null text has null ids and score, and is the same.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Pieces(model))
-    kept = [c for c in docs.columns if c not in (ids_col, score_col)]
+    added = [ids_col, score_col, *([same_col] if same_col else [])]
+    kept = [c for c in docs.columns if c not in added]
     base = docs.select(*[F.col(f"`{c}`") for c in kept])
     place = kept.index(text_col)
-    schema = T.StructType([*base.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(score_col, T.DoubleType())])
+    schema = T.StructType([*base.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(score_col, T.DoubleType()), *([T.StructField(same_col, T.BooleanType())] if same_col else [])])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, known = shared.value, {}
         for batch in slices(batches, SLICE_BYTES):
             column = batch.column(place)
-            ids, scores = [], []
-            for found, score in pieces.encode([text or "" for text in column.to_pylist()], known):
+            ids, scores, same = [], [], []
+            texts = [text or "" for text in column.to_pylist()]
+            for text, (found, score) in zip(texts, pieces.encode(texts, known)):
                 ids.append(found)
                 scores.append(float(score))
+                if same_col:
+                    same.append(pieces.decode(found.tolist()) == text.replace(MARKER, " "))
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32), mask=np.append(column.is_null().to_numpy(zero_copy_only=False), False) if column.null_count else None)
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]), pa.int32()))
             scored = pa.array(scores, pa.float64(), mask=column.is_null().to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists, scored], names=[*kept, ids_col, score_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, scored, *([pa.array(same, pa.bool_())] if same_col else [])], names=[*kept, *added])
 
     return base.mapInArrow(encode, schema)
 

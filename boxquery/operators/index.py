@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, functions as F
 
 from boxquery.operators.blocks import DEGREE, block_summary, build_levels, with_block
-from boxquery.operators.order import ordered
+from boxquery.operators.order import RESERVED, free_names, ordered
 from boxquery.session import written
 
 # Blocks per stored segment: enough segments for parallel reads of small data, and about a gigabyte
@@ -80,6 +80,7 @@ def build_index(
     id_col: str = "pid",
     **order_options,
 ) -> BoxIndex:
-    """Order the rows, cut them into blocks and summarise the blocks."""
+    """Order the rows, cut them into blocks and summarise the blocks. Other columns stay with their rows."""
+    free_names(df, RESERVED if cluster != "kmeans" else (*RESERVED, "cluster", "crank"))
     rows = ordered(df, dims, cluster, id_col, **order_options)
     return index_of(rows, dims, degree, id_col, cluster)

@@ -26,12 +26,24 @@ def _rebuilt(index: BoxIndex, rows: DataFrame) -> BoxIndex:
 
 
 def insert(index: BoxIndex, rows: DataFrame) -> BoxIndex:
-    """Index over the old and the new rows. Keys are computed for the new rows only; places are redone."""
+    """Index over the old and the new rows. Keys are computed for the new rows only; places are redone.
+
+    All columns of the index stay; new rows get null where they lack one, and may not bring others. Ids must be
+    new: of rows that share a key and an id, the order would be arbitrary, so repeated ids are an error.
+    """
     if index.cluster == "kmeans":
         raise ValueError("rows of a k-means index must be clustered again with build_index")
-    columns = [index.id_col, *coordinate_names(index.points, index.dims), "h"]
-    added = with_box_hilbert(rows.select(*columns[:-1]), index.dims)
-    return _rebuilt(index, index.points.select(*columns).unionByName(added.select(*columns)))
+    stored = index.points.drop(*PLACE_COLUMNS)
+    unknown = [c for c in rows.columns if c not in stored.columns or c == "h"]
+    if unknown:
+        raise ValueError(f"the index has no column {', '.join(unknown)} to insert into")
+    repeated = rows.groupBy(index.id_col).count().filter("count > 1").select(index.id_col)
+    known = rows.select(index.id_col).join(stored.select(index.id_col), index.id_col, "left_semi")
+    clash = repeated.unionByName(known).head()
+    if clash is not None:
+        raise ValueError(f"{index.id_col} {clash[0]} is there already or comes twice")
+    added = with_box_hilbert(rows, index.dims)
+    return _rebuilt(index, stored.unionByName(added, allowMissingColumns=True))
 
 
 def match_deletes(index: BoxIndex, deletes: DataFrame) -> DataFrame:

@@ -20,8 +20,20 @@ TILE_CAPACITY = 128
 TILE_CHUNK = 65_536
 
 
+# Names that the layout gives to its own columns.
+RESERVED = ("h", "ordinal", "block", "slot", "segment")
+
+
+def free_names(df: DataFrame, names: Sequence[str]) -> None:
+    """Raise if df has a column of one of these names, which would be overwritten."""
+    taken = [c for c in df.columns if c.lower() in names]
+    if taken:
+        raise ValueError(f"rename {', '.join(taken)}: the index has columns of that name")
+
+
 def with_box_hilbert(df: DataFrame, dims: Sequence[str], key: str = "h") -> DataFrame:
     """Hilbert key of points, or of the lower corners of boxes."""
+    free_names(df, [key])
     names = [f"_p{i}" for i in range(len(dims))]
     corners = df.select("*", *[c.alias(n) for c, n in zip(box_of(df, dims).lo, names)])
     return with_hilbert(corners, names, key=key).drop(*names)
@@ -31,7 +43,7 @@ def hilbert_cluster(
     df: DataFrame, dims: Sequence[str], id_col: str = "pid", partitions: int | None = None
 ) -> DataFrame:
     """Add the Hilbert key and lay the rows out in key order; ties follow the id."""
-    keyed = df if "h" in df.columns else with_box_hilbert(df, dims)
+    keyed = with_box_hilbert(df, dims)
     keys = ["h", id_col]
     return _ranged(keyed, keys, partitions).sortWithinPartitions(*keys)
 
@@ -46,7 +58,8 @@ def with_ordinal(
 ) -> DataFrame:
     """Add 1..N in the order of the keys, which must identify a row.
 
-    One range shuffle and one sort. The sorted rows are written with their place inside their
+    One range shuffle and one sort. Unless it is a Parquet table, df is evaluated three times: to count its rows,
+    to sample its keys and to shuffle it. The sorted rows are written with their place inside their
     partition; the partition sizes, one row per partition, then give every partition its offset.
     Because the last key makes rows distinct, a repeated first key is cut like any other range.
     """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -10,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from boxquery.operators.blocks import DEGREE, block_summary, build_levels
 from boxquery.operators.index import BoxIndex, build_index, with_segment
+from boxquery.operators.mutate import insert
 
 PARTS = ("points", "blocks", "nodes")
 META = "meta"
+DELTA = "delta"
+VERSION = "v"
 
 
 def save_index(index: BoxIndex, path: str, params: dict | None = None) -> None:
@@ -22,6 +26,76 @@ def save_index(index: BoxIndex, path: str, params: dict | None = None) -> None:
     _save_part(index.points, path, "points", stored)
     _save_part(index.blocks, path, "blocks", stored)
     _save_part(index.nodes, path, "nodes", stored)
+    metas = _read_metas(index.points.sparkSession, path)
+    if _latest(metas) is not None:  # a compacted version is there: the parts just saved come after it
+        parts = {part: metas[part] for part in PARTS}
+        _add_version(index.points.sparkSession, path, metas, {"folder": path, "parts": parts, "merged": {}})
+
+
+def _latest(metas: dict[str, dict]) -> dict | None:
+    """The newest version: the folder of its parts, their descriptions, and the last merged batch of each stream."""
+    versions = [part for part in metas if part.startswith(VERSION)]
+    return metas[max(versions)] if versions else None
+
+
+def _add_version(spark: SparkSession, path: str, metas: dict[str, dict], content: dict) -> None:
+    number = 1 + max((int(part[1:]) for part in metas if part.startswith(VERSION)), default=0)
+    _write_meta(spark, path, f"{VERSION}{number:08d}", content)
+
+
+def delta_rows(spark: SparkSession, path: str) -> DataFrame | None:
+    """Rows inserted beside the index and not merged into it, with their stream and batch; None if there are none."""
+    try:
+        rows = spark.read.option("mergeSchema", "true").parquet(f"{path}/{DELTA}")
+    except AnalysisException as missing:
+        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    merged = (_latest(_read_metas(spark, path)) or {"merged": {}})["merged"]
+    for stream, batch in merged.items():
+        rows = rows.filter(~((F.col("stream") == stream) & (F.col("batch_id") <= batch)))
+    return None if rows.isEmpty() else rows
+
+
+def compact(spark: SparkSession, path: str) -> BoxIndex:
+    """Merge the inserted rows into the index at `path`, in a folder of their own.
+
+    Readers see the new version from the moment its description is written, one file; before that nothing they
+    read is touched. Batches that were merged are no longer read.
+    """
+    delta = delta_rows(spark, path)
+    if delta is None:
+        return load_index(spark, path)
+    last = {r["stream"]: r["batch_id"] for r in delta.groupBy("stream").agg(F.max("batch_id").alias("batch_id")).collect()}
+    metas = _read_metas(spark, path)
+    folder, parts, merged = _current(metas, path)
+    taken = delta.filter(" OR ".join(f"(stream = '{s}' AND batch_id <= {b})" for s, b in last.items()))
+    bigger = insert(_stored(spark, folder, parts), _inserted(taken))
+    stored = _describe(bigger, parts["points"]["params"])
+    fresh = f"{path}/version-{uuid.uuid4().hex}"
+    for part in PARTS:
+        _save_part(getattr(bigger, part), fresh, part, stored)
+    content = {"folder": fresh, "parts": _read_metas(spark, fresh), "merged": {**merged, **last}}
+    _add_version(spark, path, metas, content)
+    return load_index(spark, path)
+
+
+def _inserted(delta: DataFrame) -> DataFrame:
+    return delta.drop("stream", "batch_id", "h")
+
+
+def _current(metas: dict[str, dict], path: str) -> tuple[str, dict, dict]:
+    latest = _latest(metas)
+    if latest is not None:
+        return latest["folder"], latest["parts"], latest["merged"]
+    missing = [part for part in PARTS if part not in metas]
+    if missing:
+        raise FileNotFoundError(f"{path} has no finished {', '.join(missing)}")
+    return path, {part: metas[part] for part in PARTS}, {}
+
+
+def _stored(spark: SparkSession, folder: str, parts: dict) -> BoxIndex:
+    return _assemble(parts["points"], {p: _read_part(spark, folder, p, parts[p]) for p in PARTS})
 
 
 def _describe(index: BoxIndex, params: dict) -> dict:
@@ -75,12 +149,10 @@ def _read_part(spark: SparkSession, path: str, part: str, meta: dict) -> DataFra
 
 
 def load_index(spark: SparkSession, path: str) -> BoxIndex:
-    """Open a saved index as it is."""
-    metas = _read_metas(spark, path)
-    missing = [part for part in PARTS if part not in metas]
-    if missing:
-        raise FileNotFoundError(f"{path} has no finished {', '.join(missing)}")
-    return _assemble(metas["points"], {p: _read_part(spark, path, p, metas[p]) for p in PARTS})
+    """Open a saved index with all rows that have been inserted beside it; `compact` makes that cheap again."""
+    folder, parts, _ = _current(_read_metas(spark, path), path)
+    index, delta = _stored(spark, folder, parts), delta_rows(spark, path)
+    return index if delta is None else insert(index, _inserted(delta))
 
 
 def _assemble(meta: dict, tables: dict[str, DataFrame]) -> BoxIndex:
@@ -109,8 +181,9 @@ def open_index(
 ) -> BoxIndex:
     """Load the index at `path` if it was built with exactly these parameters, else build and save it.
 
-    Compared are source name, dimensions, row count, degree, cluster type and the order options. If only
-    the blocks or nodes are missing or differ, they are made again from the stored points.
+    Compared are source name, dimensions, row count, degree, cluster type and the order options, the number of
+    partitions among them. If only the blocks or nodes are missing or differ, they are made again from the stored
+    points. Rows inserted beside the index are part of it.
     """
     spark = rows.sparkSession
     params = {
@@ -123,6 +196,9 @@ def open_index(
         "order": {k: order_options[k] for k in sorted(order_options)},
     }
     metas = {} if force_rebuild else _read_metas(spark, path)
+    latest = _latest(metas)
+    if latest is not None and latest["parts"]["points"]["params"] == params:
+        return load_index(spark, path)
     fitting = {part: meta for part, meta in metas.items() if meta["params"] == params}
     if "points" not in fitting:
         save_index(build_index(rows, dims, degree, cluster, id_col, **order_options), path, params)
@@ -137,4 +213,5 @@ def open_index(
         blocks = spark.read.parquet(f"{path}/blocks")
         _save_part(build_levels(blocks, dims, degree, stored["n_blocks"]), path, "nodes", described)
         fitting = _read_metas(spark, path)
-    return _assemble(stored, {part: _read_part(spark, path, part, fitting[part]) for part in PARTS})
+    index, delta = _stored(spark, path, fitting), delta_rows(spark, path)
+    return index if delta is None else insert(index, _inserted(delta))

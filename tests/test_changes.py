@@ -67,12 +67,48 @@ def test_stream_equals_batch(spark, sf_dir, index, tmp_path):
     stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
     query = insert_stream(events3(spark, sf_dir, stream), path, DIMS, str(tmp_path / "progress"))
     query.awaitTermination()
-    stored = load_index(spark, path)
     boxes, batch = boxes64(spark), insert(index, events3(spark, sf_dir))
     assert delta_rows(spark, path).select("batch_id").distinct().count() == 3
+    stored = load_index(spark, path)
+    assert stored.rows == batch.rows and counts(stored, boxes) == counts(batch, boxes)
+    assert counts(current_rows(index, path), boxes, dims=DIMS) == counts(batch, boxes)
     assert counts(compacted(stored, path), boxes) == counts(batch, boxes)
-    assert counts(current_rows(stored, path), boxes, dims=DIMS) == counts(batch, boxes)
+    assert delta_rows(spark, path) is None
     # The same progress folder again: nothing new arrives and nothing is counted twice.
     again = insert_stream(events3(spark, sf_dir, stream), path, DIMS, str(tmp_path / "progress"))
     again.awaitTermination()
     assert compacted(stored, path).rows == batch.rows
+
+
+def test_two_streams_keep_their_rows(spark, sf_dir, index, tmp_path):
+    path = str(tmp_path / "ix")
+    save_index(index, path)
+    raw = table(spark, sf_dir, "events")
+    for part in (0, 1):
+        source = str(tmp_path / f"in{part}")
+        raw.filter(F.col("event_id") % 2 == part).write.parquet(source)
+        stream = spark.readStream.schema(raw.schema).parquet(source)
+        insert_stream(events3(spark, sf_dir, stream), path, DIMS, str(tmp_path / f"progress{part}")).awaitTermination()
+        if part == 0:
+            assert compacted(load_index(spark, path), path).rows == index.rows + raw.filter("event_id % 2 = 0").count()
+    assert load_index(spark, path).rows == index.rows + raw.count()
+    assert delta_rows(spark, path).count() == raw.filter("event_id % 2 = 1").count()
+    assert compacted(index, path).rows == load_index(spark, path).rows == index.rows + raw.count()
+    save_index(index, path)  # saved anew: all that was inserted is beside it again
+    assert load_index(spark, path).rows == index.rows + raw.count()
+
+
+def test_insert_keeps_other_columns(spark, sf_dir, points):
+    tagged = build_index(points.withColumn("tag", F.col("pid") % 5), DIMS)
+    bigger = insert(tagged, events3(spark, sf_dir))
+    assert dict(bigger.points.groupBy((F.col("tag") == F.col("pid") % 5).alias("same")).count().collect()) == {True: 6_000, None: 1_000}
+    with pytest.raises(ValueError):
+        insert(tagged, events3(spark, sf_dir).withColumn("other", F.lit(1)))
+    with pytest.raises(ValueError):
+        insert(tagged, points.limit(1))
+
+
+@pytest.mark.parametrize("name", ["h", "slot", "block", "segment", "ordinal"])
+def test_names_of_the_index_are_not_overwritten(points, name):
+    with pytest.raises(ValueError):
+        build_index(points.withColumn(name, F.lit("mine")), DIMS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -93,31 +93,6 @@ def nearest(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return out
 
 
-def chunked_best(
-    rows: np.ndarray, n_boxes: int, keys: Callable[[np.ndarray, slice], tuple[np.ndarray, np.ndarray]]
-) -> tuple[np.ndarray, np.ndarray]:
-    """Per row the box with the least (first key, second key, position), boxes taken in slices."""
-    best = np.zeros(len(rows), dtype=np.int64)
-    best_first = np.full(len(rows), np.inf)
-    best_second = np.full(len(rows), np.inf)
-    width = max(1, min(n_boxes, 1_024))
-    step = max(1, MATRIX // width)
-    for start in range(0, len(rows), step):
-        here = slice(start, start + step)
-        for low in range(0, n_boxes, width):
-            part = slice(low, low + width)
-            first, second = keys(rows[here], part)
-            least = first.min(axis=1)
-            tied = np.where(first == least[:, None], second[None, :], np.inf)
-            column = tied.argmin(axis=1)
-            size = tied[np.arange(len(column)), column]
-            better = (least < best_first[here]) | ((least == best_first[here]) & (size < best_second[here]))
-            best[here] = np.where(better, low + column, best[here])
-            best_first[here] = np.where(better, least, best_first[here])
-            best_second[here] = np.where(better, size, best_second[here])
-    return best, best_first
-
-
 def sphere_volumes(low: Sequence[np.ndarray], high: Sequence[np.ndarray], unit: float) -> np.ndarray:
     """Volume of the sphere through the corners of boxes, given one array per dimension."""
     total = 0.0
@@ -131,3 +106,56 @@ def sphere_volumes(low: Sequence[np.ndarray], high: Sequence[np.ndarray], unit:
         power *= radius
     power *= unit
     return power
+
+
+def _growths(points: np.ndarray, low: np.ndarray, high: np.ndarray, sizes: np.ndarray, unit: float) -> np.ndarray:
+    """How much each box grows by each row (a box itself: lower corner, then upper corner)."""
+    d = len(low)
+    joined_low = [np.minimum.outer(points[:, i], low[i]) for i in range(d)]
+    joined_high = [np.maximum.outer(points[:, d + i], high[i]) for i in range(d)]
+    return sphere_volumes(joined_low, joined_high, unit) - sizes[None, :]
+
+
+def _may_grow_least(points: np.ndarray, low: np.ndarray, high: np.ndarray, sizes: np.ndarray, unit: float) -> np.ndarray:
+    """Numbers of the boxes that can be the best one for a row of the group.
+
+    A box grows at least as much as by the smallest common part of all rows (highest lower and lowest upper
+    corner), axis by axis, and at most as much as by the box around all rows. What grows more at least than
+    another box grows at most is out.
+    """
+    d = len(low)
+    outer = np.concatenate([points[:, :d].min(axis=0), points[:, d:].max(axis=0)])[None, :]
+    inner_low, inner_high = points[:, :d].max(axis=0), points[:, d:].min(axis=0)
+    least = sphere_volumes(
+        [np.minimum(inner_low[i], low[i]) for i in range(d)], [np.maximum(inner_high[i], high[i]) for i in range(d)], unit
+    ) - sizes
+    most = _growths(outer, low, high, sizes, unit)[0].min()
+    return np.flatnonzero(least <= most + SLACK * (1 + abs(most) + sizes))
+
+
+def least_growth(points: np.ndarray, low: np.ndarray, high: np.ndarray, sizes: np.ndarray, unit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Per row the box that grows least, and its growth; ties go to the smaller box, then to the earlier one.
+
+    Rows are halved along every axis of their centers until few are together or few boxes are left for them.
+    """
+    best, growth = np.zeros(len(points), np.int64), np.zeros(len(points))
+    d = len(low)
+    centers = points[:, :d] + points[:, d:]
+    waiting = [(np.arange(len(points)), np.arange(len(sizes)))] if len(points) else []
+    while waiting:
+        rows, boxes = waiting.pop()
+        if len(boxes) > FEW_CENTERS:
+            boxes = boxes[_may_grow_least(points[rows], low[:, boxes], high[:, boxes], sizes[boxes], unit)]
+        if len(rows) > CELL_ROWS and len(boxes) > FEW_CENTERS:
+            parts = _halved(centers[rows])
+            if len(parts) > 1:
+                waiting += [(rows[part], boxes) for part in parts]
+                continue
+        step = max(1, MATRIX // len(boxes))
+        for start in range(0, len(rows), step):
+            part = rows[start : start + step]
+            grown = _growths(points[part], low[:, boxes], high[:, boxes], sizes[boxes], unit)
+            least = grown.min(axis=1)
+            chosen = np.where(grown == least[:, None], sizes[boxes][None, :], np.inf).argmin(axis=1)
+            best[part], growth[part] = boxes[chosen], least
+    return best, growth

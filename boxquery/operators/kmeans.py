@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from boxquery.functions.hilbert import with_hilbert
 from boxquery.functions.nearest import in_slabs, nearest
-from boxquery.operators.order import with_box_hilbert, with_ordinal
+from boxquery.operators.order import free_names, with_box_hilbert, with_ordinal
 from boxquery.session import written
 
 # Default number of clusters, rounds and share of changed rows at which to stop.
@@ -24,32 +24,39 @@ CLUSTERS = 20_000
 ROUNDS = 1_000
 CHANGED_SHARE = 1e-5
 
-# Centroids live on the driver and in every Python worker; this many of three dimensions are 24 MB.
-MAX_CLUSTERS = 1_000_000
-
 
 def pick_seeds(df: DataFrame, dims: Sequence[str], k: int, seed: int | None = 0, id_col: str = "pid") -> DataFrame:
     """(cluster, coordinates) of k different rows in pseudo-random order; seed=None takes the first k ids.
 
-    A top-k: each task keeps at most k rows before the final merge.
+    A threshold that lets about twice k rows through is found first, so that no task sends k rows of its own to
+    the final sort: a share of all hashes, or a quantile of the ids. It is widened until k rows are below it.
     """
-    _check_k(k)
+    if k < 1:
+        raise ValueError("k must be at least 1")
     order = [F.col(id_col)] if seed is None else [F.xxhash64(F.lit(seed), F.col(id_col)), F.col(id_col)]
-    picked = df.select(id_col, *dims).orderBy(*order).limit(k)
+    rows = df.select(id_col, *dims)
+    total, share = rows.count(), 2.0
+    while True:
+        wanted = share * k / total if total else 1.0
+        if wanted >= 0.5:
+            few = rows
+            break
+        if seed is None:
+            few = rows.filter(F.col(id_col) <= rows.agg(F.approx_percentile(id_col, wanted)).first()[0])
+        else:
+            few = rows.filter(order[0] < int((wanted * 2 - 1) * (1 << 63)))
+        if few.count() >= k:
+            break
+        share *= 4
+    picked = few.orderBy(*order).limit(k)
     number = F.row_number().over(Window.orderBy(*order)) - 1
     return picked.select(number.cast("long").alias("cluster"), *[F.col(d).cast("double").alias(d) for d in dims])
 
 
-def _check_k(k: int) -> None:
-    if not 1 <= k <= MAX_CLUSTERS:
-        raise ValueError(f"k must be between 1 and {MAX_CLUSTERS}")
-
-
 def centers_of(centroids: DataFrame, dims: Sequence[str]) -> np.ndarray:
     """The centroids as an array, row number = cluster."""
-    n = centroids.count()
-    _check_k(n)
     frame = centroids.select("cluster", *dims).toPandas().sort_values("cluster")
+    n = len(frame)
     if not np.array_equal(frame["cluster"].to_numpy(), np.arange(n)):
         raise ValueError("clusters must be numbered 0..k-1")
     return frame[list(dims)].to_numpy(dtype=np.float64)
@@ -61,19 +68,31 @@ def centroid_table(df: DataFrame, centers: np.ndarray, dims: Sequence[str]) -> D
     return df.sparkSession.createDataFrame(frame)
 
 
+def finite(df: DataFrame, dims: Sequence[str]) -> list:
+    """The coordinates as doubles; a null, NaN or infinite one is an error."""
+    fine = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
+    out = []
+    for d in dims:
+        c = F.col(d).cast("double")
+        out.append(F.when(fine(c), c).otherwise(F.raise_error(F.lit(f"coordinate {d} must be a finite number"))).alias(d))
+    return out
+
+
 def assign_nearest(df: DataFrame, dims: Sequence[str], centroids: DataFrame | np.ndarray) -> DataFrame:
-    """Add the nearest centroid of each row as `cluster`; the lowest number wins a tie."""
+    """Add the nearest centroid of each row as `cluster`; the lowest number wins a tie.
+
+    Only the coordinates go to Python; the other columns stay as they are. A column `cluster` is an error.
+    """
+    free_names(df, ["cluster"])
     centers = centroids if isinstance(centroids, np.ndarray) else centers_of(centroids, dims)
     shared = df.sparkSession.sparkContext.broadcast(centers)
-    columns = list(dims)
 
-    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for slab in in_slabs(frames):
-            slab["cluster"] = nearest(slab[columns].to_numpy(), shared.value)
-            yield slab
+    @F.pandas_udf("bigint")
+    def assign(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            yield pd.Series(nearest(np.stack([c.to_numpy(dtype=np.float64) for c in columns], axis=1), shared.value))
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(assign, f"{schema}, cluster bigint")
+    return df.withColumn("cluster", assign(*finite(df, dims)))
 
 
 @dataclass(frozen=True)
@@ -105,8 +124,10 @@ def kmeans(
     """Lloyd rounds: assign, move each centroid to the mean of its rows, stop when few rows changed.
 
     An empty cluster keeps its centroid. The share of changed rows compares each row's nearest centroid
-    before and after the last move, so no assignment has to be stored.
+    before and after the last move, so no assignment has to be stored. The coordinates are written once before
+    the first round, so that an input that is itself a long plan is not evaluated in every round.
     """
+    df = written(df.select(id_col, *finite(df, dims)), "kmeans-points")
     centers = centers_of(pick_seeds(df, dims, k, seed, id_col), dims)
     before: np.ndarray | None = None
     rounds, changed = 0, 1.0

@@ -38,7 +38,7 @@ class Forest:
     def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.bitwise_count(self.prints[a] ^ self.prints[b]).astype(np.int64)
 
-    def earlier_within(self, radius: int, at_once: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def earlier_within(self, radius: int, at_once: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (fingerprint, earlier one of its shard) at most radius apart, by following only edges within the radius."""
         n = len(self.prints)
         size = np.bincount(self.root, minlength=n)[self.root]

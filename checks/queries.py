@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from boxquery import BoxIndex, range_count, range_search
-from boxquery.functions.boxes import bound_names, box, dist2, enlargement, sphere_volume, union, volume
+from boxquery.functions.boxes import bound_names, box, dist2, enlargement, overlaps, sphere_volume, union, volume
 from boxquery.functions.hilbert import with_hilbert
 from boxquery.operators import blocks as blocks_
 from boxquery.operators import kmeans as kmeans_
@@ -18,7 +18,7 @@ from boxquery.session import scratch_path, scratch_root
 from boxquery.sources import binary
 from boxquery.sources.index import load_index, open_index, save_index
 from boxquery.sources.normalise import normalise, to_boxes
-from boxquery.sources.uniform import uniform_columns
+from boxquery.sources.uniform import uniform_points
 from boxquery.streaming.insert import compacted, insert_stream
 from checks import oracle as o
 from checks.fixtures import DIMS, boxes64, events3, flat_boxes, order_boxes, part_boxes, points3, table
@@ -88,19 +88,21 @@ def _(spark, sf_dir):
 
 @register(
     "s3_uniform_points",
-    "SELECT count(*) AS points, count(*) AS in_range, CAST(0 AS BIGINT) AS repeated,"
+    "SELECT count(*) AS points, count(*) AS in_range, count(*) AS numbers, min(1) AS first_number, count(*) AS last_number,"
     " CAST(round(0.5e0, 1) AS DOUBLE) AS mean FROM lineitem",
 )
 def _(spark, sf_dir):
-    """As many points as lineitem has rows, half of them read at an offset into the same stream."""
-    numbered = order.with_ordinal(points3(spark, sf_dir).select("pid"), ["pid"], "number")
-    made = uniform_columns(numbered.select(F.col("number").alias("pid")), DIMS)
+    """As many points as lineitem has rows, from two calls: the second starts where the first one ends."""
+    n = table(spark, sf_dir, "lineitem").count()
+    half = n // 2
+    made = uniform_points(spark, half, DIMS).unionByName(uniform_points(spark, n - half, DIMS, offset=half))
     valid = " AND ".join(f"{d} > 0 AND {d} <= 1" for d in DIMS)
-    repeats = F.count(F.lit(1)) - F.count_distinct(*DIMS)
     return made.agg(
         F.count(F.lit(1)).alias("points"),
         F.sum(F.expr(f"CAST({valid} AS BIGINT)")).alias("in_range"),
-        repeats.alias("repeated"),
+        F.count_distinct("pid").alias("numbers"),
+        F.min("pid").cast("int").alias("first_number"),
+        F.max("pid").alias("last_number"),
         F.round(F.avg("x"), 1).alias("mean"),
     )
 
@@ -184,9 +186,27 @@ def _(spark, sf_dir):
     return bounds.select(long("depth"), "tile", *[long(f"c{n}") for n in bound_names(DIMS)])
 
 
-@register("p4_overlap", o.query([o.POINTS, o.BOXES64], o.COUNT))
+def _snapped(source: str, key: str) -> str:
+    """SQL, the same for both engines: boxes moved onto a coarse grid, so that many only touch."""
+    low = ", ".join(f"CAST(floor(CAST(l{d} AS DOUBLE) * 16) / 16 AS FLOAT) AS l{d}" for d in PLANE)
+    return f"SELECT {key}, {low}, {', '.join(f'CAST(floor(CAST(l{d} AS DOUBLE) * 16) / 16 + 0.0625 AS FLOAT) AS h{d}' for d in PLANE)} FROM {source}"
+
+
+@register(
+    "p4_overlap",
+    o.query(
+        [o.FLAT_BOXES, o.ORDER_BOXES, f"sb AS ({_snapped('b', 'qid')})", f"so AS ({_snapped('ob', 'pid')})"],
+        f"SELECT sb.qid, count(so.pid) AS hits FROM sb LEFT JOIN so ON {o.meet('sb', 'so', PLANE)} GROUP BY sb.qid",
+    ),
+)
 def _(spark, sf_dir):
-    return range_count(points3(spark, sf_dir), boxes64(spark), DIMS, "broadcast")
+    """Boxes against boxes, where shared edges and corners count."""
+    asked = spark.sql(_snapped("{boxes}", "qid"), boxes=flat_boxes(spark, sf_dir)).alias("q")
+    rows = spark.sql(_snapped("{boxes}", "pid"), boxes=order_boxes(spark, sf_dir)).alias("o")
+    # equal boxes are counted once and weighted
+    kinds = rows.groupBy(*bound_names(PLANE)).count().alias("o")
+    pairs = asked.join(kinds, overlaps(box(PLANE, "q"), box(PLANE, "o")), "left")
+    return pairs.groupBy("qid").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("hits"))
 
 
 def order_pairs(spark, sf_dir) -> DataFrame:
@@ -204,21 +224,11 @@ def _order_sql(columns: str) -> str:
     return o.query(o.ORDER_BLOCKED, f"SELECT o.pid, {columns} FROM o JOIN blk ON o.block = blk.block")
 
 
-@register(
-    "p5_box_union",
-    o.query(
-        [o.FLAT_BOXES, o.ORDER_BOXES],
-        "SELECT b.qid, ob.pid, "
-        + ", ".join(f"least(b.l{d}, ob.l{d}) AS l{d}, greatest(b.h{d}, ob.h{d}) AS h{d}" for d in PLANE)
-        + " FROM b JOIN ob ON b.qid = ob.pid",
-    ),
-)
+@register("p5_box_union", _order_sql(", ".join(f"{c} AS {n}" for c, n in zip([*_JOINT[0], *_JOINT[1]], bound_names(PLANE)))))
 def _(spark, sf_dir):
-    pairs = flat_boxes(spark, sf_dir).alias("q").join(order_boxes(spark, sf_dir).alias("o"), F.expr("q.qid = o.pid"))
-    both = union(box(PLANE, "q"), box(PLANE, "o"))
-    return pairs.select(
-        "qid", "pid", *[c.alias(n) for c, n in zip(both.lo + both.hi, bound_names(PLANE))]
-    )
+    """Every order's box together with the box of the block that it is stored in."""
+    both = union(box(PLANE, "a"), box(PLANE, "t"))
+    return order_pairs(spark, sf_dir).select("pid", *[c.alias(n) for c, n in zip(both.lo + both.hi, bound_names(PLANE))])
 
 
 @register("p6_box_volume", _order_sql(f"round({o.volume(*_T)}, 9) AS volume"))
@@ -370,16 +380,19 @@ def _(spark, sf_dir):
     o.query(
         o.ORDERED,
         "SELECT block, count(*) AS n, string_agg(CAST(pid AS VARCHAR), ',' ORDER BY slot) AS pids,"
-        " string_agg(CAST(CAST(trunc(CAST(1000000 AS FLOAT) * y) AS BIGINT) AS VARCHAR), ',' ORDER BY slot) AS ys"
-        " FROM o GROUP BY block",
+        + ", ".join(
+            f" string_agg(CAST(CAST(trunc(CAST(1000000 AS FLOAT) * {d}) AS BIGINT) AS VARCHAR), ',' ORDER BY slot) AS {d}s"
+            for d in DIMS
+        )
+        + " FROM o GROUP BY block",
     ),
 )
 def _(spark, sf_dir):
     packed = blocks_.pack_blocks(point_index(spark, sf_dir).points, DIMS)
-    scaled = F.transform("y", lambda v: (F.lit(1000000.0).cast("float") * v).cast("long").cast("string"))
+    scaled = lambda d: F.transform(d, lambda v: (F.lit(1000000.0).cast("float") * v).cast("long").cast("string"))
     ids = F.transform("pid", lambda v: v.cast("string"))
     return packed.select(
-        "block", long("n"), F.array_join(ids, ",").alias("pids"), F.array_join(scaled, ",").alias("ys")
+        "block", long("n"), F.array_join(ids, ",").alias("pids"), *[F.array_join(scaled(d), ",").alias(f"{d}s") for d in DIMS]
     )
 
 
@@ -475,12 +488,38 @@ _count_query("j4_range_count_blocks", "blocks")
 _count_query("j4_range_count_blocks_many_boxes", "blocks", many=True)
 _count_query("j5_range_count_levels", "levels")
 _count_query("j5_range_count_levels_many_boxes", "levels", many=True)
+_count_query("j4_grid_candidates", "blocks", many=True, nested_loop_boxes=16)
 _count_query("j6_range_count_partitions", "partitions", p=PARTITIONS)
 _count_query("j7_range_count_packed", "packed")
 _count_query("j10_scan_by_ranges", "ranges")
 _count_query("j10_scan_by_ranges_gap", "ranges", gap=4)
 
 
+@register("j5_descent_degree_8", o.query([o.POINTS, o.PART_BOXES], o.COUNT))
+def _(spark, sf_dir):
+    """Blocks of eight rows make a pyramid of several levels, gone down from its root."""
+    index = build_index(points3(spark, sf_dir), DIMS, degree=8)
+    return range_count(index, part_boxes(spark, sf_dir), method="levels")
+
+
+@register("j5_descent_from_level_2", o.query([o.POINTS, o.BOXES64], o.COUNT))
+def _(spark, sf_dir):
+    index = build_index(points3(spark, sf_dir), DIMS, degree=8)
+    return range_count(index, boxes64(spark), method="levels", start_level=2)
+
+
+@register("j2_search_by_descent", o.query([o.POINTS, o.BOXES64], f"SELECT b.qid, p.pid FROM b JOIN p ON {o.inside('p', 'b')}"))
+def _(spark, sf_dir):
+    index = build_index(points3(spark, sf_dir), DIMS, degree=8)
+    return range_search(index, boxes64(spark), flat_blocks=64)
+
+
+@register("j8_range_count_grid_shuffled", o.query([o.POINTS, o.PART_BOXES], o.COUNT))
+def _(spark, sf_dir):
+    """Neither side is broadcast."""
+    return range_count(points3(spark, sf_dir), part_boxes(spark, sf_dir), DIMS, "grid", broadcast_rows=0)
+
+
 @register("j8_range_count_grid", o.query([o.POINTS, o.BOXES64], o.COUNT))
 def _(spark, sf_dir):
     return range_count(points3(spark, sf_dir), boxes64(spark), DIMS, "grid")
@@ -546,6 +585,22 @@ def _(spark, sf_dir):
     return tiles.tile_overlaps(order_boxes(spark, sf_dir), PLANE, "pid")
 
 
+_MIXED = "mb AS (SELECT * FROM ob UNION ALL SELECT -1, 0, 0, 1, 1)"
+
+
+@register(
+    "j11_mixed_sizes",
+    o.query(
+        [o.ORDER_BOXES, _MIXED],
+        f"SELECT l.pid AS a, r.pid AS b FROM mb l JOIN mb r ON l.pid < r.pid AND {o.meet('l', 'r', PLANE)}",
+    ),
+)
+def _(spark, sf_dir):
+    """Many small boxes and one over everything."""
+    whole = spark.sql("SELECT -1L AS pid, 0f AS la, 0f AS lb, 1f AS ha, 1f AS hb")
+    return tiles.tile_overlaps(order_boxes(spark, sf_dir).unionByName(whole), PLANE, "pid")
+
+
 _POINT = ([f"p.{d}" for d in DIMS], [f"p.{d}" for d in DIMS])
 _BOX = (o.names("b", "l", DIMS), o.names("b", "h", DIMS))
 _GROWTH = f"{o.sphere(*o.joint(*_POINT, *_BOX))} - {o.sphere(*_BOX)}"
@@ -615,11 +670,45 @@ def _(spark, sf_dir):
     return model.centroids(points).select("cluster", *[rounded(d) for d in DIMS])
 
 
-@register("k3_kmeans_converged")
+@register("k3_kmeans_converged", "SELECT count(*) AS assigned, CAST(0 AS BIGINT) AS not_nearest, true AS settled FROM lineitem")
 def _(spark, sf_dir):
+    """Every row has the nearest of the centroids used, as plain column arithmetic finds it, and few rows moved."""
     points = points3(spark, sf_dir)
-    model = kmeans_.kmeans(points, DIMS, CLUSTERS, tol=0.01, max_iter=20)
-    return model.assignments(points).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    model = kmeans_.kmeans(points, DIMS, CLUSTERS, tol=0.01, max_iter=200)
+    rows = model.assignments(points)
+    away = [dist2([F.col(d) for d in DIMS], [F.lit(float(v)) for v in center]) for center in model.used]
+    nearest = F.array_position(F.array(*away), F.least(*away)) - 1
+    return rows.agg(
+        F.count(F.lit(1)).alias("assigned"),
+        F.sum((F.col("cluster") != nearest).cast("long")).alias("not_nearest"),
+        F.lit(model.changed <= 0.01).alias("settled"),
+    )
+
+
+@register(
+    "k1_pick_seeds_hashed",
+    "SELECT CAST(1000 AS BIGINT) AS seeds, CAST(1000 AS BIGINT) AS clusters, CAST(1000 AS BIGINT) AS rows_of_table FROM (SELECT count(*) FROM lineitem)",
+)
+def _(spark, sf_dir):
+    """A thousand hashed seeds: different rows of the table."""
+    points = points3(spark, sf_dir)
+    seeds = kmeans_.pick_seeds(points, DIMS, 1_000)
+    there = points.select(*[F.col(d).cast("double").alias(d) for d in DIMS]).distinct()
+    known = seeds.join(there, list(DIMS), "left_semi").count()
+    return seeds.agg(F.count(F.lit(1)).alias("seeds"), F.count_distinct("cluster").alias("clusters")).withColumn(
+        "rows_of_table", F.lit(known).cast("long")
+    )
+
+
+_LARGE = "CASE WHEN pid % 3 = 0 THEN NULL ELSE pid + 9007199254740993 - pid % 2 END"
+
+
+@register("k2_other_columns", o.query([o.POINTS, *o.rounds(1, 64)], f"SELECT pid, {_LARGE} AS large, cluster FROM a0"))
+def _(spark, sf_dir):
+    """A column of nulls and numbers beyond 2**53 passes by unchanged."""
+    points = points3(spark, sf_dir)
+    seeds = kmeans_.pick_seeds(points, DIMS, 64, seed=None)
+    return kmeans_.assign_nearest(points.withColumn("large", F.expr(_LARGE)), DIMS, seeds).select("pid", "large", "cluster")
 
 
 @register(
@@ -755,6 +844,19 @@ def _(spark, sf_dir):
     return range_count(bigger, boxes64(spark))
 
 
+@register(
+    "u1_insert_payload",
+    o.query(
+        [o.POINTS.replace("p AS", "p0 AS"), o.EVENTS],
+        "SELECT pid, pid % 7 AS tag FROM p0 UNION ALL SELECT pid, CAST(NULL AS BIGINT) AS tag FROM e",
+    ),
+)
+def _(spark, sf_dir):
+    """Columns beside the coordinates stay; inserted rows without them have null."""
+    tagged = build_index(points3(spark, sf_dir).withColumn("tag", F.expr("pid % 7")), DIMS)
+    return mutate.insert(tagged, events3(spark, sf_dir)).points.select("pid", "tag")
+
+
 def delete_requests(spark, sf_dir) -> DataFrame:
     """Ask for every returned line, with a box that only holds the cheaper ones."""
     returned = points3(spark, sf_dir, "l_returnflag = 'R'")
@@ -801,3 +903,26 @@ def _(spark, sf_dir):
     query = insert_stream(events3(spark, sf_dir, stream), path, DIMS, scratch_path(spark, "stream-progress"))
     query.awaitTermination()
     return range_count(compacted(load_index(spark, path), path), boxes64(spark))
+
+
+def _streamed(spark, sf_dir, parts: int) -> str:
+    """The folder of a saved index into which the events have been streamed, by one or several streams."""
+    path = scratch_path(spark, "streamed")
+    save_index(point_index(spark, sf_dir), path)
+    raw = table(spark, sf_dir, "events")
+    for part in range(parts):
+        stream = spark.readStream.schema(raw.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+        mine = stream.filter(F.col("event_id") % parts == part)
+        insert_stream(events3(spark, sf_dir, mine), path, DIMS, scratch_path(spark, "stream-progress")).awaitTermination()
+    return path
+
+
+@register("u3_two_streams", _JOINED)
+def _(spark, sf_dir):
+    path = _streamed(spark, sf_dir, 2)
+    return range_count(compacted(load_index(spark, path), path), boxes64(spark))
+
+
+@register("u3_reads_without_compaction", _JOINED)
+def _(spark, sf_dir):
+    return range_count(load_index(spark, _streamed(spark, sf_dir, 1)), boxes64(spark))

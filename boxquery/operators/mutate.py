@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
 
-from boxquery.functions.boxes import bound_names, box, box_of, coordinate_names, overlaps
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F
+
+from boxquery.functions.boxes import bound_names, box, box_of, coordinate_names, hi_names, lo_names, overlaps
 from boxquery.operators.index import BoxIndex, index_of
 from boxquery.operators.order import with_box_hilbert, with_ordinal
+from boxquery.plans.candidates import upright, wanted_segments
 from boxquery.session import BROADCAST_ROWS, skew_join, written
 
 PLACE_COLUMNS = ("segment", "block", "slot", "ordinal")
@@ -25,6 +30,44 @@ def _rebuilt(index: BoxIndex, rows: DataFrame) -> BoxIndex:
     return index_of(ordered, index.dims, index.degree, index.id_col, index.cluster)
 
 
+def _renumbered(index: BoxIndex, rows: DataFrame) -> BoxIndex:
+    """Index over rows that know the stored segment they belong to, in the order of the segments and the keys.
+
+    The order of segments is known, so nothing is sampled or sorted across them: rows are counted per segment
+    and numbered inside it. A segment has about a gigabyte of rows.
+    """
+    rows = written(rows, "changed")
+    before = Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("segment").count().select("segment", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("segment").orderBy(*_order_keys(index)))
+    numbered = rows.withColumn("_place", place).join(F.broadcast(starts), "segment")
+    numbered = numbered.withColumn("ordinal", F.col("_start") + F.col("_place")).drop("segment", "_place", "_start")
+    return index_of(written(numbered, "renumbered"), index.dims, index.degree, index.id_col, index.cluster)
+
+
+def _segment_of(index: BoxIndex, added: DataFrame) -> DataFrame:
+    """Add the stored segment whose range of keys each new row falls into; the first one also takes earlier rows."""
+    keys = _order_keys(index)
+    first = index.points.filter((F.col("slot") == 0) & (F.col("block") % index.segment_blocks == 0))
+    bounds = sorted(first.select(*keys, "segment").collect())
+    shared = added.sparkSession.sparkContext.broadcast([np.array(column) for column in zip(*bounds)])
+
+    @F.pandas_udf("bigint")
+    def segment(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        *heads, numbers = shared.value
+        for columns in batches:
+            values = [c.to_numpy() for c in columns]
+            # the last head that is not above the row: by the first key, then among equal ones by the second
+            low = np.searchsorted(heads[0], values[0], "left")
+            high = np.searchsorted(heads[0], values[0], "right")
+            at = high - 1
+            for i in np.flatnonzero(high - low) if len(heads) > 1 else ():
+                at[i] = low[i] + np.searchsorted(heads[1][low[i] : high[i]], values[1][i], "right") - 1
+            yield pd.Series(numbers[np.maximum(at, 0)])
+
+    return added.withColumn("segment", segment(*keys))
+
+
 def insert(index: BoxIndex, rows: DataFrame) -> BoxIndex:
     """Index over the old and the new rows. Keys are computed for the new rows only; places are redone.
 
@@ -43,13 +86,25 @@ def insert(index: BoxIndex, rows: DataFrame) -> BoxIndex:
     if clash is not None:
         raise ValueError(f"{index.id_col} {clash[0]} is there already or comes twice")
     added = with_box_hilbert(rows, index.dims)
-    return _rebuilt(index, stored.unionByName(added, allowMissingColumns=True))
+    if index.rows == 0 or rows.count() > index.rows:  # most of the order is new
+        return _rebuilt(index, stored.unionByName(added, allowMissingColumns=True))
+    stored = index.points.drop(*[c for c in PLACE_COLUMNS if c != "segment"])
+    return _renumbered(index, stored.unionByName(_segment_of(index, added), allowMissingColumns=True))
 
 
 def match_deletes(index: BoxIndex, deletes: DataFrame) -> DataFrame:
-    """Requests (request, id, box) that meet a row: same id, and the row's box overlaps the given box."""
+    """Requests (request, id, box) that meet a row: same id, and the row's box overlaps the given box.
+
+    Of a saved index, only segments with blocks in the box around all requests are read.
+    """
+    upright(deletes.withColumnRenamed("request", "qid"), index.dims)
     coords = coordinate_names(index.points, index.dims)
-    rows = index.points.select(index.id_col, F.struct(*coords).alias("p"))
+    around = deletes.agg(
+        *[F.min(n).alias(n) for n in lo_names(index.dims)], *[F.max(n).alias(n) for n in hi_names(index.dims)]
+    )
+    near_blocks = index.blocks.alias("t").join(F.broadcast(around.alias("q")), overlaps(box(index.dims, "q"), box(index.dims, "t")))
+    stored = wanted_segments(index, near_blocks.select("t.segment"), index.points, index.n_blocks)
+    rows = stored.select(index.id_col, F.struct(*coords).alias("p"))
     wanted = deletes.select("request", index.id_col, F.struct(*bound_names(index.dims)).alias("q"))
     requests = wanted.count()
     if requests <= BROADCAST_ROWS:
@@ -64,9 +119,9 @@ def remove(index: BoxIndex, deletes: DataFrame) -> tuple[BoxIndex, DataFrame]:
     """Index without the matched rows, and (request, id, found) for every request."""
     matched = written(match_deletes(index, deletes), "matched")
     gone = matched.select(index.id_col).distinct()
-    kept = index.points.drop(*PLACE_COLUMNS).join(gone, index.id_col, "left_anti")
+    kept = index.points.drop(*[c for c in PLACE_COLUMNS if c != "segment"]).join(gone, index.id_col, "left_anti")
     found = deletes.select("request", index.id_col).join(
         matched.select("request", F.lit(True).alias("_hit")), "request", "left"
     )
     found = found.select("request", index.id_col, F.coalesce("_hit", F.lit(False)).alias("found"))
-    return _rebuilt(index, kept), found
+    return _renumbered(index, kept), found

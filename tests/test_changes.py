@@ -112,3 +112,35 @@ def test_insert_keeps_other_columns(spark, sf_dir, points):
 def test_names_of_the_index_are_not_overwritten(points, name):
     with pytest.raises(ValueError):
         build_index(points.withColumn(name, F.lit("mine")), DIMS)
+
+
+def test_many_rounds_of_changes_keep_the_order(spark, points):
+    """Inserts before the first, after the last and between equal keys; deletes that empty whole blocks."""
+    start = points.filter("pid % 5 > 0").limit(3_000)
+    start = spark.createDataFrame(start.collect(), start.schema)
+    index = build_index(start, DIMS, degree=8)
+    rows = start
+    for turn in range(3):
+        twins = rows.limit(200).withColumn("pid", -F.col("pid") * 10 - turn)
+        corners = spark.sql(f"SELECT {-turn * 10 - 1}L AS pid, 0f AS x, 0f AS y, 0f AS z UNION ALL SELECT {-turn * 10 - 2}L, 1f, 1f, 1f")
+        added = twins.unionByName(corners)
+        index, rows = insert(index, added), rows.unionByName(added)
+        half = rows.filter(F.pmod("pid", F.lit(4)) == turn).select(F.col("pid").alias("request"), "pid")
+        whole = dict(zip(bound_names(DIMS), (0.0, 0.0, 0.0, 1.0, 0.6, 1.0)))
+        asked = half.select("*", *[F.lit(v).alias(n) for n, v in whole.items()])
+        index, _ = remove(index, asked)
+        rows = rows.filter(~((F.pmod("pid", F.lit(4)) == turn) & (F.col("y") <= F.lit(0.6))))
+    fresh = build_index(rows, DIMS, degree=8)
+    columns = ["pid", "h", "ordinal", "block", "slot"]
+    assert index.rows == fresh.rows
+    assert index.points.select(*columns).exceptAll(fresh.points.select(*columns)).isEmpty()
+    assert counts(index, boxes64(spark), method="levels") == counts(rows, boxes64(spark), dims=DIMS)
+
+
+def test_many_delete_requests_are_joined(spark, sf_dir, index, monkeypatch):
+    import boxquery.operators.mutate as mutate
+
+    requests = index.points.filter("pid % 3 = 0").select(F.col("pid").alias("request"), "pid", *[F.lit(v).alias(n) for n, v in zip(bound_names(DIMS), (0.0, 0.0, 0.0, 1.0, 0.5, 1.0))])
+    want = {r.request for r in mutate.match_deletes(index, requests).collect()}
+    monkeypatch.setattr(mutate, "BROADCAST_ROWS", 4)
+    assert {r.request for r in mutate.match_deletes(index, requests).collect()} == want != set()

@@ -85,3 +85,64 @@ def test_pyramid_is_one_shuffle(saved):
 def test_tiles_are_one_shuffle(saved):
     text = plan(adaptive_tiles(saved.points, DIMS))
     assert shuffles(text) == 1 and "Join" not in text
+
+
+def test_changes_do_not_sort_stored_rows_anew(spark, saved, monkeypatch):
+    """Neither an insert nor a delete range-partitions the rows of the index."""
+    import boxquery.operators.mutate as mutate
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("the order is built anew")
+
+    monkeypatch.setattr(mutate, "with_ordinal", refuse)
+    added = spark.sql("SELECT -5L AS pid, 0.25f AS x, 0.5f AS y, 0.75f AS z")
+    bigger = mutate.insert(saved, added)
+    asked = added.select(F.lit(1).alias("request"), "pid", *[F.lit(v).alias(n) for n, v in zip(("lx", "ly", "lz", "hx", "hy", "hz"), (0.0, 0.0, 0.0, 1.0, 1.0, 1.0))])
+    back, _ = mutate.remove(bigger, asked)
+    assert (bigger.rows, back.rows) == (saved.rows + 1, saved.rows)
+    assert "rangepartitioning" not in plan(back.points.agg(F.max("ordinal")))
+
+
+def test_one_large_box_does_not_compare_everything(spark, monkeypatch):
+    """20,000 small boxes and one over everything: pairs that meet in a cell stay a few times the rows."""
+    import boxquery.operators.grid as grid
+
+    small = spark.range(20_000).selectExpr("id AS pid", "(id * 7919 % 20011) / 20011D AS la", "(id * 104729 % 20021) / 20021D AS lb").selectExpr("pid", "la", "lb", "la + 0.0005D AS ha", "lb + 0.0005D AS hb")
+    boxes = small.unionByName(spark.sql("SELECT -1L AS pid, 0D AS la, 0D AS lb, 1D AS ha, 1D AS hb"))
+    compared = []
+    meeting = grid._meeting
+
+    def counted(*args):
+        pairs = meeting(*args)
+        compared.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(grid, "_meeting", counted)
+    found = grid.overlap_pairs(boxes, boxes, ("a", "b"), ["pid"], ["pid"])
+    assert found.count() >= 60_001
+    assert sum(compared) < 20 * 20_001
+
+
+def test_descent_goes_down_several_levels(spark, sf_dir, monkeypatch):
+    """Only children of nodes that a box touches are tested."""
+    from boxquery import build_index
+
+    index, tested = build_index(points3(spark, sf_dir), DIMS, degree=8), []
+    settled = candidates._settled
+
+    def counted(found, most):
+        tested.append(found.count())
+        return settled(found, most)
+
+    monkeypatch.setattr(candidates, "_settled", counted)
+    range_count(index, boxes64(spark).filter("qid < 4"), method="levels").collect()
+    assert len(tested) >= 4 and tested[0] <= 4 and max(tested) < 4 * index.n_blocks / 3
+
+
+def test_seeds_are_cut_before_they_are_sorted(spark, sf_dir, monkeypatch):
+    import boxquery.operators.kmeans as kmeans
+
+    seeds = kmeans.pick_seeds(points3(spark, sf_dir), DIMS, 50)
+    text = plan(seeds)
+    assert re.search(r"Filter.*\n(.*\n)*.*xxhash64", text) and "TakeOrderedAndProject" in text
+    assert seeds.count() == 50

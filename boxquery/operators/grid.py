@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from boxquery.functions.boxes import Box, bound_names, box_of, hi_names, lo_names, overlaps
-from boxquery.session import BROADCAST_ROWS, skew_join, written
+from boxquery.session import BROADCAST_ROWS, broadcast_limit, skew_join, written
 
 # Cell sizes on offer: side 1/2**level. Two apart, so a row is repeated for at most eleven sizes.
 LEVELS = tuple(range(0, 21, 2))
@@ -107,10 +107,10 @@ def _meeting(coarse: DataFrame, fine: DataFrame, dims: Sequence[str], finer: str
     spread = fine.withColumnRenamed("level", "own").selectExpr("*", f"explode(filter(array({offered}), v -> {finer})) AS level")
     spread = _tagged(cover(spread, dims).drop("own"), tags[1])
     keys = ["level", "cell"]
-    if placed.count() <= few:
+    if placed.count() <= broadcast_limit(placed, few):
         return spread.join(F.broadcast(placed), keys)
     total = spread.count()
-    if total <= few:
+    if total <= broadcast_limit(spread, few):
         return placed.join(F.broadcast(spread), keys)
     return skew_join(spread, placed, keys, None, total)
 

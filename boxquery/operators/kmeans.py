@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from boxquery.functions.hilbert import with_hilbert
 from boxquery.functions.nearest import in_slabs, nearest
 from boxquery.operators.order import free_names, with_box_hilbert, with_ordinal
-from boxquery.session import written
+from boxquery.session import released, written
 
 # Default number of clusters, rounds and share of changed rows at which to stop.
 CLUSTERS = 20_000
@@ -127,7 +127,13 @@ def kmeans(
     before and after the last move, so no assignment has to be stored. The coordinates are written once before
     the first round, so that an input that is itself a long plan is not evaluated in every round.
     """
-    df = written(df.select(id_col, *finite(df, dims)), "kmeans-points")
+    with released(df.sparkSession):
+        return _kmeans(written(df.select(id_col, *finite(df, dims)), "kmeans-points"), dims, k, tol, max_iter, seed, id_col)
+
+
+def _kmeans(
+    df: DataFrame, dims: Sequence[str], k: int, tol: float, max_iter: int, seed: int | None, id_col: str
+) -> KMeans:
     centers = centers_of(pick_seeds(df, dims, k, seed, id_col), dims)
     before: np.ndarray | None = None
     rounds, changed = 0, 1.0

@@ -12,7 +12,7 @@ from boxquery.functions.boxes import bound_names, box, box_of, coordinate_names,
 from boxquery.operators.index import BoxIndex, index_of
 from boxquery.operators.order import with_box_hilbert, with_ordinal
 from boxquery.plans.candidates import upright, wanted_segments
-from boxquery.session import BROADCAST_ROWS, skew_join, written
+from boxquery.session import BROADCAST_ROWS, broadcast_limit, skew_join, written
 
 PLACE_COLUMNS = ("segment", "block", "slot", "ordinal")
 
@@ -107,7 +107,7 @@ def match_deletes(index: BoxIndex, deletes: DataFrame) -> DataFrame:
     rows = stored.select(index.id_col, F.struct(*coords).alias("p"))
     wanted = deletes.select("request", index.id_col, F.struct(*bound_names(index.dims)).alias("q"))
     requests = wanted.count()
-    if requests <= BROADCAST_ROWS:
+    if requests <= broadcast_limit(wanted, BROADCAST_ROWS):
         pairs = rows.join(F.broadcast(wanted), index.id_col)
     else:
         pairs = skew_join(wanted, rows, [index.id_col], "request", requests)

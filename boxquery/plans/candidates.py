@@ -8,7 +8,7 @@ from boxquery.functions.boxes import any_of, bound_names, box, contains, overlap
 from boxquery.operators.blocks import level_sizes
 from boxquery.operators.grid import overlap_pairs
 from boxquery.operators.index import BoxIndex, with_segment
-from boxquery.session import BROADCAST_ROWS, NESTED_LOOP_BOXES, skew_join, written
+from boxquery.session import BROADCAST_ROWS, NESTED_LOOP_BOXES, broadcast_limit, skew_join, written
 
 # A small index is read whole; of a larger one only the segments in a list of this length at most.
 FEW_SEGMENTS = 64
@@ -136,7 +136,7 @@ def level_candidates(
             "parent", F.struct("node", "n", *bounds).alias("t")
         )
         partial = partial.select("parent", "qid", F.struct("qid", *bounds).alias("q"))
-        if bound <= BROADCAST_ROWS:
+        if bound <= broadcast_limit(partial, BROADCAST_ROWS):
             pairs = children.join(F.broadcast(partial), "parent")
         else:
             pairs = skew_join(partial, children, ["parent"], "qid", bound)
@@ -159,7 +159,7 @@ def join_rows(index: BoxIndex, candidates: DataFrame, bound: int, points: DataFr
     skip stored segments no box needs. Many candidates are shuffled by block, hot blocks split.
     """
     points = wanted_segments(index, candidates, points, bound)
-    if bound <= BROADCAST_ROWS:
+    if bound <= broadcast_limit(candidates, BROADCAST_ROWS):
         return points.join(F.broadcast(candidates), ["segment", "block"])
     return skew_join(candidates, points, ["segment", "block"], "qid", bound)
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-# Rows a side may have before it is no longer broadcast. The widest broadcast row is a box with its
-# ids, under 100 bytes for three dimensions, so a broadcast stays below about 50 MB.
+# Rows of 100 bytes a side may have before it is no longer broadcast, some 50 MB; fewer of wider rows.
 BROADCAST_ROWS = 500_000
 
 # Boxes tested against every row by a nested loop. Beyond this the work, not the memory, is the limit.
@@ -43,19 +44,54 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df to a scratch Parquet table and read it back: cuts lineage and survives lost executors."""
+_scopes: list[list[str]] = []
+
+
+def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write df to a scratch Parquet table and read it back: cuts lineage and survives lost executors.
+
+    Within `released` the table ends with the block, or with the block around it for keep=True.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    around = _scopes[:-1] if keep else _scopes
+    if around:
+        around[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Delete the scratch tables written inside the block when it ends. For operations whose results are stored."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application. Tables and indexes that read them end with it."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/{spark.sparkContext.applicationId}")
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _delete(spark, f"{scratch_root(spark)}/{spark.sparkContext.applicationId}")
+
+
+def row_bytes(kind: T.DataType) -> int:
+    """A row's width: eight bytes a number, nested fields counted, sixty-four for what has no fixed size."""
+    if isinstance(kind, T.StructType):
+        return sum(row_bytes(f.dataType) for f in kind.fields)
+    return 8 if isinstance(kind, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)) else 64
+
+
+def broadcast_limit(df: DataFrame, rows: int) -> int:
+    """How many rows of df may be broadcast, where `rows` rows of 100 bytes may."""
+    return rows * 100 // max(100, row_bytes(df.schema))
 
 
 def partitions_for(df: DataFrame) -> int | None:

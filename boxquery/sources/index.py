@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from boxquery.operators.blocks import DEGREE, block_summary, build_levels
 from boxquery.operators.index import BoxIndex, build_index, with_segment
 from boxquery.operators.mutate import insert
+from boxquery.session import released
 
 PARTS = ("points", "blocks", "nodes")
 META = "meta"
@@ -70,11 +71,12 @@ def compact(spark: SparkSession, path: str) -> BoxIndex:
     metas = _read_metas(spark, path)
     folder, parts, merged = _current(metas, path)
     taken = delta.filter(" OR ".join(f"(stream = '{s}' AND batch_id <= {b})" for s, b in last.items()))
-    bigger = insert(_stored(spark, folder, parts), _inserted(taken))
-    stored = _describe(bigger, parts["points"]["params"])
     fresh = f"{path}/version-{uuid.uuid4().hex}"
-    for part in PARTS:
-        _save_part(getattr(bigger, part), fresh, part, stored)
+    with released(spark):
+        bigger = insert(_stored(spark, folder, parts), _inserted(taken))
+        stored = _describe(bigger, parts["points"]["params"])
+        for part in PARTS:
+            _save_part(getattr(bigger, part), fresh, part, stored)
     content = {"folder": fresh, "parts": _read_metas(spark, fresh), "merged": {**merged, **last}}
     _add_version(spark, path, metas, content)
     return load_index(spark, path)
@@ -201,7 +203,8 @@ def open_index(
         return load_index(spark, path)
     fitting = {part: meta for part, meta in metas.items() if meta["params"] == params}
     if "points" not in fitting:
-        save_index(build_index(rows, dims, degree, cluster, id_col, **order_options), path, params)
+        with released(spark):
+            save_index(build_index(rows, dims, degree, cluster, id_col, **order_options), path, params)
         return load_index(spark, path)
     stored = fitting["points"]
     described = {k: v for k, v in stored.items() if k != "schema"}

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from boxquery.llm import decontaminate, sentencepiece, similar, toxicity
 from boxquery.llm.common import table
-from boxquery.session import ship, written
+from boxquery.session import released, ship, written
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -53,5 +53,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with released(spark):
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
     return docs

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from boxquery.functions.boxes import all_of, bound_names, box, box_of, coordinate_names, has_boxes, overlaps
-from boxquery.operators.blocks import block_summary, pack_blocks
+from boxquery.operators.blocks import pack_blocks
 from boxquery.operators.grid import (
     CELLS_PER_BOX,
     cells_per_level,
@@ -16,7 +16,7 @@ from boxquery.operators.grid import (
     point_cells,
     with_levels,
 )
-from boxquery.operators.index import BoxIndex, with_segment
+from boxquery.operators.index import BoxIndex
 from boxquery.operators.order import with_partition
 from boxquery.operators.runs import rows_in_runs, scan_ranges
 from boxquery.plans.candidates import (
@@ -118,19 +118,15 @@ def _count_grid(
     return _hits(pairs.filter(inside))
 
 
-def refined_hits(index: BoxIndex, found: DataFrame, bound: int, by: Sequence[str] = ()) -> DataFrame:
+def refined_hits(index: BoxIndex, found: DataFrame, bound: int) -> DataFrame:
     """Hits of block candidates: whole blocks from their row counts, the others row by row."""
-    whole = found.filter("inside").select(*by, "qid", F.col("n").alias("hits"))
+    whole = found.filter("inside").select("qid", F.col("n").alias("hits"))
     edge = found.filter(~F.col("inside")).drop("n", "inside")
     coords = coordinate_names(index.points, index.dims)
-    renamed = edge.select("qid", *by, "segment", "block", *[F.col(c).alias(f"q_{c}") for c in bound_names(index.dims)])
+    renamed = edge.select("qid", "segment", "block", *[F.col(c).alias(f"q_{c}") for c in bound_names(index.dims)])
     rows = index.points.select("segment", "block", *coords)
     pairs = join_rows(index, renamed, bound, rows)
-    b = box_of(rows, index.dims)
-    near = all_of(
-        [c for i, d in enumerate(index.dims) for c in (b.lo[i] <= F.col(f"q_h{d}"), F.col(f"q_l{d}") <= b.hi[i])]
-    )
-    return whole.unionByName(_hits(pairs.filter(near), *by))
+    return whole.unionByName(_hits(pairs.filter(_in_box(rows, index.dims))))
 
 
 def _count_blocks(index: BoxIndex, boxes: DataFrame, nested_loop_boxes: int | None = None) -> DataFrame:
@@ -168,19 +164,35 @@ def _count_packed(index: BoxIndex, boxes: DataFrame) -> DataFrame:
 
 
 def partitioned_count(index: BoxIndex, boxes: DataFrame, p: int) -> DataFrame:
-    """(part, qid, hits): every one of p partitions answers every box over blocks of its own."""
-    rows = with_partition(index.points.drop("block", "slot", "segment"), p, index.rows)
-    size, rest = divmod(index.rows, p)
-    first = F.when(F.col("part") == 0, 1).otherwise(F.lit(rest + 1) + F.col("part") * size)
-    rows = rows.withColumn("_local", F.col("ordinal") - first)
-    per_part = -(-(size + rest) // index.degree)
-    rows = rows.withColumn("block", F.expr(f"part * {per_part}L + _local div {index.degree}"))
-    rows = with_segment(rows.drop("_local"), index.segment_blocks)
-    blocks = with_segment(block_summary(rows, index.dims, ("part", "block")), index.segment_blocks)
-    own = index.with_tables(points=rows, blocks=blocks.drop("part"), n_blocks=p * per_part)
-    found, bound = candidates(own, boxes, own.n_blocks)  # parts have no pyramid
-    found = found.withColumn("part", F.expr(f"cast(block div {per_part} AS int)"))
-    return refined_hits(own, found, bound, ("part",)).groupBy("part", "qid").agg(F.sum("hits").alias("hits"))
+    """(part, qid, hits): every one of p partitions answers every box.
+
+    Partitions are ranges of ordinals, so a block belongs to one of them unless it lies on a border. Rows of the
+    at most p - 1 border blocks are told apart one by one; all others are counted as without partitions.
+    """
+    found, bound = candidates(index, boxes)
+    first, last = "_first", "_last"
+    found = found.withColumns(
+        {
+            first: F.col("block") * index.degree + 1,
+            last: F.least((F.col("block") + 1) * index.degree, F.lit(index.rows)),
+        }
+    )
+    for end in (first, last):
+        found = with_partition(found, p, index.rows, end).withColumn(end, F.col("part")).drop("part")
+    settled = F.col("inside") & (F.col(first) == F.col(last))
+    whole = found.filter(settled).select(F.col(first).alias("part"), "qid", F.col("n").alias("hits"))
+    bounds = bound_names(index.dims)
+    edge = found.filter(~settled).select("qid", "segment", "block", *[F.col(c).alias(f"q_{c}") for c in bounds])
+    rows = index.points.select("segment", "block", "ordinal", *coordinate_names(index.points, index.dims))
+    pairs = join_rows(index, edge, bound, rows).filter(_in_box(rows, index.dims))
+    parts = _hits(with_partition(pairs, p, index.rows), "part")
+    return whole.unionByName(parts).groupBy("part", "qid").agg(F.sum("hits").alias("hits"))
+
+
+def _in_box(rows: DataFrame, dims: Sequence[str]) -> Column:
+    """Whether a row overlaps the box whose bounds stand next to it as q_<bound>."""
+    b = box_of(rows, dims)
+    return all_of([c for i, d in enumerate(dims) for c in (b.lo[i] <= F.col(f"q_h{d}"), F.col(f"q_l{d}") <= b.hi[i])])
 
 
 def _count_partitions(index: BoxIndex, boxes: DataFrame, p: int = 8) -> DataFrame:

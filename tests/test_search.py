@@ -6,7 +6,7 @@ from boxquery.operators.grid import overlap_pairs
 from boxquery.operators.report import pruning_report, run_report, search_report, selectivity
 from boxquery.operators.runs import _merged, blocks_of_runs, merge_runs
 from boxquery.plans.range_count import partitioned_count
-from checks.fixtures import boxes64, flat_boxes, order_boxes, part_boxes
+from checks.fixtures import boxes64, flat_boxes, order_boxes, part_boxes, points3
 from tests.brute import box_hits, overlapping
 
 DIMS = ("x", "y", "z")
@@ -188,3 +188,48 @@ def test_a_third_of_all_rows_in_one_place(spark, points, boxes, few_rows, method
     few = boxes.filter("qid % 4 = 0 OR qid > 10000")
     want = box_hits(rows.collect(), few.collect(), DIMS)
     assert as_dict(range_count(build_index(rows, DIMS), few, method=method)) == want
+
+
+def test_turned_boxes_are_an_error(spark, points, index):
+    turned = boxes64(spark).withColumn("hx", F.when(F.col("qid") == 7, F.col("lx") - 0.5).otherwise(F.col("hx")))
+    for ask in (
+        lambda: range_count(points, turned, ("x", "y", "z"), "grid"),
+        lambda: range_count(points, turned, ("x", "y", "z"), "broadcast"),
+        lambda: range_count(index, turned),
+        lambda: range_search(index, turned),
+    ):
+        with pytest.raises(ValueError, match="box 7"):
+            ask()
+
+
+def test_a_named_method_is_the_one_that_runs(spark, points, monkeypatch):
+    import boxquery.plans.range_count as counting
+
+    monkeypatch.setattr(counting, "NESTED_LOOP_BOXES", 4)
+    monkeypatch.setattr(counting, "_count_grid", lambda *args, **kwargs: pytest.fail("the grid took over"))
+    assert range_count(points, boxes64(spark), ("x", "y", "z"), "broadcast").count() == 64
+
+
+@pytest.mark.parametrize("row_id", ["i", None])
+def test_skew_join_splits_keys_hot_on_either_side(spark, row_id):
+    from boxquery.session import skew_join
+
+    big = spark.range(4_000).selectExpr("CAST(CASE WHEN id < 2500 THEN 0 ELSE id % 90 END AS INT) AS k", "CAST(id / 2 AS INT) AS i" if row_id is None else "id AS i")
+    small = spark.range(300).selectExpr("CAST(CASE WHEN id < 120 THEN id % 2 ELSE id END AS INT) AS k", "CAST(id % 3 AS INT) AS j")
+    got = skew_join(big, small, ["k"], row_id, 4_000, min_rows=50)
+    want = big.join(small, "k")
+    assert got.count() == want.count() and got.exceptAll(want.select(*got.columns)).isEmpty()
+
+
+@pytest.mark.parametrize("flat_blocks", [None, 3])
+def test_first_k_stops_where_enough_is_certain(spark, sf_dir, flat_blocks):
+    """Boxes over most of the data: whole blocks end the search, and the first rows stay the same."""
+    index = build_index(points3(spark, sf_dir), ("x", "y", "z"), degree=8)
+    wide = spark.sql("SELECT 1L AS qid, 0f AS lx, 0f AS ly, 0f AS lz, 1f AS hx, 1f AS hy, 1f AS hz UNION ALL SELECT 2L, 0.2f, 0.2f, 0f, 0.9f, 0.9f, 1f")
+    got = range_search(index, wide, limit_per_query=5, flat_blocks=flat_blocks)
+    everything = range_search(index, wide).join(index.points.select("pid", "ordinal"), "pid")
+    want = {q: [] for q in (1, 2)}
+    for r in everything.orderBy("ordinal").collect():
+        if len(want[r.qid]) < 5:
+            want[r.qid].append(r.pid)
+    assert {(r.qid, r.pid) for r in got.collect()} == {(q, p) for q, ps in want.items() for p in ps}

@@ -32,8 +32,9 @@ PER_CLASS = 64
 OTHER_CLASSES = 64
 HIDDEN = 16
 
-# Training takes a stretch of 64 words at a hashed place from every 1,024 words of every training text.
-STRETCH, PER_STRETCH = 64, 1_024
+# Training takes a stretch of 64 words at a hashed place from every 6,144 bytes of every training text.
+STRETCH, PER_STRETCH = 64, 6_144
+STRETCH_BYTES, MOST_BYTES = 256, 4_096  # room left for a stretch in its piece of text, and what is looked at for one
 ROUNDS = 2
 TASK_WORDS = 1_000_000  # stretch words to a training task
 MOST_TASKS = 16_384  # each sends one set of weights; averaging a block of them takes MOST_TASKS times 2 kB at most
@@ -106,9 +107,8 @@ class Vocabulary:
         rare = [words[i] for i in places.tolist()]
         if rare:
             first, classes = self.shape.words, self.shape.other_classes
-            for word in rare:
-                if word not in known:
-                    known[word] = first + other_class(word, classes)
+            for word in set(rare).difference(known):
+                known[word] = first + other_class(word, classes)
             symbols[places] = np.fromiter(map(known.__getitem__, rare), np.int32, len(rare))
             if len(known) > HELD_WORDS:
                 known.clear()
@@ -146,6 +146,24 @@ def vocabulary(counts: DataFrame, model_words: int, broadcast_words: int, hidden
     ), least
 
 
+def stretches(text: bytes) -> Iterator[list[bytes]]:
+    """Runs of whole words of a text, one for each piece of it; the run at the end of the text has the end too."""
+    seed = zlib.crc32(text)
+    for block in range(0, max(len(text), 1), PER_STRETCH):
+        free = min(PER_STRETCH, len(text) - block) - STRETCH_BYTES
+        start = block + (zlib.crc32(b"%d" % block, seed) % (free + 1) if free > 0 else 0)
+        words = text[start : start + MOST_BYTES].lower().split(None, STRETCH + 1)
+        if start and not text[start - 1 : start].isspace() and not text[start : start + 1].isspace():
+            del words[:1]  # the place is within a word
+        if len(words) <= STRETCH:
+            if start + MOST_BYTES >= len(text):
+                words.append(END)
+            else:
+                del words[-1:]  # it may be cut
+        if words:
+            yield words[:STRETCH]
+
+
 def _stretches(docs: DataFrame, shared, text_col: str) -> DataFrame:
     """(symbols, row): the pieces of the training texts that the model is trained on, written once."""
 
@@ -154,12 +172,8 @@ def _stretches(docs: DataFrame, shared, text_col: str) -> DataFrame:
         for batch in slices(batches, SLICE_BYTES):
             pieces = []
             for text in text_bytes(batch.column(0)):
-                words, seed = words_of(text), zlib.crc32(text)
-                for block in range(0, len(words), PER_STRETCH):
-                    free = min(PER_STRETCH, len(words) - block) - STRETCH
-                    start = block + (zlib.crc32(b"%d" % block, seed) % (free + 1) if free > 0 else 0)
-                    piece = words[start : min(start + STRETCH, block + PER_STRETCH)]
-                    pieces.append(vocab.symbols_of(piece, vocab.numbers(piece), known)[0])
+                for words in stretches(text):
+                    pieces.append(vocab.symbols_of(words, vocab.numbers(words), known)[0])
             yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.list_(pa.int32()))], names=["symbols"])
 
     pieces = docs.select(F.col(text_col).cast("string")).mapInArrow(cut, "symbols array<int>")

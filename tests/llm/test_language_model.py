@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from boxquery.llm import gru
-from boxquery.llm.language_model import END, language_scores, other_class, words_of
+from boxquery.llm.language_model import END, PER_STRETCH, STRETCH, language_scores, other_class, stretches, words_of
 
 SCHEMA = "doc_id bigint, text string, score string, held_out int"
 
@@ -61,7 +61,7 @@ def chain_texts(n, seed=4):
 def test_scores(spark, broadcast_words):
     rows = chain_texts(600)
     rows += [(1000, None, "c", 1), (1001, "", "c", 1), (1002, " \t\n", "c", 1), (None, "W1 W5 again", "c", 1), rows[3], (1003, "long " * 30_000, "c", 1)]
-    got = language_scores(spark.createDataFrame(rows, SCHEMA), model_words=60, broadcast_words=broadcast_words, task_words=9_000).collect()
+    got = language_scores(spark.createDataFrame(rows, SCHEMA), model_words=60, broadcast_words=broadcast_words, task_words=9_000, rounds=5).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
     counts = Counter(w for i, t, *_ in rows if not held(i) for w in words_of((t or "").encode()))
     total, distinct = sum(counts.values()), len(counts)
@@ -95,3 +95,30 @@ def test_empty_table_and_nothing_to_learn_from(spark):
     got = language_scores(spark.createDataFrame([(i, "some text", "c", 1) for i in held], SCHEMA)).collect()
     assert len(got) == len(held) and all(r["n_known"] == 0 and r["train_tokens"] == 0 and r["score"] < 0 for r in got)
     assert END == b""
+
+
+def test_stretches_are_runs_of_whole_words():
+    rng = random.Random(6)
+    texts = [b"", b" ", b"one", b"x" * 20_000, b"y" * 5_000 + b" end"]
+    for _ in range(60):
+        words = [bytes(rng.choice(b"abcXYZ") for _ in range(rng.choice([1, 5, 9, 300]))) for _ in range(rng.randint(1, 3000))]
+        texts.append(b"".join(w + rng.choice([b" ", b"\n", b"  "]) for w in words)[: rng.choice([10**9, 700, 6_500])])
+    for text in texts:
+        all_words, found = words_of(text), list(stretches(text))
+        assert len(found) <= max(1, -(-len(text) // PER_STRETCH))
+        joined = b"\0".join([b"", *all_words, b""])
+        for words in found:
+            assert 1 <= len(words) <= STRETCH and b"\0".join([b"", *words, b""]) in joined
+        if len(text) < 400:
+            assert found == [all_words[:STRETCH]]
+        if max(map(len, all_words)) < 50 and len(text) > 1000:
+            assert len(found) >= len(text) // PER_STRETCH
+    assert END == b""
+
+
+def test_shares_of_far_apart_values():
+    x = np.array([[0.0, 300.0, -200.0], [-500.0, -501.0, -502.0], [1.0, 2.0, 3.0]])
+    want = x - np.array([[np.logaddexp.reduce(row)] for row in x])
+    for rows in (slice(0, 3), slice(2, 3), slice(0, 0)):
+        assert gru._log_softmax(x[rows].astype(np.float32)) == pytest.approx(want[rows], abs=1e-4)
+        assert gru._log_share(x[rows].astype(np.float32), np.array([1, 0, 2])[rows]) == pytest.approx(want[rows][range(len(want[rows])), [1, 0, 2][rows]], abs=1e-4)

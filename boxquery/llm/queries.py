@@ -126,7 +126,20 @@ def language_model_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.language_scores(table(spark, sf_dir, "documents"))
 
 
-@register("op9_metric_join")
+@register(
+    "op9_metric_join",
+    """
+    WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+                         WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    n AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE list_dot_product(e, e) > 0),
+    links AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM n a JOIN n b ON a.label = b.label AND len(a.e) = len(b.e)
+                           WHERE a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+    reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+    least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+    counted AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+    SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+    FROM embeddings JOIN least ON vec_id = least.x LEFT JOIN counted ON vec_id = counted.x""",
+)
 def metric_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.range_join(table(spark, sf_dir, "embeddings"))
 

@@ -3,8 +3,9 @@
 At a similarity of 0.8 fingerprints differ in some 15 % of their bits, too many for blocks that must agree. So a
 fingerprint of 256 bits is sampled: in each of several tables a document goes to the shard of some sampled bits.
 Tables and bits follow from the number of documents and the wanted chance to meet. In each shard a BK-tree over
-64 of the bits finds what may be near. Of those, fingerprints that are clearly nearer than the similarity asks
-are linked. Every document whose nearest other one is near the limit is compared with it exactly.
+64 of the bits finds what may be near. Fingerprints only order these candidates: a link is made by an exact
+comparison of shingles. Each round compares every document with its nearest candidates that it is neither linked
+nor compared with yet, until there are none.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from boxquery.llm.bk_trees import BITS, Forest
 from boxquery.llm.common import slices, text_bytes
-from boxquery.llm.components import Union, components
+from boxquery.llm.components import components
 from boxquery.llm.simhash import FOREST, SLICE_BYTES, SPLIT_ABOVE, majorities, shingle_hashes
 from boxquery.session import written
 
@@ -26,9 +27,14 @@ WORDS = 4  # 64-bit parts of a fingerprint
 PRINT = [f"p{i}" for i in range(WORDS)]
 MISSED = 0.01  # the chance that two documents of exactly the least similarity meet in no table
 DEVIATIONS = 3.0  # of a distance above its mean at the least similarity: what may be near
-SURE = 0.85  # deviations of the 256-bit distance below that mean: what is linked without another look
 CHANCE = 64  # unrelated documents to a shard
 DEEPEST = 4
+PLACE = 54  # a candidate's key is its distance above so many bits for its class: partition numbers up to 2 million
+LAST = (1 << 63) - 1  # the key of a class that has been compared with all its candidates
+WIDER = 4  # times as many candidates of a class in the next round
+AT_ONCE, MOST_AT_ONCE = 8, 256  # candidates of a round for each class of the table, and of one class
+CELL = 1_024  # pairs compared together
+HELD = 4_000_000  # candidates a task holds before it leaves out those that are too far
 # Majorities of few shingles differ in more bits than those of many: texts of up to SMALL shingles have tables and
 # a radius for this share of bits. Sizes from LARGE on use the expected share; those between have both.
 SMALL, LARGE, SMALL_SHARE = 30, 20, 0.22
@@ -82,9 +88,12 @@ def _radius(share: float, bits: int = BITS, deviations: float = DEVIATIONS) -> i
     return max(0, min(bits, round(bits * share + deviations * math.sqrt(bits * share * (1 - share)))))
 
 
+DEALT = ["shard", "sub", *PRINT, "c", "label", "cursor"]
+
+
 def _shards(classes: DataFrame, tables: list[list[int]], small_tables: list[list[int]], split_above: int, deepest: int) -> DataFrame:
-    """(shard, sub, prints, c): each class in one shard per table, small ones in shards below zero; a shard of very
-    many is divided by further bits."""
+    """(shard, sub, prints, c, label, cursor): each class in one shard per table, small ones in shards below zero; a
+    shard of very many is divided by further bits."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1 << 20):
@@ -97,10 +106,10 @@ def _shards(classes: DataFrame, tables: list[list[int]], small_tables: list[list
                         bits = (bits << 1) | ((prints[place // BITS] >> (place % BITS)) & 1)
                     shard = sign * (1 + bits + (number << len(places)))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(shard), pa.array(np.zeros(part.num_rows, np.int64)), *(part.column(name) for name in [*PRINT, "c"])], names=["shard", "sub", *PRINT, "c"]
+                        [pa.array(shard), pa.array(np.zeros(part.num_rows, np.int64)), *(part.column(name) for name in DEALT[2:])], names=DEALT
                     )
 
-    level = classes.mapInArrow(deal, ", ".join(f"{name} bigint" for name in ["shard", "sub", *PRINT, "c"]))
+    level = classes.mapInArrow(deal, ", ".join(f"{name} bigint" for name in DEALT))
     parts = []
     for depth in range(deepest):
         hot = written(level.groupBy("shard", "sub").count().filter(F.col("count") > split_above).drop("count"), "similar-hot")
@@ -115,17 +124,27 @@ def _shards(classes: DataFrame, tables: list[list[int]], small_tables: list[list
     return level
 
 
-def _nearest(shards: DataFrame, share: float, small_share: float) -> DataFrame:
-    """(a, b, sure): links of clearly near classes, one per class and shard at most, and pairs to be compared.
+def _least(later: np.ndarray, key: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k smallest keys of each."""
+    order = np.lexsort((key, later))
+    later, key = later[order], key[order]
+    first = np.flatnonzero(np.concatenate([[True], later[1:] != later[:-1]])) if len(later) else order
+    kept = np.arange(len(later)) - np.repeat(first, np.diff(np.append(first, len(later)))) < k
+    return later[kept], key[kept]
+
 
-    Such a pair is a class with the nearest earlier one that it may be near to and is not linked with.
+def _nearest(shards: DataFrame, share: float, small_share: float, k: int) -> DataFrame:
+    """(a, keys): the k + 1 least keys of candidates of each class, ascending.
+
+    A candidate is an earlier class of the same shard that it may be near to and has another label. Its key is the
+    distance, then the class; only keys above the cursor count. So what has been compared does not come again.
     """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         rows = 0
         for batch in batches:
-            held.append(np.stack([batch.column(name).to_numpy() for name in ("shard", "sub", "c", *PRINT)]))
+            held.append(np.stack([batch.column(name).to_numpy() for name in DEALT]))
             rows += batch.num_rows
             if rows >= FOREST:
                 table = np.concatenate(held, axis=1)
@@ -141,30 +160,50 @@ def _nearest(shards: DataFrame, share: float, small_share: float) -> DataFrame:
         yield found(table[:, small], small_share)
         yield found(table[:, ~small], share)
 
-    sure = _radius(share, BITS * WORDS, -SURE)
-
     def found(table: np.ndarray, share: float) -> pa.RecordBatch:
-        n, prints = table.shape[1], table[3:].view(np.uint64)
-        shard = np.cumsum(np.concatenate([[0], (np.diff(table[0]) != 0) | (np.diff(table[1]) != 0)])) if n else table[0]
-        forest, sets, none = Forest(prints[0], shard), Union(n), (BITS * WORDS + 1) << 40
+        prints, (c, label, cursor) = table[2 : 2 + WORDS].view(np.uint64), table[2 + WORDS :]
+        shard = np.cumsum(np.concatenate([[0], (np.diff(table[0]) != 0) | (np.diff(table[1]) != 0)])) if len(c) else table[0]
         most = _radius(share, BITS * WORDS)
-        best = np.full(n, none, np.int64)
-        for later, earlier in forest.earlier_within(_radius(share)):
+        held, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+        for later, earlier in Forest(prints[0], shard).earlier_within(_radius(share)):
+            open_ = (label[later] != label[earlier]) & (cursor[later] < LAST)
+            later, earlier = later[open_], earlier[open_]
             apart = np.bitwise_count(prints[:, later] ^ prints[:, earlier]).sum(axis=0, dtype=np.int64)
-            sets.join(later[apart <= sure], earlier[apart <= sure])
-            near = (apart > sure) & (apart <= most)
-            np.minimum.at(best, later[near], (apart[near] << 40) | earlier[near])
-        root = sets.roots(np.arange(n))
-        linked = np.flatnonzero(root != np.arange(n))
-        later = np.flatnonzero(best < none)
-        earlier = best[later] & ((1 << 40) - 1)
-        apart = root[later] != root[earlier]
-        later, earlier = later[apart], earlier[apart]
-        a, b = np.concatenate([linked, later]), np.concatenate([root[linked], earlier])
-        return pa.RecordBatch.from_arrays([pa.array(table[2][a]), pa.array(table[2][b]), pa.array(np.arange(len(a)) < len(linked))], names=["a", "b", "sure"])
+            key = (apart << PLACE) | c[earlier]
+            near = (apart <= most) & (key > cursor[later])
+            held.append((later[near], key[near]))
+            size += int(near.sum())
+            if size > HELD:
+                held = [_least(*map(np.concatenate, zip(*held)), k + 1)]
+                size = 0
+        later, key = _least(*map(np.concatenate, zip(*held)), k + 1)
+        return pa.RecordBatch.from_arrays([pa.array(c[later]), pa.array(key)], names=["a", "key"])
 
     dealt = shards.repartition("shard", "sub").sortWithinPartitions("shard", "sub", "c")
-    return dealt.mapInArrow(search, "a bigint, b bigint, sure boolean")
+    keys = dealt.mapInArrow(search, "a bigint, key bigint").groupBy("a").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    return keys.select("a", F.slice("keys", 1, k + 1).alias("keys"))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the pairs whose shingles are similar. The sets of some a and all their b are compared together."""
+    pairs = pairs.withColumn("cell", F.pmod(F.xxhash64("a"), F.lit(1 + pairs.count() // CELL)))
+    home = F.col("cell").alias("home")
+    held = pairs.select(home, F.col("a").alias("c")).union(pairs.select(home, "b")).distinct().join(sets, "c")
+
+    def compare(held: pa.Table, asked: pa.Table) -> pa.Table:
+        shingles = held.column("shingles").combine_chunks()
+        values, ends = shingles.values.to_numpy(), shingles.offsets.to_numpy()
+        of = {c: values[ends[i] : ends[i + 1]] for i, c in enumerate(held.column("c").to_pylist())}
+        links = []
+        for a, b in zip(asked.column("a").to_pylist(), asked.column("b").to_pylist()):
+            x, y = of.get(a), of.get(b)
+            if x is not None and y is not None and min(len(x), len(y)) >= similarity * max(len(x), len(y)):
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                if shared and shared >= similarity * (len(x) + len(y) - shared):
+                    links.append((a, b))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return held.groupBy("home").cogroup(pairs.groupBy("cell")).applyInArrow(compare, "a bigint, b bigint")
 
 
 def similar_documents(
@@ -173,8 +212,8 @@ def similar_documents(
 ) -> DataFrame:
     """(id, component_id) of every row: documents linked by a Jaccard similarity of their different shingles.
 
-    Links are found with a chance that `missed` and the constants above set, and grow surer with every further
-    copy. Texts with equal fingerprints of 256 bits are one class, so copies cost nothing but their row; texts
+    Every link is a pair that has this similarity. Pairs meet with a chance that `missed` and the constants above
+    set; all that meet are compared or come to be linked by others. Texts with equal fingerprints of 256 bits are one class, so copies cost nothing but their row; texts
     without words are one class. The component is the smallest id reached; null ids are never the smallest. A class of
     null ids only is linked to no other. Repeated rows come back as they are. Other columns are not carried.
     """
@@ -186,26 +225,40 @@ def similar_documents(
     share = differing_share(similarity)
     tables = tables_for(classes.filter(F.col("size") >= LARGE).count(), share, missed)
     small_tables = tables_for(classes.filter(F.col("size") <= SMALL).count(), max(share, SMALL_SHARE), missed)
-    shards = _shards(classes, tables, small_tables, split_above, deepest)
-    found = written(_nearest(shards, share, max(share, SMALL_SHARE)).distinct(), "similar-pairs")
-    sure = components(found.filter("sure"), "a", "b")
-    # of the pairs to compare, those that sure links do not join already
-    pairs = found.filter("NOT sure").select("a", "b")
-    for end in ("a", "b"):
-        pairs = pairs.join(sure.select(F.col("node").alias(end), F.col("component").alias(f"{end}0")), end, "left").withColumn(f"{end}0", F.coalesce(f"{end}0", end))
-    pairs = written(pairs.filter("a0 <> b0").select("a", "b"), "similar-compared")
-
-    # the shingles of one text of each class in a pair
-    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct().join(classes.drop("size"), "c").filter("least IS NOT NULL")
-    texts = rows.join(wanted.select(F.col("least").alias("id")).distinct(), "id", "left_semi")
-    sets = _prints(texts, shingle, kind, True).drop("size").join(wanted.withColumnRenamed("least", "id"), ["id", *PRINT])
-    sets = written(sets.select("c", "shingles").dropDuplicates(["c"]), "similar-sets")
-    both = pairs.join(sets.select(F.col("c").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    links = both.select("a", "b", shared.alias("s"), (F.size("x") + F.size("y") - shared).alias("u")).filter(F.col("s") >= similarity * F.col("u")).filter("s > 0")
-
-    links = links.select("a", "b").unionByName(sure.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    reached = components(links, "a", "b").withColumnRenamed("node", "c")
+
+    def shards_of(some: DataFrame) -> DataFrame:
+        return _shards(some, tables, small_tables, split_above, deepest)
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        """(c, shingles): those of one text of each class."""
+        wanted = some.join(classes.drop("size"), "c").filter("least IS NOT NULL")
+        texts = rows.join(wanted.select(F.col("least").alias("id")).distinct(), "id", "left_semi")
+        found = _prints(texts, shingle, kind, True).drop("size").join(wanted.withColumnRenamed("least", "id"), ["id", *PRINT])
+        return written(found.select("c", "shingles").dropDuplicates(["c"]), "similar-sets")
+
+    total, k = classes.count(), 1
+    state = classes.withColumns({"label": F.col("c"), "cursor": F.lit(-1).cast("bigint")})
+    shards, sets, reached = shards_of(state), None, None
+    while True:
+        nearest = written(_nearest(shards, share, max(share, SMALL_SHARE), k), "similar-nearest")
+        pairs = nearest.select("a", F.explode(F.slice("keys", 1, k)).alias("b")).withColumn("b", F.col("b").bitwiseAND(F.lit((1 << PLACE) - 1)))
+        some = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
+        new = sets_of(some if sets is None else some.join(sets.select("c"), "c", "left_anti"))
+        sets = new if sets is None else sets.unionByName(new)
+        links = _linked(pairs, sets, similarity)
+        if reached is not None:
+            links = links.unionByName(reached.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        reached = components(links, "a", "b")
+        more = nearest.filter(F.size("keys") > k).select(F.col("a").alias("c"), F.element_at("keys", k).alias("cursor"))
+        left = more.count()
+        if not left:
+            break
+        k = max(1, min(k * WIDER, MOST_AT_ONCE, AT_ONCE * total // left))
+        state = classes.join(reached.select(F.col("node").alias("c"), F.col("component").alias("label")), "c", "left").join(more, "c", "left")
+        state = written(state.withColumns({"label": F.coalesce("label", "c"), "cursor": F.coalesce("cursor", F.lit(LAST))}), "similar-state")
+        shards = shards_of(state).join(shards_of(state.filter(F.col("cursor") < LAST)).select("shard", "sub").distinct(), ["shard", "sub"], "left_semi")
+
+    reached = reached.withColumnRenamed("node", "c")
     labelled = classes.join(reached, "c", "left").withColumn("component", F.coalesce("component", "c"))
     smallest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     named = labelled.join(smallest, "component").select(*PRINT, "component_id")

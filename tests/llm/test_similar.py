@@ -90,3 +90,31 @@ def test_tables_follow_the_number_of_documents():
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert similar_documents(empty).collect() == [] and one_of_each(empty).collect() == []
+
+
+def family(size, run, seed, words=400, partners=0):
+    """Texts on one boilerplate, each with a run of own words; the last ones come again with some words changed."""
+    rng = random.Random(seed)
+    base, texts = [f"b{i}" for i in range(words)], []
+    for i in range(size):
+        at = rng.randrange(words - run)
+        texts.append(base[:at] + [f"o{i}x{j}" for j in range(run)] + base[at + run :])
+    for i in range(partners):
+        at = rng.randrange(words - 38)
+        copy = list(texts[size - 1 - i])
+        copy[at : at + 34] = [f"c{i}x{j}" for j in range(34)]
+        texts.append(copy)
+    return [(i, " ".join(t), "c", 1) for i, t in enumerate(texts)]
+
+
+def labels(spark, rows, **how):
+    return {r["doc_id"]: r["component_id"] for r in similar_documents(spark.createDataFrame(rows, SCHEMA), **how).collect()}
+
+
+def test_every_link_has_the_similarity(spark):
+    """A family of some 0.7 to 0.79 on one boilerplate does not become one component by near fingerprints."""
+    rows = corpus(2) + [(10_000 + r[0], *r[1:]) for r in family(250, 26, 3)]
+    want = by_hand(rows)
+    got = labels(spark, rows, missed=1e-4)
+    assert all(len({want[i] for i in g}) == 1 for g in groups(got))
+    assert sum(got[i] != want[i] for i in got) <= 0.01 * len(got)

@@ -28,7 +28,6 @@ PRINT = [f"p{i}" for i in range(WORDS)]
 MISSED = 0.01  # the chance that two documents of exactly the least similarity meet in no table
 DEVIATIONS = 3.0  # of a distance above its mean at the least similarity: what may be near
 CHANCE = 64  # unrelated documents to a shard
-DEEPEST = 4
 PLACE = 54  # a candidate's key is its distance above so many bits for its class: partition numbers up to 2 million
 LAST = (1 << 63) - 1  # the key of a class that has been compared with all its candidates
 WIDER = 4  # times as many candidates of a class in the next round
@@ -88,12 +87,12 @@ def _radius(share: float, bits: int = BITS, deviations: float = DEVIATIONS) -> i
     return max(0, min(bits, round(bits * share + deviations * math.sqrt(bits * share * (1 - share)))))
 
 
-DEALT = ["shard", "sub", *PRINT, "c", "label", "cursor"]
+DEALT = ["shard", "sub", "side", *PRINT, "c", "label", "cursor"]
 
 
-def _shards(classes: DataFrame, tables: list[list[int]], small_tables: list[list[int]], split_above: int, deepest: int) -> DataFrame:
-    """(shard, sub, prints, c, label, cursor): each class in one shard per table, small ones in shards below zero; a
-    shard of very many is divided by further bits."""
+def _dealt(classes: DataFrame, tables: list[list[int]], small_tables: list[list[int]]) -> DataFrame:
+    """(shard, prints, c, label, cursor): each class in one shard per table, small ones in shards below zero."""
+    names = ["shard", *DEALT[3:]]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1 << 20):
@@ -105,23 +104,42 @@ def _shards(classes: DataFrame, tables: list[list[int]], small_tables: list[list
                     for place in places:
                         bits = (bits << 1) | ((prints[place // BITS] >> (place % BITS)) & 1)
                     shard = sign * (1 + bits + (number << len(places)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(shard), pa.array(np.zeros(part.num_rows, np.int64)), *(part.column(name) for name in DEALT[2:])], names=DEALT
-                    )
-
-    level = classes.mapInArrow(deal, ", ".join(f"{name} bigint" for name in DEALT))
-    parts = []
-    for depth in range(deepest):
-        hot = written(level.groupBy("shard", "sub").count().filter(F.col("count") > split_above).drop("count"), "similar-hot")
-        if hot.isEmpty():
-            break
-        parts.append(level.join(hot, ["shard", "sub"], "left_anti"))
-        # four bits of the fingerprint, other ones for each table and depth
-        more = F.expr(f"shiftright(p0, cast(pmod(xxhash64(shard, {depth}), {BITS - 4}) as int))").bitwiseAND(F.lit(15))
-        level = level.join(hot, ["shard", "sub"], "left_semi").withColumn("sub", F.col("sub") * 16 + more + 1)
-    for part in parts:
-        level = level.unionByName(part)
-    return level
+                    yield pa.RecordBatch.from_arrays([pa.array(shard), *(part.column(name) for name in names[1:])], names=names)
+
+    return classes.mapInArrow(deal, ", ".join(f"{name} bigint" for name in names))
+
+
+def _shards(dealt: DataFrame, hot: DataFrame) -> DataFrame:
+    """Dealt classes with the sub and the side; a shard of very many, in hot with its number of blocks, is divided.
+
+    Each two of its blocks of classes meet in one sub, and each block meets itself in another. So all pairs of the
+    shard are looked at, as in one that is not divided. Sides 1 and 2 are the two blocks of a sub; a whole is side 0.
+    """
+    cold = dealt.join(F.broadcast(hot), "shard", "left_anti").withColumns({"sub": F.lit(0).cast("bigint"), "side": F.lit(0).cast("bigint")})
+    parts = dealt.join(F.broadcast(hot), "shard").withColumn("block", F.expr("pmod(xxhash64(c), blocks)"))
+    parts = parts.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    parts = parts.withColumn("sub", F.expr("1 + least(block, other) * blocks + greatest(block, other)"))
+    parts = parts.withColumn("side", F.expr("CASE WHEN block = other THEN 0L WHEN block < other THEN 1L ELSE 2L END"))
+    return cold.select(*DEALT).unionByName(parts.select(*DEALT))
+
+
+def _across(prints: np.ndarray, sides: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (later, earlier) of the two sides of a sub, at most radius apart."""
+    left, right = np.flatnonzero(sides == 1), np.flatnonzero(sides == 2)
+    for start in range(0, len(left), 256):
+        i, j = np.nonzero(np.bitwise_count(prints[left[start : start + 256], None] ^ prints[None, right]) <= radius)
+        yield np.maximum(left[start + i], right[j]), np.minimum(left[start + i], right[j])
+
+
+def _near(prints: np.ndarray, shard: np.ndarray, sides: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (later, earlier) at most radius apart of each whole shard, and across the sides of each sub."""
+    whole = np.flatnonzero(sides == 0)
+    for later, earlier in Forest(prints[whole], shard[whole]).earlier_within(radius):
+        yield whole[later], whole[earlier]
+    divided = np.flatnonzero(sides > 0)
+    for rows in np.split(divided, np.flatnonzero(np.diff(shard[divided])) + 1):
+        for later, earlier in _across(prints[rows], sides[rows], radius):
+            yield rows[later], rows[earlier]
 
 
 def _least(later: np.ndarray, key: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,11 +179,11 @@ def _nearest(shards: DataFrame, share: float, small_share: float, k: int) -> Dat
         yield found(table[:, ~small], share)
 
     def found(table: np.ndarray, share: float) -> pa.RecordBatch:
-        prints, (c, label, cursor) = table[2 : 2 + WORDS].view(np.uint64), table[2 + WORDS :]
+        prints, (c, label, cursor) = table[3 : 3 + WORDS].view(np.uint64), table[3 + WORDS :]
         shard = np.cumsum(np.concatenate([[0], (np.diff(table[0]) != 0) | (np.diff(table[1]) != 0)])) if len(c) else table[0]
         most = _radius(share, BITS * WORDS)
         held, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
-        for later, earlier in Forest(prints[0], shard).earlier_within(_radius(share)):
+        for later, earlier in _near(prints[0], shard, table[2], _radius(share)):
             open_ = (label[later] != label[earlier]) & (cursor[later] < LAST)
             later, earlier = later[open_], earlier[open_]
             apart = np.bitwise_count(prints[:, later] ^ prints[:, earlier]).sum(axis=0, dtype=np.int64)
@@ -208,7 +226,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def similar_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
-    missed: float = MISSED, split_above: int = SPLIT_ABOVE, deepest: int = DEEPEST,
+    missed: float = MISSED, split_above: int = SPLIT_ABOVE,
 ) -> DataFrame:
     """(id, component_id) of every row: documents linked by a Jaccard similarity of their different shingles.
 
@@ -225,9 +243,12 @@ def similar_documents(
     share = differing_share(similarity)
     tables = tables_for(classes.filter(F.col("size") >= LARGE).count(), share, missed)
     small_tables = tables_for(classes.filter(F.col("size") <= SMALL).count(), max(share, SMALL_SHARE), missed)
+    state = classes.withColumns({"label": F.col("c"), "cursor": F.lit(-1).cast("bigint")})
+    blocks = F.ceil(F.col("count") / split_above).alias("blocks")
+    hot = written(_dealt(state, tables, small_tables).groupBy("shard").count().filter(F.col("count") > split_above).select("shard", blocks), "similar-hot")
 
     def shards_of(some: DataFrame) -> DataFrame:
-        return _shards(some, tables, small_tables, split_above, deepest)
+        return _shards(_dealt(some, tables, small_tables), hot)
 
     def sets_of(some: DataFrame) -> DataFrame:
         """(c, shingles): those of one text of each class."""
@@ -237,10 +258,11 @@ def similar_documents(
         return written(found.select("c", "shingles").dropDuplicates(["c"]), "similar-sets")
 
     total, k = classes.count(), 1
-    state = classes.withColumns({"label": F.col("c"), "cursor": F.lit(-1).cast("bigint")})
     shards, sets, reached = shards_of(state), None, None
     while True:
         nearest = written(_nearest(shards, share, max(share, SMALL_SHARE), k), "similar-nearest")
+        if reached is not None and nearest.isEmpty():
+            break
         pairs = nearest.select("a", F.explode(F.slice("keys", 1, k)).alias("b")).withColumn("b", F.col("b").bitwiseAND(F.lit((1 << PLACE) - 1)))
         some = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
         new = sets_of(some if sets is None else some.join(sets.select("c"), "c", "left_anti"))

@@ -124,3 +124,9 @@ def test_a_partner_behind_nearer_decoys_is_found(spark):
     assert sum(want[i] != i for i in want) >= 20
     assert all(len({want[i] for i in g}) == 1 for g in groups(got))
     assert sum(got[i] != want[i] for i in got) <= 0.01 * len(got)
+
+
+def test_large_shards_give_the_same(spark):
+    """With the production chance: a shard divided into blocks finds all that a whole one finds."""
+    rows = corpus(4) + [(10_000 + r[0], *r[1:]) for r in family(150, 6, partners=30)]
+    assert labels(spark, rows, split_above=20) == labels(spark, rows)

@@ -32,11 +32,14 @@ PER_CLASS = 64
 OTHER_CLASSES = 64
 HIDDEN = 16
 
-# Training takes a stretch of 64 words at a hashed place from every 6,144 bytes of every training text.
+# Training takes all words of every training text; a text of more than RUN_WORDS comes in several runs of words.
+RUN_WORDS = 65_536
+
+# Stretches of 64 words at a hashed place from every 6,144 bytes of a text. Training does not use them.
 STRETCH, PER_STRETCH = 64, 6_144
 STRETCH_BYTES, MOST_BYTES = 256, 4_096  # room left for a stretch in its piece of text, and what is looked at for one
-ROUNDS = 2
-TASK_WORDS = 1_000_000  # stretch words to a training task
+ROUNDS = 1
+TASK_WORDS = 1_000_000  # words to a training task
 MOST_TASKS = 16_384  # each sends one set of weights; averaging a block of them takes MOST_TASKS times 2 kB at most
 WEIGHT_BLOCKS = 256
 RATE = 0.01
@@ -164,20 +167,21 @@ def stretches(text: bytes) -> Iterator[list[bytes]]:
             yield words[:STRETCH]
 
 
-def _stretches(docs: DataFrame, shared, text_col: str) -> DataFrame:
-    """(symbols, row): the pieces of the training texts that the model is trained on, written once."""
+def _runs(docs: DataFrame, shared, text_col: str) -> DataFrame:
+    """(symbols, row): all words of the training texts as symbols, a text in runs of RUN_WORDS at most, written once."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, known = shared.value, {}
         for batch in slices(batches, SLICE_BYTES):
             pieces = []
             for text in text_bytes(batch.column(0)):
-                for words in stretches(text):
-                    pieces.append(vocab.symbols_of(words, vocab.numbers(words), known)[0])
+                words = words_of(text)
+                symbols = vocab.symbols_of(words, vocab.numbers(words), known)[0]
+                pieces.extend(symbols[start : start + RUN_WORDS] for start in range(0, len(symbols), RUN_WORDS))
             yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.list_(pa.int32()))], names=["symbols"])
 
     pieces = docs.select(F.col(text_col).cast("string")).mapInArrow(cut, "symbols array<int>")
-    return written(pieces.withColumn("row", F.monotonically_increasing_id()), "lm-stretches")
+    return written(pieces.withColumn("row", F.monotonically_increasing_id()), "lm-runs")
 
 
 def _flat(w: dict) -> np.ndarray:
@@ -193,8 +197,8 @@ def _shaped(flat: np.ndarray, like: dict) -> dict:
 
 
 def trained(docs: DataFrame, vocab: Vocabulary, shared, text_col: str = "text", rounds: int = ROUNDS, task_words: int = TASK_WORDS) -> dict:
-    """Weights after some rounds of local training in parallel and averaging."""
-    pieces = _stretches(docs, shared, text_col)
+    """Weights after some rounds of local training in parallel on all words, the state carried on in each run, and averaging."""
+    pieces = _runs(docs, shared, text_col)
     context, shape = docs.sparkSession.sparkContext, vocab.shape
     unigram = np.bincount(vocab.symbols[: len(vocab.index)], vocab.counts[: len(vocab.index)], shape.symbols)[: shape.words]
     weights = gru.initial(shape, np.concatenate([unigram, vocab.class_words]))

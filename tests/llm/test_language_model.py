@@ -122,3 +122,17 @@ def test_shares_of_far_apart_values():
     for rows in (slice(0, 3), slice(2, 3), slice(0, 0)):
         assert gru._log_softmax(x[rows].astype(np.float32)) == pytest.approx(want[rows], abs=1e-4)
         assert gru._log_share(x[rows].astype(np.float32), np.array([1, 0, 2])[rows]) == pytest.approx(want[rows][range(len(want[rows])), [1, 0, 2][rows]], abs=1e-4)
+
+
+def test_training_takes_every_word(spark):
+    """Long texts, texts without white space and the ends of texts are all learned from, in order."""
+    from boxquery.llm import language_model as lm
+
+    texts = ["a b c", None, "", "\u4e2d\u6587" * 20_000, "b c " * 50_000, "a " * 300]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    counts = lm.written(lm.word_counts(docs), "test-words")
+    vocab, _ = lm.vocabulary(counts, 10, 100, 4)
+    got = lm._runs(docs.coalesce(1), spark.sparkContext.broadcast(vocab), "text").orderBy("row").collect()
+    words = [w for t in texts for w in words_of((t or "").encode())]
+    assert [s for r in got for s in r["symbols"]] == vocab.symbols_of(words, vocab.numbers(words), {})[0].tolist()
+    assert max(len(r["symbols"]) for r in got) == lm.RUN_WORDS

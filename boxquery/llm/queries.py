@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from boxquery.llm import chat, decontaminate, language_model, metric_join, sentencepiece, simhash, token_counts, toxicity, url_rules, warc
+from boxquery.llm import alignment, chat, decontaminate, language_model, metric_join, sentencepiece, simhash, token_counts, toxicity, url_rules, warc
 from boxquery.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,3 +169,9 @@ FITS = " ".join(
 )
 def url_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+@register("op12_alignment")
+def alignment_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align_documents(table(spark, sf_dir, "documents"), a, b)

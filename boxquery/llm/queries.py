@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from boxquery.llm import alignment, chat, decontaminate, hard_negatives, language_model, metric_join, sentencepiece, simhash, token_counts, toxicity, url_rules, warc
+from boxquery.llm import alignment, chat, decontaminate, hard_negatives, language_model, main_text, metric_join, sentencepiece, simhash, token_counts, toxicity, url_rules, warc
 from boxquery.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -201,3 +201,22 @@ def hard_negatives_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(finite(x), F.floor(256 * x).cast("double")))
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), whole.alias("embedding"))
     return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
+# The article of these pages, whose markup is h1, p, b and br, with the references that they use decoded.
+DECODED = """replace(replace(replace(replace({}, '&quot;', '"'), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>')"""
+SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{3000}]+"
+
+
+@register(
+    "op13_main_text",
+    f"""
+    WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS article FROM pages),
+    b AS (SELECT page_id, url, list_transform(string_split_regex(replace(replace(article, '<br>', ' '), '<b>', ''), '</?(p|h1)>'),
+              lambda x: trim(regexp_replace(regexp_replace({DECODED.format("x")}, '&amp;?', '&', 'g'), '{SPACE}', ' ', 'g'))) AS blocks FROM a),
+    t AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b)
+    SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t""",
+)
+def main_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = main_text.main_texts(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -105,7 +105,8 @@ def test_empty_table(spark):
 def test_long_texts_are_cut_where_pieces_begin():
     with open(A_PATH) as a, open(B_PATH, "rb") as b:
         tokenizers = Tokenizers(a.read(), b.read())
-    for text in ("don't  stop it's 12 ok " * 20_000, "x" * 300_000, "日本 日本" * 50_000):
+    assert tokenizers.a_ranks is not None
+    for text in (" " * 100_000 + "x", "x\n \t" * 40_000, "don't  stop it's 12 ok " * 20_000, "x" * 300_000, "é ½ don't \x85\x1c\u2003 €" * 30_000, "日本 日本" * 50_000):
         assert tokenizers.encode_a(text).tolist() == tokenizers.a.encode(text, add_special_tokens=False).ids
 
 

@@ -3,15 +3,16 @@
 At a similarity of 0.8 fingerprints differ in some 15 % of their bits, too many for blocks that must agree. So a
 fingerprint of 256 bits is sampled: in each of several tables a document goes to the shard of some sampled bits.
 Tables and bits follow from the number of documents and the wanted chance to meet. In each shard a BK-tree over
-64 of the bits finds what may be near. Fingerprints only order these candidates: a link is made by an exact
-comparison of shingles. Each round compares every document with its nearest candidates that it is neither linked
-nor compared with yet, until there are none.
+64 of the bits finds what may be near; what is connected so is a candidate group. Fingerprints only make these
+groups: inside a group all shingle sets are compared exactly, in blocks that one task holds, and only pairs of the
+wanted similarity are links. Shards and blocks give back links that connect, never one row for each pair.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -19,21 +20,21 @@ from pyspark.sql import DataFrame, functions as F
 
 from boxquery.llm.bk_trees import BITS, Forest
 from boxquery.llm.common import slices, text_bytes
-from boxquery.llm.components import components
+from boxquery.llm.components import Union, components
 from boxquery.llm.simhash import FOREST, SLICE_BYTES, SPLIT_ABOVE, majorities, shingle_hashes
-from boxquery.session import written
+from boxquery.session import BROADCAST_ROWS, broadcast_limit, released, written
 
 WORDS = 4  # 64-bit parts of a fingerprint
 PRINT = [f"p{i}" for i in range(WORDS)]
+SENT = 2  # parts of a fingerprint that go to the shards; the first is in the trees
 MISSED = 0.01  # the chance that two documents of exactly the least similarity meet in no table
-DEVIATIONS = 3.0  # of a distance above its mean at the least similarity: what may be near
-CHANCE = 64  # unrelated documents to a shard
-PLACE = 54  # a candidate's key is its distance above so many bits for its class: partition numbers up to 2 million
-LAST = (1 << 63) - 1  # the key of a class that has been compared with all its candidates
-WIDER = 4  # times as many candidates of a class in the next round
-AT_ONCE, MOST_AT_ONCE = 8, 256  # candidates of a round for each class of the table, and of one class
-CELL = 1_024  # pairs compared together
-HELD = 4_000_000  # candidates a task holds before it leaves out those that are too far
+DEVIATIONS = 4.0  # of a distance above its mean at the least similarity: what may be near
+CHANCE = 256  # unrelated documents to a shard
+FIRST = 4  # tables that are searched before the others, which then leave out what is connected already
+LEADERS = 16  # members of a divided shard that all others are compared with first
+TILE = 512  # members of a divided shard that are compared with all others at once
+BLOCK, BLOCK_SHINGLES = 1_024, 4_000_000  # documents and shingles of a candidate group that are compared together
+COLUMNS = 4_096  # shingles that many documents of a block have, multiplied at once
 # Majorities of few shingles differ in more bits than those of many: texts of up to SMALL shingles have tables and
 # a radius for this share of bits. Sizes from LARGE on use the expected share; those between have both.
 SMALL, LARGE, SMALL_SHARE = 30, 20, 0.22
@@ -87,19 +88,19 @@ def _radius(share: float, bits: int = BITS, deviations: float = DEVIATIONS) -> i
     return max(0, min(bits, round(bits * share + deviations * math.sqrt(bits * share * (1 - share)))))
 
 
-DEALT = ["shard", "sub", "side", *PRINT, "c", "label", "cursor"]
+DEALT = ["shard", "sub", "side", *PRINT[:SENT], "c", "label"]
 
 
-def _dealt(classes: DataFrame, tables: list[list[int]], small_tables: list[list[int]]) -> DataFrame:
-    """(shard, prints, c, label, cursor): each class in one shard per table, small ones in shards below zero."""
+def _dealt(classes: DataFrame, tables: list[list[int]], small_tables: list[list[int]], which: slice) -> DataFrame:
+    """(shard, prints, c, label): each class in one shard for each of the tables, small ones in shards below zero."""
     names = ["shard", *DEALT[3:]]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1 << 20):
             size = batch.column("size").to_numpy()
-            for part, which, sign in ((batch.filter(pa.array(size >= LARGE)), tables, 1), (batch.filter(pa.array(size <= SMALL)), small_tables, -1)):
+            for part, every, sign in ((batch.filter(pa.array(size >= LARGE)), tables, 1), (batch.filter(pa.array(size <= SMALL)), small_tables, -1)):
                 prints = [part.column(p).to_numpy() for p in PRINT]
-                for number, places in enumerate(which):
+                for number, places in list(enumerate(every))[which]:
                     bits = np.zeros(part.num_rows, np.int64)
                     for place in places:
                         bits = (bits << 1) | ((prints[place // BITS] >> (place % BITS)) & 1)
@@ -109,54 +110,50 @@ def _dealt(classes: DataFrame, tables: list[list[int]], small_tables: list[list[
     return classes.mapInArrow(deal, ", ".join(f"{name} bigint" for name in names))
 
 
-def _shards(dealt: DataFrame, hot: DataFrame) -> DataFrame:
-    """Dealt classes with the sub and the side; a shard of very many, in hot with its number of blocks, is divided.
+def _in_blocks(rows: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """rows with the sub and the side of each; a key in hot is divided into as many blocks as it says there.
 
-    Each two of its blocks of classes meet in one sub, and each block meets itself in another. So all pairs of the
-    shard are looked at, as in one that is not divided. Sides 1 and 2 are the two blocks of a sub; a whole is side 0.
+    Each two of its blocks meet in one sub, and each block meets itself in another. So all pairs of the key are
+    looked at, as in one that is not divided. Sides 1 and 2 are the two blocks of a sub; all else is side 0.
     """
-    cold = dealt.join(F.broadcast(hot), "shard", "left_anti").withColumns({"sub": F.lit(0).cast("bigint"), "side": F.lit(0).cast("bigint")})
-    parts = dealt.join(F.broadcast(hot), "shard").withColumn("block", F.expr("pmod(xxhash64(c), blocks)"))
+    parts = rows.join(F.broadcast(hot) if hot.count() <= broadcast_limit(hot, BROADCAST_ROWS) else hot, key, "left")
+    parts = parts.withColumns({"blocks": F.coalesce("blocks", F.lit(1)), "block": F.expr("pmod(xxhash64(c), coalesce(blocks, 1L))")})
     parts = parts.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    parts = parts.withColumn("sub", F.expr("1 + least(block, other) * blocks + greatest(block, other)"))
-    parts = parts.withColumn("side", F.expr("CASE WHEN block = other THEN 0L WHEN block < other THEN 1L ELSE 2L END"))
-    return cold.select(*DEALT).unionByName(parts.select(*DEALT))
+    parts = parts.withColumn("sub", F.expr("least(block, other) * blocks + greatest(block, other)"))
+    parts = parts.withColumn("side", F.expr("CASE WHEN block = other THEN 0 WHEN block < other THEN 1 ELSE 2 END"))
+    return parts.drop("blocks", "block", "other")
 
 
-def _across(prints: np.ndarray, sides: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (later, earlier) of the two sides of a sub, at most radius apart."""
-    left, right = np.flatnonzero(sides == 1), np.flatnonzero(sides == 2)
-    for start in range(0, len(left), 256):
-        i, j = np.nonzero(np.bitwise_count(prints[left[start : start + 256], None] ^ prints[None, right]) <= radius)
-        yield np.maximum(left[start + i], right[j]), np.minimum(left[start + i], right[j])
+def _apart(prints: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(prints[:, a] ^ prints[:, b]).sum(axis=0, dtype=np.int64)
 
 
-def _near(prints: np.ndarray, shard: np.ndarray, sides: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (later, earlier) at most radius apart of each whole shard, and across the sides of each sub."""
-    whole = np.flatnonzero(sides == 0)
-    for later, earlier in Forest(prints[whole], shard[whole]).earlier_within(radius):
-        yield whole[later], whole[earlier]
-    divided = np.flatnonzero(sides > 0)
-    for rows in np.split(divided, np.flatnonzero(np.diff(shard[divided])) + 1):
-        for later, earlier in _across(prints[rows], sides[rows], radius):
-            yield rows[later], rows[earlier]
+def _join_across(prints: np.ndarray, side: np.ndarray, sets: Union, known: Union, most: int) -> None:
+    """Join what is near in the two sides of a sub; in known too, if both are of one side, as that side's own sub finds it.
 
+    All are compared with some leaders first. Those that are connected then need no comparison with each other, so
+    a large group of copies costs a few comparisons for each member.
+    """
+    n = len(side)
+    leaders = np.unique(np.linspace(0, n - 1, LEADERS).astype(np.int64))
 
-def _least(later: np.ndarray, key: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k smallest keys of each."""
-    order = np.lexsort((key, later))
-    later, key = later[order], key[order]
-    first = np.flatnonzero(np.concatenate([[True], later[1:] != later[:-1]])) if len(later) else order
-    kept = np.arange(len(later)) - np.repeat(first, np.diff(np.append(first, len(later)))) < k
-    return later[kept], key[kept]
+    def compare(some: np.ndarray) -> None:
+        apart = np.bitwise_count(prints[:, some, None] ^ prints[:, None, :]).sum(axis=0, dtype=np.int64)
+        i, j = np.nonzero(apart <= most)
+        i = some[i]
+        within = side[i] == side[j]
+        known.join(i[within], j[within])
+        sets.join(i, j)
 
+    compare(leaders)
+    root = sets.roots(np.arange(n))
+    rest = np.flatnonzero(root != np.bincount(root).argmax())
+    for start in range(0, len(rest), TILE):
+        compare(rest[start : start + TILE])
 
-def _nearest(shards: DataFrame, share: float, small_share: float, k: int) -> DataFrame:
-    """(a, keys): the k + 1 least keys of candidates of each class, ascending.
 
-    A candidate is an earlier class of the same shard that it may be near to and has another label. Its key is the
-    distance, then the class; only keys above the cursor count. So what has been compared does not come again.
-    """
+def _connected(shards: DataFrame, share: float, small_share: float) -> DataFrame:
+    """(a, b): links that connect classes near to each other in a shard, beyond those with equal labels."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -179,61 +176,112 @@ def _nearest(shards: DataFrame, share: float, small_share: float, k: int) -> Dat
         yield found(table[:, ~small], share)
 
     def found(table: np.ndarray, share: float) -> pa.RecordBatch:
-        prints, (c, label, cursor) = table[3 : 3 + WORDS].view(np.uint64), table[3 + WORDS :]
-        shard = np.cumsum(np.concatenate([[0], (np.diff(table[0]) != 0) | (np.diff(table[1]) != 0)])) if len(c) else table[0]
-        most = _radius(share, BITS * WORDS)
-        held, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
-        for later, earlier in _near(prints[0], shard, table[2], _radius(share)):
-            open_ = (label[later] != label[earlier]) & (cursor[later] < LAST)
-            later, earlier = later[open_], earlier[open_]
-            apart = np.bitwise_count(prints[:, later] ^ prints[:, earlier]).sum(axis=0, dtype=np.int64)
-            key = (apart << PLACE) | c[earlier]
-            near = (apart <= most) & (key > cursor[later])
-            held.append((later[near], key[near]))
-            size += int(near.sum())
-            if size > HELD:
-                held = [_least(*map(np.concatenate, zip(*held)), k + 1)]
-                size = 0
-        later, key = _least(*map(np.concatenate, zip(*held)), k + 1)
-        return pa.RecordBatch.from_arrays([pa.array(c[later]), pa.array(key)], names=["a", "key"])
+        side, prints, (c, label) = table[2], table[3 : 3 + SENT].view(np.uint64), table[3 + SENT :]
+        n = len(c)
+        shard = np.cumsum(np.concatenate([[0], (np.diff(table[0]) != 0) | (np.diff(table[1]) != 0)])) if n else c
+        # what has one label in one shard is connected already
+        order = np.lexsort((label, shard))
+        same = np.flatnonzero((np.diff(shard[order]) == 0) & (np.diff(label[order]) == 0))
+        known, sets = Union(n), Union(n)
+        for one in (known, sets):
+            one.join(order[same], order[same + 1])
+        several = np.bincount(shard[known.roots(np.arange(n)) == np.arange(n)], minlength=shard[-1] + 1 if n else 0)[shard] > 1 if n else side > 0
+        most = _radius(share, BITS * SENT)
+        whole = np.flatnonzero((side == 0) & several)
+        for later, earlier in Forest(prints[0, whole], shard[whole]).earlier_within(_radius(share)):
+            later, earlier = whole[later], whole[earlier]
+            near = _apart(prints, later, earlier) <= most
+            sets.join(later[near], earlier[near])
+        divided = np.flatnonzero((side > 0) & several)
+        for rows in np.split(divided, np.flatnonzero(np.diff(shard[divided])) + 1) if len(divided) else ():
+            own, own_known = Union(len(rows)), Union(len(rows))
+            for one, of in ((own, sets), (own_known, known)):
+                one.join(np.arange(len(rows)), np.searchsorted(rows, of.roots(rows)))
+            _join_across(prints[:, rows], side[rows], own, own_known, most)
+            sets.join(rows, rows[own.roots(np.arange(len(rows)))])
+            known.join(rows, rows[own_known.roots(np.arange(len(rows)))])
+        # the first of each group known before stands for it
+        first = np.flatnonzero(known.roots(np.arange(n)) == np.arange(n))
+        root = sets.roots(first)
+        new = root != first
+        return pa.RecordBatch.from_arrays([pa.array(c[first[new]]), pa.array(c[root[new]])], names=["a", "b"])
 
     dealt = shards.repartition("shard", "sub").sortWithinPartitions("shard", "sub", "c")
-    keys = dealt.mapInArrow(search, "a bigint, key bigint").groupBy("a").agg(F.array_sort(F.collect_set("key")).alias("keys"))
-    return keys.select("a", F.slice("keys", 1, k + 1).alias("keys"))
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): the pairs whose shingles are similar. The sets of some a and all their b are compared together."""
-    pairs = pairs.withColumn("cell", F.pmod(F.xxhash64("a"), F.lit(1 + pairs.count() // CELL)))
-    home = F.col("cell").alias("home")
-    held = pairs.select(home, F.col("a").alias("c")).union(pairs.select(home, "b")).distinct().join(sets, "c")
-
-    def compare(held: pa.Table, asked: pa.Table) -> pa.Table:
-        shingles = held.column("shingles").combine_chunks()
-        values, ends = shingles.values.to_numpy(), shingles.offsets.to_numpy()
-        of = {c: values[ends[i] : ends[i + 1]] for i, c in enumerate(held.column("c").to_pylist())}
-        links = []
-        for a, b in zip(asked.column("a").to_pylist(), asked.column("b").to_pylist()):
-            x, y = of.get(a), of.get(b)
-            if x is not None and y is not None and min(len(x), len(y)) >= similarity * max(len(x), len(y)):
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                if shared and shared >= similarity * (len(x) + len(y) - shared):
-                    links.append((a, b))
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
-
-    return held.groupBy("home").cogroup(pairs.groupBy("cell")).applyInArrow(compare, "a bigint, b bigint")
+    return dealt.mapInArrow(search, "a bigint, b bigint")
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of the sets (arrays without repeats) have in common, for pairs (earlier, later)."""
+    n = len(sets)
+    owner, flat = np.repeat(np.arange(n), [len(x) for x in sets]), np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    owner, flat = owner[order], flat[order]
+    first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])[: len(flat)])
+    often = np.diff(np.append(first, len(flat)))
+    counts, dense = np.zeros((n, n), np.int32), max(8, n // 16)
+    # values of few sets: their pairs one by one, those `step` places apart at a time
+    left = np.where(often < dense, often, 0)
+    ends = np.repeat(first + left, often)
+    at, step = np.arange(len(flat)), 1
+    while len(at := at[at + step < ends[at]]):
+        for start in range(0, len(at), 1 << 20):
+            some = at[start : start + (1 << 20)]
+            np.add.at(counts.ravel(), owner[some] * n + owner[some + step], 1)
+        step += 1
+    # values of many sets: products of matrices of zeros and ones
+    common = np.flatnonzero(often >= dense)
+    for start in range(0, len(common), COLUMNS):
+        some = common[start : start + COLUMNS]
+        column = np.repeat(np.arange(len(some)), often[some])
+        place = np.repeat(first[some] - np.cumsum(often[some]) + often[some], often[some]) + np.arange(len(column))
+        holds = np.zeros((n, len(some)), np.float32)
+        holds[owner[place], column] = 1
+        counts += (holds @ holds.T).astype(np.int32)
+    return counts
+
+
+def _linked(blocks: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that connect the classes of each block whose shingles are similar."""
+    least = Fraction(str(similarity))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, c, sets = None, [], []
+        for batch in batches:
+            shingles, columns = batch.column("shingles"), zip(*(batch.column(name).to_pylist() for name in ("component", "sub", "c")))
+            for row, (component, sub, one) in enumerate(columns):
+                if (component, sub) != key:
+                    yield links(c, sets)
+                    key, c, sets = (component, sub), [], []
+                c.append(one)
+                sets.append(shingles[row].values.to_numpy())
+        yield links(c, sets)
+
+    def links(c: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        groups, c = Union(len(c)), np.array(c, np.int64)
+        if len(c) > 1:
+            shared, sizes = shared_counts(sets).astype(np.int64), np.array([len(x) for x in sets])
+            near = shared * least.denominator >= least.numerator * (sizes[:, None] + sizes - shared)
+            groups.join(*np.nonzero(np.triu(near, 1)))
+        root = groups.roots(np.arange(len(c)))
+        apart = root != np.arange(len(c))
+        return pa.RecordBatch.from_arrays([pa.array(c[apart]), pa.array(c[root[apart]])], names=["a", "b"])
+
+    dealt = blocks.repartition("component", "sub").sortWithinPartitions("component", "sub", "c")
+    return dealt.mapInArrow(compare, "a bigint, b bigint")
 
 
 def similar_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
-    missed: float = MISSED, split_above: int = SPLIT_ABOVE,
+    missed: float = MISSED, split_above: int = SPLIT_ABOVE, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES,
 ) -> DataFrame:
     """(id, component_id) of every row: documents linked by a Jaccard similarity of their different shingles.
 
-    Every link is a pair that has this similarity. Pairs meet with a chance that `missed` and the constants above
-    set; all that meet are compared or come to be linked by others. Texts with equal fingerprints of 256 bits are one class, so copies cost nothing but their row; texts
-    without words are one class. The component is the smallest id reached; null ids are never the smallest. A class of
-    null ids only is linked to no other. Repeated rows come back as they are. Other columns are not carried.
+    Every link is a pair that has this similarity. Two documents come into one candidate group with a chance that
+    `missed` and the constants above set, or through others; all pairs of a candidate group are compared. Texts with
+    equal fingerprints of 256 bits are one class, so copies cost nothing but their row; texts without words, null ones
+    too, are one class. The component is the smallest id reached; null ids are never the smallest. A class of null ids
+    only is linked to no other. Repeated rows come back as they are. Other columns are not carried. An empty table
+    has no rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -241,46 +289,36 @@ def similar_documents(
     classes = prints.groupBy(*PRINT).agg(F.min("id").alias("least"), F.max("size").alias("size"))
     classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "similar-classes")
     share = differing_share(similarity)
+    small_share = max(share, SMALL_SHARE)
     tables = tables_for(classes.filter(F.col("size") >= LARGE).count(), share, missed)
-    small_tables = tables_for(classes.filter(F.col("size") <= SMALL).count(), max(share, SMALL_SHARE), missed)
-    state = classes.withColumns({"label": F.col("c"), "cursor": F.lit(-1).cast("bigint")})
-    blocks = F.ceil(F.col("count") / split_above).alias("blocks")
-    hot = written(_dealt(state, tables, small_tables).groupBy("shard").count().filter(F.col("count") > split_above).select("shard", blocks), "similar-hot")
-
-    def shards_of(some: DataFrame) -> DataFrame:
-        return _shards(_dealt(some, tables, small_tables), hot)
-
-    def sets_of(some: DataFrame) -> DataFrame:
-        """(c, shingles): those of one text of each class."""
-        wanted = some.join(classes.drop("size"), "c").filter("least IS NOT NULL")
-        texts = rows.join(wanted.select(F.col("least").alias("id")).distinct(), "id", "left_semi")
-        found = _prints(texts, shingle, kind, True).drop("size").join(wanted.withColumnRenamed("least", "id"), ["id", *PRINT])
-        return written(found.select("c", "shingles").dropDuplicates(["c"]), "similar-sets")
-
-    total, k = classes.count(), 1
-    shards, sets, reached = shards_of(state), None, None
-    while True:
-        nearest = written(_nearest(shards, share, max(share, SMALL_SHARE), k), "similar-nearest")
-        if reached is not None and nearest.isEmpty():
-            break
-        pairs = nearest.select("a", F.explode(F.slice("keys", 1, k)).alias("b")).withColumn("b", F.col("b").bitwiseAND(F.lit((1 << PLACE) - 1)))
-        some = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-        new = sets_of(some if sets is None else some.join(sets.select("c"), "c", "left_anti"))
-        sets = new if sets is None else sets.unionByName(new)
-        links = _linked(pairs, sets, similarity)
-        if reached is not None:
-            links = links.unionByName(reached.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        reached = components(links, "a", "b")
-        more = nearest.filter(F.size("keys") > k).select(F.col("a").alias("c"), F.element_at("keys", k).alias("cursor"))
-        left = more.count()
-        if not left:
-            break
-        k = max(1, min(k * WIDER, MOST_AT_ONCE, AT_ONCE * total // left))
-        state = classes.join(reached.select(F.col("node").alias("c"), F.col("component").alias("label")), "c", "left").join(more, "c", "left")
-        state = written(state.withColumns({"label": F.coalesce("label", "c"), "cursor": F.coalesce("cursor", F.lit(LAST))}), "similar-state")
-        shards = shards_of(state).join(shards_of(state.filter(F.col("cursor") < LAST)).select("shard", "sub").distinct(), ["shard", "sub"], "left_semi")
-
-    reached = reached.withColumnRenamed("node", "c")
+    small_tables = tables_for(classes.filter(F.col("size") <= SMALL).count(), small_share, missed)
+
+    def connected(some: DataFrame, which: slice) -> DataFrame:
+        dealt = _dealt(some, tables, small_tables, which)
+        large = dealt.groupBy("shard").count().filter(F.col("count") > split_above)
+        hot = written(large.select("shard", F.ceil(F.col("count") / split_above).alias("blocks")), "similar-hot")
+        return _connected(_in_blocks(dealt, "shard", hot).select(*DEALT), share, small_share)
+
+    searched = classes.drop("least")
+    first = components(connected(searched.withColumn("label", F.col("c")), slice(None, FIRST)), "a", "b")
+    labelled = searched.join(first.select(F.col("node").alias("c"), F.col("component").alias("label")), "c", "left")
+    labelled = written(labelled.withColumn("label", F.coalesce("label", "c")), "similar-labels")
+    rest = connected(labelled, slice(FIRST, None)).unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    candidates = components(rest, "a", "b").select(F.col("node").alias("c"), "component")
+
+    # the members of each candidate group: its smallest class too, which components leaves out
+    members = candidates.unionByName(candidates.select(F.col("component").alias("c"), "component").distinct())
+    members = written(members.join(classes, "c").filter(F.col("least").isNotNull()), "similar-members")
+    wanted = members.select(F.col("least").alias("id"), *PRINT, "c", "component")
+    own = rows.join(F.broadcast(ids) if (ids := wanted.select("id").distinct()).count() <= broadcast_limit(ids, BROADCAST_ROWS) else ids, "id", "left_semi")
+    sets = _prints(own, shingle, kind, True).drop("size").join(wanted, ["id", *PRINT]).select("c", "component", "shingles")
+    sets = written(sets.dropDuplicates(["c"]), "similar-sets")
+    sizes = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    needed = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("size") / block_shingles)).alias("blocks")
+    blocks = written(sizes.select("component", needed).filter(F.col("blocks") > 1), "similar-blocks")
+    links = _linked(_in_blocks(sets, "component", blocks), similarity)
+
+    reached = components(links, "a", "b").withColumnRenamed("node", "c")
     labelled = classes.join(reached, "c", "left").withColumn("component", F.coalesce("component", "c"))
     smallest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     named = labelled.join(smallest, "component").select(*PRINT, "component_id")
@@ -292,7 +330,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows that share an id stay or go together; rows with a null id stay only where their component has no other id.
     """
-    found = written(similar_documents(docs, id_col, text_col, **how), "similar-found")
+    with released(docs.sparkSession):
+        found = written(similar_documents(docs, id_col, text_col, **how), "similar-found", keep=True)
     gone = found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
     known = docs.join(gone.filter(F.col(id_col).isNotNull()), id_col, "left_anti")
     return known if gone.filter(F.col(id_col).isNull()).isEmpty() else known.filter(F.col(id_col).isNotNull())

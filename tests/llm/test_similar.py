@@ -1,9 +1,10 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
-from boxquery.llm.similar import CHANCE, differing_share, one_of_each, similar_documents, tables_for
+from boxquery.llm.similar import CHANCE, differing_share, one_of_each, shared_counts, similar_documents, tables_for
 
 SCHEMA = "doc_id bigint, text string, component_id string, p0 int"
 
@@ -56,15 +57,32 @@ def groups(label):
     return list(out.values())
 
 
-@pytest.mark.parametrize("split_above", [4096, 20])
-def test_groups_by_hand(spark, split_above):
-    """All that is similar comes together, and nothing that is not nearly so: clear links are estimated."""
+@pytest.mark.parametrize("how", [{}, {"split_above": 20}, {"block": 3}, {"split_above": 5, "block_shingles": 500}])
+def test_groups_by_hand(spark, how):
+    """The groups of all links of 0.8 or more and of no others, with the production chance."""
     rows = corpus()
-    got = {r["doc_id"]: r["component_id"] for r in similar_documents(spark.createDataFrame(rows, SCHEMA), split_above=split_above, missed=1e-4).collect()}
-    assert set(got) == {r[0] for r in rows} and all(min(g) == c for g in groups(got) for c in {got[i] for i in g})
-    assert all(len({got[i] for i in g}) == 1 for g in groups(by_hand(rows)))
-    loose = by_hand(rows, 0.68)
-    assert all(len({loose[i] for i in g}) == 1 for g in groups(got))
+    frame = spark.createDataFrame(rows, SCHEMA)
+    assert {r["doc_id"]: r["component_id"] for r in similar_documents(frame, **how).collect()} == by_hand(rows)
+
+
+def test_exactly_the_least_similarity_links(spark):
+    """Eight shingles of ten different ones are shared, then seven of nine; then 80 of 100 and 79 of 101."""
+    words = lambda i, n: [f"t{i}w{j}" for j in range(n)]
+    rows = []
+    for i, (n, shared) in enumerate([(13, 8), (12, 7), (94, 80), (94, 79)]):
+        base = words(i, n)
+        cut = shared + 4
+        rows += [(2 * i, " ".join(base), "c", 1), (2 * i + 1, " ".join(base[:cut] + [f"x{i}y{j}" for j in range(n - cut)]), "c", 1)]
+    got = {r["doc_id"]: r["component_id"] for r in similar_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == by_hand(rows) == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7}
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(0)
+    for n, most in ((2, 5), (40, 30), (200, 60)):
+        sets = [np.unique(rng.integers(0, most, int(rng.integers(0, most)))) for _ in range(n)]
+        counts = shared_counts(sets)
+        assert all(counts[i, j] == len(np.intersect1d(sets[i], sets[j])) for j in range(n) for i in range(j))
 
 
 def test_one_of_each_stays(spark):
@@ -111,22 +129,17 @@ def labels(spark, rows, **how):
 def test_every_link_has_the_similarity(spark):
     """A family of some 0.7 to 0.79 on one boilerplate does not become one component by near fingerprints."""
     rows = corpus(2) + [(10_000 + r[0], *r[1:]) for r in family(250, 3)]
-    want = by_hand(rows)
-    got = labels(spark, rows, missed=1e-4)
-    assert all(len({want[i] for i in g}) == 1 for g in groups(got))
-    assert sum(got[i] != want[i] for i in got) <= 0.01 * len(got)
+    assert labels(spark, rows) == by_hand(rows)
 
 
 def test_a_partner_behind_nearer_decoys_is_found(spark):
     """Most of a family are decoys near the limit; partners of just above 0.8 are compared although others are nearer."""
     rows = family(300, 5, partners=40)
-    want, got = by_hand(rows), labels(spark, rows)
+    want = by_hand(rows)
     assert sum(want[i] != i for i in want) >= 20
-    assert all(len({want[i] for i in g}) == 1 for g in groups(got))
-    assert sum(got[i] != want[i] for i in got) <= 0.01 * len(got)
+    assert labels(spark, rows) == want
 
 
-def test_large_shards_give_the_same(spark):
-    """With the production chance: a shard divided into blocks finds all that a whole one finds."""
+def test_large_shards_and_blocks_give_the_same(spark):
     rows = corpus(4) + [(10_000 + r[0], *r[1:]) for r in family(150, 6, partners=30)]
-    assert labels(spark, rows, split_above=20) == labels(spark, rows)
+    assert labels(spark, rows, split_above=20, block=16) == labels(spark, rows) == by_hand(rows)

@@ -92,29 +92,36 @@ def _forward(w: dict, inputs: np.ndarray, state: np.ndarray, begin: int, keep: l
 SPREAD = 60.0  # exponents that far below the largest one still have a value in single precision
 
 
-def _exp_sums(x: np.ndarray) -> tuple[np.ndarray | np.floating, np.ndarray]:
-    """Turn x into exponentials below the top; the top, and the sum of each row.
+def _powers(states: np.ndarray, weight: np.ndarray, bias: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exponentials of states @ weight + bias below a top, the exponent at one column of each row, and each row's sum.
 
-    One top for all rows does unless their values lie far apart, and is found several times faster.
+    No part of a state is above one, so the weights bound all exponents. If the bounds lie close, the highest is the
+    top of all rows and nothing has to be searched; else each row has its own.
     """
-    low, high = x.min(initial=np.inf), x.max(initial=-np.inf)
-    top = high if high - low < SPREAD else x.max(1)[:, None]
-    x -= top
+    reach = np.abs(weight).sum(0)
+    top = (bias + reach).max()
+    near = top - (bias - reach).min() < SPREAD
+    x = states @ weight
+    x += bias - top if near else bias
+    if not near:
+        x -= x.max(1, initial=-np.inf)[:, None]
+    at = x[np.arange(len(x)), of]
     np.exp(x, out=x)
-    return np.squeeze(top), x @ np.ones(x.shape[1], x.dtype)
+    return x, at, x @ np.ones(x.shape[1], x.dtype)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    powers = x.copy()
-    top, sums = _exp_sums(powers)
-    return x - (top + np.log(sums))[:, None]
+def _log_share(states: np.ndarray, weight: np.ndarray, bias: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The log softmax at one column of each row."""
+    _, at, sums = _powers(states, weight, bias, of)
+    return at - np.log(sums)
 
 
-def _log_share(x: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """The log softmax at one column of each row. Changes x."""
-    at = x[np.arange(len(x)), of]
-    top, sums = _exp_sums(x)
-    return at - top - np.log(sums)
+def _slopes(states: np.ndarray, weight: np.ndarray, bias: np.ndarray, of: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The gradient of the scaled negative log softmax at one column of each row, and the log softmax there unscaled."""
+    x, at, sums = _powers(states, weight, bias, of)
+    x *= (scale / sums)[:, None]
+    x[np.arange(len(x)), of] -= scale
+    return x, at - np.log(sums)
 
 
 def _inner_runs(shape: Shape, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,12 +132,12 @@ def _inner_runs(shape: Shape, classes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def log_likelihoods(w: dict, shape: Shape, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log of each target's probability after its state (both flat)."""
     classes = shape.class_of(targets)
-    out = _log_share(states @ w["top"] + w["top_bias"], classes).astype(np.float64)
+    out = _log_share(states, w["top"], w["top_bias"], classes).astype(np.float64)
     order, bounds = _inner_runs(shape, classes)
     for c in range(shape.word_classes):
         rows = order[bounds[c] : bounds[c + 1]]
         if len(rows):
-            out[rows] += _log_share(states[rows] @ w["inner"][c] + w["inner_bias"][c], targets[rows] - c * shape.per_class)
+            out[rows] += _log_share(states[rows], w["inner"][c], w["inner_bias"][c], targets[rows] - c * shape.per_class)
     return out
 
 
@@ -188,24 +195,19 @@ def gradients(w: dict, shape: Shape, inputs: np.ndarray, targets: np.ndarray, re
     flat, wanted, here = states.reshape(-1, h), targets.reshape(-1), real.reshape(-1)
     total = max(1, int(here.sum()))
     classes = shape.class_of(wanted)
-    logs = _log_softmax(flat @ w["top"] + w["top_bias"])
-    loss = -float(logs[np.arange(len(wanted)), classes][here].sum())
-    d = np.exp(logs)
-    d[np.arange(len(wanted)), classes] -= F32(1)
-    d *= (here / F32(total)).astype(F32)[:, None]
+    scale = (here / F32(total)).astype(F32)
+    d, logs = _slopes(flat, w["top"], w["top_bias"], classes, scale)
+    loss = -float(logs[here].sum())
     g = {"top": flat.T @ d, "top_bias": d.sum(0), "inner": np.zeros_like(w["inner"]), "inner_bias": np.zeros_like(w["inner_bias"])}
     d_flat = d @ w["top"].T
     order, bounds = _inner_runs(shape, np.where(here, classes, shape.classes))
     for c in range(shape.word_classes):
         rows = order[bounds[c] : bounds[c + 1]]
         if len(rows):
-            logs = _log_softmax(flat[rows] @ w["inner"][c] + w["inner_bias"][c])
-            place = wanted[rows] - c * shape.per_class
-            loss -= float(logs[np.arange(len(rows)), place].sum())
-            e = np.exp(logs)
-            e[np.arange(len(rows)), place] -= F32(1)
-            e /= F32(total)
-            g["inner"][c], g["inner_bias"][c] = flat[rows].T @ e, e.sum(0)
+            some = flat[rows]
+            e, logs = _slopes(some, w["inner"][c], w["inner_bias"][c], wanted[rows] - c * shape.per_class, scale[rows])
+            loss -= float(logs.sum())
+            g["inner"][c], g["inner_bias"][c] = some.T @ e, e.sum(0)
             d_flat[rows] += e @ w["inner"][c].T
     d_states = d_flat.reshape(steps, lanes, h)
     d_inputs, g_state = np.empty((steps, lanes, 3 * h), F32), np.zeros_like(w["state"])
@@ -246,7 +248,7 @@ class Adam:
             w[k] -= rate * self.m[k] / (np.sqrt(self.v[k]) + F32(1e-6))
 
 
-def train(w: dict, shape: Shape, texts: list[np.ndarray], optimiser: Adam, lanes: int = 128, window: int = 32) -> float:
+def train(w: dict, shape: Shape, texts: list[np.ndarray], optimiser: Adam, lanes: int = 512, window: int = 32) -> float:
     """One pass of truncated backpropagation over the texts, changing w; the mean loss."""
     dealt = lanes_for(np.array([len(t) for t in texts]), lanes)
     inputs, targets, which, sizes = _laid_out(shape, texts, dealt)

@@ -32,21 +32,18 @@ PER_CLASS = 64
 OTHER_CLASSES = 64
 HIDDEN = 16
 
-# Training takes all words of every training text; a text of more than RUN_WORDS comes in several runs of words.
-RUN_WORDS = 65_536
-
-# Stretches of 64 words at a hashed place from every 6,144 bytes of a text. Training does not use them.
-STRETCH, PER_STRETCH = 64, 6_144
-STRETCH_BYTES, MOST_BYTES = 256, 4_096  # room left for a stretch in its piece of text, and what is looked at for one
+# Training takes all words of every training text. A text of more than RUN_WORDS starts anew after so many words: the
+# longest run sets how many lanes a task's words can fill, and with them the time that a word takes.
+RUN_WORDS = 16_384
 ROUNDS = 1
-TASK_WORDS = 1_000_000  # words to a training task
+TASK_WORDS = 4_000_000  # words to a training task, trained side by side
 MOST_TASKS = 16_384  # each sends one set of weights; averaging a block of them takes MOST_TASKS times 2 kB at most
 WEIGHT_BLOCKS = 256
-RATE = 0.01
+RATE = 0.02
 
-HELD_WORDS = 200_000  # distinct words a task holds before it sends their counts on
+HELD_WORDS = 400_000  # distinct words a task holds before it sends their counts on
 SLICE_BYTES = 4 << 20
-SCORED_WORDS = 2_000_000  # words laid out and scored together
+SCORED_WORDS = 4_000_000  # words laid out and scored together
 
 _EDGES = b".,;:!?()[]\"'*-_|"
 
@@ -149,39 +146,9 @@ def vocabulary(counts: DataFrame, model_words: int, broadcast_words: int, hidden
     ), least
 
 
-def stretches(text: bytes) -> Iterator[list[bytes]]:
-    """Runs of whole words of a text, one for each piece of it; the run at the end of the text has the end too."""
-    seed = zlib.crc32(text)
-    for block in range(0, max(len(text), 1), PER_STRETCH):
-        free = min(PER_STRETCH, len(text) - block) - STRETCH_BYTES
-        start = block + (zlib.crc32(b"%d" % block, seed) % (free + 1) if free > 0 else 0)
-        words = text[start : start + MOST_BYTES].lower().split(None, STRETCH + 1)
-        if start and not text[start - 1 : start].isspace() and not text[start : start + 1].isspace():
-            del words[:1]  # the place is within a word
-        if len(words) <= STRETCH:
-            if start + MOST_BYTES >= len(text):
-                words.append(END)
-            else:
-                del words[-1:]  # it may be cut
-        if words:
-            yield words[:STRETCH]
-
-
-def _runs(docs: DataFrame, shared, text_col: str) -> DataFrame:
-    """(symbols, row): all words of the training texts as symbols, a text in runs of RUN_WORDS at most, written once."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, known = shared.value, {}
-        for batch in slices(batches, SLICE_BYTES):
-            pieces = []
-            for text in text_bytes(batch.column(0)):
-                words = words_of(text)
-                symbols = vocab.symbols_of(words, vocab.numbers(words), known)[0]
-                pieces.extend(symbols[start : start + RUN_WORDS] for start in range(0, len(symbols), RUN_WORDS))
-            yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.list_(pa.int32()))], names=["symbols"])
-
-    pieces = docs.select(F.col(text_col).cast("string")).mapInArrow(cut, "symbols array<int>")
-    return written(pieces.withColumn("row", F.monotonically_increasing_id()), "lm-runs")
+def runs(symbols: np.ndarray) -> list[np.ndarray]:
+    """All symbols of a text, in runs of RUN_WORDS at most."""
+    return [symbols[at : at + RUN_WORDS] for at in range(0, len(symbols), RUN_WORDS)]
 
 
 def _flat(w: dict) -> np.ndarray:
@@ -196,50 +163,52 @@ def _shaped(flat: np.ndarray, like: dict) -> dict:
     return out
 
 
-def trained(docs: DataFrame, vocab: Vocabulary, shared, text_col: str = "text", rounds: int = ROUNDS, task_words: int = TASK_WORDS) -> dict:
-    """Weights after some rounds of local training in parallel on all words, the state carried on in each run, and averaging."""
-    pieces = _runs(docs, shared, text_col)
-    context, shape = docs.sparkSession.sparkContext, vocab.shape
+def trained(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, task_words: int = TASK_WORDS) -> dict:
+    """Weights after some rounds of local training in parallel on all words, and averaging.
+
+    texts: (row, symbols), where the row tells texts apart. Rows and weights are taken in order of the rows, so that
+    a task that runs again gives the same.
+    """
+    context, shape = texts.sparkSession.sparkContext, vocab.shape
     unigram = np.bincount(vocab.symbols[: len(vocab.index)], vocab.counts[: len(vocab.index)], shape.symbols)[: shape.words]
     weights = gru.initial(shape, np.concatenate([unigram, vocab.class_words]))
-    total = pieces.agg(F.sum(F.size("symbols"))).first()[0] or 0
-    tasks = int(min(MOST_TASKS, 1 + total // task_words))
-    spread = pieces.repartition(tasks, "row").select("symbols")
-    for turn in range(rounds):
+    tasks = int(min(MOST_TASKS, 1 + vocab.words // task_words))
+    spread = texts.repartition(tasks, "row").sortWithinPartitions("row")
+    for turn in range(rounds if vocab.words else 0):
         start = context.broadcast(weights)
 
         def learn(batches: Iterator[pa.RecordBatch], start=start, rate=RATE / (1 + 2 * turn)) -> Iterator[pa.RecordBatch]:
             w = {k: v.copy() for k, v in start.value.items()}
-            optimiser, seen, held, size = gru.Adam(w, rate), 0, [], 0
+            optimiser, seen, held, size, first = gru.Adam(w, rate), 0, [], 0, None
 
             def learn_held():
                 rng = np.random.default_rng(len(held))
                 gru.train(w, shape, [held[i] for i in rng.permutation(len(held))], optimiser)
 
             for batch in batches:
-                for piece in batch.column(0):
-                    held.append(piece.values.to_numpy())
-                    size += len(held[-1])
-                    if size >= task_words // 2:
+                first = batch.column("row")[0].as_py() if first is None and batch.num_rows else first
+                for text in batch.column("symbols"):
+                    symbols = text.values.to_numpy().astype(np.int32)
+                    held.extend(runs(symbols))
+                    size += len(symbols)
+                    if size >= 2 * task_words:
                         learn_held()
                         seen, held, size = seen + size, [], 0
             if held:
                 learn_held()
             blocks = np.array_split(_flat(w), WEIGHT_BLOCKS)
-            weight = float(seen + size)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(WEIGHT_BLOCKS), pa.int32()), pa.array([weight] * WEIGHT_BLOCKS), pa.array([b.tobytes() for b in blocks], pa.binary())],
-                names=["block", "weight", "data"],
+                [pa.array(range(WEIGHT_BLOCKS), pa.int32()), pa.array([first] * WEIGHT_BLOCKS, pa.int64()), pa.array([float(seen + size)] * WEIGHT_BLOCKS), pa.array([b.tobytes() for b in blocks], pa.binary())],
+                names=["block", "task", "weight", "data"],
             )
 
         def average(table: pa.Table) -> pa.Table:
+            table = table.sort_by("task")
             weight = table.column("weight").to_numpy()
             total = sum(np.frombuffer(data.as_py(), np.float32) * (w / max(weight.sum(), 1.0)) for data, w in zip(table.column("data"), weight))
             return pa.table({"block": [table.column("block")[0].as_py()], "data": [total.astype(np.float32).tobytes()]}, schema=pa.schema([("block", pa.int32()), ("data", pa.binary())]))
 
-        if not total:
-            break
-        sent = spread.mapInArrow(learn, "block int, weight double, data binary")
+        sent = spread.mapInArrow(learn, "block int, task bigint, weight double, data binary")
         averaged = sorted(sent.groupBy("block").applyInArrow(average, "block int, data binary").collect())
         weights = _shaped(np.concatenate([np.frombuffer(row["data"], np.float32) for row in averaged]), weights)
     return weights
@@ -265,28 +234,18 @@ def language_scores(
     counts = written(word_counts(training), "lm-words")
     vocab, least = vocabulary(counts, model_words, broadcast_words, hidden)
     shared = context.broadcast(vocab)
-    weights = context.broadcast(trained(training, vocab, shared, rounds=rounds, task_words=task_words))
     kind = rows.schema["id"].dataType.simpleString()
     rare_type = pa.list_(pa.struct([("word", pa.string()), ("m", pa.int64())]))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, w, known = shared.value, weights.value, {}
+        vocab, known = shared.value, {}
         shape = vocab.shape
         logs = np.log10(vocab.counts + SMOOTHING)
         # what a symbol's class costs inside, per word of the class: nothing for words of the model
         inside = np.zeros(shape.symbols)
         inside[shape.words :] = np.log10(vocab.class_words + SMOOTHING * (vocab.class_distinct + 1))
-        held, texts, size = [], [], 0
-
-        def scored() -> Iterator[pa.RecordBatch]:
-            found, at = gru.score(w, shape, texts) / np.log(10), 0
-            for columns, plus in held:
-                part = found[at : at + len(plus)] + plus
-                at += len(plus)
-                yield pa.RecordBatch.from_arrays([*columns[:-1], pa.array(part), columns[-1]], names=["id", "held_out", "n_tokens", "known", "base", "score", "rare"])
-
         for batch in slices(batches, SLICE_BYTES):
-            n_tokens, n_known, base, plus, rare_words, rare_counts, offsets = [], [], [], [], [], [], [0]
+            n_tokens, n_known, base, plus, rare_words, rare_counts, offsets, texts = [], [], [], [], [], [], [0], []
             for text in text_bytes(batch.column("text")):
                 words = words_of(text)
                 numbers = vocab.numbers(words)
@@ -302,19 +261,45 @@ def language_scores(
                 base.append(float(each.sum()))
                 plus.append(float(each[symbols >= shape.words].sum() - inside[symbols].sum()))
                 texts.append(symbols)
-                size += len(words)
             entries = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()).cast(pa.string()), pa.array(rare_counts, pa.int64())], fields=list(rare_type.value_type))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries, type=rare_type)
-            held.append(([batch.column("id"), batch.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), lists], np.array(plus)))
+            ends = np.cumsum([0, *n_tokens]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("id"), batch.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(plus, pa.float64()),
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries, type=rare_type),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*texts, np.zeros(0, np.int32)]))),
+                ],
+                names=["id", "held_out", "n_tokens", "known", "base", "plus", "rare", "symbols"],
+            )
+
+    looked_up = rows.mapInArrow(
+        look_up, f"id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, plus double, rare array<struct<word:string,m:bigint>>, symbols array<int>"
+    )
+    looked_up = written(looked_up.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+    weights = context.broadcast(trained(looked_up.filter(~F.col("held_out")).select("row", "symbols"), vocab, rounds, task_words))
+    carried = ["row", "id", "held_out", "n_tokens", "known", "base"]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, texts, size = [], [], 0
+
+        def scored() -> Iterator[pa.RecordBatch]:
+            found, at = gru.score(weights.value, shared.value.shape, texts) / np.log(10), 0
+            for batch in held:
+                part = found[at : at + batch.num_rows] + batch.column("plus").to_numpy()
+                at += batch.num_rows
+                yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in carried), pa.array(part)], names=[*carried, "score"])
+
+        for batch in batches:
+            held.append(batch.drop_columns(["symbols"]))
+            for text in batch.column("symbols"):
+                texts.append(text.values.to_numpy())
+                size += len(texts[-1])
             if size >= SCORED_WORDS:
                 yield from scored()
                 held, texts, size = [], [], 0
         yield from scored()
 
-    looked_up = rows.mapInArrow(
-        look_up, f"id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, score double, rare array<struct<word:string,m:bigint>>"
-    )
-    looked_up = written(looked_up.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+    model = looked_up.drop("rare").mapInArrow(score, f"row bigint, id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, score double")
     c = F.coalesce("n", F.lit(0))
     rest = (
         looked_up.select("row", F.explode("rare").alias("r"))
@@ -324,7 +309,7 @@ def language_scores(
         .agg(F.sum(F.col("m") * F.log10(c + SMOOTHING)).alias("others"), F.sum(F.when(c > 0, F.col("m")).otherwise(0)).alias("more"))
     )
     others, total = F.coalesce("others", F.lit(0.0)), float(np.log10(vocab.base_total))
-    return looked_up.drop("rare").join(rest, "row", "left").select(
+    return model.join(rest, "row", "left").select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(vocab.words).cast("long").alias("train_tokens"), (F.col("base") + others - F.col("n_tokens") * total).alias("base_score"),
         (F.col("score") + others).alias("score"),

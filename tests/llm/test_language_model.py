@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from boxquery.llm import gru
-from boxquery.llm.language_model import END, PER_STRETCH, STRETCH, language_scores, other_class, stretches, words_of
+from boxquery.llm.language_model import END, RUN_WORDS, language_scores, other_class, runs, vocabulary, word_counts, words_of
 
 SCHEMA = "doc_id bigint, text string, score string, held_out int"
 
@@ -97,42 +97,82 @@ def test_empty_table_and_nothing_to_learn_from(spark):
     assert END == b""
 
 
-def test_stretches_are_runs_of_whole_words():
-    rng = random.Random(6)
-    texts = [b"", b" ", b"one", b"x" * 20_000, b"y" * 5_000 + b" end"]
-    for _ in range(60):
-        words = [bytes(rng.choice(b"abcXYZ") for _ in range(rng.choice([1, 5, 9, 300]))) for _ in range(rng.randint(1, 3000))]
-        texts.append(b"".join(w + rng.choice([b" ", b"\n", b"  "]) for w in words)[: rng.choice([10**9, 700, 6_500])])
-    for text in texts:
-        all_words, found = words_of(text), list(stretches(text))
-        assert len(found) <= max(1, -(-len(text) // PER_STRETCH))
-        joined = b"\0".join([b"", *all_words, b""])
-        for words in found:
-            assert 1 <= len(words) <= STRETCH and b"\0".join([b"", *words, b""]) in joined
-        if len(text) < 400:
-            assert found == [all_words[:STRETCH]]
-        if max(map(len, all_words)) < 50 and len(text) > 1000:
-            assert len(found) >= len(text) // PER_STRETCH
-    assert END == b""
-
-
 def test_shares_of_far_apart_values():
-    x = np.array([[0.0, 300.0, -200.0], [-500.0, -501.0, -502.0], [1.0, 2.0, 3.0]])
+    x = np.array([[0.0, 1.0, -1.0], [-0.5, -0.25, 0.125], [1.0, 0.5, 0.25]])
     want = x - np.array([[np.logaddexp.reduce(row)] for row in x])
     for rows in (slice(0, 3), slice(2, 3), slice(0, 0)):
-        assert gru._log_softmax(x[rows].astype(np.float32)) == pytest.approx(want[rows], abs=1e-4)
-        assert gru._log_share(x[rows].astype(np.float32), np.array([1, 0, 2])[rows]) == pytest.approx(want[rows][range(len(want[rows])), [1, 0, 2][rows]], abs=1e-4)
-
-
-def test_training_takes_every_word(spark):
-    """Long texts, texts without white space and the ends of texts are all learned from, in order."""
+        states, of, scale = x[rows].astype(np.float32), np.array([1, 0, 2])[rows], np.array([0.5, 0.0, 2.0], np.float32)[rows]
+        at_of = want[rows][range(len(of)), of]
+        for bias in (np.zeros(3, np.float32), np.array([0.0, 0.0, -500.0], np.float32)):
+            if bias.any():
+                moved = x[rows] + bias
+                at_of = (moved - np.logaddexp.reduce(moved, axis=1)[:, None])[range(len(of)), of]
+            slopes, at = gru._slopes(states, np.eye(3, dtype=np.float32), bias, of, scale)
+            assert at == pytest.approx(at_of, abs=1e-3) and gru._log_share(states, np.eye(3, dtype=np.float32), bias, of) == pytest.approx(at_of, abs=1e-3)
+        assert gru._slopes(states, np.eye(3, dtype=np.float32), np.zeros(3, np.float32), of, scale)[0] == pytest.approx((np.exp(want[rows]) - np.eye(3)[of]) * scale[:, None], abs=1e-4)
+
+
+def test_runs_hold_every_word():
+    for n in (1, 300, RUN_WORDS, RUN_WORDS + 1, 5 * RUN_WORDS):
+        symbols = np.arange(n)
+        assert np.concatenate(runs(symbols)).tolist() == symbols.tolist() and max(map(len, runs(symbols))) <= RUN_WORDS
+
+
+def plain_score(w, shape, symbols):
+    """Natural log-likelihood of a text by a gated recurrent unit, one word after the other, without classes side by side."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    h, k = shape.hidden, shape.per_class
+    w = {name: value.astype(np.float64) for name, value in w.items()}
+    state, given, total = np.zeros(h), shape.begin, 0.0
+    for s in symbols:
+        a, b = w["input"][given], state @ w["state"]
+        z, r = sigmoid(a[:h] + b[:h]), sigmoid(a[h : 2 * h] + b[h : 2 * h])
+        new = np.tanh(a[2 * h :] + r * b[2 * h :])
+        state = (1 - z) * state + z * new
+        tops = state @ w["top"] + w["top_bias"]
+        c = s // k if s < shape.words else s - shape.words + shape.word_classes
+        total += tops[c] - np.log(np.exp(tops).sum())
+        if s < shape.words:
+            inside = state @ w["inner"][c] + w["inner_bias"][c]
+            total += inside[s % k] - np.log(np.exp(inside).sum())
+        given = s
+    return total
+
+
+def test_scores_equal_a_plain_network_s(spark, monkeypatch):
+    """From the texts to the column: words, symbols, the network with the state carried on, and the share of rare words."""
     from boxquery.llm import language_model as lm
 
-    texts = ["a b c", None, "", "\u4e2d\u6587" * 20_000, "b c " * 50_000, "a " * 300]
-    docs = spark.createDataFrame([(t,) for t in texts], "text string")
-    counts = lm.written(lm.word_counts(docs), "test-words")
-    vocab, _ = lm.vocabulary(counts, 10, 100, 4)
-    got = lm._runs(docs.coalesce(1), spark.sparkContext.broadcast(vocab), "text").orderBy("row").collect()
-    words = [w for t in texts for w in words_of((t or "").encode())]
-    assert [s for r in got for s in r["symbols"]] == vocab.symbols_of(words, vocab.numbers(words), {})[0].tolist()
-    assert max(len(r["symbols"]) for r in got) == lm.RUN_WORDS
+    rows = chain_texts(80) + [(900, None, "c", 1), (901, "W1 " * 700, "c", 1)]
+    rng, used = np.random.default_rng(2), {}
+
+    def given(texts, vocab, rounds, task_words):
+        used["vocab"] = vocab
+        used["w"] = {k: v + rng.normal(0, 0.4, v.shape).astype(np.float32) for k, v in gru.initial(vocab.shape, np.ones(vocab.shape.symbols)).items()}
+        return used["w"]
+
+    monkeypatch.setattr(lm, "trained", given)
+    got = {r["doc_id"]: r["score"] for r in language_scores(spark.createDataFrame(rows, SCHEMA), model_words=30, broadcast_words=70).collect()}
+    vocab, w = used["vocab"], used["w"]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    counts = Counter(word for i, t, *_ in rows if not held(i) for word in words_of((t or "").encode()))
+    model = [word for word, i in vocab.index.items() if i < vocab.shape.words]
+    n, v = Counter(), Counter()
+    for word, m in counts.items():
+        if word not in model:
+            n[other_class(word, 64)] += m
+            v[other_class(word, 64)] += 1
+    for i, t, *_ in rows:
+        words = words_of((t or "").encode())
+        symbols = [model.index(word) if word in model else vocab.shape.words + other_class(word, 64) for word in words]
+        share = sum(math.log10((counts[word] + 0.1) / (n[c] + 0.1 * (v[c] + 1))) for word in words if word not in model for c in [other_class(word, 64)])
+        assert got[i] == pytest.approx(plain_score(w, vocab.shape, symbols) / math.log(10) + share, rel=1e-4, abs=1e-3)
+
+
+def test_training_takes_every_word_and_gives_the_same_again(spark):
+    docs = spark.createDataFrame(chain_texts(200), SCHEMA)
+    first, again = ({(r["doc_id"], r["score"]) for r in language_scores(docs.repartition(n), task_words=1_500).collect()} for n in (3, 3))
+    assert first == again
+    counts = word_counts(docs.select("text"))
+    vocab, _ = vocabulary(counts, 10, 100, 4)
+    assert vocab.words == sum(len(words_of(t.encode())) for _, t, *_ in chain_texts(200))

@@ -89,14 +89,13 @@ def overlap_pairs(
     other side has boxes of its own, so large boxes meet many rows and small ones meet their neighbours.
     """
     few = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
-    a = written(_leveled(left, dims, left_cols), "leveled")
-    b = written(_leveled(right, dims, right_cols), "leveled")
+    a, b = (written(_leveled(side, dims, cols).withColumn("_n", F.monotonically_increasing_id()), "leveled") for side, cols in ((left, left_cols), (right, right_cols)))
     pairs = _meeting(a, b, dims, "v <= own", few, ("a", "b")).unionByName(_meeting(b, a, dims, "v < own", few, ("b", "a")))
     box_a = Box([F.col(f"a_l{x}") for x in dims], [F.col(f"a_h{x}") for x in dims])
     box_b = Box([F.col(f"b_l{x}") for x in dims], [F.col(f"b_h{x}") for x in dims])
     corner = [axis_cell(f"greatest(a_l{x}, b_l{x})", "level") for x in dims]
     reported = F.expr(f"cell = {cell_id(corner, 'level')}")
-    return pairs.filter(overlaps(box_a, box_b)).filter(reported).drop("level", "cell")
+    return pairs.filter(overlaps(box_a, box_b)).filter(reported).drop("level", "cell", "a__n", "b__n")
 
 
 def _meeting(coarse: DataFrame, fine: DataFrame, dims: Sequence[str], finer: str, few: int, tags: tuple[str, str]) -> DataFrame:
@@ -112,7 +111,7 @@ def _meeting(coarse: DataFrame, fine: DataFrame, dims: Sequence[str], finer: str
     total = spread.count()
     if total <= broadcast_limit(spread, few):
         return placed.join(F.broadcast(spread), keys)
-    return skew_join(spread, placed, keys, None, total)
+    return skew_join(spread, placed, keys, f"{tags[1]}__n", total, small_id=[f"{tags[0]}__n"])
 
 
 def _tagged(placed: DataFrame, tag: str) -> DataFrame:

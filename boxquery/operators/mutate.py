@@ -110,7 +110,7 @@ def match_deletes(index: BoxIndex, deletes: DataFrame) -> DataFrame:
     if requests <= broadcast_limit(wanted, BROADCAST_ROWS):
         pairs = rows.join(F.broadcast(wanted), index.id_col)
     else:
-        pairs = skew_join(wanted, rows, [index.id_col], "request", requests)
+        pairs = skew_join(wanted, rows, [index.id_col], "request", requests, small_id=["p"])
     near = overlaps(box_of(index.points, index.dims, "p"), box(index.dims, "q"))
     return pairs.filter(near).select("request", index.id_col)
 

@@ -139,7 +139,7 @@ def level_candidates(
         if bound <= broadcast_limit(partial, BROADCAST_ROWS):
             pairs = children.join(F.broadcast(partial), "parent")
         else:
-            pairs = skew_join(partial, children, ["parent"], "qid", bound)
+            pairs = skew_join(partial, children, ["parent"], "qid", bound, small_id=["t"])
         found, bound = _settled(_judged(pairs.select("q", "t"), index, "node"), n_queries * sizes[level])
     return whole, with_segment(found.withColumnRenamed("node", "block"), index.segment_blocks), bound
 
@@ -161,7 +161,9 @@ def join_rows(index: BoxIndex, candidates: DataFrame, bound: int, points: DataFr
     points = wanted_segments(index, candidates, points, bound)
     if bound <= broadcast_limit(candidates, BROADCAST_ROWS):
         return points.join(F.broadcast(candidates), ["segment", "block"])
-    return skew_join(candidates, points, ["segment", "block"], "qid", bound)
+    # a block has no more rows than the degree; their own columns tell them apart, so nothing is copied
+    own = [index.id_col] if index.id_col in points.columns else [c for c in points.columns if c not in ("segment", "block")]
+    return skew_join(candidates, points, ["segment", "block"], "qid", bound, small_id=own)
 
 
 def wanted_segments(index: BoxIndex, candidates: DataFrame, points: DataFrame, bound: int) -> DataFrame:

@@ -112,8 +112,10 @@ def _count_grid(
     if sum(per_level.values()) <= few:
         pairs = point_cells(data.select(*dims), dims, per_level).join(F.broadcast(covered), ["level", "cell"])
     else:
-        placed = point_cells(data.select(*dims), dims, per_level)
-        pairs = skew_join(placed, covered, ["level", "cell"], None, data.count() * len(per_level))
+        # rows are told apart by all that they hold; only rows equal in every column stay together
+        told = F.xxhash64(*[c for c, kind in data.dtypes if "map<" not in kind and "variant" not in kind])
+        placed = point_cells(data.select(*dims, told.alias("_row")), dims, per_level)
+        pairs = skew_join(placed, covered, ["level", "cell"], "_row", data.count() * len(per_level), small_id=["qid"])
     inside = all_of([F.col(d).between(F.col(f"l{d}"), F.col(f"h{d}")) for d in dims])
     return _hits(pairs.filter(inside))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -110,16 +110,19 @@ def skew_join(
     row_id: str | None,
     total: int,
     min_rows: int = HOT_MIN_ROWS,
+    *,
+    small_id: Sequence[str] = (),
 ) -> DataFrame:
     """Inner equi join that splits the hot keys of either side over several tasks.
 
     Keys are counted exactly on both sides. A key that is hot on a side has that side's rows spread over as
     many tasks as its share asks for, and the other side's rows repeated once for each of them; hot on both
     sides, the tasks form a grid. At most HOT_KEYS keys can be hot on a side, so that list is broadcast.
-    row_id names a column of `big` that tells its rows apart; without one, and always for `small`, rows are
-    numbered in a written copy, so that equal rows are spread too and stay where they are after a failure.
+    row_id names a column of `big` that tells its rows apart, small_id columns of `small`. A side without them is
+    numbered in a written copy, so that equal rows are spread too and stay where they are after a failure; stored
+    rows have an identity and are never copied.
     """
-    numbered = written(small.withColumn("_small", F.monotonically_increasing_id()), "skew-small")
+    numbered = small.withColumn("_small", F.xxhash64(*small_id)) if small_id else written(small.withColumn("_small", F.monotonically_increasing_id()), "skew-small")
     if row_id is None:
         big = written(big.withColumn("_big", F.monotonically_increasing_id()), "skew-big")
     sides = []

@@ -146,3 +146,30 @@ def test_seeds_are_cut_before_they_are_sorted(spark, sf_dir, monkeypatch):
     text = plan(seeds)
     assert re.search(r"Filter.*\n(.*\n)*.*xxhash64", text) and "TakeOrderedAndProject" in text
     assert seeds.count() == 50
+
+
+@pytest.mark.parametrize("method", ["grid", "blocks", "levels", "packed", "search", "delete"])
+def test_large_plans_copy_no_stored_rows(spark, index, few_rows, monkeypatch, method):
+    """Beyond all broadcast bounds the join that splits hot keys takes rows by their own identity."""
+    import boxquery.operators.mutate as mutate
+    import boxquery.session as session
+    from boxquery.functions.boxes import bound_names
+
+    copied, real = [], session.written
+    monkeypatch.setattr(session, "written", lambda df, label, keep=False: copied.append(label) or real(df, label, keep))
+    boxes = boxes64(spark)
+    if method == "delete":
+        monkeypatch.setattr(mutate, "BROADCAST_ROWS", 4)
+        whole = [F.lit(v).alias(n) for n, v in zip(bound_names(DIMS), (0.0, 0.0, 0.0, 1.0, 0.5, 1.0))]
+        asked = index.points.filter("pid % 3 = 0").select(F.col("pid").alias("request"), "pid", *whole)
+        got = {r.request for r in mutate.match_deletes(index, asked).collect()}
+        assert got == {r.pid for r in index.points.filter("pid % 3 = 0 AND y <= 0.5").collect()}
+    elif method == "search":
+        pairs = {(r.qid, r.pid) for r in range_search(index, boxes).collect()}
+        hits = {r.qid: r.hits for r in range_count(index.points, boxes, DIMS, "broadcast").collect()}
+        assert {q: sum(1 for a, _ in pairs if a == q) for q in hits} == hits
+    else:
+        data = index.points if method == "grid" else index
+        got = {r.qid: r.hits for r in range_count(data, boxes, DIMS if method == "grid" else None, method).collect()}
+        assert got == {r.qid: r.hits for r in range_count(index.points, boxes, DIMS, "broadcast").collect()}
+    assert "hot-keys" in copied and not {"skew-small", "skew-big"} & set(copied)

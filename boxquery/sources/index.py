@@ -7,8 +7,9 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from boxquery.functions.boxes import coordinate_names
 from boxquery.operators.blocks import DEGREE, block_summary, build_levels
 from boxquery.operators.index import BoxIndex, build_index, with_segment
 from boxquery.operators.mutate import insert
@@ -73,7 +74,8 @@ def compact(spark: SparkSession, path: str) -> BoxIndex:
     taken = delta.filter(" OR ".join(f"(stream = '{s}' AND batch_id <= {b})" for s, b in last.items()))
     fresh = f"{path}/version-{uuid.uuid4().hex}"
     with released(spark):
-        bigger = insert(_stored(spark, folder, parts), _inserted(taken))
+        stored_index = _stored(spark, folder, parts)
+        bigger = insert(stored_index, new_rows(stored_index, taken))
         stored = _describe(bigger, parts["points"]["params"])
         for part in PARTS:
             _save_part(getattr(bigger, part), fresh, part, stored)
@@ -82,8 +84,16 @@ def compact(spark: SparkSession, path: str) -> BoxIndex:
     return load_index(spark, path)
 
 
-def _inserted(delta: DataFrame) -> DataFrame:
-    return delta.drop("stream", "batch_id", "h")
+def new_rows(index: BoxIndex, delta: DataFrame) -> DataFrame:
+    """Inserted rows whose id the index does not have, one of each id.
+
+    Sources that deliver at least once repeat rows, within a batch, in later ones or by another stream. The row of
+    the earliest batch stays, among those of one batch number the least by stream and coordinates; all others, and
+    rows whose id is stored already, are left out: the first row with an id is the one that counts.
+    """
+    order = Window.partitionBy(index.id_col).orderBy("batch_id", "stream", *coordinate_names(delta, index.dims))
+    first = delta.withColumn("_turn", F.row_number().over(order)).filter("_turn = 1")
+    return first.drop("_turn", "stream", "batch_id", "h").join(index.points.select(index.id_col), index.id_col, "left_anti")
 
 
 def _current(metas: dict[str, dict], path: str) -> tuple[str, dict, dict]:
@@ -154,7 +164,7 @@ def load_index(spark: SparkSession, path: str) -> BoxIndex:
     """Open a saved index with all rows that have been inserted beside it; `compact` makes that cheap again."""
     folder, parts, _ = _current(_read_metas(spark, path), path)
     index, delta = _stored(spark, folder, parts), delta_rows(spark, path)
-    return index if delta is None else insert(index, _inserted(delta))
+    return index if delta is None else insert(index, new_rows(index, delta))
 
 
 def _assemble(meta: dict, tables: dict[str, DataFrame]) -> BoxIndex:
@@ -217,4 +227,4 @@ def open_index(
         _save_part(build_levels(blocks, dims, degree, stored["n_blocks"]), path, "nodes", described)
         fitting = _read_metas(spark, path)
     index, delta = _stored(spark, path, fitting), delta_rows(spark, path)
-    return index if delta is None else insert(index, _inserted(delta))
+    return index if delta is None else insert(index, new_rows(index, delta))

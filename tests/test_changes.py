@@ -144,3 +144,29 @@ def test_many_delete_requests_are_joined(spark, sf_dir, index, monkeypatch):
     want = {r.request for r in mutate.match_deletes(index, requests).collect()}
     monkeypatch.setattr(mutate, "BROADCAST_ROWS", 4)
     assert {r.request for r in mutate.match_deletes(index, requests).collect()} == want != set()
+
+
+def test_repeated_ids_do_not_poison_the_index(spark, index, tmp_path):
+    """Rows that a stream delivers twice, that another repeats, and ids that are stored: the first row counts."""
+    path = str(tmp_path / "ix")
+    save_index(index, path)
+    stored = index.points.orderBy("pid").first()
+    schema = "pid long, x float, y float, z float"
+    batches = [
+        [(-1, 0.5, 0.5, 0.5), (-1, 0.5, 0.5, 0.5), (-2, 0.1, 0.1, 0.1), (stored.pid, 0.9, 0.9, 0.9)],
+        [(-2, 0.7, 0.7, 0.7), (-3, 0.2, 0.2, 0.2)],
+    ]
+    for number in range(2):
+        for at, batch in enumerate(batches):
+            source = str(tmp_path / f"in{number}{at}")
+            spark.createDataFrame(batch, schema).coalesce(1).write.parquet(source)
+            stream = spark.readStream.schema(schema).parquet(source)
+            insert_stream(stream, path, DIMS, str(tmp_path / f"progress{number}{at}")).awaitTermination()
+        opened = load_index(spark, path)
+        for rows in (opened.points, current_rows(index, path)):
+            found = {r.pid: (round(r.x, 3), round(r.z, 3)) for r in rows.filter("pid < 0").collect()}
+            assert set(found) == {-1, -2, -3} and found[-1] == (0.5, 0.5) and found[-3] == (0.2, 0.2) and found[-2] in ((0.1, 0.1), (0.7, 0.7))
+            assert rows.count() == index.rows + 3 and rows.filter(F.col("pid") == stored.pid).count() == 1
+    assert compacted(opened, path).rows == index.rows + 3 and delta_rows(spark, path) is None
+    kept = load_index(spark, path).points.filter(F.col("pid") == stored.pid).first()
+    assert (kept.x, kept.y, kept.z) == (stored.x, stored.y, stored.z)

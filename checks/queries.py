@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from boxquery import BoxIndex, range_count, range_search
-from boxquery.functions.boxes import bound_names, box, dist2, enlargement, overlaps, sphere_volume, union, volume
+from boxquery.functions.boxes import bound_names, box, dist2, enlargement, sphere_volume, union, volume
 from boxquery.functions.hilbert import with_hilbert
 from boxquery.operators import blocks as blocks_
 from boxquery.operators import kmeans as kmeans_
 from boxquery.operators import mutate, order, report, runs, tiles
+from boxquery.operators.grid import overlap_pairs
 from boxquery.operators.index import build_index
 from boxquery.plans.range_count import partitioned_count
 from boxquery.session import scratch_path, scratch_root
@@ -205,8 +206,9 @@ def _(spark, sf_dir):
     rows = spark.sql(_snapped("{boxes}", "pid"), boxes=order_boxes(spark, sf_dir)).alias("o")
     # equal boxes are counted once and weighted
     kinds = rows.groupBy(*bound_names(PLANE)).count().alias("o")
-    pairs = asked.join(kinds, overlaps(box(PLANE, "q"), box(PLANE, "o")), "left")
-    return pairs.groupBy("qid").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("hits"))
+    pairs = overlap_pairs(asked, kinds, PLANE, ["qid"], ["count"])
+    hits = pairs.groupBy(F.col("a_qid").alias("qid")).agg(F.sum("b_count").alias("hits"))
+    return asked.select("qid").join(hits, "qid", "left").select("qid", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
 def order_pairs(spark, sf_dir) -> DataFrame:
@@ -926,3 +928,15 @@ def _(spark, sf_dir):
 @register("u3_reads_without_compaction", _JOINED)
 def _(spark, sf_dir):
     return range_count(load_index(spark, _streamed(spark, sf_dir, 1)), boxes64(spark))
+
+
+@register("u3_repeated_rows", _JOINED)
+def _(spark, sf_dir):
+    """A second stream delivers all rows again, before and after a compaction; each counts once."""
+    path = _streamed(spark, sf_dir, 1)
+    raw = table(spark, sf_dir, "events")
+    for _ in range(2):
+        stream = spark.readStream.schema(raw.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+        insert_stream(events3(spark, sf_dir, stream), path, DIMS, scratch_path(spark, "stream-progress")).awaitTermination()
+        index = compacted(load_index(spark, path), path)
+    return range_count(index, boxes64(spark))

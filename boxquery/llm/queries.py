@@ -87,7 +87,11 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op4_sentencepiece")
 def sentencepiece_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every text, and whether they decode to it; a null text has null ids."""
+    """Ids of every text, and whether they decode to it; a null text has null ids.
+
+    The given vocabulary is one of pair merges, whose scores only rank its pieces: the log scores of the search are
+    those of Zipf's law for these ranks.
+    """
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
         model = file.read()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -119,6 +123,8 @@ def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op6_simhash")
 def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components. Trees are searched where their shard is: to broadcast those of all shards would
+    send the fingerprints of all documents through the driver."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 

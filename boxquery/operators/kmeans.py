@@ -89,8 +89,9 @@ def assign_nearest(df: DataFrame, dims: Sequence[str], centroids: DataFrame | np
 
     @F.pandas_udf("bigint")
     def assign(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for columns in batches:
-            yield pd.Series(nearest(np.stack([c.to_numpy(dtype=np.float64) for c in columns], axis=1), shared.value))
+        # large groups of rows rule out more centroids at once; the rows come back in order, in larger batches
+        for slab in in_slabs(pd.concat(columns, axis=1) for columns in batches):
+            yield pd.Series(nearest(slab.to_numpy(dtype=np.float64), shared.value))
 
     return df.withColumn("cluster", assign(*finite(df, dims)))
 

@@ -16,6 +16,9 @@ from boxquery.session import written
 SEGMENTS_WANTED = 64
 SEGMENT_BLOCKS_MAX = 262_144
 
+# Columns by which blocks are joined to their rows; a bucketed index is stored by them.
+BLOCK_KEYS = ("segment", "block")
+
 
 @dataclass(frozen=True)
 class BoxIndex:

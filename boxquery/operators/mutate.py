@@ -16,6 +16,9 @@ from boxquery.session import BROADCAST_ROWS, broadcast_limit, skew_join, written
 
 PLACE_COLUMNS = ("segment", "block", "slot", "ordinal")
 
+# How far a segment may grow past its stored size and still be numbered in one task.
+SEGMENT_GROWTH = 2
+
 
 def _order_keys(index: BoxIndex) -> list[str]:
     if index.cluster == "none":
@@ -34,14 +37,24 @@ def _renumbered(index: BoxIndex, rows: DataFrame) -> BoxIndex:
     """Index over rows that know the stored segment they belong to, in the order of the segments and the keys.
 
     The order of segments is known, so nothing is sampled or sorted across them: rows are counted per segment
-    and numbered inside it. A segment has about a gigabyte of rows.
+    and numbered inside it. A segment has about a gigabyte of rows. One that has grown to more than SEGMENT_GROWTH
+    times its stored size, as when all new rows fall into one region, is numbered by a range shuffle over its keys.
     """
     rows = written(rows, "changed")
+    keys = _order_keys(index)
     before = Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("segment").count().select("segment", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    place = F.row_number().over(Window.partitionBy("segment").orderBy(*_order_keys(index)))
-    numbered = rows.withColumn("_place", place).join(F.broadcast(starts), "segment")
-    numbered = numbered.withColumn("ordinal", F.col("_start") + F.col("_place")).drop("segment", "_place", "_start")
+    grown = F.col("count") > SEGMENT_GROWTH * index.segment_blocks * index.degree
+    counted = rows.groupBy("segment").count().withColumns({"_grown": grown, "_in_grown": F.when(grown, F.col("count"))})
+    sums = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for c, n in (("count", "_first"), ("_in_grown", "_grown_first"))]
+    starts = written(counted.select("segment", "_grown", *sums), "segments")
+    placed = rows.join(F.broadcast(starts), "segment")
+    place = F.row_number().over(Window.partitionBy("segment").orderBy(*keys))
+    numbered = placed.filter(~F.col("_grown")).withColumn("_nth", place)
+    if not starts.filter("_grown").isEmpty():
+        cut = with_ordinal(placed.filter("_grown"), ["segment", *keys], "_nth")
+        numbered = numbered.unionByName(cut.withColumn("_nth", F.col("_nth") - F.col("_grown_first")))
+    numbered = numbered.withColumn("ordinal", F.col("_first") + F.col("_nth"))
+    numbered = numbered.drop("segment", "_nth", "_first", "_grown", "_grown_first")
     return index_of(written(numbered, "renumbered"), index.dims, index.degree, index.id_col, index.cluster)
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from boxquery.functions.boxes import any_of, bound_names, box, contains, overlaps
 from boxquery.operators.blocks import level_sizes
 from boxquery.operators.grid import overlap_pairs
-from boxquery.operators.index import BoxIndex, with_segment
-from boxquery.session import BROADCAST_ROWS, NESTED_LOOP_BOXES, broadcast_limit, skew_join, written
+from boxquery.operators.index import BLOCK_KEYS, BoxIndex, with_segment
+from boxquery.session import BROADCAST_ROWS, HOT_MIN_ROWS, NESTED_LOOP_BOXES, broadcast_limit, skew_join, written
 
 # A small index is read whole; of a larger one only the segments in a list of this length at most.
 FEW_SEGMENTS = 64
@@ -152,18 +152,38 @@ def _settled(found: DataFrame, most: int) -> tuple[DataFrame, int]:
     return found, found.count()
 
 
-def join_rows(index: BoxIndex, candidates: DataFrame, bound: int, points: DataFrame) -> DataFrame:
+def join_rows(
+    index: BoxIndex, candidates: DataFrame, bound: int, points: DataFrame, broadcast_rows: int | None = None
+) -> DataFrame:
     """Rows of the candidate blocks next to the boxes that want them.
 
-    Few candidates are broadcast: the rows are then scanned in place, and the segment key lets Spark
-    skip stored segments no box needs. Many candidates are shuffled by block, hot blocks split.
+    Few candidates, up to broadcast_rows, are broadcast: the rows are then scanned in place, and the segment key
+    lets Spark skip stored segments no box needs. Many candidates are shuffled to the blocks.
     """
     points = wanted_segments(index, candidates, points, bound)
-    if bound <= broadcast_limit(candidates, BROADCAST_ROWS):
-        return points.join(F.broadcast(candidates), ["segment", "block"])
-    # a block has no more rows than the degree; their own columns tell them apart, so nothing is copied
-    own = [index.id_col] if index.id_col in points.columns else [c for c in points.columns if c not in ("segment", "block")]
-    return skew_join(candidates, points, ["segment", "block"], "qid", bound, small_id=own)
+    few = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
+    if bound <= broadcast_limit(candidates, few):
+        return points.join(F.broadcast(candidates), list(BLOCK_KEYS))
+    return block_join(index, candidates, bound, points)
+
+
+def block_join(index: BoxIndex, candidates: DataFrame, bound: int, points: DataFrame) -> DataFrame:
+    """Equi join of candidates and rows by block. Rows of a bucketed index stay where they are stored.
+
+    A block has no more rows than the degree, so only candidates can be many for one block. Blocks that more boxes
+    want than one task should meet are few enough for their rows to be broadcast, at most BROADCAST_ROWS of them;
+    their candidates are not shuffled at all. Candidates stream past the rows of their block, which are buffered.
+    """
+    keys = list(BLOCK_KEYS)
+    limit = broadcast_limit(points, BROADCAST_ROWS)
+    threshold = max(HOT_MIN_ROWS, -(-bound * index.degree // limit))
+    wanted = candidates.groupBy(*keys).count().filter(F.col("count") > threshold)
+    hot = [r.block for r in wanted.select("block").collect()]
+    if not hot:
+        return candidates.join(points, keys)
+    here = F.col("block").isin(hot)
+    cold = candidates.filter(~here).join(points, keys)
+    return cold.unionByName(candidates.filter(here).join(F.broadcast(points.filter(here)), keys))
 
 
 def wanted_segments(index: BoxIndex, candidates: DataFrame, points: DataFrame, bound: int) -> DataFrame:

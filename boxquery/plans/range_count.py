@@ -120,27 +120,32 @@ def _count_grid(
     return _hits(pairs.filter(inside))
 
 
-def refined_hits(index: BoxIndex, found: DataFrame, bound: int) -> DataFrame:
+def refined_hits(index: BoxIndex, found: DataFrame, bound: int, broadcast_rows: int | None = None) -> DataFrame:
     """Hits of block candidates: whole blocks from their row counts, the others row by row."""
     whole = found.filter("inside").select("qid", F.col("n").alias("hits"))
     edge = found.filter(~F.col("inside")).drop("n", "inside")
     coords = coordinate_names(index.points, index.dims)
     renamed = edge.select("qid", "segment", "block", *[F.col(c).alias(f"q_{c}") for c in bound_names(index.dims)])
     rows = index.points.select("segment", "block", *coords)
-    pairs = join_rows(index, renamed, bound, rows)
+    pairs = join_rows(index, renamed, bound, rows, broadcast_rows)
     return whole.unionByName(_hits(pairs.filter(_in_box(rows, index.dims))))
 
 
-def _count_blocks(index: BoxIndex, boxes: DataFrame, nested_loop_boxes: int | None = None) -> DataFrame:
-    return refined_hits(index, *block_candidates(index, boxes, nested_loop_boxes))
+def _count_blocks(
+    index: BoxIndex, boxes: DataFrame, nested_loop_boxes: int | None = None, broadcast_rows: int | None = None
+) -> DataFrame:
+    return refined_hits(index, *block_candidates(index, boxes, nested_loop_boxes), broadcast_rows)
 
 
-def _count_levels(index: BoxIndex, boxes: DataFrame, start_level: int | None = None) -> DataFrame:
+def _count_levels(
+    index: BoxIndex, boxes: DataFrame, start_level: int | None = None, broadcast_rows: int | None = None
+) -> DataFrame:
     whole, leaves, bound = level_candidates(index, boxes, start_level)
-    return whole.select("qid", F.col("n").alias("hits")).unionByName(refined_hits(index, leaves, bound))
+    hits = refined_hits(index, leaves, bound, broadcast_rows)
+    return whole.select("qid", F.col("n").alias("hits")).unionByName(hits)
 
 
-def _count_packed(index: BoxIndex, boxes: DataFrame) -> DataFrame:
+def _count_packed(index: BoxIndex, boxes: DataFrame, broadcast_rows: int | None = None) -> DataFrame:
     """Blocks stay packed as arrays; each candidate pair counts inside its arrays."""
     found, bound = candidates(index, boxes)
     whole = found.filter("inside").select("qid", F.col("n").alias("hits"))
@@ -151,7 +156,7 @@ def _count_packed(index: BoxIndex, boxes: DataFrame) -> DataFrame:
     wanted = F.broadcast(wanted) if bound <= BROADCAST_ROWS else wanted
     rows = wanted_segments(index, edge, index.points, bound).join(wanted, ["segment", "block"], "left_semi")
     packed = pack_blocks(rows, index.dims, "slot", ("segment", "block"))
-    pairs = join_rows(index, edge, bound, packed.drop("slot"))
+    pairs = join_rows(index, edge, bound, packed.drop("slot"), broadcast_rows)
     b = box_of(packed, index.dims)
 
     def near(i):

@@ -11,20 +11,26 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from boxquery.functions.boxes import coordinate_names
 from boxquery.operators.blocks import DEGREE, block_summary, build_levels
-from boxquery.operators.index import BoxIndex, build_index, with_segment
+from boxquery.operators.index import BLOCK_KEYS, BoxIndex, build_index, with_segment
 from boxquery.operators.mutate import insert
-from boxquery.session import released
+from boxquery.session import ROWS_PER_PARTITION, released
 
 PARTS = ("points", "blocks", "nodes")
 META = "meta"
 DELTA = "delta"
 VERSION = "v"
+TABLE = "boxquery_"
 
 
-def save_index(index: BoxIndex, path: str, params: dict | None = None) -> None:
-    """Write all parts. The points are stored by segment, in ordinal order inside each."""
+def save_index(index: BoxIndex, path: str, params: dict | None = None, buckets: int | None = None) -> None:
+    """Write all parts. The points are stored by segment, in ordinal order inside each.
+
+    With a number of buckets they are stored as that many buckets of whole blocks instead (`bucket_count` gives a
+    fitting one), so that many boxes meet them without a shuffle of the points. Segments are then skipped by the
+    statistics of row groups and not by folder.
+    """
     params = {} if params is None else params
-    stored = _describe(index, params)
+    stored = _describe(index, params, buckets)
     _save_part(index.points, path, "points", stored)
     _save_part(index.blocks, path, "blocks", stored)
     _save_part(index.nodes, path, "nodes", stored)
@@ -76,7 +82,7 @@ def compact(spark: SparkSession, path: str) -> BoxIndex:
     with released(spark):
         stored_index = _stored(spark, folder, parts)
         bigger = insert(stored_index, new_rows(stored_index, taken))
-        stored = _describe(bigger, parts["points"]["params"])
+        stored = _describe(bigger, parts["points"]["params"], parts["points"].get("buckets"))
         for part in PARTS:
             _save_part(getattr(bigger, part), fresh, part, stored)
     content = {"folder": fresh, "parts": _read_metas(spark, fresh), "merged": {**merged, **last}}
@@ -110,8 +116,15 @@ def _stored(spark: SparkSession, folder: str, parts: dict) -> BoxIndex:
     return _assemble(parts["points"], {p: _read_part(spark, folder, p, parts[p]) for p in PARTS})
 
 
-def _describe(index: BoxIndex, params: dict) -> dict:
+def bucket_count(index: BoxIndex) -> int:
+    """Buckets for an index: the session's shuffle partitions, or more where one would hold too many rows."""
+    session = int(index.points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(session, -(-index.rows // ROWS_PER_PARTITION))
+
+
+def _describe(index: BoxIndex, params: dict, buckets: int | None = None) -> dict:
     return {
+        "buckets": buckets,
         "params": params,
         "dims": list(index.dims),
         "rows": index.rows,
@@ -127,6 +140,11 @@ def _save_part(df: DataFrame, path: str, part: str, stored: dict) -> None:
     """Replace one part. Its description goes away first and comes back last."""
     if part in _read_metas(df.sparkSession, path):
         _write_meta(df.sparkSession, path, part, None)
+    layout = uuid.uuid4().hex
+    if part == "points" and stored.get("buckets"):
+        _write_buckets(df, f"{path}/{part}", layout, stored["buckets"])
+        _write_meta(df.sparkSession, path, part, {**stored, "layout": layout, "schema": df.schema.jsonValue()})
+        return
     if part == "points":
         rows = df.sortWithinPartitions("segment", "ordinal").write.partitionBy("segment")
     elif part == "blocks":
@@ -137,6 +155,25 @@ def _save_part(df: DataFrame, path: str, part: str, stored: dict) -> None:
     _write_meta(df.sparkSession, path, part, {**stored, "schema": df.schema.jsonValue()})
 
 
+def _write_buckets(df: DataFrame, folder: str, layout: str, n: int) -> None:
+    """Rows by the hash of their block, one file a bucket, in ordinal order inside it."""
+    rows = df.repartition(n, *BLOCK_KEYS).write.bucketBy(n, *BLOCK_KEYS).sortBy(*BLOCK_KEYS, "ordinal")
+    rows.mode("overwrite").option("path", folder).format("parquet").saveAsTable(TABLE + layout)
+
+
+def _bucketed(spark: SparkSession, folder: str, meta: dict, schema: T.StructType) -> DataFrame:
+    """Make the buckets at `folder` known to this session's catalogue; the files stay where they are."""
+    name = TABLE + meta["layout"]
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        keys = ", ".join(BLOCK_KEYS)
+        spark.sql(
+            f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}, ordinal)"
+            f" INTO {meta['buckets']} BUCKETS LOCATION '{folder}'"
+        )
+    return spark.table(name)
+
+
 def _write_meta(spark: SparkSession, path: str, part: str, content: dict | None) -> None:
     """Describe a part, or mark it as unfinished with None."""
     row = spark.range(1, numPartitions=1).select(F.lit(json.dumps(content, sort_keys=True)).alias("content"))
@@ -157,6 +194,8 @@ def _read_metas(spark: SparkSession, path: str) -> dict[str, dict]:
 
 def _read_part(spark: SparkSession, path: str, part: str, meta: dict) -> DataFrame:
     schema = T.StructType.fromJson(meta["schema"])
+    if meta.get("layout"):
+        return _bucketed(spark, f"{path}/{part}", meta, schema).select(*schema.names)
     return spark.read.schema(schema).parquet(f"{path}/{part}").select(*schema.names)
 
 
@@ -189,13 +228,14 @@ def open_index(
     cluster: str = "hilbert",
     id_col: str = "pid",
     force_rebuild: bool = False,
+    buckets: int | None = None,
     **order_options,
 ) -> BoxIndex:
     """Load the index at `path` if it was built with exactly these parameters, else build and save it.
 
     Compared are source name, dimensions, row count, degree, cluster type and the order options, the number of
     partitions among them. If only the blocks or nodes are missing or differ, they are made again from the stored
-    points. Rows inserted beside the index are part of it.
+    points. Rows inserted beside the index are part of it. `buckets` as in `save_index`.
     """
     spark = rows.sparkSession
     params = {
@@ -207,6 +247,8 @@ def open_index(
         "id_col": id_col,
         "order": {k: order_options[k] for k in sorted(order_options)},
     }
+    if buckets is not None:
+        params["buckets"] = buckets
     metas = {} if force_rebuild else _read_metas(spark, path)
     latest = _latest(metas)
     if latest is not None and latest["parts"]["points"]["params"] == params:
@@ -214,10 +256,10 @@ def open_index(
     fitting = {part: meta for part, meta in metas.items() if meta["params"] == params}
     if "points" not in fitting:
         with released(spark):
-            save_index(build_index(rows, dims, degree, cluster, id_col, **order_options), path, params)
+            save_index(build_index(rows, dims, degree, cluster, id_col, **order_options), path, params, buckets)
         return load_index(spark, path)
     stored = fitting["points"]
-    described = {k: v for k, v in stored.items() if k != "schema"}
+    described = {k: v for k, v in stored.items() if k not in ("schema", "layout")}
     if "blocks" not in fitting:
         points = _read_part(spark, path, "points", stored)
         summary = with_segment(block_summary(points, dims), stored["segment_blocks"])

@@ -56,6 +56,14 @@ def order_index(spark: SparkSession, sf_dir: str) -> BoxIndex:
     return open_index(order_boxes(spark, sf_dir), path, PLANE, source=f"{sf_dir}/orders")
 
 
+def bucketed_index(spark: SparkSession, sf_dir: str) -> BoxIndex:
+    """The index over points3 with its points stored as buckets of whole blocks."""
+    path = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/buckets{sf_dir.replace('/', '-')}"
+    source = f"{sf_dir}/lineitem"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return open_index(points3(spark, sf_dir), path, DIMS, source=source, buckets=buckets)
+
+
 def long(name: str) -> F.Column:
     return F.col(name).cast("long").alias(name)
 
@@ -477,6 +485,25 @@ def _(spark, sf_dir):
     return range_search(point_index(spark, sf_dir), boxes64(spark), limit_per_query=10)
 
 
+_FIRST_1000 = o.query(
+    [*o.ORDERED, o.PART_BOXES],
+    "SELECT qid, pid FROM (SELECT b.qid, o.pid, row_number() OVER (PARTITION BY b.qid ORDER BY o.ordinal) AS rn"
+    f" FROM b JOIN o ON {o.inside('o', 'b')}) WHERE rn <= 1000",
+)
+
+
+@register("j3_first_1000", _FIRST_1000)
+def _(spark, sf_dir):
+    """The candidate blocks of each box in rounds, until it has a thousand rows."""
+    return range_search(point_index(spark, sf_dir), part_boxes(spark, sf_dir), limit_per_query=1000, first_blocks=8)
+
+
+@register("j3_first_1000_bucketed", _FIRST_1000)
+def _(spark, sf_dir):
+    boxes = part_boxes(spark, sf_dir)
+    return range_search(bucketed_index(spark, sf_dir), boxes, limit_per_query=1000, first_blocks=8, broadcast_rows=0)
+
+
 def _count_query(name: str, method: str, many: bool = False, **options) -> None:
     boxes_sql = o.PART_BOXES if many else o.BOXES64
 
@@ -497,6 +524,18 @@ _count_query("j10_scan_by_ranges", "ranges")
 _count_query("j10_scan_by_ranges_gap", "ranges", gap=4)
 
 
+def _stored_query(name: str, method: str, **options) -> None:
+    @register(name, o.query([o.POINTS, o.PART_BOXES], o.COUNT))
+    def _(spark, sf_dir):
+        """The plan for many candidates: only they are shuffled, the stored points are not."""
+        return range_count(bucketed_index(spark, sf_dir), part_boxes(spark, sf_dir), method=method, broadcast_rows=0, **options)
+
+
+_stored_query("j4_bucketed_blocks", "blocks")
+_stored_query("j5_bucketed_levels", "levels")
+_stored_query("j7_bucketed_packed", "packed")
+
+
 @register("j5_descent_degree_8", o.query([o.POINTS, o.PART_BOXES], o.COUNT))
 def _(spark, sf_dir):
     """Blocks of eight rows make a pyramid of several levels, gone down from its root."""

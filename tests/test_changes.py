@@ -170,3 +170,21 @@ def test_repeated_ids_do_not_poison_the_index(spark, index, tmp_path):
     assert compacted(opened, path).rows == index.rows + 3 and delta_rows(spark, path) is None
     kept = load_index(spark, path).points.filter(F.col("pid") == stored.pid).first()
     assert (kept.x, kept.y, kept.z) == (stored.x, stored.y, stored.z)
+
+
+def test_segments_that_grow_are_cut(spark, points, monkeypatch):
+    """All new rows lie in one place; no window then holds their segment, and the order is that of a new build."""
+    import boxquery.operators.mutate as mutate
+
+    index = build_index(points, DIMS, degree=16)
+    here = points.orderBy("pid").first()
+    added = spark.range(3_000).selectExpr("-1 - id AS pid", *[f"CAST({here[d]} AS FLOAT) AS {d}" for d in DIMS])
+    ranged = []
+    real = mutate.with_ordinal
+    monkeypatch.setattr(mutate, "with_ordinal", lambda df, *a, **k: ranged.append(df.count()) or real(df, *a, **k))
+    bigger = insert(index, added)
+    assert len(ranged) == 1 and 3_000 <= ranged[0] < 3_300
+    columns = ["pid", "h", "ordinal", "block", "segment"]
+    fresh = build_index(points.unionByName(added), DIMS, degree=16)
+    assert bigger.points.select(*columns).exceptAll(fresh.points.select(*columns)).count() == 0
+    assert bigger.rows == fresh.rows == 9_000

@@ -11,7 +11,8 @@ from boxquery.functions.hilbert import with_hilbert
 from boxquery.operators.blocks import block_summary, build_levels
 from boxquery.operators.order import adaptive_tiles
 from boxquery.sources.index import load_index, save_index
-from checks.fixtures import boxes64, points3
+from boxquery.session import written
+from checks.fixtures import boxes64, part_boxes, points3
 
 DIMS = ("x", "y", "z")
 
@@ -173,3 +174,66 @@ def test_large_plans_copy_no_stored_rows(spark, index, few_rows, monkeypatch, me
         got = {r.qid: r.hits for r in range_count(data, boxes, DIMS if method == "grid" else None, method).collect()}
         assert got == {r.qid: r.hits for r in range_count(index.points, boxes, DIMS, "broadcast").collect()}
     assert "hot-keys" in copied and not {"skew-small", "skew-big"} & set(copied)
+
+
+@pytest.fixture(scope="module")
+def bucketed(spark, index, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("buckets") / "ix")
+    save_index(index, path, buckets=8)
+    return load_index(spark, path)
+
+
+def scanned_in_place(text):
+    """Whether stored points are read and reach their join without a shuffle."""
+    tree = text.split("\n\n(1)")[0].splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*"))
+    for at, line in enumerate(tree):
+        if re.search(r"Scan parquet spark_catalog.*boxquery_", line):
+            above, level = [], depth(line)
+            for other in reversed(tree[:at]):
+                if depth(other) < level:
+                    above.append(other)
+                    level = depth(other)
+            joined = next(i for i, a in enumerate(above) if "Join" in a)
+            assert not any(re.search("(?<!Broadcast)Exchange", a) for a in above[:joined]), line
+    return any("boxquery_" in line for line in tree)
+
+
+@pytest.mark.parametrize("method", ["blocks", "levels", "packed"])
+def test_buckets_meet_many_boxes_without_a_shuffle_of_points(spark, sf_dir, bucketed, monkeypatch, method):
+    boxes = part_boxes(spark, sf_dir)
+    want = {(r.qid, r.hits) for r in range_count(bucketed, boxes, method="broadcast").collect()}
+    stored = []
+    monkeypatch.setattr(candidates, "written", lambda df, label, **kw: stored.append(df.columns) or written(df, label, **kw))
+    counted = range_count(bucketed, boxes, method=method, broadcast_rows=0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        text = plan(counted)
+        assert {(r.qid, r.hits) for r in counted.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert scanned_in_place(text) and "SortMergeJoin" in text
+    assert not any("x" in columns for columns in stored)
+
+
+def test_blocks_that_very_many_boxes_want_are_broadcast(spark, sf_dir, bucketed, monkeypatch):
+    monkeypatch.setattr(candidates, "HOT_MIN_ROWS", 5)
+    boxes = part_boxes(spark, sf_dir)
+    counted = range_count(bucketed, boxes, method="blocks", broadcast_rows=0)
+    text = plan(counted)
+    assert "BroadcastHashJoin" in text and "Union" in text and scanned_in_place(text)
+    want = {(r.qid, r.hits) for r in range_count(bucketed, boxes, method="broadcast").collect()}
+    assert {(r.qid, r.hits) for r in counted.collect()} == want
+
+
+def test_buckets_are_known_to_a_new_session(spark, index, tmp_path):
+    path = str(tmp_path / "ix")
+    save_index(index, path, buckets=4)
+    other = spark.newSession()
+    for row in spark.catalog.listTables():
+        if row.name.startswith("boxquery_") and row.tableType == "EXTERNAL":
+            spark.sql(f"DROP TABLE {row.name}")
+    again = load_index(other, path)
+    columns = ["pid", "ordinal", "segment", "block"]
+    assert again.points.select(*columns).exceptAll(other.createDataFrame(index.points.select(*columns).toPandas())).count() == 0
+    assert again.points.count() == index.rows

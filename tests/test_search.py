@@ -233,3 +233,42 @@ def test_first_k_stops_where_enough_is_certain(spark, sf_dir, flat_blocks):
         if len(want[r.qid]) < 5:
             want[r.qid].append(r.pid)
     assert {(r.qid, r.pid) for r in got.collect()} == {(q, p) for q, ps in want.items() for p in ps}
+
+
+@pytest.mark.parametrize("options", [{}, {"first_blocks": 1}, {"first_blocks": 3, "broadcast_rows": 0}])
+@pytest.mark.parametrize("k", [1, 200, 1000])
+def test_first_k_of_any_size_reads_few_blocks(spark, sf_dir, monkeypatch, options, k):
+    import boxquery.plans.range_search as searching
+
+    index = build_index(points3(spark, sf_dir), ("x", "y", "z"), degree=8)
+    wide = spark.sql(
+        "SELECT 1L AS qid, 0f AS lx, 0f AS ly, 0f AS lz, 1f AS hx, 1f AS hy, 1f AS hz"
+        " UNION ALL SELECT 2L, 0.2f, 0.2f, 0f, 0.9f, 0.9f, 1f UNION ALL SELECT 3L, 0.5f, 0f, 0f, 0.501f, 1f, 1f"
+        " UNION ALL SELECT 4L, 2f, 2f, 2f, 3f, 3f, 3f"
+    )
+    read, real = [], searching.join_rows
+
+    def counting(index, wanted, *rest):
+        read.extend(r.block for r in wanted.filter("qid = 1").select("block").collect())
+        return real(index, wanted, *rest)
+
+    monkeypatch.setattr(searching, "join_rows", counting)
+    got = {(r.qid, r.pid) for r in range_search(index, wide, limit_per_query=k, **options).collect()}
+    rows = range_search(index.points, wide, index.dims, order_col="ordinal", limit_per_query=k)
+    assert got == {(r.qid, r.pid) for r in rows.collect()}
+    assert 0 < len(read) <= 8 * (-(-k // 8) + 1) if options else len(read) == -(-k // 8)
+    assert len(read) == len(set(read))
+
+
+def test_windows_of_the_early_stop_hold_a_segment_at_most(spark):
+    from boxquery.plans.range_search import enough_blocks
+
+    rows = spark.range(100).selectExpr("id % 2 AS qid", "id div 2 AS block", "id div 20 AS segment", "id % 3 != 0 AS inside", "10L AS n")
+    got = {(r.qid, r.block) for r in enough_blocks(rows, 95).collect()}
+    for qid in (0, 1):
+        total, want = 0, set()
+        for r in sorted((r for r in rows.collect() if r.qid == qid), key=lambda r: r.block):
+            if total < 95:
+                want.add(r.block)
+            total += 10 * r.inside
+        assert {b for q, b in got if q == qid} == want

@@ -9,6 +9,7 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 # Rows of 100 bytes a side may have before it is no longer broadcast, some 50 MB; fewer of wider rows.
@@ -77,6 +78,32 @@ def _delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern of the file system; none if there are none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return [str(status.getPath()) for status in found or ()]
+
+
+def moved_if_free(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a folder unless the target is there; False if it is. One of several writers wins.
+
+    The file system must rename atomically, as HDFS does; its parent folder must be there.
+    """
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    hadoop = jvm.org.apache.hadoop.fs
+    made, wanted = hadoop.Path(source), hadoop.Path(target)
+    qualified = made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(made)
+    context = hadoop.FileContext.getFileContext(qualified.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        context.rename(qualified, context.makeQualified(wanted), gateway.new_array(hadoop.Options.Rename, 0))
+    except Py4JJavaError as refused:
+        if refused.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+            return False
+        raise
+    return True
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application. Tables and indexes that read them end with it."""
     _delete(spark, f"{scratch_root(spark)}/{spark.sparkContext.applicationId}")

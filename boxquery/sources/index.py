@@ -13,7 +13,7 @@ from boxquery.functions.boxes import coordinate_names
 from boxquery.operators.blocks import DEGREE, block_summary, build_levels
 from boxquery.operators.index import BLOCK_KEYS, BoxIndex, build_index, with_segment
 from boxquery.operators.mutate import insert
-from boxquery.session import ROWS_PER_PARTITION, released
+from boxquery.session import ROWS_PER_PARTITION, _delete, folders, moved_if_free, released
 
 PARTS = ("points", "blocks", "nodes")
 META = "meta"
@@ -37,7 +37,9 @@ def save_index(index: BoxIndex, path: str, params: dict | None = None, buckets:
     metas = _read_metas(index.points.sparkSession, path)
     if _latest(metas) is not None:  # a compacted version is there: the parts just saved come after it
         parts = {part: metas[part] for part in PARTS}
-        _add_version(index.points.sparkSession, path, metas, {"folder": path, "parts": parts, "merged": {}})
+        spark, content = index.points.sparkSession, {"folder": path, "parts": parts, "merged": {}}
+        while not _publish(spark, path, _next_version(_read_metas(spark, path)), content):
+            pass  # a compaction has taken that number; the parts just saved come after it
 
 
 def _latest(metas: dict[str, dict]) -> dict | None:
@@ -46,12 +48,21 @@ def _latest(metas: dict[str, dict]) -> dict | None:
     return metas[max(versions)] if versions else None
 
 
-def _add_version(spark: SparkSession, path: str, metas: dict[str, dict], content: dict) -> None:
-    number = 1 + max((int(part[1:]) for part in metas if part.startswith(VERSION)), default=0)
-    _write_meta(spark, path, f"{VERSION}{number:08d}", content)
+def _next_version(metas: dict[str, dict]) -> int:
+    return 1 + max((int(part[len(VERSION) :]) for part in metas if part.startswith(VERSION)), default=0)
 
 
-def delta_rows(spark: SparkSession, path: str) -> DataFrame | None:
+def _publish(spark: SparkSession, path: str, number: int, content: dict) -> bool:
+    """Describe a version, whole and at once. False if another writer has taken its number."""
+    made = f"{path}/unpublished-{uuid.uuid4().hex}"
+    _description(spark, content).write.parquet(made)
+    if moved_if_free(spark, made, f"{path}/{META}/part={VERSION}{number:08d}"):
+        return True
+    _delete(spark, made)
+    return False
+
+
+def delta_rows(spark: SparkSession, path: str, metas: dict[str, dict] | None = None) -> DataFrame | None:
     """Rows inserted beside the index and not merged into it, with their stream and batch; None if there are none."""
     try:
         rows = spark.read.option("mergeSchema", "true").parquet(f"{path}/{DELTA}")
@@ -59,7 +70,7 @@ def delta_rows(spark: SparkSession, path: str) -> DataFrame | None:
         if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
-    merged = (_latest(_read_metas(spark, path)) or {"merged": {}})["merged"]
+    merged = (_latest(_read_metas(spark, path) if metas is None else metas) or {"merged": {}})["merged"]
     for stream, batch in merged.items():
         rows = rows.filter(~((F.col("stream") == stream) & (F.col("batch_id") <= batch)))
     return None if rows.isEmpty() else rows
@@ -68,14 +79,24 @@ def delta_rows(spark: SparkSession, path: str) -> DataFrame | None:
 def compact(spark: SparkSession, path: str) -> BoxIndex:
     """Merge the inserted rows into the index at `path`, in a folder of their own.
 
-    Readers see the new version from the moment its description is written, one file; before that nothing they
-    read is touched. Batches that were merged are no longer read.
+    Readers see the new version from the moment its description is there; before that nothing they read is touched.
+    Batches that were merged are no longer read. Of several compactions at a time, one publishes the next version;
+    the others start again from it, so that what each of them saw is merged. `vacuum` deletes old versions.
     """
-    delta = delta_rows(spark, path)
-    if delta is None:
-        return load_index(spark, path)
+    while True:
+        metas = _read_metas(spark, path)
+        delta = delta_rows(spark, path, metas)
+        if delta is None:
+            return load_index(spark, path)
+        fresh, content = _merged_version(spark, path, metas, delta)
+        if _publish(spark, path, _next_version(metas), content):
+            return load_index(spark, path)
+        _delete(spark, fresh)
+
+
+def _merged_version(spark: SparkSession, path: str, metas: dict[str, dict], delta: DataFrame) -> tuple[str, dict]:
+    """Write the current version with the inserted rows to a folder of its own; the folder and its description."""
     last = {r["stream"]: r["batch_id"] for r in delta.groupBy("stream").agg(F.max("batch_id").alias("batch_id")).collect()}
-    metas = _read_metas(spark, path)
     folder, parts, merged = _current(metas, path)
     taken = delta.filter(" OR ".join(f"(stream = '{s}' AND batch_id <= {b})" for s, b in last.items()))
     fresh = f"{path}/version-{uuid.uuid4().hex}"
@@ -85,9 +106,40 @@ def compact(spark: SparkSession, path: str) -> BoxIndex:
         stored = _describe(bigger, parts["points"]["params"], parts["points"].get("buckets"))
         for part in PARTS:
             _save_part(getattr(bigger, part), fresh, part, stored)
-    content = {"folder": fresh, "parts": _read_metas(spark, fresh), "merged": {**merged, **last}}
-    _add_version(spark, path, metas, content)
-    return load_index(spark, path)
+    return fresh, {"folder": fresh, "parts": _read_metas(spark, fresh), "merged": {**merged, **last}}
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 1) -> int:
+    """Delete the versions behind the newest `keep`, and inserted batches that all kept ones have merged.
+
+    Returns how many versions went, the parts of the first build counted as one. Nobody may read those any more.
+    Descriptions go before the files they describe, so an interrupted run leaves files and never a broken version;
+    files of a compaction that has not published are left alone, as it may be running.
+    """
+    if keep < 1:
+        raise ValueError("at least one version must be kept")
+    metas = _read_metas(spark, path)
+    versions = sorted(part for part in metas if part.startswith(VERSION))
+    kept, old = versions[-keep:], versions[:-keep]
+    if len(versions) < keep or not kept:
+        return 0
+    used = {metas[part]["folder"] for part in kept}
+    for part in old:
+        _delete(spark, f"{path}/{META}/part={part}")
+    gone = {metas[part]["folder"] for part in old} | ({path} if any(part in metas for part in PARTS) else set())
+    for folder in sorted(gone - used):
+        if folder != path:
+            _delete(spark, folder)
+            continue
+        for part in PARTS:
+            _write_meta(spark, path, part, None)
+        for part in PARTS:
+            _delete(spark, f"{path}/{part}")
+    for stream, batch in metas[kept[0]]["merged"].items():
+        for found in folders(spark, f"{path}/{DELTA}/stream={stream}/batch_id=*"):
+            if int(found.rsplit("=", 1)[1]) <= batch:
+                _delete(spark, found)
+    return len(gone - used)
 
 
 def new_rows(index: BoxIndex, delta: DataFrame) -> DataFrame:
@@ -174,10 +226,13 @@ def _bucketed(spark: SparkSession, folder: str, meta: dict, schema: T.StructType
     return spark.table(name)
 
 
+def _description(spark: SparkSession, content: dict | None) -> DataFrame:
+    return spark.range(1, numPartitions=1).select(F.lit(json.dumps(content, sort_keys=True)).alias("content"))
+
+
 def _write_meta(spark: SparkSession, path: str, part: str, content: dict | None) -> None:
     """Describe a part, or mark it as unfinished with None."""
-    row = spark.range(1, numPartitions=1).select(F.lit(json.dumps(content, sort_keys=True)).alias("content"))
-    row.write.mode("overwrite").parquet(f"{path}/{META}/part={part}")
+    _description(spark, content).write.mode("overwrite").parquet(f"{path}/{META}/part={part}")
 
 
 def _read_metas(spark: SparkSession, path: str) -> dict[str, dict]:

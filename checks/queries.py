@@ -17,7 +17,7 @@ from boxquery.operators.index import build_index
 from boxquery.plans.range_count import partitioned_count
 from boxquery.session import scratch_path, scratch_root
 from boxquery.sources import binary
-from boxquery.sources.index import load_index, open_index, save_index
+from boxquery.sources.index import load_index, open_index, save_index, vacuum
 from boxquery.sources.normalise import normalise, to_boxes
 from boxquery.sources.uniform import uniform_points
 from boxquery.streaming.insert import compacted, insert_stream
@@ -969,6 +969,15 @@ def _(spark, sf_dir):
     return range_count(load_index(spark, _streamed(spark, sf_dir, 1)), boxes64(spark))
 
 
+@register("s4_vacuumed_versions", _JOINED)
+def _(spark, sf_dir):
+    """What an index gives when its old versions and merged batches have been deleted."""
+    path = _streamed(spark, sf_dir, 1)
+    compacted(load_index(spark, path), path)
+    vacuum(spark, path)
+    return range_count(load_index(spark, path), boxes64(spark))
+
+
 @register("u3_repeated_rows", _JOINED)
 def _(spark, sf_dir):
     """A second stream delivers all rows again, before and after a compaction; each counts once."""

@@ -188,3 +188,59 @@ def test_segments_that_grow_are_cut(spark, points, monkeypatch):
     fresh = build_index(points.unionByName(added), DIMS, degree=16)
     assert bigger.points.select(*columns).exceptAll(fresh.points.select(*columns)).count() == 0
     assert bigger.rows == fresh.rows == 9_000
+
+
+def delta_batch(rows, path, stream, batch=0):
+    from boxquery.operators.order import with_box_hilbert
+
+    with_box_hilbert(rows, DIMS).write.parquet(f"{path}/delta/stream={stream}/batch_id={batch}")
+
+
+def test_two_compactions_at_once_keep_both(spark, sf_dir, index, tmp_path, monkeypatch):
+    """A compaction that ends while another runs makes that one start again from the version just published."""
+    import boxquery.sources.index as stored
+
+    path, added = str(tmp_path / "ix"), events3(spark, sf_dir)
+    save_index(index, path)
+    delta_batch(added.filter("pid % 2 = 0"), path, "a")
+    real, published = stored._publish, []
+
+    def publish(spark, path, number, content):
+        if not published:
+            published.append(None)
+            delta_batch(added.filter("pid % 2 <> 0"), path, "b")
+            stored.compact(spark, path)
+        published.append(real(spark, path, number, content))
+        return published[-1]
+
+    monkeypatch.setattr(stored, "_publish", publish)
+    merged = stored.compact(spark, path)
+    # the inner one had seen both batches, so nothing is left for the outer one, which lost the number
+    assert published == [None, True, False]
+    assert merged.rows == 7_000 and merged.points.select("pid").distinct().count() == 7_000
+    assert delta_rows(spark, path) is None
+    assert len(list((tmp_path / "ix").glob("version-*"))) == 1 and not list((tmp_path / "ix").glob("unpublished-*"))
+
+
+def test_vacuum_leaves_the_kept_versions(spark, sf_dir, index, tmp_path):
+    from boxquery.sources.index import compact, vacuum
+
+    path, added = tmp_path / "ix", events3(spark, sf_dir)
+    save_index(index, str(path))
+    assert vacuum(spark, str(path)) == 0
+    for batch in range(2):
+        delta_batch(added.filter(f"pmod(pid, 2) = {batch}"), path, "a", batch)
+        compact(spark, str(path))
+    assert vacuum(spark, str(path), keep=3) == 0
+    assert vacuum(spark, str(path), keep=2) == 1
+    assert not (path / "points").exists() and len(list(path.glob("version-*"))) == 2
+    assert [p.name for p in (path / "delta" / "stream=a").glob("batch_id=*")] == ["batch_id=1"]
+    assert vacuum(spark, str(path)) == 1
+    assert len(list(path.glob("version-*"))) == 1 and not list((path / "delta").glob("stream=*/batch_id=*"))
+    left = load_index(spark, str(path))
+    assert left.rows == left.points.count() == 7_000
+    # rows that come later are merged and read as before
+    delta_batch(added.select((F.col("pid") - 1_000_000).alias("pid"), *DIMS), path, "a", 2)
+    assert load_index(spark, str(path)).rows == compact(spark, str(path)).rows == 8_000
+    with pytest.raises(ValueError):
+        vacuum(spark, str(path), keep=0)

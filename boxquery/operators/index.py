@@ -19,10 +19,17 @@ SEGMENT_BLOCKS_MAX = 262_144
 # Columns by which blocks are joined to their rows; a bucketed index is stored by them.
 BLOCK_KEYS = ("segment", "block")
 
+# Where a row of an index that takes changes is stored: its part, block in the part and slot in the block.
+STORED_COLUMNS = ("_part", "_block", "_slot")
+
 
 @dataclass(frozen=True)
 class BoxIndex:
-    """points(segment, block, slot, ordinal, h, id, coordinates), blocks, nodes."""
+    """points(segment, block, slot, ordinal, h, id, coordinates), blocks, nodes.
+
+    An index opened by `sources.changes` names its stored parts in order, each with its first block. The last block
+    of a part, and blocks that lost rows, are short there; in all others only the very last block is.
+    """
 
     points: DataFrame
     blocks: DataFrame
@@ -34,6 +41,11 @@ class BoxIndex:
     degree: int = DEGREE
     id_col: str = "pid"
     cluster: str = "hilbert"
+    parts: tuple[tuple[int, str], ...] = ()
+
+    @property
+    def full_blocks(self) -> bool:
+        return not self.parts
 
     def with_tables(self, **tables: DataFrame) -> BoxIndex:
         return replace(self, **tables)
@@ -75,6 +87,14 @@ def index_of(
     )
 
 
+def with_full_blocks(index: BoxIndex) -> BoxIndex:
+    """The same rows in the same order, with blocks of `degree` rows."""
+    if index.full_blocks:
+        return index
+    rows = index.points.drop("segment", "block", "slot", *STORED_COLUMNS)
+    return index_of(rows, index.dims, index.degree, index.id_col, index.cluster)
+
+
 def build_index(
     df: DataFrame,
     dims: Sequence[str],

@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from boxquery.functions.boxes import bound_names, box, box_of, coordinate_names, hi_names, lo_names, overlaps
-from boxquery.operators.index import BoxIndex, index_of
+from boxquery.operators.index import STORED_COLUMNS, BoxIndex, index_of
 from boxquery.operators.order import with_box_hilbert, with_ordinal
 from boxquery.plans.candidates import upright, wanted_segments
 from boxquery.session import BROADCAST_ROWS, broadcast_limit, skew_join, written
 
-PLACE_COLUMNS = ("segment", "block", "slot", "ordinal")
+PLACE_COLUMNS = ("segment", "block", "slot", "ordinal", *STORED_COLUMNS)
 
 # How far a segment may grow past its stored size and still be numbered in one task.
 SEGMENT_GROWTH = 2
 
 
-def _order_keys(index: BoxIndex) -> list[str]:
+def order_keys(index: BoxIndex) -> list[str]:
     if index.cluster == "none":
         return [index.id_col]
     if index.cluster == "kmeans":
@@ -29,7 +29,7 @@ def _order_keys(index: BoxIndex) -> list[str]:
 
 
 def _rebuilt(index: BoxIndex, rows: DataFrame) -> BoxIndex:
-    ordered = with_ordinal(rows, _order_keys(index))
+    ordered = with_ordinal(rows, order_keys(index))
     return index_of(ordered, index.dims, index.degree, index.id_col, index.cluster)
 
 
@@ -41,7 +41,7 @@ def _renumbered(index: BoxIndex, rows: DataFrame) -> BoxIndex:
     times its stored size, as when all new rows fall into one region, is numbered by a range shuffle over its keys.
     """
     rows = written(rows, "changed")
-    keys = _order_keys(index)
+    keys = order_keys(index)
     before = Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     grown = F.col("count") > SEGMENT_GROWTH * index.segment_blocks * index.degree
     counted = rows.groupBy("segment").count().withColumns({"_grown": grown, "_in_grown": F.when(grown, F.col("count"))})
@@ -60,9 +60,16 @@ def _renumbered(index: BoxIndex, rows: DataFrame) -> BoxIndex:
 
 def _segment_of(index: BoxIndex, added: DataFrame) -> DataFrame:
     """Add the stored segment whose range of keys each new row falls into; the first one also takes earlier rows."""
-    keys = _order_keys(index)
-    first = index.points.filter((F.col("slot") == 0) & (F.col("block") % index.segment_blocks == 0))
-    bounds = sorted(first.select(*keys, "segment").collect())
+    keys = order_keys(index)
+    if index.full_blocks:
+        first = index.points.filter((F.col("slot") == 0) & (F.col("block") % index.segment_blocks == 0))
+    else:
+        first = index.points.groupBy("segment").agg(F.min(F.struct(*keys)).alias("_first")).select("_first.*", "segment")
+    return in_ranges(added, keys, sorted(first.select(*keys, "segment").collect()), "segment")
+
+
+def in_ranges(added: DataFrame, keys: list[str], bounds: list[tuple], name: str) -> DataFrame:
+    """Add the number of the range each row falls into; `bounds` are the first keys and the number of each, in order."""
     shared = added.sparkSession.sparkContext.broadcast([np.array(column) for column in zip(*bounds)])
 
     @F.pandas_udf("bigint")
@@ -78,7 +85,7 @@ def _segment_of(index: BoxIndex, added: DataFrame) -> DataFrame:
                 at[i] = low[i] + np.searchsorted(heads[1][low[i] : high[i]], values[1][i], "right") - 1
             yield pd.Series(numbers[np.maximum(at, 0)])
 
-    return added.withColumn("segment", segment(*keys))
+    return added.withColumn(name, segment(*keys))
 
 
 def insert(index: BoxIndex, rows: DataFrame) -> BoxIndex:
@@ -87,6 +94,15 @@ def insert(index: BoxIndex, rows: DataFrame) -> BoxIndex:
     All columns of the index stay; new rows get null where they lack one, and may not bring others. Ids must be
     new: of rows that share a key and an id, the order would be arbitrary, so repeated ids are an error.
     """
+    added, stored = new_to(index, rows), index.points.drop(*PLACE_COLUMNS)
+    if index.rows == 0 or rows.count() > index.rows:  # most of the order is new
+        return _rebuilt(index, stored.unionByName(added, allowMissingColumns=True))
+    stored = index.points.drop(*[c for c in PLACE_COLUMNS if c != "segment"])
+    return _renumbered(index, stored.unionByName(_segment_of(index, added), allowMissingColumns=True))
+
+
+def new_to(index: BoxIndex, rows: DataFrame) -> DataFrame:
+    """The rows with their keys; an error where the index cannot take them."""
     if index.cluster == "kmeans":
         raise ValueError("rows of a k-means index must be clustered again with build_index")
     stored = index.points.drop(*PLACE_COLUMNS)
@@ -98,17 +114,14 @@ def insert(index: BoxIndex, rows: DataFrame) -> BoxIndex:
     clash = repeated.unionByName(known).head()
     if clash is not None:
         raise ValueError(f"{index.id_col} {clash[0]} is there already or comes twice")
-    added = with_box_hilbert(rows, index.dims)
-    if index.rows == 0 or rows.count() > index.rows:  # most of the order is new
-        return _rebuilt(index, stored.unionByName(added, allowMissingColumns=True))
-    stored = index.points.drop(*[c for c in PLACE_COLUMNS if c != "segment"])
-    return _renumbered(index, stored.unionByName(_segment_of(index, added), allowMissingColumns=True))
+    return with_box_hilbert(rows, index.dims)
 
 
-def match_deletes(index: BoxIndex, deletes: DataFrame) -> DataFrame:
+def match_deletes(index: BoxIndex, deletes: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
     """Requests (request, id, box) that meet a row: same id, and the row's box overlaps the given box.
 
-    Of a saved index, only segments with blocks in the box around all requests are read.
+    Of a saved index, only segments with blocks in the box around all requests are read. `carried` columns of the
+    row come along.
     """
     upright(deletes.withColumnRenamed("request", "qid"), index.dims)
     coords = coordinate_names(index.points, index.dims)
@@ -117,7 +130,7 @@ def match_deletes(index: BoxIndex, deletes: DataFrame) -> DataFrame:
     )
     near_blocks = index.blocks.alias("t").join(F.broadcast(around.alias("q")), overlaps(box(index.dims, "q"), box(index.dims, "t")))
     stored = wanted_segments(index, near_blocks.select("t.segment"), index.points, index.n_blocks)
-    rows = stored.select(index.id_col, F.struct(*coords).alias("p"))
+    rows = stored.select(index.id_col, *carried, F.struct(*coords).alias("p"))
     wanted = deletes.select("request", index.id_col, F.struct(*bound_names(index.dims)).alias("q"))
     requests = wanted.count()
     if requests <= broadcast_limit(wanted, BROADCAST_ROWS):
@@ -125,7 +138,7 @@ def match_deletes(index: BoxIndex, deletes: DataFrame) -> DataFrame:
     else:
         pairs = skew_join(wanted, rows, [index.id_col], "request", requests, small_id=["p"])
     near = overlaps(box_of(index.points, index.dims, "p"), box(index.dims, "q"))
-    return pairs.filter(near).select("request", index.id_col)
+    return pairs.filter(near).select("request", index.id_col, *carried)
 
 
 def remove(index: BoxIndex, deletes: DataFrame) -> tuple[BoxIndex, DataFrame]:
@@ -133,8 +146,12 @@ def remove(index: BoxIndex, deletes: DataFrame) -> tuple[BoxIndex, DataFrame]:
     matched = written(match_deletes(index, deletes), "matched")
     gone = matched.select(index.id_col).distinct()
     kept = index.points.drop(*[c for c in PLACE_COLUMNS if c != "segment"]).join(gone, index.id_col, "left_anti")
+    return _renumbered(index, kept), with_found(index, deletes, matched)
+
+
+def with_found(index: BoxIndex, deletes: DataFrame, matched: DataFrame) -> DataFrame:
+    """(request, id, found) for every request."""
     found = deletes.select("request", index.id_col).join(
         matched.select("request", F.lit(True).alias("_hit")), "request", "left"
     )
-    found = found.select("request", index.id_col, F.coalesce("_hit", F.lit(False)).alias("found"))
-    return _renumbered(index, kept), found
+    return found.select("request", index.id_col, F.coalesce("_hit", F.lit(False)).alias("found"))

@@ -106,8 +106,11 @@ def _only_scanned(index: BoxIndex, rows: DataFrame, ranges: DataFrame) -> DataFr
     """Put the runs of all boxes together into the scan filter when few literal ranges say it all.
 
     The block range is looked at in at most COARSE_STEPS equal steps, so the list of wanted steps is
-    small. Parquet then skips row groups by their ordinals. With more ranges the join alone decides.
+    small. Parquet then skips row groups by their ordinals. With more ranges the join alone decides, and where
+    blocks can be short, as ordinals are not stored there.
     """
+    if not index.full_blocks:
+        return rows
     step = max(1, -(-index.n_blocks // COARSE_STEPS))
     steps = F.explode(F.sequence(F.expr(f"first_block div {step}"), F.expr(f"last_block div {step}")))
     wanted = sorted(r.step for r in ranges.select(steps.alias("step")).distinct().collect())

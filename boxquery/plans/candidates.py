@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 from pyspark.sql import DataFrame, functions as F
 
 from boxquery.functions.boxes import any_of, bound_names, box, contains, overlaps
@@ -70,10 +72,13 @@ def candidates(index: BoxIndex, boxes: DataFrame, flat_blocks: int | None = None
     """Block candidates of an index of any size, and a bound on their number.
 
     Up to flat_blocks blocks are tested one by one. Of more, the pyramid is gone down, and nodes that lie wholly
-    in a box are unfolded into their blocks.
+    in a box are unfolded into their blocks; where blocks can be short, nodes are opened down to their blocks.
     """
     if index.n_blocks <= (FLAT_BLOCKS if flat_blocks is None else flat_blocks):
         return block_candidates(index, boxes)
+    if not index.full_blocks:
+        _, leaves, bound = level_candidates(index, boxes, open_whole=True)
+        return leaves, bound
     whole, leaves, _ = level_candidates(index, boxes)
     bounds = bound_names(index.dims)
     span = F.lit(index.degree).cast("double") ** F.col("level")
@@ -112,16 +117,16 @@ def block_candidates(index: BoxIndex, boxes: DataFrame, nested_loop_boxes: int |
 
 
 def level_candidates(
-    index: BoxIndex, boxes: DataFrame, start_level: int | None = None
+    index: BoxIndex, boxes: DataFrame, start_level: int | None = None, open_whole: bool = False
 ) -> tuple[DataFrame, DataFrame, int]:
     """Go down the pyramid from the root, or from a lower level: test its nodes, then only children of hits.
 
     Returns the upper nodes (qid, bounds, level, node, n) that lie wholly in their box and are not opened, the
-    block candidates, and a bound on the number of candidates.
+    block candidates, and a bound on the number of candidates. With open_whole all nodes are opened.
     """
     queries = query_boxes(boxes, index)
     n_queries = queries.count()
-    sizes = level_sizes(index.rows, index.degree)[::-1] or [0]
+    sizes = level_sizes(index.n_blocks * index.degree, index.degree)[::-1] or [0]
     start = len(sizes) - 1 if start_level is None else min(start_level, len(sizes) - 1)
     nodes = index.nodes.filter(F.col("level") == start)
     found = _small_theta(nodes, queries, index, "node", queries_small=n_queries <= sizes[start])
@@ -129,9 +134,11 @@ def level_candidates(
     bounds = bound_names(index.dims)
     whole = found.withColumn("level", F.lit(0)).select("qid", *bounds, "level", "node", "n").limit(0)
     for level in range(start - 1, -1, -1):
-        closed = found.filter("inside").withColumn("level", F.lit(level + 1))
-        whole = whole.unionByName(closed.select("qid", *bounds, "level", "node", "n"))
-        partial = found.filter(~F.col("inside")).drop("n", "inside").withColumnRenamed("node", "parent")
+        partial = found if open_whole else found.filter(~F.col("inside"))
+        if not open_whole:
+            closed = found.filter("inside").withColumn("level", F.lit(level + 1))
+            whole = whole.unionByName(closed.select("qid", *bounds, "level", "node", "n"))
+        partial = partial.drop("n", "inside").withColumnRenamed("node", "parent")
         children = index.nodes.filter(F.col("level") == level).select(
             "parent", F.struct("node", "n", *bounds).alias("t")
         )
@@ -153,14 +160,20 @@ def _settled(found: DataFrame, most: int) -> tuple[DataFrame, int]:
 
 
 def join_rows(
-    index: BoxIndex, candidates: DataFrame, bound: int, points: DataFrame, broadcast_rows: int | None = None
+    index: BoxIndex,
+    candidates: DataFrame,
+    bound: int,
+    points: DataFrame,
+    broadcast_rows: int | None = None,
+    pruned: bool = False,
 ) -> DataFrame:
     """Rows of the candidate blocks next to the boxes that want them.
 
     Few candidates, up to broadcast_rows, are broadcast: the rows are then scanned in place, and the segment key
-    lets Spark skip stored segments no box needs. Many candidates are shuffled to the blocks.
+    lets Spark skip stored segments no box needs. Many candidates are shuffled to the blocks. With `pruned` the
+    caller has left out such segments already.
     """
-    points = wanted_segments(index, candidates, points, bound)
+    points = points if pruned else wanted_segments(index, candidates, points, bound)
     few = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     if bound <= broadcast_limit(candidates, few):
         return points.join(F.broadcast(candidates), list(BLOCK_KEYS))
@@ -191,8 +204,22 @@ def wanted_segments(index: BoxIndex, candidates: DataFrame, points: DataFrame, b
 
     The list has at most SEGMENT_FILTER entries; with more segments wanted there is little to leave out.
     """
-    segments = -(-index.n_blocks // index.segment_blocks)
+    segments = len(index.parts) or -(-index.n_blocks // index.segment_blocks)
     if segments <= FEW_SEGMENTS or bound == 0:
         return points
     wanted = [r.segment for r in candidates.select("segment").distinct().limit(SEGMENT_FILTER + 1).collect()]
-    return points if len(wanted) > SEGMENT_FILTER else points.filter(F.col("segment").isin(wanted))
+    if len(wanted) > SEGMENT_FILTER:
+        return points
+    if index.parts:
+        return points.filter(F.col("_part").isin(_parts_of(index, wanted)))
+    return points.filter(F.col("segment").isin(wanted))
+
+
+def _parts_of(index: BoxIndex, segments: list[int]) -> list[str]:
+    """The stored parts that hold blocks of the given segments."""
+    starts, names = zip(*index.parts)
+    found: set[str] = set()
+    for segment in segments:
+        first = segment * index.segment_blocks
+        found.update(names[max(0, bisect_right(starts, first) - 1) : bisect_left(starts, first + index.segment_blocks)])
+    return sorted(found)

@@ -156,7 +156,7 @@ def _count_packed(index: BoxIndex, boxes: DataFrame, broadcast_rows: int | None
     wanted = F.broadcast(wanted) if bound <= BROADCAST_ROWS else wanted
     rows = wanted_segments(index, edge, index.points, bound).join(wanted, ["segment", "block"], "left_semi")
     packed = pack_blocks(rows, index.dims, "slot", ("segment", "block"))
-    pairs = join_rows(index, edge, bound, packed.drop("slot"), broadcast_rows)
+    pairs = join_rows(index, edge, bound, packed.drop("slot"), broadcast_rows, pruned=True)
     b = box_of(packed, index.dims)
 
     def near(i):
@@ -178,12 +178,12 @@ def partitioned_count(index: BoxIndex, boxes: DataFrame, p: int) -> DataFrame:
     """
     found, bound = candidates(index, boxes)
     first, last = "_first", "_last"
-    found = found.withColumns(
-        {
-            first: F.col("block") * index.degree + 1,
-            last: F.least((F.col("block") + 1) * index.degree, F.lit(index.rows)),
-        }
-    )
+    if index.full_blocks:
+        ends = {first: F.col("block") * index.degree + 1, last: F.least((F.col("block") + 1) * index.degree, F.lit(index.rows))}
+    else:
+        found = found.join(index.blocks.select("block", "last_ordinal"), "block")
+        ends = {first: F.col("last_ordinal") - F.col("n") + 1, last: F.col("last_ordinal")}
+    found = found.withColumns(ends)
     for end in (first, last):
         found = with_partition(found, p, index.rows, end).withColumn(end, F.col("part")).drop("part")
     settled = F.col("inside") & (F.col(first) == F.col(last))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from boxquery.functions.boxes import coordinate_names
 from boxquery.operators.blocks import DEGREE, block_summary, build_levels
-from boxquery.operators.index import BLOCK_KEYS, BoxIndex, build_index, with_segment
+from boxquery.operators.index import BLOCK_KEYS, BoxIndex, build_index, with_full_blocks, with_segment
 from boxquery.operators.mutate import insert
 from boxquery.session import ROWS_PER_PARTITION, _delete, folders, moved_if_free, released
 
@@ -29,7 +29,7 @@ def save_index(index: BoxIndex, path: str, params: dict | None = None, buckets:
     fitting one), so that many boxes meet them without a shuffle of the points. Segments are then skipped by the
     statistics of row groups and not by folder.
     """
-    params = {} if params is None else params
+    params, index = {} if params is None else params, with_full_blocks(index)
     stored = _describe(index, params, buckets)
     _save_part(index.points, path, "points", stored)
     _save_part(index.blocks, path, "blocks", stored)

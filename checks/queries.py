@@ -17,6 +17,7 @@ from boxquery.operators.index import build_index
 from boxquery.plans.range_count import partitioned_count
 from boxquery.session import scratch_path, scratch_root
 from boxquery.sources import binary
+from boxquery.sources.changes import insert_rows, remove_rows, save_changing, tidy, vacuum_changing
 from boxquery.sources.index import load_index, open_index, save_index, vacuum
 from boxquery.sources.normalise import normalise, to_boxes
 from boxquery.sources.uniform import uniform_points
@@ -935,6 +936,83 @@ def _(spark, sf_dir):
     return range_count(smaller, boxes64(spark))
 
 
+def changing_index(spark, sf_dir) -> str:
+    """The folder of an index over points3 that takes changes."""
+    path = scratch_path(spark, "changing")
+    save_changing(point_index(spark, sf_dir), path)
+    return path
+
+
+@register("u1_insert_in_parts", _JOINED)
+def _(spark, sf_dir):
+    """Only the parts that new rows fall into are written."""
+    return range_count(insert_rows(spark, changing_index(spark, sf_dir), events3(spark, sf_dir)), boxes64(spark))
+
+
+_LEFT = [
+    o.POINTS.replace("p AS", "p0 AS"),
+    _RETURNED,
+    _GONE,
+    "p AS (SELECT * FROM p0 WHERE pid NOT IN (SELECT pid FROM gone))",
+    o.BOXES64,
+]
+
+
+def marked_index(spark, sf_dir) -> BoxIndex:
+    return remove_rows(spark, changing_index(spark, sf_dir), delete_requests(spark, sf_dir))[0]
+
+
+@register("u2_remove_by_marks", o.query(_LEFT, o.COUNT))
+def _(spark, sf_dir):
+    """Nothing but the marks of deleted rows is written."""
+    return range_count(marked_index(spark, sf_dir), boxes64(spark))
+
+
+@register("u2_levels_with_marks", o.query(_LEFT, o.COUNT))
+def _(spark, sf_dir):
+    return range_count(marked_index(spark, sf_dir), boxes64(spark), method="levels")
+
+
+@register("u2_search_with_marks", o.query(_LEFT, f"SELECT b.qid, p.pid FROM b JOIN p ON {o.inside('p', 'b')}"))
+def _(spark, sf_dir):
+    return range_search(marked_index(spark, sf_dir), boxes64(spark))
+
+
+@register(
+    "u2_ordinals_with_marks",
+    o.query([*_LEFT[:4], "p1 AS (SELECT pid FROM p)"], "SELECT count(*) AS n, min(1) AS first, count(*) AS last FROM p1"),
+)
+def _(spark, sf_dir):
+    """Ordinals of the rows that are left run from 1 without gaps."""
+    return marked_index(spark, sf_dir).points.agg(
+        F.count_distinct("ordinal").alias("n"), F.min("ordinal").cast("int").alias("first"), F.max("ordinal").alias("last")
+    )
+
+
+@register(
+    "u2_insert_after_marks",
+    o.query(
+        [
+            o.POINTS.replace("p AS", "p0 AS"),
+            _RETURNED,
+            _GONE,
+            o.EVENTS,
+            "p AS (SELECT * FROM p0 WHERE pid NOT IN (SELECT pid FROM gone) UNION ALL SELECT * FROM e)",
+            o.BOXES64,
+        ],
+        o.COUNT,
+    ),
+)
+def _(spark, sf_dir):
+    """Rows are marked, others inserted, all written in full blocks, and what older versions had is deleted."""
+    path = changing_index(spark, sf_dir)
+    remove_rows(spark, path, delete_requests(spark, sf_dir))
+    insert_rows(spark, path, events3(spark, sf_dir))
+    index = tidy(spark, path)
+    vacuum_changing(spark, path)
+    return range_count(index, boxes64(spark))
+
+
 @register("u3_insert_stream", _JOINED)
 def _(spark, sf_dir):
     path = scratch_path(spark, "streamed")

@@ -1,0 +1,48 @@
+"""Very many boxes and blocks: boxes meet rows in units of blocks, and no candidate pairs are written."""
+
+import pytest
+
+from boxquery import build_index, range_search
+from boxquery.plans import units
+from boxquery.session import written
+from checks.fixtures import DIMS, part_boxes
+
+
+@pytest.fixture(params=[(20_000, 4_096), (3, 2)])
+def many(request, monkeypatch):
+    """The plan for many pairs, with one task for a unit's boxes and with several; then with units found in two steps."""
+    monkeypatch.setattr(units, "MANY_PAIRS", 0)
+    monkeypatch.setattr(units, "UNIT_ROWS", 64)
+    monkeypatch.setattr(units, "HOT_KEYS", 1_000_000)
+    monkeypatch.setattr(units, "UNIT_BOXES", request.param[0])
+    monkeypatch.setattr(units, "NESTED_LOOP_BOXES", request.param[1])
+    monkeypatch.setattr(units, "UNITS_ABOVE", 3)
+    monkeypatch.setattr(units, "CHUNK", 5)
+    monkeypatch.setattr(units, "BATCH_IDS", 10)
+
+
+@pytest.fixture()
+def stored(monkeypatch):
+    """Labels of the tables that the plan writes."""
+    import boxquery.plans.candidates as candidates
+    import boxquery.plans.range_search as searching
+
+    labels = []
+    for module in (candidates, searching, units):
+        monkeypatch.setattr(module, "written", lambda df, label, **kw: labels.append(label) or written(df, label, **kw))
+    return labels
+
+
+def with_wide(spark, boxes):
+    wide = "SELECT 900001L AS qid, 0f AS lx, 0f AS ly, 0f AS lz, 1f AS hx, 1f AS hy, 1f AS hz UNION ALL SELECT 900002L, 2f, 2f, 2f, 3f, 3f, 3f"
+    return boxes.unionByName(spark.sql(wide))
+
+
+@pytest.mark.parametrize("k, first", [(40, 1), (7000, None)])
+def test_first_k_are_counted_before_they_are_made(spark, sf_dir, points, many, stored, k, first):
+    index = build_index(points, DIMS, degree=8)
+    boxes = with_wide(spark, part_boxes(spark, sf_dir))
+    got = range_search(index, boxes, limit_per_query=k, first_blocks=first).collect()
+    want = range_search(index.points, boxes, index.dims, order_col="ordinal", limit_per_query=k).collect()
+    assert sorted(got) == sorted(want)
+    assert "quotas" in stored and not {"pairs", "candidates", "descent"} & set(stored)

@@ -1,11 +1,13 @@
 """Very many boxes and blocks: boxes meet rows in units of blocks, and no candidate pairs are written."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from boxquery import build_index, range_search
+from boxquery import build_index, range_count, range_search
 from boxquery.plans import units
 from boxquery.session import written
-from checks.fixtures import DIMS, part_boxes
+from checks.fixtures import DIMS, boxes64, flat_boxes, order_boxes, part_boxes
+from tests.brute import overlapping
 
 
 @pytest.fixture(params=[(20_000, 4_096), (3, 2)])
@@ -46,3 +48,31 @@ def test_first_k_are_counted_before_they_are_made(spark, sf_dir, points, many, s
     want = range_search(index.points, boxes, index.dims, order_col="ordinal", limit_per_query=k).collect()
     assert sorted(got) == sorted(want)
     assert "quotas" in stored and not {"pairs", "candidates", "descent"} & set(stored)
+
+
+def test_searches_make_no_candidates(spark, sf_dir, points, many, stored):
+    rows, queries = order_boxes(spark, sf_dir), flat_boxes(spark, sf_dir)
+    data = rows.collect()
+    want = sorted((q.qid, r.pid) for q in queries.collect() for r in data if overlapping(q, r, "ab"))
+    assert sorted(map(tuple, range_search(build_index(rows, ("a", "b"), degree=8), queries).collect())) == want
+    index = build_index(points, DIMS, degree=8)
+    boxes = with_wide(spark, boxes64(spark))
+    got = range_search(index, boxes)
+    assert sorted(got.collect()) == sorted(range_search(index.points, boxes, DIMS).collect())
+    assert "box-units" in stored and not {"pairs", "candidates", "descent"} & set(stored)
+
+
+def test_ids_and_box_names_of_other_types(spark, sf_dir, points, many):
+    index = build_index(points.withColumn("pid", F.col("pid").cast("string")), DIMS, degree=8)
+    boxes = boxes64(spark).withColumn("qid", F.concat(F.lit("b"), "qid"))
+    for k in (None, 5):
+        want = range_search(index.points, boxes, DIMS, order_col="ordinal", limit_per_query=k)
+        assert sorted(range_search(index, boxes, limit_per_query=k).collect()) == sorted(want.collect())
+
+
+@pytest.mark.parametrize("method", ["blocks", "levels"])
+def test_no_rows_or_no_boxes(spark, sf_dir, points, many, method):
+    boxes = boxes64(spark)
+    for index, asked in ((build_index(points.limit(0), DIMS), boxes), (build_index(points, DIMS), boxes.limit(0))):
+        assert not any(r.hits for r in range_count(index, asked, method=method).collect())
+        assert range_search(index, asked).count() == range_search(index, asked, limit_per_query=3).count() == 0

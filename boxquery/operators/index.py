@@ -64,6 +64,17 @@ def with_segment(df: DataFrame, segment_blocks: int) -> DataFrame:
     return df.withColumn("segment", F.expr(f"block div {segment_blocks}"))
 
 
+def with_small_segments(index: BoxIndex) -> BoxIndex:
+    """The same index with segments of at most UNIT_ROWS rows."""
+    size = min(index.segment_blocks, max(1, UNIT_ROWS // index.degree))
+    return replace(
+        index,
+        points=with_segment(index.points, size),
+        blocks=with_segment(index.blocks, size),
+        segment_blocks=size,
+    )
+
+
 def index_of(
     rows: DataFrame,
     dims: Sequence[str],

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from boxquery.functions.boxes import bound_names, box, box_of, coordinate_names, hi_names, lo_names, overlaps
-from boxquery.operators.index import STORED_COLUMNS, BoxIndex, index_of
+from boxquery.operators.index import STORED_COLUMNS, BoxIndex, index_of, segment_size
 from boxquery.operators.order import with_box_hilbert, with_ordinal
 from boxquery.plans.candidates import upright, wanted_segments
 from boxquery.session import BROADCAST_ROWS, ROWS_PER_PARTITION, SPREAD_SEGMENTS, broadcast_limit, skew_join, written
@@ -50,7 +50,7 @@ def _renumbered(index: BoxIndex, rows: DataFrame) -> BoxIndex:
     starts = written(counted.select("segment", "_grown", *sums), "segments")
     placed = rows.join(F.broadcast(starts), "segment")
     place = F.row_number().over(Window.partitionBy("segment").orderBy(*keys))
-    segments = -(-index.n_blocks // index.segment_blocks)
+    segments = -(-index.n_blocks // max(index.segment_blocks, segment_size(index.n_blocks)))  # small ones share a task
     numbered = placed.filter(~F.col("_grown")).repartition(SPREAD_SEGMENTS * max(1, segments), "segment").withColumn("_nth", place)
     if not starts.filter("_grown").isEmpty():
         cut = with_ordinal(placed.filter("_grown"), ["segment", *keys], "_nth")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from boxquery.functions.boxes import coordinate_names
 from boxquery.operators.blocks import DEGREE, block_summary, build_levels
-from boxquery.operators.index import BLOCK_KEYS, BoxIndex, build_index, with_full_blocks, with_segment
+from boxquery.operators.index import BLOCK_KEYS, BoxIndex, build_index, with_full_blocks, with_segment, with_small_segments
 from boxquery.operators.mutate import insert
 from boxquery.session import ROWS_PER_PARTITION, _delete, folders, moved_if_free, released
 
@@ -21,15 +21,21 @@ DELTA = "delta"
 VERSION = "v"
 TABLE = "boxquery_"
 
+# Points of a bucketed index are stored by this column; the setting lets joins by more columns use that.
+BUCKET_KEY = "segment"
+PARTIAL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
+
 
 def save_index(index: BoxIndex, path: str, params: dict | None = None, buckets: int | None = None) -> None:
     """Write all parts. The points are stored by segment, in ordinal order inside each.
 
-    With a number of buckets they are stored as that many buckets of whole blocks instead (`bucket_count` gives a
-    fitting one), so that many boxes meet them without a shuffle of the points. Segments are then skipped by the
-    statistics of row groups and not by folder.
+    With a number of buckets they are stored as that many buckets of whole segments instead (`bucket_count` gives a
+    fitting one), so that many boxes meet them without a shuffle of the points. These segments are small, and are
+    skipped by the statistics of row groups and not by folder.
     """
     params, index = {} if params is None else params, with_full_blocks(index)
+    if buckets:
+        index = with_small_segments(index)
     stored = _describe(index, params, buckets)
     _save_part(index.points, path, "points", stored)
     _save_part(index.blocks, path, "blocks", stored)
@@ -103,7 +109,9 @@ def _merged_version(spark: SparkSession, path: str, metas: dict[str, dict], delt
     with released(spark):
         stored_index = _stored(spark, folder, parts)
         bigger = insert(stored_index, new_rows(stored_index, taken))
-        stored = _describe(bigger, parts["points"]["params"], parts["points"].get("buckets"))
+        buckets = parts["points"].get("buckets")
+        bigger = with_small_segments(bigger) if buckets else bigger
+        stored = _describe(bigger, parts["points"]["params"], buckets)
         for part in PARTS:
             _save_part(getattr(bigger, part), fresh, part, stored)
     return fresh, {"folder": fresh, "parts": _read_metas(spark, fresh), "merged": {**merged, **last}}
@@ -195,7 +203,8 @@ def _save_part(df: DataFrame, path: str, part: str, stored: dict) -> None:
     layout = uuid.uuid4().hex
     if part == "points" and stored.get("buckets"):
         _write_buckets(df, f"{path}/{part}", layout, stored["buckets"])
-        _write_meta(df.sparkSession, path, part, {**stored, "layout": layout, "schema": df.schema.jsonValue()})
+        described = {**stored, "layout": layout, "bucket_key": BUCKET_KEY, "schema": df.schema.jsonValue()}
+        _write_meta(df.sparkSession, path, part, described)
         return
     if part == "points":
         rows = df.sortWithinPartitions("segment", "ordinal").write.partitionBy("segment")
@@ -208,19 +217,24 @@ def _save_part(df: DataFrame, path: str, part: str, stored: dict) -> None:
 
 
 def _write_buckets(df: DataFrame, folder: str, layout: str, n: int) -> None:
-    """Rows by the hash of their block, one file a bucket, in ordinal order inside it."""
-    rows = df.repartition(n, *BLOCK_KEYS).write.bucketBy(n, *BLOCK_KEYS).sortBy(*BLOCK_KEYS, "ordinal")
+    """Rows by the hash of their segment, one file a bucket, in ordinal order inside it."""
+    rows = df.repartition(n, BUCKET_KEY).write.bucketBy(n, BUCKET_KEY).sortBy(*BLOCK_KEYS, "ordinal")
     rows.mode("overwrite").option("path", folder).format("parquet").saveAsTable(TABLE + layout)
 
 
 def _bucketed(spark: SparkSession, folder: str, meta: dict, schema: T.StructType) -> DataFrame:
-    """Make the buckets at `folder` known to this session's catalogue; the files stay where they are."""
+    """Make the buckets at `folder` known to this session's catalogue; the files stay where they are.
+
+    Joins by segment and block find the points in place where Spark may take rows that are laid out by some of a join's
+    columns as they are, which this session is told.
+    """
+    spark.conf.set(PARTIAL_KEYS, "false")
     name = TABLE + meta["layout"]
     if not spark.catalog.tableExists(name):
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
         keys = ", ".join(BLOCK_KEYS)
         spark.sql(
-            f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}, ordinal)"
+            f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({meta.get('bucket_key', keys)}) SORTED BY ({keys}, ordinal)"
             f" INTO {meta['buckets']} BUCKETS LOCATION '{folder}'"
         )
     return spark.table(name)
@@ -271,6 +285,7 @@ def _assemble(meta: dict, tables: dict[str, DataFrame]) -> BoxIndex:
         degree=meta["degree"],
         id_col=meta["id_col"],
         cluster=meta["cluster"],
+        by_segment=meta.get("bucket_key") == BUCKET_KEY,
     )
 
 
@@ -314,7 +329,7 @@ def open_index(
             save_index(build_index(rows, dims, degree, cluster, id_col, **order_options), path, params, buckets)
         return load_index(spark, path)
     stored = fitting["points"]
-    described = {k: v for k, v in stored.items() if k not in ("schema", "layout")}
+    described = {k: v for k, v in stored.items() if k not in ("schema", "layout", "bucket_key")}
     if "blocks" not in fitting:
         points = _read_part(spark, path, "points", stored)
         summary = with_segment(block_summary(points, dims), stored["segment_blocks"])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from boxquery import build_index, range_count, range_search
 from boxquery.plans import units
 from boxquery.session import written
+from boxquery.sources.index import load_index, save_index
 from checks.fixtures import DIMS, boxes64, flat_boxes, order_boxes, part_boxes
 from tests.brute import overlapping
 
@@ -76,3 +77,28 @@ def test_no_rows_or_no_boxes(spark, sf_dir, points, many, method):
     for index, asked in ((build_index(points.limit(0), DIMS), boxes), (build_index(points, DIMS), boxes.limit(0))):
         assert not any(r.hits for r in range_count(index, asked, method=method).collect())
         assert range_search(index, asked).count() == range_search(index, asked, limit_per_query=3).count() == 0
+
+
+@pytest.fixture()
+def bucketed(spark, points, tmp_path, monkeypatch):
+    import boxquery.operators.index as layout
+
+    monkeypatch.setattr(layout, "UNIT_ROWS", 64)
+    save_index(build_index(points, DIMS, degree=8), str(tmp_path / "ix"), buckets=8)
+    return load_index(spark, str(tmp_path / "ix"))
+
+
+def in_place(df):
+    """Whether stored points reach their units without a shuffle."""
+    text = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    scan = next(i for i, line in enumerate(text) if "boxquery_" in line)
+    met = max(i for i in range(scan) if "CoGroup" in text[i])
+    return not any("Exchange" in line for line in text[met:scan])
+
+
+def test_first_k_of_stored_units(spark, sf_dir, bucketed, many, stored):
+    boxes = with_wide(spark, part_boxes(spark, sf_dir))
+    got = range_search(bucketed, boxes, limit_per_query=40, first_blocks=8, broadcast_rows=0)
+    want = range_search(bucketed.points, boxes, DIMS, order_col="ordinal", limit_per_query=40)
+    assert in_place(got) and "quotas" in stored and not {"pairs", "candidates"} & set(stored)
+    assert sorted(got.collect()) == sorted(want.collect())

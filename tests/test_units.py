@@ -96,6 +96,14 @@ def in_place(df):
     return not any("Exchange" in line for line in text[met:scan])
 
 
+@pytest.mark.parametrize("method", ["blocks"])
+def test_stored_units_are_counted_in_place(spark, sf_dir, bucketed, many, stored, monkeypatch, method):
+    boxes = with_wide(spark, part_boxes(spark, sf_dir))
+    counted = range_count(bucketed, boxes, method=method, broadcast_rows=0)
+    assert in_place(counted) and not {"pairs", "candidates"} & set(stored)
+    assert sorted(counted.collect()) == sorted(range_count(bucketed, boxes, method="broadcast").collect())
+
+
 def test_first_k_of_stored_units(spark, sf_dir, bucketed, many, stored):
     boxes = with_wide(spark, part_boxes(spark, sf_dir))
     got = range_search(bucketed, boxes, limit_per_query=40, first_blocks=8, broadcast_rows=0)

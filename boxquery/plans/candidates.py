@@ -117,12 +117,13 @@ def block_candidates(index: BoxIndex, boxes: DataFrame, nested_loop_boxes: int |
 
 
 def level_candidates(
-    index: BoxIndex, boxes: DataFrame, start_level: int | None = None, open_whole: bool = False
+    index: BoxIndex, boxes: DataFrame, start_level: int | None = None, open_whole: bool = False, lowest: int = 0
 ) -> tuple[DataFrame, DataFrame, int]:
     """Go down the pyramid from the root, or from a lower level: test its nodes, then only children of hits.
 
     Returns the upper nodes (qid, bounds, level, node, n) that lie wholly in their box and are not opened, the
-    block candidates, and a bound on the number of candidates. With open_whole all nodes are opened.
+    block candidates, and a bound on the number of candidates. With open_whole all nodes are opened. With a `lowest`
+    level above the blocks the candidates are its nodes.
     """
     queries = query_boxes(boxes, index)
     n_queries = queries.count()
@@ -133,7 +134,7 @@ def level_candidates(
     found, bound = _settled(found, n_queries * sizes[start])
     bounds = bound_names(index.dims)
     whole = found.withColumn("level", F.lit(0)).select("qid", *bounds, "level", "node", "n").limit(0)
-    for level in range(start - 1, -1, -1):
+    for level in range(start - 1, lowest - 1, -1):
         partial = found if open_whole else found.filter(~F.col("inside"))
         if not open_whole:
             closed = found.filter("inside").withColumn("level", F.lit(level + 1))
@@ -148,6 +149,8 @@ def level_candidates(
         else:
             pairs = skew_join(partial, children, ["parent"], "qid", bound, small_id=["t"])
         found, bound = _settled(_judged(pairs.select("q", "t"), index, "node"), n_queries * sizes[level])
+    if lowest:
+        return whole, found, bound
     return whole, with_segment(found.withColumnRenamed("node", "block"), index.segment_blocks), bound
 
 

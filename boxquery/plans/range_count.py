@@ -31,7 +31,7 @@ from boxquery.plans.candidates import (
     upright,
     wanted_segments,
 )
-from boxquery.plans.units import box_units, many_pairs, unit_hits
+from boxquery.plans.units import box_units, many_pairs, unit_blocks, unit_hits
 from boxquery.session import BROADCAST_ROWS, NESTED_LOOP_BOXES, pair_tasks, skew_join
 
 ROW_METHODS = ("broadcast", "grid")
@@ -161,8 +161,13 @@ def _count_blocks(
 def _count_levels(
     index: BoxIndex, boxes: DataFrame, start_level: int | None = None, broadcast_rows: int | None = None
 ) -> DataFrame:
-    whole, leaves, bound = level_candidates(index, boxes, start_level)
-    hits = refined_hits(index, leaves, bound, broadcast_rows)
+    # the nodes above the blocks are units where both have as many blocks: their blocks are tested beside their rows
+    many = start_level is None and unit_blocks(index) == index.degree < index.n_blocks and many_pairs(index, boxes)
+    whole, leaves, bound = level_candidates(index, boxes, start_level, lowest=int(many))
+    if many:
+        hits = unit_hits(index, leaves.withColumnRenamed("node", "unit")).select("qid", "hits")
+    else:
+        hits = refined_hits(index, leaves, bound, broadcast_rows)
     return whole.select("qid", F.col("n").alias("hits")).unionByName(hits)
 
 

@@ -244,3 +244,29 @@ def test_vacuum_leaves_the_kept_versions(spark, sf_dir, index, tmp_path):
     assert load_index(spark, str(path)).rows == compact(spark, str(path)).rows == 8_000
     with pytest.raises(ValueError):
         vacuum(spark, str(path), keep=0)
+
+
+def test_repeated_deliveries_write_no_rows_again(spark, index, tmp_path, monkeypatch):
+    """Batches without a new row are merged without writing the index; new ones are looked for once and alone written."""
+    import boxquery.operators.mutate as mutate
+    import boxquery.sources.index as stored
+    from boxquery.session import written
+    from boxquery.sources.index import compact, vacuum
+
+    path, labels = str(tmp_path / "ix"), []
+    for module in (mutate, stored):
+        monkeypatch.setattr(module, "written", lambda df, label, **kw: labels.append(label) or written(df, label, **kw))
+    save_index(index, path)
+    more = index.points.filter("pid % 5 = 0").select((-1 - F.col("pid")).alias("pid"), "x", "y", "z", "h")
+    more.write.parquet(f"{path}/delta/stream=a/batch_id=0")
+    assert load_index(spark, path).rows == index.rows + more.count()
+    assert "changed" not in labels and labels.count("new-rows") == 1
+    merged = compact(spark, path)
+    labels.clear()
+    more.unionByName(index.points.select(*more.columns)).write.parquet(f"{path}/delta/stream=b/batch_id=0")
+    for again in (load_index(spark, path), compact(spark, path), load_index(spark, path)):
+        assert again.rows == merged.rows and again.points.count() == merged.rows
+    assert set(labels) == {"new-rows"}
+    assert vacuum(spark, path) == 1 and load_index(spark, path).points.count() == merged.rows
+    more.select((F.col("pid") - 10**15).alias("pid"), "x", "y", "z", "h").write.parquet(f"{path}/delta/stream=c/batch_id=0")
+    assert compact(spark, path).rows == merged.rows + more.count()

@@ -221,6 +221,17 @@ def test_skew_join_splits_keys_hot_on_either_side(spark, row_id):
     assert got.count() == want.count() and got.exceptAll(want.select(*got.columns)).isEmpty()
 
 
+@pytest.mark.parametrize("row_id", ["i", None])
+def test_skew_join_without_hot_keys_repeats_nothing(spark, row_id):
+    from boxquery.session import skew_join
+
+    big, small = spark.range(400).selectExpr("id % 90 AS k", "id AS i"), spark.range(300).selectExpr("id % 70 AS k", "id AS j")
+    got = skew_join(big, small, ["k"], row_id, 400, min_rows=50)
+    want = big.join(small, "k")
+    assert got.columns == want.columns and got.count() == want.count() and got.exceptAll(want).isEmpty()
+    assert "explode" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("flat_blocks", [None, 3])
 def test_first_k_stops_where_enough_is_certain(spark, sf_dir, flat_blocks):
     """Boxes over most of the data: whole blocks end the search, and the first rows stay the same."""

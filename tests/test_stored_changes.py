@@ -202,3 +202,19 @@ def test_wrong_rows_are_refused(spark, points, tmp_path):
     with pytest.raises(FileNotFoundError):
         open_changing(spark, str(tmp_path / "none"))
     assert insert_rows(spark, path, points.limit(0)).rows == index.rows
+
+
+def test_first_keys_and_marks_without_sorting_all_rows(spark, points, tmp_path, monkeypatch):
+    """A part's first keys come from its first row; marks too many to broadcast meet their rows by hash."""
+    import boxquery.sources.changes as changes
+
+    path = str(tmp_path / "ix")
+    index = save_changing(build_index(points, DIMS, degree=16), path)
+    assert "_head" not in spark.read.parquet(f"{path}/blocks").columns
+    least = index.points.groupBy("_part").agg(F.min(F.struct("h", "pid")).alias("least")).collect()
+    assert {p.name: p.first for p in changes._latest(spark, path).parts} == {r["_part"]: tuple(r["least"]) for r in least}
+    gone = points.filter("pid % 3 = 0")
+    monkeypatch.setattr(changes, "BROADCAST_ROWS", 4)
+    smaller, _ = remove_rows(spark, path, requests_for(gone))
+    assert "ShuffledHashJoin" in smaller.points._jdf.queryExecution().executedPlan().toString()
+    agrees(spark, smaller, points.join(gone, "pid", "left_anti"))

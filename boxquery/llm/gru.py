@@ -61,7 +61,10 @@ def initial(shape: Shape, symbol_counts: np.ndarray, seed: int = 7) -> dict[str,
 
 
 def _forward(w: dict, inputs: np.ndarray, state: np.ndarray, begin: int, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """States after each of the inputs (steps x lanes x hidden); lanes whose input is `begin` start from zero."""
+    """States after each of the inputs (steps x lanes x hidden); lanes whose input is `begin` start from zero.
+
+    Inside, lanes lie side by side: each gate is one stretch of memory. So are the values kept for the way back.
+    """
     steps, lanes = inputs.shape
     h = state.shape[1]
     out = np.empty((steps, lanes, h), F32)
@@ -69,26 +72,31 @@ def _forward(w: dict, inputs: np.ndarray, state: np.ndarray, begin: int, keep: l
     any_fresh = fresh.any(1)
     # sigmoid(x) is (1 + tanh(x / 2)) / 2: the gates' weights are halved once
     half = np.concatenate([np.full(2 * h, 0.5, F32), np.ones(h, F32)])
-    given, recurrent = w["input"] * half, w["state"] * half
+    given, recurrent = w["input"] * half, np.ascontiguousarray((w["state"] * half).T)
+    state = np.ascontiguousarray(state.T)
     for t in range(steps):
         if any_fresh[t]:
-            state = np.where(fresh[t][:, None], F32(0), state)
-        a, b = given[inputs[t]], state @ recurrent
-        gates = a[:, : 2 * h] + b[:, : 2 * h]
+            state = np.where(fresh[t], F32(0), state)
+        a, b = np.ascontiguousarray(given.take(inputs[t], 0).T), recurrent @ state
+        gates, n, inner = a[: 2 * h], a[2 * h :], b[2 * h :]
+        gates += b[: 2 * h]
         np.tanh(gates, out=gates)
         gates += F32(1)
         gates *= F32(0.5)
-        z, r = gates[:, :h], gates[:, h:]
-        n = r * b[:, 2 * h :]
-        n += a[:, 2 * h :]
+        z, r = gates[:h], gates[h:]
+        n += r * inner
         np.tanh(n, out=n)
         if keep is not None:
-            keep.append((state, z, r, n, b[:, 2 * h :]))
-        state = state + z * (n - state)
-        out[t] = state
-    return out, state
+            keep.append((state, z, r, n, inner))
+        step = n - state
+        step *= z
+        step += state
+        state = step
+        out[t] = state.T
+    return out, np.ascontiguousarray(state.T)
 
 
+ROWS = 2_048  # states whose classes are looked at together: their exponentials stay near the processor
 SPREAD = 60.0  # exponents that far below the largest one still have a value in single precision
 
 
@@ -124,20 +132,28 @@ def _slopes(states: np.ndarray, weight: np.ndarray, bias: np.ndarray, of: np.nda
     return x, at - np.log(sums)
 
 
+def _short(numbers: np.ndarray, most: int) -> np.ndarray:
+    """The same numbers in two bytes where they fit: those are sorted by their digits."""
+    return numbers.astype(np.uint16) if most < 1 << 16 else numbers
+
+
 def _inner_runs(shape: Shape, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(classes, kind="stable")
+    order = np.argsort(_short(classes, shape.classes), kind="stable")
     return order, np.searchsorted(classes[order], np.arange(shape.word_classes + 1))
 
 
 def log_likelihoods(w: dict, shape: Shape, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log of each target's probability after its state (both flat)."""
     classes = shape.class_of(targets)
-    out = _log_share(states, w["top"], w["top_bias"], classes).astype(np.float64)
+    out = np.empty(len(targets))
+    for at in range(0, len(targets), ROWS):
+        some = slice(at, at + ROWS)
+        out[some] = _log_share(states[some], w["top"], w["top_bias"], classes[some])
     order, bounds = _inner_runs(shape, classes)
     for c in range(shape.word_classes):
         rows = order[bounds[c] : bounds[c + 1]]
         if len(rows):
-            out[rows] += _log_share(states[rows], w["inner"][c], w["inner_bias"][c], targets[rows] - c * shape.per_class)
+            out[rows] += _log_share(states.take(rows, 0), w["inner"][c], w["inner_bias"][c], targets[rows] - c * shape.per_class)
     return out
 
 
@@ -196,40 +212,64 @@ def gradients(w: dict, shape: Shape, inputs: np.ndarray, targets: np.ndarray, re
     total = max(1, int(here.sum()))
     classes = shape.class_of(wanted)
     scale = (here / F32(total)).astype(F32)
-    d, logs = _slopes(flat, w["top"], w["top_bias"], classes, scale)
-    loss = -float(logs[here].sum())
-    g = {"top": flat.T @ d, "top_bias": d.sum(0), "inner": np.zeros_like(w["inner"]), "inner_bias": np.zeros_like(w["inner_bias"])}
-    d_flat = d @ w["top"].T
+    g = {k: np.zeros_like(w[k]) for k in ("top", "top_bias", "inner", "inner_bias")}
+    d_flat, ones, loss = np.empty_like(flat), np.ones(max(ROWS, len(flat)), F32), 0.0
+    for at in range(0, len(flat), ROWS):
+        some = slice(at, at + ROWS)
+        d, logs = _slopes(flat[some], w["top"], w["top_bias"], classes[some], scale[some])
+        loss -= float(logs[here[some]].sum())
+        g["top"] += flat[some].T @ d
+        g["top_bias"] += ones[: len(d)] @ d
+        np.matmul(d, w["top"].T, out=d_flat[some])
     order, bounds = _inner_runs(shape, np.where(here, classes, shape.classes))
     for c in range(shape.word_classes):
         rows = order[bounds[c] : bounds[c + 1]]
         if len(rows):
-            some = flat[rows]
+            some = flat.take(rows, 0)
             e, logs = _slopes(some, w["inner"][c], w["inner_bias"][c], wanted[rows] - c * shape.per_class, scale[rows])
             loss -= float(logs.sum())
-            g["inner"][c], g["inner_bias"][c] = some.T @ e, e.sum(0)
+            g["inner"][c], g["inner_bias"][c] = some.T @ e, ones[: len(e)] @ e
             d_flat[rows] += e @ w["inner"][c].T
     d_states = d_flat.reshape(steps, lanes, h)
     d_inputs, g_state = np.empty((steps, lanes, 3 * h), F32), np.zeros_like(w["state"])
-    back = np.zeros((lanes, h), F32)
+    back = np.zeros((h, lanes), F32)
+    begins = inputs == shape.begin
+    any_begin = begins.any(1)
+    da, db = np.empty((3 * h, lanes), F32), np.empty((3 * h, lanes), F32)
+    one = F32(1)
     for t in range(steps - 1, -1, -1):
         before, z, r, n, inner = kept[t]
-        ds = d_states[t] + back
-        dn = ds * z * (F32(1) - n * n)
-        dz = ds * (n - before) * z * (F32(1) - z)
-        dr = dn * inner * r * (F32(1) - r)
-        d_inputs[t, :, :h], d_inputs[t, :, h : 2 * h], d_inputs[t, :, 2 * h :] = dz, dr, dn
-        db = np.concatenate([dz, dr, dn * r], axis=1)
-        g_state += before.T @ db
-        back = ds * (F32(1) - z) + db @ w["state"].T
-        back[inputs[t] == shape.begin] = 0
+        ds = back
+        ds += d_states[t].T
+        rest = one - z
+        dz, dr, dn = da[:h], da[h : 2 * h], da[2 * h :]
+        np.multiply(n, n, out=dn)
+        np.subtract(one, dn, out=dn)
+        dn *= z
+        dn *= ds
+        ds *= rest  # what flows back past the gates
+        np.subtract(n, before, out=dz)
+        dz *= z
+        dz *= ds
+        np.subtract(one, r, out=dr)
+        dr *= r
+        dr *= inner
+        dr *= dn
+        d_inputs[t] = da.T
+        db[: 2 * h] = da[: 2 * h]
+        np.multiply(dn, r, out=db[2 * h :])
+        g_state += before @ db.T
+        back = w["state"] @ db
+        back += ds
+        if any_begin[t]:
+            back[:, begins[t]] = 0
     g["state"] = g_state
     g["input"] = np.zeros_like(w["input"])
     flat_inputs, flat_d = inputs.reshape(-1), d_inputs.reshape(-1, 3 * h)
-    by_input = np.argsort(flat_inputs, kind="stable")
+    by_input = np.argsort(_short(flat_inputs, shape.begin), kind="stable")
     sorted_inputs = flat_inputs[by_input]
     first = np.flatnonzero(np.concatenate([[True], sorted_inputs[1:] != sorted_inputs[:-1]]))
-    g["input"][sorted_inputs[first]] = np.add.reduceat(flat_d[by_input], first, axis=0)
+    g["input"][sorted_inputs[first]] = np.add.reduceat(flat_d.take(by_input, 0), first, axis=0)
     return g, after, loss / total
 
 
@@ -238,14 +278,25 @@ class Adam:
         self.rate, self.t = rate, 0
         self.m = {k: np.zeros_like(v) for k, v in w.items()}
         self.v = {k: np.zeros_like(v) for k, v in w.items()}
+        self.held = {k: np.empty_like(v) for k, v in w.items()}
 
     def step(self, w: dict, g: dict) -> None:
         self.t += 1
         rate = F32(self.rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t))
         for k in w:
-            self.m[k] += F32(0.1) * (g[k] - self.m[k])
-            self.v[k] += F32(0.01) * (g[k] * g[k] - self.v[k])
-            w[k] -= rate * self.m[k] / (np.sqrt(self.v[k]) + F32(1e-6))
+            m, v, d = self.m[k], self.v[k], self.held[k]
+            np.subtract(g[k], m, out=d)
+            d *= F32(0.1)
+            m += d
+            np.multiply(g[k], g[k], out=d)
+            d -= v
+            d *= F32(0.01)
+            v += d
+            np.sqrt(v, out=d)
+            d += F32(1e-6)
+            np.divide(m, d, out=d)
+            d *= rate
+            w[k] -= d
 
 
 def train(w: dict, shape: Shape, texts: list[np.ndarray], optimiser: Adam, lanes: int = 512, window: int = 32) -> float:

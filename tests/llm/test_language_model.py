@@ -45,6 +45,18 @@ def test_probabilities_add_up_and_lanes_do_not_matter():
         assert gru.score(w, shape, texts, lanes, window) == pytest.approx(one_by_one, abs=1e-3)
 
 
+def test_gates_lie_side_by_side_and_slices_add_up(monkeypatch):
+    shape, rng = gru.Shape(10, 4, 3, 5), np.random.default_rng(3)
+    w, inputs, targets = gru.initial(shape, rng.random(13)), rng.integers(0, 13, (6, 4)), rng.integers(0, 13, (6, 4))
+    real, state, kept = rng.random((6, 4)) < 0.9, np.zeros((4, 5), np.float32), []
+    gru._forward(w, inputs, state, shape.begin, kept)
+    assert all(k.shape == (5, 4) and k.flags.c_contiguous for step in kept for k in step)
+    whole = gru.gradients(w, shape, inputs, targets, real, state)
+    monkeypatch.setattr(gru, "ROWS", 7)
+    parts = gru.gradients(w, shape, inputs, targets, real, state)
+    assert parts[2] == pytest.approx(whole[2], rel=1e-5) and all(parts[0][k] == pytest.approx(whole[0][k], abs=1e-5) for k in w)
+
+
 def chain_texts(n, seed=4):
     """Each word depends on the one before, in one of two vocabularies."""
     rng, rows = random.Random(seed), []

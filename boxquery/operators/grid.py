@@ -146,10 +146,15 @@ def _meeting(
     meet by the cell and the axes on which the fine row begins there, which must be all on which the coarse row does
     not. With `alike` both sides are the same rows: of the two orders of a pair only one is looked at.
     """
-    levels = sorted(r.level for r in coarse.select("level").distinct().collect())
+    every = {r.level for r in coarse.select("level").distinct().collect()}
+    finest = fine.agg(F.max("level")).first()[0]
+    # rows at levels that no fine row is offered meet nothing
+    levels = sorted(v for v in every if finest is not None and (v < finest if finer == "v < own" else v <= finest))
+    if len(levels) < len(every):
+        coarse = coarse.filter(F.col("level").isin(levels) if levels else F.lit(False))
     begins = {"begins": " | ".join(f"shiftleft(cast(_p{i} = 0 AS int), {i})" for i in range(len(dims)))}
-    every = range(1 << len(dims))
-    fitting = [[f for f in every if c | f == every[-1] and (f <= c or not alike)] for c in every]
+    axes = range(1 << len(dims))
+    fitting = [[f for f in axes if c | f == axes[-1] and (f <= c or not alike)] for c in axes]
     offer = ", ".join(f"array({', '.join(map(str, fs))})" if fs else "cast(array() AS array<int>)" for fs in fitting)
     placed = cover(coarse, dims, begins).withColumn("begins", F.expr(f"explode(get(array({offer}), begins))"))
     placed = _tagged(placed, tags[0])
@@ -165,7 +170,7 @@ def _meeting(
         pairs = skew_join(spread, placed, keys, f"{tags[1]}__n", total, small_id=[f"{tags[0]}__n"])
     if not alike:
         return pairs
-    return pairs.filter((F.col("begins") < every[-1]) | (F.col(f"{tags[0]}__n") < F.col(f"{tags[1]}__n")))
+    return pairs.filter((F.col("begins") < axes[-1]) | (F.col(f"{tags[0]}__n") < F.col(f"{tags[1]}__n")))
 
 
 def _tagged(placed: DataFrame, tag: str) -> DataFrame:

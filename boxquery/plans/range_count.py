@@ -153,8 +153,8 @@ def refined_hits(index: BoxIndex, found: DataFrame, bound: int, broadcast_rows:
 def _count_blocks(
     index: BoxIndex, boxes: DataFrame, nested_loop_boxes: int | None = None, broadcast_rows: int | None = None
 ) -> DataFrame:
-    if nested_loop_boxes is None and many_pairs(index, boxes):
-        return unit_hits(index, box_units(index, boxes)).select("qid", "hits")
+    if many_pairs(index, boxes):
+        return unit_hits(index, box_units(index, boxes, nested_loop_boxes)).select("qid", "hits")
     return refined_hits(index, *block_candidates(index, boxes, nested_loop_boxes), broadcast_rows)
 
 

@@ -52,25 +52,29 @@ def unit_blocks(index: BoxIndex) -> int:
     return min(most, index.segment_blocks)
 
 
-def box_units(index: BoxIndex, boxes: DataFrame) -> DataFrame:
-    """(qid, bounds, unit) of the units whose bounds a box overlaps, written."""
+def box_units(index: BoxIndex, boxes: DataFrame, nested_loop_units: int | None = None) -> DataFrame:
+    """(qid, bounds, unit) of the units whose bounds a box overlaps, written.
+
+    More than nested_loop_units units meet the boxes in a grid, if that is given.
+    """
     size, bounds = unit_blocks(index), bound_names(index.dims)
     shape = [F.min(c).alias(c) for c in lo_names(index.dims)] + [F.max(c).alias(c) for c in hi_names(index.dims)]
     units = written(index.blocks.groupBy(F.expr(f"block div {size}").alias("unit")).agg(*shape), "unit-bounds")
     queries = query_boxes(boxes, index)
-    queries = queries.repartition(pair_tasks(queries))
     n_units = -(-index.n_blocks // size)
+    if n_units > (BROADCAST_ROWS if nested_loop_units is None else nested_loop_units):
+        found = _grid(units.withColumn("n", F.lit(0)), queries, index, "unit").select("qid", *bounds, "unit")
+        return written(found, "box-units")
+    queries = queries.repartition(pair_tasks(queries))
     meet = overlaps(box(index.dims, "q"), box(index.dims, "t"))
     columns = ["q.qid", *[f"q.{c}" for c in bounds], "t.unit"]
-    if n_units <= NESTED_LOOP_BOXES:
+    if n_units <= NESTED_LOOP_BOXES or nested_loop_units is not None:
         found = queries.alias("q").join(F.broadcast(units.alias("t")), meet).select(*columns)
-    elif n_units <= BROADCAST_ROWS:
+    else:
         placed = units.withColumn("_above", F.expr(f"unit div {UNITS_ABOVE}"))
         above = placed.groupBy("_above").agg(*shape)
         near = queries.alias("q").join(F.broadcast(above.alias("t")), meet).select("q.*", "t._above")
         found = near.alias("q").join(F.broadcast(placed.alias("t")), F.col("q._above") == F.col("t._above")).filter(meet).select(*columns)
-    else:
-        found = _grid(units.withColumn("n", F.lit(0)), queries, index, "unit").select("qid", *bounds, "unit")
     return written(found, "box-units")
 
 
@@ -232,26 +236,43 @@ def _answering(d: int, as_points: bool, searching: bool, schema: pa.Schema) -> C
         lo, hi = corners(rows)
         low = [np.fmin.reduceat(c, rows.starts) for c in lo]
         high = [np.fmax.reduceat(c, rows.starts) for c in hi]
+        # a chunk with a row that has no place lies in no box
+        least = [np.minimum.reduceat(c, rows.starts) for c in lo]
+        most = [np.maximum.reduceat(c, rows.starts) for c in hi]
+        lengths = (rows.ends - rows.starts).astype(np.float32)
         for at in range(0, piece.num_rows, BOX_SLICE):
             boxes = piece.slice(at, BOX_SLICE)
             column = {name: boxes.column(i) for i, name in enumerate(boxes.schema.names)}
             l, h = ([column[f"_c{i + j * d}"].to_numpy(zero_copy_only=False) for i in range(d)] for j in (0, 1))
-            near = np.ones((boxes.num_rows, len(rows.starts)), bool)
+            near = np.ones((len(rows.starts), boxes.num_rows), bool)
             for i in range(d):
-                near &= (low[i] <= h[i][:, None]) & (l[i][:, None] <= high[i])
+                near &= low[i][:, None] <= h[i]
+                near &= l[i] <= high[i][:, None]
             limited = column["_n"].null_count == 0
             left = column["_n"].to_numpy(zero_copy_only=False).copy() if limited else None
             hits = np.zeros(boxes.num_rows, np.int64)
+            if not searching:  # chunks that lie wholly in a box are answered by their row counts
+                whole = near.copy()
+                for i in range(d):
+                    whole &= l[i] <= least[i][:, None]
+                    whole &= most[i][:, None] <= h[i]
+                hits += (lengths @ whole.astype(np.float32)).astype(np.int64)
+                near &= ~whole
+                if limited:
+                    np.minimum(hits, left, out=hits)
             owners, sizes, ids, gathered = [], [], [], 0
-            for c in np.flatnonzero(near.any(axis=0)):
-                who = np.flatnonzero(near[:, c] & (left > hits) if limited else near[:, c])
+            for c in np.flatnonzero(near.any(axis=1)):
+                who = np.flatnonzero(near[c] & (left > hits) if limited else near[c])
                 if not len(who):
                     continue
                 chunk = slice(rows.starts[c], rows.ends[c])
                 inside = np.ones((len(who), rows.ends[c] - rows.starts[c]), bool)
-                for i in range(d):
-                    inside &= lo[i][chunk] <= h[i][who, None]
-                    inside &= l[i][who, None] <= hi[i][chunk]
+                for i in range(d):  # bounds that all rows of the chunk keep are not tested row by row
+                    upper, lower = h[i][who], l[i][who]
+                    if not (most[i][c] <= upper).all():
+                        inside &= lo[i][chunk] <= upper[:, None]
+                    if not (lower <= least[i][c]).all():
+                        inside &= lower[:, None] <= hi[i][chunk]
                 if limited:
                     inside &= np.cumsum(inside, axis=1) <= (left - hits)[who, None]
                 found = np.count_nonzero(inside, axis=1)

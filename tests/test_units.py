@@ -1,5 +1,7 @@
 """Very many boxes and blocks: boxes meet rows in units of blocks, and no candidate pairs are written."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +65,39 @@ def test_searches_make_no_candidates(spark, sf_dir, points, many, stored):
     assert "box-units" in stored and not {"pairs", "candidates", "descent"} & set(stored)
 
 
+def test_a_grid_holds_units_and_no_blocks(spark, sf_dir, points, many, stored, monkeypatch):
+    import boxquery.operators.grid as grid
+
+    sides = []
+    monkeypatch.setattr(grid, "written", lambda df, label, **kw: sides.append((label, df.columns)) or written(df, label, **kw))
+    index = build_index(points, DIMS, degree=8)
+    boxes = with_wide(spark, part_boxes(spark, sf_dir))
+    counted = range_count(index, boxes, method="blocks", nested_loop_boxes=2)
+    assert "box-units" in stored and not {"pairs", "candidates", "descent"} & set(stored)
+    assert [label for label, _ in sides] == ["leveled"] * 2 and "unit" in sides[1][1]
+    assert sorted(counted.collect()) == sorted(range_count(index.points, boxes, DIMS, method="broadcast").collect())
+
+
+@pytest.mark.parametrize("limited", [False, True])
+def test_rows_of_chunks_that_a_box_covers_are_not_tested(monkeypatch, limited):
+    """Only chunks over a box's border are looked into, and a row without a place lies in no box."""
+    monkeypatch.setattr(units, "CHUNK", 4)
+    x, y = np.arange(40) / 40, np.linspace(0.2, 0.8, 40)
+    y[9] = np.nan
+    rows = units._Rows(pa.table({"_n": np.arange(40), "_c0": x, "_c1": y}))
+    low, high = np.array([[0.0, 0.0], [0.26, 0.0], [0.5, 0.5], [2.0, 0.0]]), np.array([[1.0, 1.0], [0.74, 1.0], [0.9, 0.6], [3.0, 1.0]])
+    quota = [7, 50, 2, 5] if limited else [None] * 4
+    asked = {"unit": [0] * 4, "_n": pa.array(quota, pa.int64()), "qid": range(4), "_c0": low[:, 0], "_c1": low[:, 1], "_c2": high[:, 0], "_c3": high[:, 1]}
+    schema, tested = pa.schema([("qid", pa.int64()), ("unit", pa.int64()), ("hits", pa.int64())]), []
+    count = np.count_nonzero
+    monkeypatch.setattr(units.np, "count_nonzero", lambda a, **kw: tested.append(a.shape) or count(a, **kw))
+    found = pa.Table.from_batches(units._answering(2, True, False, schema)(rows, pa.RecordBatch.from_pydict(asked)))
+    hits = [int(((low[i, 0] <= x) & (x <= high[i, 0]) & (low[i, 1] <= y) & (y <= high[i, 1])).sum()) for i in range(4)]
+    want = [min(n, q or n) for n, q in zip(hits, quota)]
+    assert dict(zip(found["qid"].to_pylist(), found["hits"].to_pylist())) == {i: n for i, n in enumerate(want) if n}
+    assert sum(who for who, _ in tested) <= 6
+
+
 def test_ids_and_box_names_of_other_types(spark, sf_dir, points, many):
     index = build_index(points.withColumn("pid", F.col("pid").cast("string")), DIMS, degree=8)
     boxes = boxes64(spark).withColumn("qid", F.concat(F.lit("b"), "qid"))

@@ -185,7 +185,7 @@ def _laid_out(shape: Shape, texts: list[np.ndarray], dealt: list[list[int]]) ->
     return inputs, targets, which, sizes
 
 
-def score(w: dict, shape: Shape, texts: list[np.ndarray], lanes: int = 512, window: int = 32) -> np.ndarray:
+def score(w: dict, shape: Shape, texts: list[np.ndarray], lanes: int = 512, window: int = 128) -> np.ndarray:
     """Natural log-likelihood of each text, the state carried through all its windows. No text is empty."""
     out = np.zeros(len(texts))
     if not texts:

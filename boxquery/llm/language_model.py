@@ -8,17 +8,16 @@ from counts over all training texts. So every text has a probability, and every
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from boxquery.llm import gru
-from boxquery.llm.common import remainder_expr, slices, text_bytes
+from boxquery.llm.common import remainder_expr, slices
 from boxquery.llm.words import frequent
 from boxquery.session import written
 
@@ -41,7 +40,7 @@ MOST_TASKS = 16_384  # each sends one set of weights; averaging a block of them
 WEIGHT_BLOCKS = 256
 RATE = 0.02
 
-HELD_WORDS = 400_000  # distinct words a task holds before it sends their counts on
+HELD_BYTES = 24 << 20  # of texts whose words a task counts together
 SLICE_BYTES = 4 << 20
 SCORED_WORDS = 4_000_000  # words laid out and scored together
 
@@ -55,26 +54,44 @@ def words_of(text: bytes) -> list[bytes]:
     return words
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts as words_of gives them, one after the other, and where each text begins and ends there."""
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    # what stands after the last separator is the empty word
+    ended = pc.if_else(pc.equal(trimmed, ""), trimmed, pc.binary_join_element_wise(trimmed, "", " "))
+    lists = pc.ascii_split_whitespace(ended)
+    return lists.flatten().cast(pa.binary()), lists.offsets.to_numpy()
+
+
 def other_class(word: bytes, classes: int) -> int:
     """By the last four bytes, without punctuation: endings tell languages and word forms apart."""
     return zlib.crc32(word.rstrip(_EDGES)[-4:]) % classes
 
 
+def other_classes(words: pa.Array, classes: int) -> np.ndarray:
+    """other_class of many words: it is worked out once for each ending."""
+    stems = pc.ascii_rtrim(words.cast(pa.string()), characters=_EDGES.decode()).cast(pa.binary())
+    endings = pc.binary_slice(stems, -4, None).dictionary_encode()
+    found = np.array([other_class(ending, classes) for ending in endings.dictionary.to_pylist()], np.int32)
+    return found[endings.indices.to_numpy()]
+
+
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n) over all texts; the end is the empty word."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        held, size = [], 0
         for batch in slices(batches, SLICE_BYTES):
-            for text in text_bytes(batch.column(0)):
-                counts.update(words_of(text))
-            if len(counts) >= HELD_WORDS:
-                yield counted(counts)
-                counts.clear()
-        yield counted(counts)
+            held.append(split_words(batch.column(0))[0])
+            size += batch.nbytes
+            if size >= HELD_BYTES:
+                yield counted(held)
+                held, size = [], 0
+        yield counted(held)
 
-    def counted(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()).cast(pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+    def counted(held: list[pa.Array]) -> pa.RecordBatch:
+        counts = pc.value_counts(pa.chunked_array(held, pa.binary()))
+        return pa.RecordBatch.from_arrays([counts.field("values").cast(pa.string()), counts.field("counts")], names=["word", "n"])
 
     return docs.select(F.col(text_col).cast("string")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -96,24 +113,6 @@ class Vocabulary:
     def base_total(self) -> float:
         return self.words + SMOOTHING * (self.distinct + 1)
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        """The number of each word, -1 for a word that was not broadcast."""
-        return np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
-
-    def symbols_of(self, words: list[bytes], numbers: np.ndarray, known: dict[bytes, int]) -> tuple[np.ndarray, list[bytes]]:
-        """Symbols of the words, and the words that were not broadcast."""
-        symbols = self.symbols[numbers]
-        places = np.flatnonzero(numbers < 0)
-        rare = [words[i] for i in places.tolist()]
-        if rare:
-            first, classes = self.shape.words, self.shape.other_classes
-            for word in set(rare).difference(known):
-                known[word] = first + other_class(word, classes)
-            symbols[places] = np.fromiter(map(known.__getitem__, rare), np.int32, len(rare))
-            if len(known) > HELD_WORDS:
-                known.clear()
-        return symbols, rare
-
 
 def vocabulary(counts: DataFrame, model_words: int, broadcast_words: int, hidden: int) -> tuple[Vocabulary, int]:
     """The vocabulary of written counts, and the count from which words are broadcast."""
@@ -126,12 +125,13 @@ def vocabulary(counts: DataFrame, model_words: int, broadcast_words: int, hidden
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, v = np.zeros(OTHER_CLASSES, np.int64), np.zeros(OTHER_CLASSES, np.int64)
+        model_array = pa.array(list(shared.value), pa.binary())
         for batch in slices(batches, SLICE_BYTES):
-            for word, m in zip(text_bytes(batch.column("word")), batch.column("n").to_pylist()):
-                if word not in shared.value:
-                    c = other_class(word, OTHER_CLASSES)
-                    n[c] += m
-                    v[c] += 1
+            words = batch.column("word").cast(pa.binary())
+            others = pc.invert(pc.is_in(words, model_array))
+            c, m = other_classes(words.filter(others), OTHER_CLASSES), batch.column("n").filter(others).to_numpy()
+            np.add.at(n, c, m)
+            v += np.bincount(c, minlength=OTHER_CLASSES)
         yield pa.RecordBatch.from_arrays([pa.array(range(OTHER_CLASSES), pa.int32()), pa.array(n), pa.array(v)], names=["c", "n", "v"])
 
     class_words, class_distinct = np.zeros(OTHER_CLASSES), np.zeros(OTHER_CLASSES)
@@ -238,36 +238,39 @@ def language_scores(
     rare_type = pa.list_(pa.struct([("word", pa.string()), ("m", pa.int64())]))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, known = shared.value, {}
+        vocab = shared.value
         shape = vocab.shape
         logs = np.log10(vocab.counts + SMOOTHING)
         # what a symbol's class costs inside, per word of the class: nothing for words of the model
         inside = np.zeros(shape.symbols)
         inside[shape.words :] = np.log10(vocab.class_words + SMOOTHING * (vocab.class_distinct + 1))
+        common = pa.array(list(vocab.index), pa.binary())
         for batch in slices(batches, SLICE_BYTES):
-            n_tokens, n_known, base, plus, rare_words, rare_counts, offsets, texts = [], [], [], [], [], [], [0], []
-            for text in text_bytes(batch.column("text")):
-                words = words_of(text)
-                numbers = vocab.numbers(words)
-                symbols, rare = vocab.symbols_of(words, numbers, known)
-                each = logs[numbers]
-                each[numbers < 0] = 0.0
-                counted = Counter(rare)
-                rare_words.extend(counted.keys())
-                rare_counts.extend(counted.values())
-                offsets.append(len(rare_words))
-                n_tokens.append(len(words))
-                n_known.append(len(words) - len(rare))
-                base.append(float(each.sum()))
-                plus.append(float(each[symbols >= shape.words].sum() - inside[symbols].sum()))
-                texts.append(symbols)
-            entries = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()).cast(pa.string()), pa.array(rare_counts, pa.int64())], fields=list(rare_type.value_type))
-            ends = np.cumsum([0, *n_tokens]).astype(np.int32)
+            if not batch.num_rows:
+                continue
+            words, ends = split_words(batch.column("text"))
+            numbers = pc.fill_null(pc.index_in(words, common), -1).to_numpy()
+            symbols = vocab.symbols[numbers]
+            places = np.flatnonzero(numbers < 0)
+            rare = words.take(pa.array(places)).dictionary_encode()
+            codes = rare.indices.to_numpy()
+            symbols[places] = shape.words + other_classes(rare.dictionary, shape.other_classes)[codes]
+            each = logs[numbers]
+            each[places] = 0.0
+            plus = np.where(symbols >= shape.words, each, 0.0) - inside[symbols]
+            # the different rare words of each text, with their counts
+            texts_of = np.searchsorted(ends, places, side="right") - 1
+            different, times = np.unique(texts_of * max(1, len(rare.dictionary)) + codes, return_counts=True)
+            owners, codes = np.divmod(different, max(1, len(rare.dictionary)))
+            entries = pa.StructArray.from_arrays([rare.dictionary.take(pa.array(codes)).cast(pa.string()), pa.array(times, pa.int64())], fields=list(rare_type.value_type))
+            offsets = np.searchsorted(owners, np.arange(batch.num_rows + 1)).astype(np.int32)
+            n_tokens = np.diff(ends)
+            n_rare = np.bincount(texts_of, minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id"), batch.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(plus, pa.float64()),
-                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries, type=rare_type),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*texts, np.zeros(0, np.int32)]))),
+                    batch.column("id"), batch.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_tokens - n_rare, pa.int64()),
+                    pa.array(np.add.reduceat(each, ends[:-1])), pa.array(np.add.reduceat(plus, ends[:-1])),
+                    pa.ListArray.from_arrays(pa.array(offsets), entries, type=rare_type), pa.ListArray.from_arrays(pa.array(ends), pa.array(symbols)),
                 ],
                 names=["id", "held_out", "n_tokens", "known", "base", "plus", "rare", "symbols"],
             )

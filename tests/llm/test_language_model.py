@@ -4,10 +4,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from boxquery.llm import gru
-from boxquery.llm.language_model import END, RUN_WORDS, language_scores, other_class, runs, vocabulary, word_counts, words_of
+from boxquery.llm.language_model import END, RUN_WORDS, language_scores, other_class, other_classes, runs, split_words, vocabulary, word_counts, words_of
 
 SCHEMA = "doc_id bigint, text string, score string, held_out int"
 
@@ -57,6 +58,17 @@ def test_gates_lie_side_by_side_and_slices_add_up(monkeypatch):
     assert parts[2] == pytest.approx(whole[2], rel=1e-5) and all(parts[0][k] == pytest.approx(whole[0][k], abs=1e-5) for k in w)
 
 
+def test_words_and_classes_of_many_texts_at_once():
+    texts = [None, "", " \t\n", "a", "  A b", "B ", "A\x0bB\x0c\u00c4 x\x1cz\x85q\u00a0r", " x  y\r\n", "\x00 \x1f", "one two two"]
+    for part in (slice(0, 10), slice(3, 8), slice(0, 0)):
+        words, ends = split_words(pa.array(texts, pa.string())[part])
+        got = [words[ends[i] : ends[i + 1]].to_pylist() for i in range(len(texts[part]))]
+        assert got == [words_of((text or "").encode()) for text in texts[part]]
+    words = [b"", b"...", b"abc", b"abcde!", b"a.b.c||", b"xyz_", "\u00e4\u00f6\u00fcx-".encode(), "\u65e5\u672c\u8a9e".encode(), b"other.de!"]
+    assert other_classes(pa.array(words), 64).tolist() == [other_class(word, 64) for word in words]
+    assert len(other_classes(pa.array([], pa.binary()), 64)) == 0
+
+
 def chain_texts(n, seed=4):
     """Each word depends on the one before, in one of two vocabularies."""
     rng, rows = random.Random(seed), []

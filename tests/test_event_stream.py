@@ -60,3 +60,21 @@ def test_rows_merged_on_opening_are_not_merged_again(spark, sf_dir, tmp_path, in
         assert len(merges) == part and stored.delta_rows(spark, path) is None
     assert merged.rows == index.rows + table(spark, sf_dir, "events").count() == merged.points.select("pid").distinct().count()
     assert merged.points.agg({"ordinal": "max"}).first()[0] == merged.rows
+
+
+def test_repeated_rows_are_looked_for_once(spark, sf_dir, tmp_path, index, monkeypatch):
+    """Rows delivered again bring nothing new; what opening has found out is not looked for again by the compaction."""
+    import boxquery.sources.index as stored
+
+    path, looked, look = f"{tmp_path}/index", [], stored.new_rows
+    save_index(index, path)
+    events = events3(spark, sf_dir, event_stream(spark, sf_dir))
+    for turn in range(2):
+        insert_stream(events, path, DIMS, f"{tmp_path}/progress-{turn}").awaitTermination()
+        opened = load_index(spark, path)
+        monkeypatch.setattr(stored, "new_rows", lambda *a: looked.append(1) or look(*a))
+        merged = compacted(opened, path)
+        monkeypatch.setattr(stored, "new_rows", look)
+        assert not looked and stored.delta_rows(spark, path) is None
+        assert merged.rows == merged.points.count() == index.rows + table(spark, sf_dir, "events").count()
+    assert len(stored.folders(spark, f"{path}/version-*")) == 1
